@@ -147,7 +147,7 @@ def pack(pieces: DataFrame, capacity: int = 4096, group_items: int = 8192, loose
             break
         open_ = (F.col("filled") < capacity) & ((F.col("gap") > 0) | (F.col("filled") < loose * capacity))
         moving = packed.where(open_)
-        n, were = moving.agg(F.count("*"), F.count_if("offset = 0")).first()
+        n, were = moving.agg(F.count("*"), F.count_if(F.col("offset") == 0)).first()
         if were < 2:
             break
         again = keep(_pack_groups(moving.select(pieces.columns), max(1, -(-n // group_items)), capacity, turn), "packed")
