@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing
+from . import near_dup, packing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,7 +25,12 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicate_classes(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_order_minhash": op10_order_minhash,
 }
 ORACLE_SQL: dict[str, str] = {}
