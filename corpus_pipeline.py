@@ -6,18 +6,42 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapestream.llm import packing
+from tapestream.llm import mixing, near_dup, packing, quality, secrets
 from tapestream.llm.queries import vocabulary
 from tapestream.llm.store import keep
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejected documents go, boilerplate lines leave the others."""
+    return quality.clean(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each class stays."""
+    return near_dup.drop_near_duplicates(docs)
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are masked in the texts."""
+    return secrets.redact(docs)
+
+
+def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Whole documents as often as the mix draws them, shuffled within shards."""
+    return mixing.mix(docs)
+
+
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, vocabulary())
 
 
 STAGES: list[tuple[str, Stage]] = [
+    ("quality rules", quality_rules),
+    ("near duplicates", near_duplicates),
+    ("secret scans", secret_scans),
+    ("mixing sources", mixing_sources),
     ("best-fit packing", best_fit_packing),
 ]
 

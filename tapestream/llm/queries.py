@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dup, packing, quality
+from . import mixing, near_dup, packing, quality, secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,11 +21,19 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_secret_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find(_table(spark, sf_dir, "documents"))
+
+
 def op4_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(_table(spark, sf_dir, "documents"))
     return judged.select("doc_id", *quality.METRICS, "removed_chars", "kept")
 
 
+def op7_hypergeometric_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(_table(spark, sf_dir, "documents"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), vocabulary())
 
@@ -35,7 +43,9 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_secret_novelty": op1_secret_novelty,
     "op4_line_frequency": op4_line_frequency,
+    "op7_hypergeometric_mix": op7_hypergeometric_mix,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_order_minhash": op10_order_minhash,
 }
