@@ -8,36 +8,33 @@ from pyspark.sql import functions as F
 from .store import forget, keep
 
 
-def _rank(node: str | Column, turn: int) -> Column:
-    return F.xxhash64(F.lit(turn), node)
+def _rank(node: str, turn: int) -> Column:
+    return F.xxhash64(F.lit(turn), node) if turn else F.col(node)
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for each node of the edges (src, dst); component is its smallest node.
 
-    Each round ranks nodes by a new hash.  A node moves to the best-ranked node within two
-    steps, edges follow their ends, and edges within a node go; what is left is a graph
-    smaller by a factor, so rounds grow with the logarithm of the longest path and a star
-    takes one.  Hubs need no special case: minima are combined before the shuffle, and
-    joins on a hub are split as skewed ones.  Null ends are ignored.
+    Each round a node moves to the best-ranked among itself and its neighbours, edges follow
+    their ends, and edges within a node go; what is left is a graph smaller by a factor.
+    The first rank is the node itself, so stars around their smallest node take one round;
+    later ranks are hashes, new in each round, so that no order of ids makes long paths
+    slow.  Hubs need no special case: minima are combined before the shuffle, and joins on
+    a hub are split as skewed ones.  Null ends are ignored.
     """
     edges = edges.select("src", "dst").where("src is not null and dst is not null")
     alone = edges.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("head"))
-    edges = edges.where("src <> dst")
-    edges = keep(edges.union(edges.select("dst", "src")).distinct(), "edges")
+    edges = keep(edges.where("src <> dst").distinct(), "edges")
     moves: list[DataFrame] = []
     turn = 0
     while not edges.isEmpty():
-        best = edges.groupBy("src").agg(F.min_by("dst", _rank("dst", turn)).alias("m"))
-        near = best.select(F.col("src").alias("node"), F.when(_rank("m", turn) < _rank("src", turn), F.col("m")).otherwise(F.col("src")).alias("head"))
-        near = keep(near, "near")
-        seen = edges.join(near, edges.dst == near.node).groupBy("src").agg(F.min_by("head", _rank("head", turn)).alias("far"))
-        move = near.join(seen, near.node == seen.src).select("node", F.when(_rank("far", turn) < _rank("head", turn), F.col("far")).otherwise(F.col("head")).alias("head"))
+        both = edges.union(edges.select("dst", "src"))
+        best = both.groupBy("src").agg(F.min_by("dst", _rank("dst", turn)).alias("m"))
+        move = best.select(F.col("src").alias("node"), F.when(_rank("m", turn) < _rank("src", turn), F.col("m")).otherwise(F.col("src")).alias("head"))
         move = keep(move, "moves")
         moved = edges.join(move.select(F.col("node").alias("src"), F.col("head").alias("a")), "src")
-        moved = moved.join(move.select(F.col("node").alias("dst"), F.col("head").alias("b")), "dst")
-        left = keep(moved.where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct(), "edges")
-        forget(near)
+        moved = moved.join(move.select(F.col("node").alias("dst"), F.col("head").alias("b")), "dst").where("a <> b")
+        left = keep(moved.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct(), "edges")
         forget(edges)
         edges, turn = left, turn + 1
         moves.append(move)
