@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, near_dup, packing, quality, secrets
+from . import mixing, near_dup, packing, pii, quality, secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +34,10 @@ def op7_hypergeometric_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(_table(spark, sf_dir, "documents"))
 
 
+def op8_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(_table(spark, sf_dir, "documents"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), vocabulary())
 
@@ -46,6 +50,7 @@ QUERIES: dict[str, Query] = {
     "op1_secret_novelty": op1_secret_novelty,
     "op4_line_frequency": op4_line_frequency,
     "op7_hypergeometric_mix": op7_hypergeometric_mix,
+    "op8_bootstrapped_pii": op8_bootstrapped_pii,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_order_minhash": op10_order_minhash,
 }
