@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, near_dup, packing, pii, quality, secrets
+from . import mixing, near_dup, packing, pii, quality, secrets, toxicity, url_rules, va_topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,11 +25,27 @@ def op1_secret_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find(_table(spark, sf_dir, "documents"))
 
 
+#: The contract's rules.
+URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
+
+
+def op2_redirect_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.verdicts(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op3_va_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return va_topk.top_k(_table(spark, sf_dir, "embeddings"))
+
+
 def op4_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(_table(spark, sf_dir, "documents"))
     return judged.select("doc_id", *quality.METRICS, "removed_chars", "kept")
 
 
+def op6_factorization_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_hypergeometric_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(_table(spark, sf_dir, "documents"))
 
@@ -48,7 +64,10 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_secret_novelty": op1_secret_novelty,
+    "op2_redirect_equivalence": op2_redirect_equivalence,
+    "op3_va_top_k": op3_va_top_k,
     "op4_line_frequency": op4_line_frequency,
+    "op6_factorization_machine": op6_factorization_machine,
     "op7_hypergeometric_mix": op7_hypergeometric_mix,
     "op8_bootstrapped_pii": op8_bootstrapped_pii,
     "op9_best_fit_packing": op9_best_fit_packing,
