@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, near_dup, packing, pii, quality, secrets, toxicity, url_rules, va_topk
+from . import mixing, near_dup, packing, pii, quality, secrets, toxicity, training_order, url_rules, va_topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,6 +42,10 @@ def op4_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality.METRICS, "removed_chars", "kept")
 
 
+def op5_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training_order.training_order(_table(spark, sf_dir, "documents"), vocabulary())
+
+
 def op6_factorization_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -67,6 +71,7 @@ QUERIES: dict[str, Query] = {
     "op2_redirect_equivalence": op2_redirect_equivalence,
     "op3_va_top_k": op3_va_top_k,
     "op4_line_frequency": op4_line_frequency,
+    "op5_training_order": op5_training_order,
     "op6_factorization_machine": op6_factorization_machine,
     "op7_hypergeometric_mix": op7_hypergeometric_mix,
     "op8_bootstrapped_pii": op8_bootstrapped_pii,
