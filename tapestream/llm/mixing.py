@@ -150,6 +150,5 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     """The mix as rows of docs, whole documents, as often as they are drawn, by shard in shuffled order."""
     _, drawn = takes(docs, whole=True, **options)
     drawn = keep(drawn, "drawn")
-    texts = docs.withColumn("_row", F.xxhash64("doc_id", "text")).dropDuplicates(["_row"])
-    both = texts.join(drawn.withColumnRenamed("row", "_row"), "_row").withColumnsRenamed({"shard": "_shard", "place": "_place"})
-    return both.repartition("_shard").sortWithinPartitions("_shard", "_place").select(docs.columns)
+    texts = docs.select(F.xxhash64("doc_id", "text").alias("row"), F.struct(*docs.columns).alias("doc")).dropDuplicates(["row"])
+    return texts.join(drawn, "row").repartition("shard").sortWithinPartitions("shard", "place").select("doc.*")

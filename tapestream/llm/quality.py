@@ -130,12 +130,13 @@ def clean(docs: DataFrame, host: str = "source", **limits) -> DataFrame:
     changes = judge(docs, host, **limits).where("not kept or removed_keys is not null").dropDuplicates(["doc_id", "digest"])
     changes = keep(changes.select(F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest"), "removed_keys", F.col("kept").alias("_kept")), "changes")
     few = changes.count() <= BROADCAST_LINES
-    same = docs["doc_id"].eqNullSafe(F.col("_doc")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_digest"))
-    both = docs.join(F.broadcast(changes) if few else changes, same, "left").where("_kept is null or _kept")
-    lines = F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("removed_keys", line_key(F.col(host), x)))
+    texts = docs.select(F.struct(*docs.columns).alias("_d"))
+    same = F.col("_d.doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64(F.coalesce("_d.text", F.lit(""))) == F.col("_digest"))
+    both = texts.join(F.broadcast(changes) if few else changes, same, "left").where("_kept is null or _kept")
+    lines = F.filter(F.split("_d.text", "\n"), lambda x: ~F.array_contains("removed_keys", line_key(F.col(f"_d.{host}"), x)))
     cut = F.col("removed_keys").isNotNull()
-    text = F.when(cut, F.array_join(lines, "\n")).otherwise(F.col("text"))
+    text = F.when(cut, F.array_join(lines, "\n")).otherwise(F.col("_d.text"))
     out = {"text": text}
     if "n_chars" in docs.columns:
-        out["n_chars"] = F.when(cut, F.length(text)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return both.withColumns(out).select(docs.columns)
+        out["n_chars"] = F.when(cut, F.length(text)).otherwise(F.col("_d.n_chars")).cast(docs.schema["n_chars"].dataType)
+    return both.select(*[out.get(c, F.col(f"_d.`{c}`")).alias(c) for c in docs.columns])
