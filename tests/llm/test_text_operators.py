@@ -51,10 +51,10 @@ def test_secrets(spark):
     docs = documents(spark, texts)
     found = {r.doc_id: r for r in secrets.find(docs).collect() if r.doc_id is not None}
     assert secrets.find(docs).count() == docs.count()
-    assert found[8].spans == "assign:2:20,assign:21:33,access:56:76,hex:77:101"
+    assert found[8].spans == "assign:2:19,assign:21:33,access:55:75,hex:76:100"
     assert found[9].spans == f"novel:25:{25 + len(random_part)}" and (found[9].n_assign, found[9].n_novel) == (0, 1)
     assert found[9].base_sha256 == hashlib.sha256(b"").hexdigest() and found[10].spans == ""
-    assert found[11].spans == "assign:0:30,access:8:29"
+    assert found[11].spans == "assign:0:29,access:8:29"
     clean = {r.doc_id: r for r in secrets.redact(docs).collect()}
     assert random_part not in clean[9].text and clean[9].n_chars == len(clean[9].text) and clean[0].text is None
     assert clean[11].text == 'PASSWD="[SECRET]"' and clean[5].text == ODD[5] and secrets.redact(docs).columns == docs.columns
