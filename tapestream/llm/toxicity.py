@@ -71,7 +71,7 @@ def feature_lists(texts: pa.Array, known: dict[int, int] | None = None) -> list[
         found = [t * len(COUNTS) + k for t, n in counts.items() for k, least in enumerate(COUNTS) if n >= least]
         if known is not None:
             found = [known[f] for f in found if f in known]
-        out.append(np.array(sorted(found), np.int64))
+        out.append(np.array(sorted(found), np.int32))
     return out
 
 
@@ -144,10 +144,11 @@ def fit(docs: DataFrame, labels: DataFrame, most_of_each: int = 4000, features:
         return None
     texts = rows["text"].combine_chunks()
     lists = [x for k in range(0, len(texts), 500) for x in feature_lists(texts.slice(k, 500))]
-    pos = np.concatenate([x for x, one, out in zip(lists, y, spare) if one and not out] or [np.zeros(0, np.int64)])
-    neg = np.concatenate([x for x, one, out in zip(lists, y, spare) if not one and not out] or [np.zeros(0, np.int64)])
-    every, place = np.unique(np.concatenate([pos, neg]), return_inverse=True)
-    a, b = np.bincount(place[: len(pos)], minlength=len(every)), np.bincount(place[len(pos) :], minlength=len(every))
+    seen = [np.unique(np.concatenate([x for x, one, out in zip(lists, y, spare) if one == kind and not out]), return_counts=True) for kind in (1.0, 0.0)]
+    every = np.union1d(seen[0][0], seen[1][0])
+    a, b = np.zeros(len(every), np.int64), np.zeros(len(every), np.int64)
+    for counts, (own, n) in zip((a, b), seen):
+        counts[np.searchsorted(every, own)] = n
     n1, n0 = y[~spare].sum(), (1 - y[~spare]).sum()
     share = (a + b) / (n1 + n0)
 
