@@ -4,10 +4,12 @@ A text is the sequence of its five-word k-mers, each labelled with how often it
 before.  Each of ``bands`` sketches takes the ``minima`` labelled k-mers that rank lowest
 under a hash and keeps them in text order, so sharing one is likelier the closer two texts
 are in edit distance.  Exact copies are one node from the start.  Every text is aligned
-with the first pivot of its buckets of equal sketches; then, round by round, texts in
-buckets that still hold several classes are aligned with others, a few at first and
-then with three of each bucket, until that finds no link.  Work stays in proportion to
-the bucket, and large families of copies never become pairs of all with all.
+with the first pivot of its buckets of equal sketches.  Buckets that still hold several
+classes get a few rounds with a pivot of any class, so that large families of copies never
+become pairs of all with all; at last every pair of different classes of a bucket is
+aligned, unless lengths or k-mer bitmaps rule it out.  They do so exactly: a bit that only
+one text has is a k-mer that can't be aligned.  Texts of few k-mers, whose sketches meet too
+seldom, also have the k-mers of an exact prefix filter as buckets.
 
 Alignment: labelled k-mers are unique within a text, so the longest common subsequence is
 the longest increasing run of matched positions, looked for within the band that the
@@ -27,7 +29,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
@@ -36,8 +38,12 @@ from .packing import text_batches
 from .store import keep
 
 WORDS = 5
-#: In so many rounds a text is aligned with so many pivots at most; later ones take so many of each of its buckets.
-FEW_ROUNDS, PIVOTS = 2, 3
+#: So many rounds take one pivot of each mixed bucket at most; then all pairs of different classes are looked at.
+PIVOT_ROUNDS = 3
+#: Texts of fewer k-mers than this find all that are similar, by a prefix filter.
+SHORT = 10
+#: Bits of a text's k-mer bitmap, and rows of a bucket that are compared with the others at once.
+BITS, ROWS = 1024, 256
 #: More nodes in shared buckets than this aren't broadcast to pick their texts.
 BROADCAST_NODES = 2_000_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -85,6 +91,28 @@ def order_sketches(kmers: np.ndarray, bands: int, minima: int) -> np.ndarray:
     return value.view(np.int64)
 
 
+def prefix_keys(kmers: np.ndarray, least: float) -> np.ndarray:
+    """Of a short text, the lowest k-mers, one of which any text that is similar has among its own lowest."""
+    n = len(kmers)
+    if not n or n * least >= SHORT:
+        return np.zeros(0, np.int64)
+    return _mixed(np.sort(kmers)[: n - int(np.ceil(least * n - 1e-9)) + 1] ^ _STEP).view(np.int64)
+
+
+def bitmap(kmers: np.ndarray) -> bytes:
+    bits = np.zeros(BITS, bool)
+    bits[(kmers % np.uint64(BITS)).astype(np.int64)] = True
+    return np.packbits(bits).tobytes()
+
+
+def may_align(bits: np.ndarray, n: np.ndarray, rows: np.ndarray, others: np.ndarray, least: float) -> np.ndarray:
+    """Whether texts (0/1 bits, numbers of k-mers) can reach ``least``: never false for a pair that does."""
+    both = bits[rows] @ bits[others].T
+    set_, a, b = bits.sum(1), n[rows][:, None], n[others][None, :]
+    most = np.minimum(a - (set_[rows][:, None] - both), b - (set_[others][None, :] - both))
+    return most >= least * (a + b - most) - 1e-6
+
+
 def alignment_similarity(a: np.ndarray, b: np.ndarray, least: float) -> float:
     """Aligned k-mers over all k-mers, or 0 where it can't reach ``least``."""
     n, m = len(a), len(b)
@@ -111,18 +139,51 @@ def alignment_similarity(a: np.ndarray, b: np.ndarray, least: float) -> float:
     return aligned / (n + m - aligned)
 
 
-def _sketch(docs: DataFrame, bands: int, minima: int) -> DataFrame:
+def _sketch(docs: DataFrame, bands: int, minima: int, least: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in text_batches(whole):
-                rows = [order_sketches(labelled_kmers(t), bands, minima) for t in batch.column(1).to_pylist()]
+                kmers = [labelled_kmers(t) for t in batch.column(1).to_pylist()]
+                rows = [np.concatenate([order_sketches(k, bands, minima), prefix_keys(k, least)]) for k in kmers]
                 flat = pa.array(np.concatenate(rows), pa.int64())
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * bands, pa.int32()), flat)
-                yield pa.record_batch([batch.column(0), batch.column(2), lists], ["doc_id", "digest", "sketch"])
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), flat)
+                n, bits = pa.array(map(len, kmers), pa.int32()), pa.array(map(bitmap, kmers), pa.binary())
+                yield pa.record_batch([batch.column(0), batch.column(2), lists, n, bits], ["doc_id", "digest", "sketch", "n", "bits"])
 
     digest = F.unhex(F.md5(F.coalesce("text", F.lit(""))))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", digest.alias("digest"))
-    return rows.mapInArrow(run, "doc_id long, digest binary, sketch array<long>")
+    return rows.mapInArrow(run, "doc_id long, digest binary, sketch array<long>, n int, bits binary")
+
+
+def _pairs(mixed: DataFrame, least: float, turn: int | None) -> DataFrame:
+    """Of each bucket, the pairs of different classes that may align: all, or in a turn those of one pivot."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by([("label", "ascending"), ("node", "ascending")])
+        node, label = table.column("node").to_numpy(), table.column("label").to_numpy()
+        n = table.column("n").to_numpy().astype(np.float32)
+        bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint8).reshape(len(n), -1)
+        bits = np.unpackbits(bits, axis=1).astype(np.float32)
+        found = [(np.zeros(0, np.int64),) * 2]
+        if turn is not None:
+            classes = np.unique(label)
+            draw = int(_mixed(np.array([key[0].as_py()], np.int64).view(np.uint64) + np.uint64(turn))[0])
+            own = np.flatnonzero(label == classes[draw % len(classes)])
+            pivot, others = own[[draw // len(classes) % len(own)]], np.flatnonzero(label != label[own[0]])
+            _, at = np.nonzero(may_align(bits, n, pivot, others, least))
+            found.append((others[at], np.repeat(pivot, len(at))))
+        else:
+            for first in range(0, len(n), ROWS):
+                rows = np.arange(first, min(first + ROWS, len(n)))
+                others = np.arange(np.searchsorted(label, label[first], "right"), len(n))  # later classes
+                for start in range(0, len(others), 16 * ROWS):
+                    some = others[start : start + 16 * ROWS]
+                    i, j = np.nonzero(may_align(bits, n, rows, some, least) & (label[rows][:, None] < label[some][None, :]))
+                    found.append((some[j], rows[i]))
+        x, y = (np.concatenate(side) for side in zip(*found))
+        return pa.table({"node": node[x], "pivot": node[y], "a": label[x], "b": label[y]})
+
+    return mixed.groupBy("key").applyInArrow(run, "node long, pivot long, a long, b long").dropDuplicates(["node", "pivot"])
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -153,11 +214,11 @@ def near_duplicate_classes(docs: DataFrame, least: float = 0.8, bands: int = 24,
 
     A pair at similarity 0.8 shares no sketch of the 24 with a chance of 5 in a million.
     """
-    rows = keep(_sketch(docs, bands, minima), "sketches")
+    rows = keep(_sketch(docs, bands, minima, least), "sketches")
     firsts = rows.groupBy("digest").agg(F.min("doc_id").alias("node"))
-    members = keep(rows.join(firsts, "digest").select("doc_id", "node", F.when(F.col("doc_id") == F.col("node"), F.col("sketch")).alias("sketch")), "members")
+    members = keep(rows.join(firsts, "digest").select("doc_id", "node", F.when(F.col("doc_id") == F.col("node"), F.col("sketch")).alias("sketch"), "n", "bits"), "members")
     nodes = members.where("sketch is not null").groupBy("node").agg(F.first("sketch").alias("sketch"))
-    keys = nodes.select("node", F.explode("sketch").alias("key"))
+    keys = nodes.select("node", F.explode(F.array_distinct("sketch")).alias("key"))
     buckets = keys.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1")
     shared = keep(keys.join(buckets, "key").select("key", "node", "pivot"), "shared")
     nodes = keep(shared.select("node").distinct(), "shared-nodes")
@@ -170,32 +231,31 @@ def near_duplicate_classes(docs: DataFrame, least: float = 0.8, bands: int = 24,
     links = _links(pairs, texts, least).select(F.col("node").alias("src"), F.col("pivot").alias("dst"))
     classes = keep(connected_components(links), "classes").withColumnRenamed("component", "label")
     of = shared.select("key", "node").join(classes, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    several = of.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-    of = keep(of.join(several, "key"), "mixed")
-    tried, merges, turn, every = pairs.select("node", "pivot"), [], 0, False
-    while True:
-        turn += 1
-        every = every or turn > FEW_ROUNDS
-        # a bucket's pivots are of its smallest label, so only texts outside that class are aligned
-        drawn = [F.min_by("node", F.struct("label", F.xxhash64(F.lit(turn * PIVOTS + i), "key", "node"))) for i in range(PIVOTS if every else 1)]
-        pivots = of.groupBy("key").agg(F.array_distinct(F.array(*drawn)).alias("pivots"), F.min("label").alias("b"))
-        pivots = pivots.select("key", "b", F.explode("pivots").alias("pivot"))
-        more = of.join(pivots, "key").where("label <> b").select("node", "pivot", F.col("label").alias("a"), "b").dropDuplicates(["node", "pivot"])
-        more = more.join(tried, ["node", "pivot"], "left_anti")
-        if not every:
-            pick = Window.partitionBy("node").orderBy(F.xxhash64(F.lit(turn), "pivot"))
-            more = more.withColumn("k", F.row_number().over(pick)).where(F.col("k") <= PIVOTS).drop("k")
+    maps = members.where("sketch is not null").dropDuplicates(["node"]).select("node", "n", "bits")
+
+    def mixed(of: DataFrame) -> DataFrame:
+        several = of.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
+        return keep(of.join(several, "key"), "mixed")
+
+    of = mixed(of)
+    tried, merges = pairs.select("node", "pivot"), []
+    for turn in [*range(PIVOT_ROUNDS), None]:
+        if turn is not None and merges and merges[-1] is None:
+            continue  # a round without links: the last one looks at all that is left
+        more = _pairs(of.join(maps, "node"), least, turn)
+        for way in (["node", "pivot"], ["pivot", "node"]):
+            more = more.join(tried.toDF(*way), ["node", "pivot"], "left_anti")
         more = keep(more, "pairs")
         found = _links(more, texts, least)
         tried = tried.union(more.select("node", "pivot"))
         if found.isEmpty():
-            if every:
-                break
-            every = True
+            merges.append(None)
             continue
         merges.append(found.select(F.greatest("a", "b").alias("src"), F.least("a", "b").alias("dst")))
-        lower = merges[-1].groupBy("src").agg(F.min("dst").alias("to")).withColumnRenamed("src", "label")
-        of = keep(of.join(lower, "label", "left").select("key", "node", F.coalesce("to", "label").alias("label")), "mixed")
+        if turn is not None:
+            lower = keep(connected_components(merges[-1]), "lower").withColumnsRenamed({"node": "label", "component": "to"})
+            of = mixed(of.join(lower, "label", "left").select("key", "node", F.coalesce("to", "label").alias("label")))
+    merges = [m for m in merges if m is not None]
     placed = members.join(classes, "node", "left").select("doc_id", F.coalesce("label", "node").alias("label"))
     if merges:
         merged = connected_components(reduce(DataFrame.union, merges)).withColumnRenamed("node", "label")

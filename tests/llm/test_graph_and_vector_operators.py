@@ -75,6 +75,44 @@ def test_near_duplicates(spark):
     assert near_dup.near_duplicate_classes(docs.limit(0)).count() == 0
 
 
+def test_near_duplicates_within_a_template_family(spark):
+    rng = random.Random(12)
+
+    def prose(n):
+        return ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n)]
+
+    # one template at about 0.7 to each other, with pairs and chains at 0.8 or more inside
+    shared, texts = prose(180), []
+    for _ in range(60):
+        own = shared + prose(35)
+        texts.append(" ".join(own))
+    for i in range(30, 60, 3):
+        own = texts[i].split()
+        for _ in range(2):
+            own[200 + rng.randrange(10)] = "zz" + str(rng.random())[2:6]
+            texts.append(" ".join(own))
+    # short texts of 4 and 5 k-mers, at 0.8
+    for _ in range(300):
+        own = prose(9)
+        texts += [" ".join(own), " ".join(own[:8])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in near_dup.near_duplicate_classes(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == classes_by_brute_force(texts)
+
+
+def test_bitmaps_never_rule_out_a_similar_pair():
+    rng = np.random.default_rng(13)
+    texts = []
+    for n in (5, 9, 40, 300, 3000):
+        base = rng.integers(0, 2**63, n).astype(np.uint64)
+        texts += [base] + [base[rng.random(n) > p] for p in (0.02, 0.1, 0.19, 0.3)]
+    bits = np.unpackbits(np.array([np.frombuffer(near_dup.bitmap(t), np.uint8) for t in texts]), axis=1).astype(np.float32)
+    n, every = np.array([len(t) for t in texts], np.float32), np.arange(len(texts))
+    may = near_dup.may_align(bits, n, every, every, 0.8)
+    similar = np.array([[near_dup.alignment_similarity(a, b, 0.8) >= 0.8 for b in texts] for a in texts])
+    assert may[similar].all() and not may.all()
+
+
 def test_alignment_is_the_longest_common_subsequence():
     rng = np.random.default_rng(3)
     for _ in range(100):
