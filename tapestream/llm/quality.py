@@ -1,14 +1,17 @@
 """Quality rules and cross-document line frequency, with DataFrame functions only.
 
 Lines are trimmed, lower-cased and hashed with their host.  A line is boilerplate if more
-than ``max_docs`` distinct documents of the host have it, in surroundings that differ for at
-least ``apart`` of them: copies of one document repeat a line too, but between the same
-neighbours, and aren't boilerplate.  Boilerplate lines are removed; a document left with
+than ``max_docs`` distinct documents of the host have it, where copies are one document:
+those of one text, and near copies.  Boilerplate lines are removed; a document left with
 less than ``min_left`` of its characters is rejected.
 
-Counting goes in two steps so that little is shuffled: occurrences of each line hash are
-summed first (combined before the shuffle, so a line in a third of all documents is no hot
-key), and only lines above the limit are looked at again with document and neighbours.
+Counting goes in steps so that little is shuffled: occurrences of each line hash are summed
+first (combined before the shuffle, so a line in a third of all documents is no hot key),
+then distinct texts, and only texts with a line above the limit are looked at for copies.
+
+Near copies: the ``LOWEST`` lowest hashes of a text's distinct five-word k-mers are its
+sketch.  Texts that share one of the four lowest are compared with the bucket's first text,
+and those alike in ``ALIKE`` of the lowest hashes of both are linked; a class is a component.
 
 Defined results: words are what lies between ASCII blanks; null is an empty text and a null
 host a host of its own; a text without words fails the base rules; rows of equal doc_id and
@@ -20,12 +23,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .components import connected_components
 from .store import keep
 
 BLANK = "\\x20\\x09-\\x0D"
 WORD = f"[^{BLANK}]+"
 SYMBOLS = "[#*$%&|<>]"
 WINDOW = 5
+#: Near copies: hashes of a sketch, and the share of those of two texts that both must have.
+LOWEST, ALIKE = 64, 0.7
 #: Lines above the limit are broadcast up to this number, and joined by a shuffle beyond it.
 BROADCAST_LINES = 500_000
 
@@ -82,41 +88,55 @@ def line_key(host: Column, line: Column) -> Column:
 
 
 def _occurrences(docs: DataFrame, host: str) -> DataFrame:
-    """A row per line that has a word: doc_id, digest of the text, place, key, surroundings, characters."""
+    """A row per line that has a word: doc_id, digest of the text, place, key, characters."""
     rows = docs.select(F.col("doc_id"), F.xxhash64(_text()).alias("digest"), F.col(host).alias("_host"), _lines(_text()).alias("_lines"))
     rows = rows.withColumn("_keys", F.transform("_lines", lambda x: line_key(F.col("_host"), x)))
-    lines = F.transform(
-        "_keys",
-        lambda key, i: F.struct(
-            i.alias("place"),
-            key.alias("key"),
-            F.xxhash64(F.get("_keys", i - 1), F.lit(0), F.get("_keys", i + 1)).alias("around"),
-            F.length(F.get("_lines", i)).alias("chars"),
-        ),
-    )
+    lines = F.transform("_keys", lambda key, i: F.struct(i.alias("place"), key.alias("key"), F.length(F.get("_lines", i)).alias("chars")))
     return rows.select("doc_id", "digest", F.inline(lines))
 
 
-def boilerplate(docs: DataFrame, host: str = "source", max_docs: int = 20, apart: float = 0.7) -> DataFrame:
+def copies(docs: DataFrame, digests: DataFrame) -> DataFrame:
+    """(digest, copy_of) of the given texts that have near copies; copy_of is the class's smallest digest."""
+    rows = docs.select(F.xxhash64(_text()).alias("digest"), _text().alias("_t")).join(digests, "digest", "left_semi")
+    rows = rows.withColumn("_w", F.regexp_extract_all("_t", F.lit(WORD), F.lit(0)))
+    kmers = F.transform(F.sequence(F.lit(0), F.size("_w") - WINDOW), lambda i: F.xxhash64(*[F.get("_w", i + j) for j in range(WINDOW)]))
+    kmers = F.when(F.size("_w") >= WINDOW, kmers).otherwise(F.array(F.xxhash64("_w")))
+    lowest = F.slice(F.array_sort(F.array_distinct(kmers)), 1, LOWEST)
+    texts = keep(rows.select("digest", lowest.alias("lowest")).groupBy("digest").agg(F.first("lowest").alias("lowest")), "copy-sketches")
+    four = [F.get("lowest", F.lit(i)) for i in range(4)]
+    pairs = [F.when(four[j].isNotNull(), F.xxhash64(four[i], four[j])) for i in range(4) for j in range(i + 1, 4)]
+    keys = texts.select("digest", F.explode(F.array_compact(F.array_distinct(F.array(*four, *pairs)))).alias("key"))
+    firsts = keys.groupBy("key").agg(F.min("digest").alias("first"), F.count("*").alias("n")).where("n > 1")
+    near = keys.join(firsts, "key").where("digest <> first").select("digest", "first").distinct()
+    near = near.join(texts, "digest").join(texts.select(F.col("digest").alias("first"), F.col("lowest").alias("other")), "first")
+    both = F.slice(F.array_sort(F.array_union("lowest", "other")), 1, LOWEST)
+    alike = F.size(F.array_intersect(both, F.array_intersect("lowest", "other"))) >= ALIKE * F.size(both)
+    links = near.where(alike).select(F.col("digest").alias("src"), F.col("first").alias("dst"))
+    return connected_components(links).select(F.col("node").alias("digest"), F.col("component").alias("copy_of"))
+
+
+def boilerplate(docs: DataFrame, host: str = "source", max_docs: int = 20) -> DataFrame:
     """(doc_id, digest, place, key, chars) of each line that is to be removed."""
     lines = _occurrences(docs, host)
     many = keep(lines.groupBy("key").count().where(F.col("count") > max_docs).select("key"), "many-lines")
     few = many.count() <= BROADCAST_LINES
     seen = keep(lines.join(F.broadcast(many) if few else many, "key").dropDuplicates(["doc_id", "digest", "place"]), "seen-lines")
-    by_doc = seen.groupBy("key", "doc_id", "digest").agg(F.min("around").alias("around"))
-    by_place = by_doc.groupBy("key", "around").count()
-    counts = by_place.groupBy("key").agg(F.sum("count").alias("n_docs"), F.count("*").alias("n_places"))
-    above = counts.where((F.col("n_docs") > max_docs) & (F.col("n_places") >= apart * F.col("n_docs"))).select("key")
+    holders = seen.select("key", "digest").distinct()
+    several = holders.groupBy("key").count().where(F.col("count") > max_docs).select("key")
+    holders = keep(holders.join(several, "key"), "line-holders")
+    classes = copies(docs, holders.select("digest").distinct())
+    counted = holders.join(classes, "digest", "left").select("key", F.coalesce("copy_of", "digest").alias("copy_of")).distinct()
+    above = counted.groupBy("key").count().where(F.col("count") > max_docs).select("key")
     return seen.join(above, "key").select("doc_id", "digest", "place", "key", "chars")
 
 
-def judge(docs: DataFrame, host: str = "source", max_docs: int = 20, apart: float = 0.7, min_left: float = 0.2) -> DataFrame:
+def judge(docs: DataFrame, host: str = "source", max_docs: int = 20, min_left: float = 0.2) -> DataFrame:
     """A row per row of docs: doc_id, digest, METRICS, removed_chars, removed_keys (null: none) and kept.
 
     The metrics are written first: a filter on the verdict must not be pushed into them.
     """
     metrics = keep(base_metrics(docs), "metrics")
-    gone = boilerplate(docs, host, max_docs, apart).groupBy("doc_id", "digest")
+    gone = boilerplate(docs, host, max_docs).groupBy("doc_id", "digest")
     gone = gone.agg(F.sum("chars").alias("removed_chars"), F.collect_set("key").alias("removed_keys"))
     gone = gone.select(F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest"), "removed_chars", "removed_keys")
     both = metrics.join(gone, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("digest") == F.col("_digest")), "left")

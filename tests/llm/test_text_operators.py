@@ -99,6 +99,29 @@ def test_quality_metrics_and_line_frequency(spark):
     assert quality.judge(empty(spark)).count() == 0 and quality.clean(empty(spark)).columns == docs.columns
 
 
+def test_boilerplate_blocks_and_skewed_lines(spark):
+    rng = random.Random(15)
+
+    def prose(n):
+        return " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+
+    footer, common = "\n".join(prose(4) for _ in range(5)), prose(8)
+    texts = [f"{prose(40)}\n{prose(40)}\n{footer}" for _ in range(30)] + [footer]
+    texts += [f"{prose(40)}\n{common}\n{prose(40)}" for _ in range(30)]
+    family = f"{prose(20)}\n{common}\n{prose(60)}"
+    texts += [family] * 2000
+    near = prose(90).split()
+    for i in range(60):  # a word of each is another
+        own = [*near[:i], f"zz{i}", *near[i + 1 :]]
+        texts.append("\n".join(" ".join(own[k : k + 30]) for k in (0, 30, 60)))
+    docs = spark.createDataFrame([(i, t, "a") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    judged = {r.doc_id: r for r in quality.judge(docs).collect()}
+    n_footer, n_common = sum(map(len, footer.split("\n"))), len(common)
+    assert {judged[i].removed_chars for i in range(31)} == {n_footer} and not judged[30].kept
+    assert {judged[i].removed_chars for i in range(31, 2061)} == {n_common}
+    assert all(judged[i].kept and not judged[i].removed_chars for i in range(2061, len(texts)))
+
+
 def test_mix_meets_targets_and_uses_each_draw_once(spark):
     rng = random.Random(6)
     rows = [(i, " ".join(["w"] * rng.randint(0, 60)), "en", rng.choice(["a", "b", "c", "é", None]), 0, "l", 1, 2) for i in range(400)] + [(None, "x y", "en", "a", 0, "l", 1, 2), (400, None, "en", "a", 0, "l", 1, 2)]
