@@ -7,13 +7,16 @@ The k-th best lower bound of any block is a score that surely exists, so only ve
 upper bound reaches the best of these are left.  Their exact vectors are read in the order
 of their upper bounds until the k-th score is certain.
 
-Equal vectors: only the k + 1 smallest ids of each distinct vector can be in a result, so
-larger families are cut to those before anything is compared; this drops no result.
+Equal vectors: only rows of the k + 1 smallest distinct ids of each distinct vector can be in
+a result (a query passes over its own id, and an id fills at most as many places as it has
+rows), so larger families are cut to those ids before anything is compared, and each id to k
+rows; this drops no result.  Rows are numbered, and bounds go back to the row they are of.
 
 Defined results: vectors null, empty, or holding null or non-finite components take no part,
-nor do rows without id; shorter vectors count as ending in zeros; rows of one id with
-different vectors are different candidates; ties go to the smaller id; a query with fewer
-candidates gets all; other columns are ignored.
+nor do rows without id; shorter vectors count as ending in zeros; each row is a candidate,
+also those of one id, with equal vectors or different ones; a query is the smallest vector
+of its id; ties go to the smaller id; a query with fewer candidates gets all; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .store import keep
 
-BOUNDS = "query_id long, floor_score double, vec_id array<long>, ceiling array<double>"
+BOUNDS = "query_id long, floor_score double, row array<long>, ceiling array<double>"
 
 
 def integer_vectors(vectors: DataFrame, scale: int = 256) -> DataFrame:
@@ -65,10 +68,10 @@ def _packed(rows: DataFrame, name: str, blocks: int, low: np.ndarray, step: np.n
     def pack(key: tuple, table: pa.Table) -> pa.Table:
         m = _matrix(table.column("v"), width)
         data = ((m - low) // step).astype(np.uint8) if approximate else m.astype(np.int64)
-        return pa.table({name: [key[0].as_py()], "ids": [table.column("vec_id").to_numpy().tobytes()], "data": [data.tobytes()]}, pa.schema([(name, pa.int32()), ("ids", pa.binary()), ("data", pa.binary())]))
+        return pa.table({name: [key[0].as_py()], "ids": [table.column("vec_id").to_numpy().tobytes()], "rows": [table.column("row").to_numpy().tobytes()], "data": [data.tobytes()]}, pa.schema([(name, pa.int32()), ("ids", pa.binary()), ("rows", pa.binary()), ("data", pa.binary())]))
 
     dealt = rows.withColumn(name, F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int"))
-    return dealt.groupBy(name).applyInArrow(pack, f"{name} int, ids binary, data binary")
+    return dealt.groupBy(name).applyInArrow(pack, f"{name} int, ids binary, rows binary, data binary")
 
 
 def _bounds(pairs: DataFrame, k: int, low: np.ndarray, step: np.ndarray) -> DataFrame:
@@ -78,7 +81,7 @@ def _bounds(pairs: DataFrame, k: int, low: np.ndarray, step: np.ndarray) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                q_ids, c_ids = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["ids"], np.int64)
+                q_ids, c_ids, c_rows = (np.frombuffer(row[x], np.int64) for x in ("q_ids", "ids", "rows"))
                 q = np.frombuffer(row["q_data"], np.int64).reshape(-1, width).astype(np.float64)
                 least = low + np.frombuffer(row["data"], np.uint8).reshape(-1, width) * step
                 up, down, most = np.maximum(q, 0), np.minimum(q, 0), least + step - 1
@@ -89,8 +92,8 @@ def _bounds(pairs: DataFrame, k: int, low: np.ndarray, step: np.ndarray) -> Data
                 left = (ceiling >= sure[:, None]) & ~own
                 cut = np.concatenate([[0], np.cumsum(left.sum(1))])
                 which = np.nonzero(left)
-                lists = [pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(x, t)) for x, t in ((c_ids[which[1]], pa.int64()), (ceiling[which], pa.float64()))]
-                yield pa.record_batch([pa.array(q_ids), pa.array(sure), *lists], ["query_id", "floor_score", "vec_id", "ceiling"])
+                lists = [pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(x, t)) for x, t in ((c_rows[which[1]], pa.int64()), (ceiling[which], pa.float64()))]
+                yield pa.record_batch([pa.array(q_ids), pa.array(sure), *lists], ["query_id", "floor_score", "row", "ceiling"])
 
     return pairs.mapInArrow(run, BOUNDS)
 
@@ -123,16 +126,17 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256, cel
     if width is None:
         return exact.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.col("vec_id").alias("score"))
     low, step = _grid(exact, cells)
-    family = Window.partitionBy("v").orderBy("vec_id")
-    candidates = keep(exact.withColumn("n", F.row_number().over(family)).where(F.col("n") <= k + 1).drop("n"), "candidates")
-    queries = exact.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
+    family, own = Window.partitionBy("v").orderBy("vec_id"), Window.partitionBy("v", "vec_id").orderBy(F.lit(0))
+    cut = exact.withColumns({"n": F.dense_rank().over(family), "m": F.row_number().over(own)}).where((F.col("n") <= k + 1) & (F.col("m") <= k))
+    candidates = keep(cut.select("vec_id", "v", F.monotonically_increasing_id().alias("row")), "candidates")
+    queries = exact.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("row", F.lit(0).cast("long"))
     n_queries, n_blocks = (max(1, -(-n // size)) for n, size in ((queries.count(), query_block), (candidates.count(), block)))
-    asked = _packed(queries, "qb", n_queries, low, step, False).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    asked = _packed(queries, "qb", n_queries, low, step, False).drop("rows").withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
     stored = _packed(candidates, "cb", n_blocks, low, step, True).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))))
     pairs = asked.withColumnsRenamed({"ids": "q_ids", "data": "q_data"}).join(stored, ["qb", "cb"])
     found = keep(_bounds(pairs, k, low, step), "bounds")
     sure = found.groupBy("query_id").agg(F.max("floor_score").alias("sure"))
-    left = found.select("query_id", F.explode(F.arrays_zip("vec_id", "ceiling")).alias("x")).join(sure, "query_id").where(F.col("x.ceiling") >= F.col("sure"))
-    left = left.select("query_id", F.col("x.vec_id").alias("vec_id"), F.col("x.ceiling").alias("ceiling"))
-    read = left.join(candidates, "vec_id").join(queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
+    left = found.select("query_id", F.explode(F.arrays_zip("row", "ceiling")).alias("x")).join(sure, "query_id").where(F.col("x.ceiling") >= F.col("sure"))
+    left = left.select("query_id", F.col("x.row").alias("row"), F.col("x.ceiling").alias("ceiling"))
+    read = left.join(candidates, "row").join(queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
     return _exact(read, k)

@@ -178,6 +178,22 @@ def test_exact_search(spark):
     assert va_topk.top_k(frame.limit(0)).count() == 0
 
 
+def test_exact_search_with_repeated_rows(spark):
+    rng = np.random.default_rng(16)
+    own = [float(x) for x in rng.integers(1, 9, 4)]
+    rows = [(0, own)] * 6 + [(i, own) for i in range(1, 6)]  # the query's id six times
+    rows += [(i, rng.normal(size=4).round(2).tolist()) for i in range(6, 120)]
+    rows += [rows[20]] * 2 + [(30, [9.0, 9.0, 9.0, 9.0]), (31, [9.5, 9.0, 9.0, 9.0])] + [(40, [8.0] * 4)] * 9
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = []
+    for q in (0, 50, 100):
+        of = np.floor(np.array(next(v for i, v in rows if i == q)) * 256)
+        best = sorted((-int(of @ np.floor(np.array(v) * 256)), i) for i, v in rows if i != q)[:5]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    for blocks in ({}, {"block": 20, "cells": 8}):
+        assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in va_topk.top_k(frame, **blocks).collect()) == want
+
+
 def test_toxicity_needs_the_pair(spark):
     rng = random.Random(6)
     filler = ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(300)]
