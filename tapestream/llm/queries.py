@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import mixing, near_dup, packing, pii, quality, secrets, toxicity, training_order, url_rules, va_topk
+from .store import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,7 +44,8 @@ def op4_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return training_order.training_order(_table(spark, sf_dir, "documents"), vocabulary())
+    ordered = training_order.training_order(_table(spark, sf_dir, "documents"), vocabulary())
+    return training_order.write_sequences(ordered, new_path(spark, "shards"))
 
 
 def op6_factorization_machine(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,8 @@ sequences back to back, so slot s lies at byte (s - first) * stride * width, and
 resumes anywhere with one seek.
 
 Recovery: ids and their numbers are written before slots are given, so a lost executor can't
-change them; shard files are written aside and renamed, and those already complete are left.
+change them; shard files are written aside and renamed, and those already there are left if
+size and crc32 are those of the new content.
 
 Defined results: null is an empty text, whose sequence is the end id; null doc_ids stay;
 repeated rows are sequences of their own; an empty table gives no sequence and no shard;
@@ -97,7 +98,7 @@ def training_order(docs: DataFrame, tokenizer: str, stride: int = 512, end_id: i
     placed = rows.join(F.broadcast(parts), "part").withColumn("slot", slot(F.col("before") + F.col("place")))
     placed = placed.withColumn("shard", F.floor(F.col("slot") / shard_rows).cast("int"))
     shards = max(1, -(-n // shard_rows))
-    dealt = placed.select("slot", "shard", "doc_id", "piece", "n_tokens", "ids").repartition(shards, "shard").sortWithinPartitions("slot")
+    dealt = placed.select("slot", "shard", "doc_id", "piece", "n_tokens", "ids").repartitionByRange(shards, "shard").sortWithinPartitions("slot")
     padded = F.rpad("ids", F.lit(stride * WIDTH), F.lit(PAD.to_bytes(WIDTH, "little")))
     offset = (F.col("slot") - F.col("shard").cast("long") * shard_rows) * stride * WIDTH
     return dealt.select("slot", "shard", offset.alias("byte_offset"), "doc_id", "piece", "n_tokens", padded.alias("ids"))
@@ -106,9 +107,22 @@ def training_order(docs: DataFrame, tokenizer: str, stride: int = 512, end_id: i
 def write_shards(ordered: DataFrame, uri: str) -> DataFrame:
     """Writes ``{uri}/shard-00000.bin`` and so on; a row per shard: shard, n_sequences, n_bytes, crc32, written.
 
-    Any file system that Arrow opens by uri.  A complete file of the right size is kept, so
+    Any file system that Arrow opens by uri.  A file of the right size and crc32 is kept, so
     a job that broke off goes on where it was.
     """
+    by_shard = ordered.select("shard", "byte_offset", "ids").repartition("shard").sortWithinPartitions("shard", "byte_offset")
+    return by_shard.mapInArrow(_writer(uri), "shard int, n_sequences long, n_bytes long, crc32 long, written boolean")
+
+
+def write_sequences(ordered: DataFrame, uri: str) -> DataFrame:
+    """Writes the same files, from the ranges that training_order dealt; the rows of ordered, with crc32
+    of the sequence as read from its file at byte_offset instead of ids."""
+    rows = ordered.select("shard", "byte_offset", "ids", "slot", "doc_id", "piece", "n_tokens")
+    return rows.mapInArrow(_writer(uri, True), "slot long, shard int, byte_offset long, doc_id long, piece int, n_tokens int, crc32 long")
+
+
+def _writer(uri: str, each: bool = False):
+    """Of rows in order of shard and byte_offset: a row per shard, or with ``each`` per sequence."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -116,37 +130,58 @@ def write_shards(ordered: DataFrame, uri: str) -> DataFrame:
         files, base = fs.FileSystem.from_uri(uri)
         files.create_dir(base, recursive=True)
 
-        def shard(rows: list[tuple[int, bytes]], number: int) -> tuple[int, int, int, int, bool]:
+        def file_crc(name: str) -> int:
+            crc = 0
+            with files.open_input_file(name) as f:
+                while data := f.read(1 << 22):
+                    crc = zlib.crc32(data, crc)
+            return crc
+
+        def read_back(rows: list[tuple], number: int) -> pa.RecordBatch:
+            shard(rows, number)
+            with files.open_input_file(f"{base}/shard-{number:05d}.bin") as f:
+                data = memoryview(f.read())
+            found = [(slot, number, at, doc, piece, n, zlib.crc32(data[at : at + len(ids)])) for at, ids, slot, doc, piece, n in rows]
+            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
+            return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*found), types)], ["slot", "shard", "byte_offset", "doc_id", "piece", "n_tokens", "crc32"])
+
+        def shard(rows: list[tuple], number: int) -> tuple[int, int, int, int, bool]:
             name = f"{base}/shard-{number:05d}.bin"
-            size, crc = sum(len(x) for _, x in rows), 0
-            for _, x in rows:
+            size, crc = sum(len(x) for _, x, *_ in rows), 0
+            for _, x, *_ in rows:
                 crc = zlib.crc32(x, crc)
             there = files.get_file_info(name)
-            if there.type == fs.FileType.File and there.size == size:
+            if there.type == fs.FileType.File and there.size == size and file_crc(name) == crc:
                 return number, len(rows), size, crc, False
             aside = f"{name}.{TaskContext.get().taskAttemptId()}"
             with files.open_output_stream(aside) as out:
-                for _, x in rows:
+                for _, x, *_ in rows:
                     out.write(x)
             files.move(aside, name)
             return number, len(rows), size, crc, True
 
         done, own, at = [], [], None
         for batch in batches:
-            for number, offset, ids in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for number, *row in zip(*(column.to_pylist() for column in batch.columns)):
                 if number != at and own:
-                    done.append(shard(own, at))
+                    if each:
+                        yield read_back(own, at)
+                    else:
+                        done.append(shard(own, at))
                     own = []
                 at = number
-                own.append((offset, ids))
-        if own:
+                own.append(row)
+        if own and each:
+            yield read_back(own, at)
+        elif own:
             done.append(shard(own, at))
+        if each:
+            return
         types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
         columns = list(zip(*done)) if done else [()] * len(types)
         yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types)], ["shard", "n_sequences", "n_bytes", "crc32", "written"])
 
-    by_shard = ordered.select("shard", "byte_offset", "ids").repartition("shard").sortWithinPartitions("shard", "byte_offset")
-    return by_shard.mapInArrow(write, "shard int, n_sequences long, n_bytes long, crc32 long, written boolean")
+    return write
 
 
 def read_slots(uri: str, first: int, stride: int, shard_rows: int) -> Iterator[np.ndarray]:

@@ -271,3 +271,23 @@ def test_training_order_round_trip_and_resume(spark, tmp_path):
     got = list(training_order.read_slots(uri, 73, 64, 50))
     assert [g.tobytes() for g in got] == [bytes(x) for x in table.ids.tolist()[73:]]
     assert training_order.training_order(empty(spark), vocabulary()).count() == 0
+
+
+def test_shards_of_another_order_replace_those_there(spark, tmp_path):
+    docs, uri = documents(spark, ODD), f"file://{tmp_path}/shards"
+    for key in (11, 12):
+        ordered = training_order.training_order(docs, vocabulary(), stride=64, shard_rows=50, key=key)
+        want = [bytes(r.ids) for r in sorted(ordered.collect(), key=lambda r: r.slot)]
+        assert all(r.written for r in training_order.write_shards(ordered, uri).collect())
+        assert [g.tobytes() for g in training_order.read_slots(uri, 0, 64, 50)] == want
+
+
+def test_the_training_order_query_writes_its_shards(spark, tmp_path, monkeypatch):
+    from tapestream.llm import queries
+
+    monkeypatch.setattr(queries, "new_path", lambda spark, name: f"file://{tmp_path}/{name}")
+    rows = sorted(queries.op5_training_order(spark, "/root/testdata/sf0.001").collect(), key=lambda r: r.slot)
+    files = [x.tobytes() for x in training_order.read_slots(f"file://{tmp_path}/shards", 0, 512, 16384)]
+    assert len(files) == len(rows) and [r.slot for r in rows] == list(range(len(rows)))
+    assert [r.crc32 for r in rows] == [zlib.crc32(x) for x in files]
+    assert all(r.byte_offset == (r.slot - r.shard * 16384) * 1024 for r in rows)
