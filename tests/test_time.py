@@ -109,3 +109,31 @@ def test_scalars(spark):
     r = q.select(market.mid(b, a), market.spread_bps(b, a), market.imbalance(bs, az), market.microprice(b, bs, a, az)).collect()
     assert tuple(r[0]) == (100.0, 200.0, -0.5, 99.5) and tuple(r[1]) == (0.0, None, None, None)
     assert market.window_name(100_000) == "100ms" and market.window_name(30_000_000) == "30s"
+
+
+def test_lookups_do_not_depend_on_sessions(spark):
+    rng = random.Random(3)
+    left = [(rng.choice("ab"), rng.randint(0, 400), i) for i in range(200)]
+    right = [(rng.choice("abc"), rng.randint(100, 300), i, rng.random()) for i in range(60)]
+    probes = spark.createDataFrame(left, "inst string, us long, id long")
+    states = spark.createDataFrame(right, "inst string, us long, row long, price double")
+    for direction in ("backward", "forward"):
+        for strict in (False, True):
+            want = []
+            for inst, us, i in left:
+                back = direction == "backward"
+                own = [r for r in right if r[0] == inst and (r[1] < us if back else r[1] > us) or r[0] == inst and r[1] == us and not strict]
+                best = (max if back else min)(own, key=lambda r: (r[1], r[2]), default=(None,) * 4)
+                want.append((i, best[1], best[3]))
+            for session in (7, 50, 10**9):
+                found = asof.asof(probes, states, ["inst"], "us", ["price"], "row", direction, strict, session=session)
+                assert sorted(tuple(r) for r in found.select("id", "at", "price").collect()) == sorted(want)
+
+
+def test_forward_lookups_are_one_step_a_row(spark):
+    n = 200_000
+    states = spark.range(n).select(F.lit("a").alias("inst"), (F.col("id") * 10).alias("us"), F.col("id").alias("row"), (F.col("id") % 7).alias("v"))
+    probes = states.select("inst", (F.col("us") + 1).alias("us"), F.col("row").alias("id"))
+    found = asof.asof(probes, states, ["inst"], "us", ["v"], "row", direction="forward")
+    assert found.where("at = us + 9").count() == n - 1  # quadratic work would take hours
+    assert asof.next_change(states, ["inst"], "us", "v", "row", 10).where("change_at = us + 10").count() == n - 1
