@@ -100,7 +100,7 @@ def fills(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"{US.format('l_shipdate')} as us",
         "struct(l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) as row",
         "cast(case when l_returnflag = 'R' then -l_quantity else l_quantity end as double) as signed",
-        "cast(l_extendedprice as double) / cast(l_quantity as double) as price",
+        "try_divide(cast(l_extendedprice as double), cast(l_quantity as double)) as price",
         "cast(l_quantity as double) as qty",
         "cast(l_extendedprice as double) * cast(l_discount as double) / 10000D as fee",
         "case when l_linestatus = 'O' then 'maker' else 'taker' end as role",
@@ -111,7 +111,7 @@ FILLS = """fills AS (
   SELECT CAST(l_suppkey % 10 AS BIGINT) AS scenario, CAST(l_orderkey AS BIGINT) AS order_id, epoch_us(l_shipdate) AS us,
          l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice,
          CAST(CASE WHEN l_returnflag = 'R' THEN -l_quantity ELSE l_quantity END AS DOUBLE) AS signed,
-         CAST(l_extendedprice AS DOUBLE) / CAST(l_quantity AS DOUBLE) AS price, CAST(l_quantity AS DOUBLE) AS qty,
+         CAST(l_extendedprice AS DOUBLE) / nullif(CAST(l_quantity AS DOUBLE), 0) AS price, CAST(l_quantity AS DOUBLE) AS qty,
          CAST(l_extendedprice AS DOUBLE) * CAST(l_discount AS DOUBLE) / 10000 AS fee,
          CASE WHEN l_linestatus = 'O' THEN 'maker' ELSE 'taker' END AS role
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""

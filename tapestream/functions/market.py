@@ -73,6 +73,44 @@ def raw_signal(pred: Column, low: Column, high: Column) -> Column:
     return F.when(pred.isNull() | F.isnan(pred), 0).when(pred >= high, 1).when(pred <= low, -1).otherwise(0)
 
 
+def sign_signal(pred: Column) -> Column:
+    return F.coalesce(F.signum(pred).cast("int"), F.lit(0))
+
+
+def admissible(limit: Column) -> Column:
+    return F.coalesce(limit > 0, F.lit(False))
+
+
+def marketable(side: Column, limit: Column, bid: Column, ask: Column) -> Column:
+    """Whether a limit order takes liquidity at once."""
+    return F.when(F.lower(side) == "buy", limit >= ask).when(F.lower(side) == "sell", limit <= bid).otherwise(False)
+
+
+def decimal_text(x: Column) -> Column:
+    """A decimal without trailing zeros or a bare point."""
+    text = x.cast("string")
+    return F.when(F.contains(text, F.lit(".")), F.regexp_replace(text, r"\.?0*$", "")).otherwise(text)
+
+
+def safe_name(text: Column) -> Column:
+    return F.regexp_replace(F.lower(F.trim(text)), r"[^\w.\-]", "_")
+
+
+def fee_name(fee: Column) -> Column:
+    """fee_0_25 for 0.25."""
+    return F.concat(F.lit("fee_"), F.translate(F.format_string("%.2f", fee), ".", "_"))
+
+
+def finite(x: Column) -> Column:
+    """Null instead of what JSON can't hold."""
+    return F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
+
+
+def stable_seed(*parts: Column) -> Column:
+    """The first 32 bits of the parts' digest."""
+    return F.conv(F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 8), 16, 10).cast("long")
+
+
 def short_id(*parts: Column) -> Column:
     """24 hex digits that name the parts."""
     return F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 24)

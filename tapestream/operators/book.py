@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LEVEL = ["side", "price"]
@@ -40,6 +40,12 @@ def top_levels(levels: DataFrame, by: Sequence[str], depth: int) -> DataFrame:
     return levels.withColumn("level", level).where(F.col("level") <= depth)
 
 
+def level_quantity(levels: Column, price: Column) -> Column:
+    """What a book's levels (px, sz) hold at exactly this price, else 0."""
+    at = F.filter(levels, lambda x: x.px == price)
+    return F.coalesce(F.get(at, F.lit(0)).sz, F.lit(0.0))
+
+
 def replay(updates: DataFrame, by: Sequence[str], group: str, order: Sequence[str], depth: int, need_snapshot: bool = True) -> DataFrame:
     """A row per group: the book after it, its best ``depth`` levels, and whether it is crossed or locked.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -52,13 +52,26 @@ def role_turnover(rows: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def interpolated_breakeven(rows: DataFrame, by: Sequence[str], fee: str, net: str) -> DataFrame:
-    """The fee where net crosses zero between neighbouring levels of the grid."""
+    """The fee where net is zero: a level of the grid, or where it crosses between two."""
     w = Window.partitionBy(*by).orderBy(fee)
     nxt, nxt_fee = F.lead(net).over(w), F.lead(fee).over(w)
-    cross = F.when((F.col(net) >= 0) & (nxt < 0), F.col(fee) + F.col(net) / (F.col(net) - nxt) * (nxt_fee - F.col(fee)))
+    cross = F.when(F.col(net) == 0, F.col(fee)).when((F.col(net) > 0) & (nxt < 0), F.col(fee) + F.col(net) / (F.col(net) - nxt) * (nxt_fee - F.col(fee)))
     return rows.withColumn("_x", cross).groupBy(*by).agg(F.min("_x").alias("breakeven"))
 
 
+def long_report(rows: DataFrame, keys: Sequence[str], reports: Mapping[str, Mapping[str, Column]]) -> DataFrame:
+    """A row (keys, report, metric, value) for each metric of each report."""
+    cells = [F.struct(F.lit(r).alias("report"), F.lit(m).alias("metric"), v.cast("double").alias("value")) for r, metrics in reports.items() for m, v in metrics.items()]
+    return rows.select(*keys, F.inline(F.array(*cells)))
+
+
+def reconcile(left: DataFrame, right: DataFrame, keys: Sequence[str], value: str, absolute: float = 1e-8, relative: float = 1e-11) -> DataFrame:
+    """How many keys both sides have, and for how many the values are further apart than the tolerance."""
+    both = left.join(right.withColumnRenamed(value, "_other"), list(keys))
+    apart = F.abs(F.col(value) - F.col("_other")) > F.greatest(F.lit(absolute), F.abs("_other") * relative)
+    return both.agg(F.count("*").alias("pairs"), F.count_if(apart).alias("apart"))
+
+
 def terminal_stress(rows: DataFrame, shocks_bps: Sequence[float]) -> DataFrame:
     """rows (position, mid, net) with stressed net for each shock of the final mark."""
     return with_grid(rows, "shock_bps", shocks_bps).withColumn("stressed", F.col("net") + F.col("position") * F.col("mid") * F.col("shock_bps") / 10_000)

@@ -59,6 +59,16 @@ def passive_fills(orders: DataFrame, trades: DataFrame, by: Sequence[str], secon
     return filled.select(*by, "order_id", "side", F.col("us").alias("fill_time"), F.col("limit_price").alias("price"), F.col("fill").alias("quantity"))
 
 
+def passive_summary(orders: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Of orders (quantity, arrival, filled and first_us, null: no fill): count, shares filled at all and in full, and time to the first fill."""
+    filled = F.coalesce("filled", F.lit(0.0))
+    seconds = F.median(F.col("first_us") - F.col("arrival")) / 1_000_000
+    return orders.groupBy(*by).agg(
+        F.count("*").alias("orders"), F.round(F.avg((filled > 0).cast("double")), 6).alias("any_fill"), F.round(F.avg((filled >= F.col("quantity") - 1e-12).cast("double")), 6).alias("full_fill"),
+        F.round(F.avg(F.try_divide(filled, F.col("quantity"))), 6).alias("filled_share"), F.round(seconds, 3).alias("median_seconds"),
+    )
+
+
 def order_status(orders: DataFrame, fills: DataFrame) -> DataFrame:
     """orders with filled and status: FILLED, PARTIALLY_FILLED, CANCELLED or EXPIRED."""
     sums = fills.groupBy("order_id").agg(F.sum("quantity").alias("filled"))
@@ -78,7 +88,7 @@ def orders_from_transitions(moves: DataFrame, notional: float, latency: int, ttl
     return moves.select(
         *keys,
         short_id(*[F.col(k).cast("string") for k in keys], F.col("us").cast("string")).alias("order_id"),
-        F.when(buy, "BUY").otherwise("SELL").alias("side"), (F.abs("delta") * notional / mid).alias("quantity"),
+        F.when(buy, "BUY").otherwise("SELL").alias("side"), F.try_divide(F.abs("delta") * F.lit(float(notional)), mid).alias("quantity"),
         F.when(buy, F.col("bid")).otherwise(F.col("ask")).alias("limit_price"),
         F.col("us").alias("created"), arrival.alias("arrival"), expiry.alias("expiry"), cancel.alias("cancel"), mid.alias("decision_mid"),
     )

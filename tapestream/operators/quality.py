@@ -43,6 +43,37 @@ def time_rules(now: Column, before: Column, longest_gap: int) -> dict[str, tuple
     return {"missing_timestamp": (ERROR, now.isNull()), "backward_timestamp": (ERROR, now < before), "update_gap": (WARNING, now - before > longest_gap)}
 
 
+def timestamp_text_rules(text: Column, earliest: int, latest: int) -> dict[str, tuple[str, Column]]:
+    """Of ISO-8601 texts: missing, not a time, without a zone, or outside [earliest, latest] (microseconds)."""
+    at = F.unix_micros(F.try_to_timestamp(text))
+    zoned = text.rlike(r"(Z|[+-][0-9]{2}:?[0-9]{2})$")
+    return {
+        "missing_timestamp": (ERROR, text.isNull() | (F.trim(text) == "")), "unparseable_timestamp": (ERROR, text.isNotNull() & (F.trim(text) != "") & at.isNull()),
+        "naive_timestamp": (ERROR, at.isNotNull() & ~zoned), "timestamp_out_of_range": (ERROR, zoned & ((at < earliest) | (at > latest))),
+    }
+
+
+def first_given(*columns: str) -> Column:
+    """The first of alternative text columns that isn't empty, as a number."""
+    return F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in columns]).try_cast("double")
+
+
+def observed_price(bid: Column, ask: Column, price: Column) -> Column:
+    """The mid where both sides are there, else the price."""
+    return F.when(bid.isNotNull() & ask.isNotNull(), (bid + ask) / 2).otherwise(price)
+
+
+def causality(orders: DataFrame, latency: int) -> DataFrame:
+    """Of orders (created, arrival, filled): how many don't arrive after exactly the latency, or fill before they arrive."""
+    return orders.agg(F.count("*").alias("orders"), F.count_if(F.col("arrival") != F.col("created") + latency).alias("late_arrivals"), F.count_if(F.col("filled") < F.col("arrival")).alias("early_fills"))
+
+
+def zero_filled(before: DataFrame, after: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
+    """How many nulls there were, and how many of them are 0 now."""
+    both = before.select(*keys, column).join(after.select(*keys, F.col(column).alias("_now")), list(keys)).where(F.col(column).isNull())
+    return both.agg(F.count("*").alias("nulls"), F.count_if(F.col("_now") == 0).alias("zero_filled"))
+
+
 def price_jump(now: Column, before: Column, most_bps: float = 1000.0) -> dict[str, tuple[str, Column]]:
     return {"price_discontinuity": (ERROR, F.abs(F.try_divide(now - before, before)) * 10_000 > most_bps)}
 

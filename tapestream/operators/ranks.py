@@ -107,12 +107,40 @@ def regression_metrics(rows: DataFrame, by: Sequence[str], y: str, pred: str) ->
     )
 
 
+def in_parts(rows: DataFrame, value: str, parts: int = 64) -> DataFrame:
+    """rows with _part, which rises with the value; about as many rows in each, equal values in one."""
+    shares = [F.lit(k / parts) for k in range(1, parts)]
+    cuts = rows.agg(F.percentile_approx(value, F.array(*shares), F.lit(10_000)).alias("c")).first()["c"] or []  # parts - 1 numbers
+    return rows.withColumn("_part", F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]).cast("array<double>"), lambda c: c < F.col(value))))
+
+
+def running_in_parts(rows: DataFrame, by: Sequence[str], order: Sequence[str], n: str) -> DataFrame:
+    """rows (with _part) with before: the sum of n over the group's rows that come earlier, parts first."""
+    sums = rows.groupBy(*by, "_part").agg(F.sum(n).alias("_n"))
+    ahead = F.sum("_n").over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    sums = sums.select(*by, "_part", F.coalesce(ahead, F.lit(0)).alias("_ahead"))  # a row per group and part
+    within = F.sum(n).over(Window.partitionBy(*by, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - F.col(n)
+    return rows.join(sums, [*by, "_part"]).withColumn("before", F.col("_ahead") + within).drop("_ahead", "_part")
+
+
+def with_whole_bucket(rows: DataFrame, value: str, tie: str, k: int = 10) -> DataFrame:
+    """rows with bucket, as ``equal_count_bucket`` over the whole table, which many tasks order."""
+    placed = running_in_parts(in_parts(rows, value).withColumn("_one", F.lit(1)), [], [value, tie], "_one")
+    n = rows.count()
+    return placed.withColumn("bucket", (F.floor(F.col("before") * k / max(n, 1)) + 1).cast("long")).drop("_one", "before")
+
+
 def auc(rows: DataFrame, by: Sequence[str], label: str, score: str) -> DataFrame:
-    """Area under the ROC curve from average ranks; null where a label is missing."""
-    ranked = pairwise_valid(rows, label, score).withColumn("_r", average_rank(score, by))
-    n1, n0 = F.count_if(F.col(label) == 1), F.count_if(F.col(label) == 0)
-    hits = F.sum(F.when(F.col(label) == 1, F.col("_r"))) - n1 * (n1 + 1) / 2
-    return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.try_divide(hits, F.nullif(n1 * n0, F.lit(0)).cast("double")).alias("auc"))
+    """Area under the ROC curve from average ranks; null where a label is missing.
+
+    Rows are counted for each score first; ranks are sums over scores, ordered in parts.
+    """
+    hit = F.count_if(F.col(label) == 1)
+    scores = pairwise_valid(rows, label, score).groupBy(*by, score).agg(F.count("*").alias("_c"), hit.alias("_n1"), F.count_if(F.col(label) == 0).alias("_n0"))
+    ranked = running_in_parts(in_parts(scores, score), by, [score], "_c")
+    n1, n0 = F.sum("_n1"), F.sum("_n0")
+    hits = F.sum(F.col("_n1") * (F.col("before") + (F.col("_c") + 1) / 2)) - n1 * (n1 + 1) / 2
+    return ranked.groupBy(*by).agg(F.sum("_c").alias("n"), F.try_divide(hits, F.nullif(n1 * n0, F.lit(0)).cast("double")).alias("auc"))
 
 
 def classification_losses(rows: DataFrame, by: Sequence[str], label: str, prob: str) -> DataFrame:
@@ -121,6 +149,69 @@ def classification_losses(rows: DataFrame, by: Sequence[str], label: str, prob:
     return rows.groupBy(*by).agg(F.avg(-(y * F.log(p) + (1 - y) * F.log(1 - p))).alias("log_loss"), F.avg((y - F.col(prob)) * (y - F.col(prob))).alias("brier"), F.avg(y).alias("base_rate"))
 
 
+def t_p(t: Column, dof: Column) -> Column:
+    """P(|T| >= |t|) for whole degrees of freedom, by Student's finite series; all in the plan."""
+    th = F.atan(F.try_divide(F.abs(t), F.sqrt(dof)))
+    step = F.pow(F.cos(th), F.lit(2))
+    odd = (dof % 2) == 1
+    n = F.when(odd, F.floor((dof - 1) / 2)).otherwise(F.floor(dof / 2)).cast("int")
+
+    def term(acc: Column, j: Column) -> Column:
+        ratio = F.when(odd, 2 * j / (2 * j + 1)).otherwise((2 * j - 1) / (2 * j))
+        last = acc["last"] * ratio * step
+        return F.struct(last.alias("last"), (acc["sum"] + last).alias("sum"))
+
+    one = F.struct(F.lit(1.0).alias("last"), F.lit(1.0).alias("sum"))
+    steps = F.when(n > 1, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>"))
+    series = F.aggregate(steps, one, term)["sum"]
+    inside = F.when(dof == 1, 2 / F.pi() * th).when(odd, 2 / F.pi() * (th + F.sin(th) * F.cos(th) * series)).otherwise(F.sin(th) * series)
+    return F.when(dof >= 1, F.greatest(1 - inside, F.lit(0.0)))
+
+
+def sign_p(positive: Column, negative: Column) -> Column:
+    """Exact two-sided binomial p of the signs; null without any. Sums up to the smaller count, in the plan."""
+    n, k = (positive + negative).cast("double"), F.least(positive, negative).cast("int")
+
+    def term(acc: Column, i: Column) -> Column:
+        last = acc["last"] * (n - i + 1) / i
+        return F.struct(last.alias("last"), (acc["sum"] + last).alias("sum"))
+
+    first = F.pow(F.lit(0.5), n)
+    steps = F.when(k > 0, F.sequence(F.lit(1), k)).otherwise(F.array().cast("array<int>"))
+    total = F.aggregate(steps, F.struct(first.alias("last"), first.alias("sum")), term)["sum"]
+    return F.when(n > 0, F.least(F.lit(1.0), 2 * total))
+
+
+def delta_summary(rows: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """n, mean, std, t (infinite or 0 where all are equal) and sign_p of each group's differences."""
+    out = daily_summary(rows, by, value)
+    t = F.when(F.col("std") > 0, F.col("t")).when(F.col("mean") > 0, float("inf")).when(F.col("mean") < 0, float("-inf")).otherwise(0.0)
+    return out.select(*by, "n", "mean", "std", t.alias("t"), sign_p(F.col("positive"), F.col("negative")).alias("sign_p"))
+
+
+def primary_tests(daily: DataFrame, by: Sequence[str], value: str = "ic") -> DataFrame:
+    """A row per test of daily values (n, value): days, pairs, mean, std, t, p, and q over all tests."""
+    pairs = daily.groupBy(*by).agg(F.sum("n").alias("pairs"))
+    out = daily_summary(daily, by, value).withColumnRenamed("n", "days").join(pairs, list(by))
+    tested = out.withColumn("p", t_p(F.col("t"), F.col("days") - 1)).withColumn("_family", F.lit(1))  # a row per test
+    tested = tested.withColumn("_tie", F.struct(*by))
+    return benjamini_hochberg(tested, ["_family"], "p", "_tie").drop("_family", "_tie")
+
+
+def absolute_differences(rows: DataFrame, a: str, b: str) -> DataFrame:
+    d = F.abs(F.col(a) - F.col(b))
+    some = rows.where(d.isNotNull())
+    return some.agg(F.count("*").alias("n"), F.avg(d).alias("mean"), F.median(d).alias("median"), F.percentile(d, F.lit(0.95)).alias("p95"), F.max(d).alias("most"))
+
+
+def evenly_spaced(rows: DataFrame, by: Sequence[str], order: Sequence[str], k: int) -> DataFrame:
+    """The rows at places round(i * (n - 1) / (k - 1)) of each group, each once."""
+    n = F.count("*").over(Window.partitionBy(*by))
+    placed = rows.withColumns({"_i": F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1, "_n": n})
+    wanted = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: F.floor(j * (F.col("_n") - 1) / F.lit(float(max(k - 1, 1))) + 0.5))
+    return placed.where(F.array_contains(wanted, F.col("_i").cast("long"))).drop("_i", "_n")
+
+
 def t_two_sided(t: float, dof: int) -> float:
     """P(|T| >= |t|) by the continued fraction of the incomplete beta function."""
     x, a, b = dof / (dof + t * t), dof / 2, 0.5

@@ -51,16 +51,16 @@ def order_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").withColumn("p", F.lag("l_shipdate").over(w)).where("l_shipdate < p").agg(F.count("*").alias("n"))
 
 
-@query("j06_snapshot_at_order", f"""WITH {TICKS}, o AS (SELECT event_type AS inst, epoch_us(ts) + 1 AS us, event_id AS id FROM events WHERE event_id % 7 = 0) SELECT o.id, t."row" AS snapshot FROM o ASOF LEFT JOIN ticks t ON o.inst = t.inst AND o.us >= t.us""")
+@query("j06_snapshot_at_order", f"""WITH {TICKS}, o AS (SELECT event_type AS inst, epoch_us(ts) + 1 AS us, event_id AS id FROM events) SELECT o.id, t."row" AS snapshot FROM o ASOF LEFT JOIN ticks t ON o.inst = t.inst AND o.us >= t.us""")
 def snapshot_at_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ticks(spark, sf_dir)
-    orders = rows.where("row % 7 = 0").select("inst", (F.col("us") + 1).alias("us"), F.col("row").alias("id"))
+    orders = rows.select("inst", (F.col("us") + 1).alias("us"), F.col("row").alias("id"))
     return asof.asof(orders, rows.withColumn("snapshot", F.col("row")), ["inst"], "us", ["snapshot"], "row").select("id", "snapshot")
 
 
-@query("j08_desired_vs_actual", f"""WITH {PREDS}, {SIGNAL}, {TICKS}, d AS (SELECT us, signal FROM sig WHERE "row" % 3 = 0) SELECT t."row", CAST(coalesce(d.signal, 0) AS BIGINT) AS desired FROM ticks t ASOF LEFT JOIN d ON t.us >= d.us""")
+@query("j08_desired_vs_actual", f"""WITH {PREDS}, {SIGNAL}, {TICKS}, d AS (SELECT us, signal FROM sig) SELECT t."row", CAST(coalesce(d.signal, 0) AS BIGINT) AS desired FROM ticks t ASOF LEFT JOIN d ON t.us >= d.us""")
 def desired_vs_actual(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wanted = _signals(spark, sf_dir).where("row % 3 = 0").select(F.lit(1).alias("book"), "us", "row", "signal")
+    wanted = _signals(spark, sf_dir).select(F.lit(1).alias("book"), "us", "row", "signal")
     marks = ticks(spark, sf_dir).select(F.lit(1).alias("book"), "us", "row")
     return asof.asof(marks, wanted, ["book"], "us", ["signal"], "row").select("row", F.coalesce("signal", F.lit(0)).cast("long").alias("desired"))
 
@@ -71,9 +71,9 @@ def left_to_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _signals(spark, sf_dir).where("signal <> 0").select("row", F.col("signal").cast("long").alias("signal")).join(target, "row", "left")
 
 
-@query("j19_upsert", """SELECT c_custkey, round(CAST(coalesce(n.total, c_acctbal) AS DOUBLE), 2) AS balance FROM customer LEFT JOIN (SELECT o_custkey, max(o_totalprice) AS total FROM orders WHERE o_orderkey % 10 = 0 GROUP BY o_custkey) n ON o_custkey = c_custkey""")
+@query("j19_upsert", """SELECT c_custkey, round(CAST(coalesce(n.total, c_acctbal) AS DOUBLE), 2) AS balance FROM customer LEFT JOIN (SELECT o_custkey, max(o_totalprice) AS total FROM orders GROUP BY o_custkey) n ON o_custkey = c_custkey""")
 def upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    new = table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_totalprice").alias("total"))
+    new = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_totalprice").alias("total"))
     old = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
     return old.join(new, "c_custkey", "left").select("c_custkey", F.round(F.coalesce("total", "c_acctbal").cast("double"), 2).alias("balance"))
 
@@ -213,12 +213,12 @@ def missing_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey").subtract(table(spark, sf_dir, "orders").select("o_custkey"))
 
 
-@query("h07_moves", f"""WITH {QUOTES}, m AS (SELECT "row", mid, ask_sz - 1 AS spread, lead(mid) OVER (PARTITION BY inst ORDER BY us, "row") AS nxt FROM quotes) SELECT "row", round((nxt - mid) / mid * 10000, 4) AS bps, CASE WHEN spread > 0 THEN round((nxt - mid) / spread, 6) END AS spreads FROM m""")
+@query("h07_moves", f"""WITH {QUOTES}, m AS (SELECT "row", mid, ask_sz - 1 AS spread, lead(mid) OVER (PARTITION BY inst ORDER BY us, "row") AS nxt FROM quotes) SELECT "row", round((nxt - mid) / nullif(mid, 0) * 10000, 4) AS bps, CASE WHEN spread > 0 THEN round((nxt - mid) / spread, 6) END AS spreads FROM m""")
 def moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     nxt = F.lead("mid").over(Window.partitionBy("inst").orderBy("us", "row"))
     rows = quotes(spark, sf_dir).select("row", "mid", (F.col("ask_sz") - 1).alias("s"), nxt.alias("n"))
     d = F.col("n") - F.col("mid")
-    return rows.select("row", F.round(d / F.col("mid") * 10_000, 4).alias("bps"), F.when(F.col("s") > 0, F.round(F.try_divide(d, F.col("s").cast("double")), 6)).alias("spreads"))
+    return rows.select("row", F.round(F.try_divide(d, F.col("mid")) * 10_000, 4).alias("bps"), F.when(F.col("s") > 0, F.round(F.try_divide(d, F.col("s").cast("double")), 6)).alias("spreads"))
 
 
 @query("h14_costs", f"""WITH {FILLS}, r AS (SELECT *, avg(price) OVER (PARTITION BY scenario) AS ref FROM fills) SELECT scenario, round(avg(CASE WHEN signed > 0 THEN (price - ref) / ref ELSE -(price - ref) / ref END), 6) AS shortfall, round(sum(abs(price * qty) * 2.5 / 10000), 2) AS fee FROM r GROUP BY scenario""")
@@ -260,7 +260,7 @@ def fold_ic(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = v.groupBy("day").agg(F.count("*").alias("n"), *[F.sum(e).alias(c) for c, e in {"sx": F.col("x"), "sy": F.col("y"), "sxx": F.col("x") * F.col("x"), "sxy": F.col("x") * F.col("y")}.items()])
     before = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
     s = days.join(m, "day", "left").select("day", "k", *[F.sum(c).over(before).alias(c) for c in ("n", "sx", "sy", "sxx", "sxy")]).where("k > 20")
-    slope = (F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")) / (F.col("sxx") - F.col("sx") * F.col("sx") / F.col("n"))
+    slope = F.try_divide(F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n"), F.col("sxx") - F.col("sx") * F.col("sx") / F.col("n"))
     fit = s.select("day", slope.alias("s"), ((F.col("sy") - slope * F.col("sx")) / F.col("n")).alias("i"))
     error = F.abs(F.col("y") - (F.col("s") * F.col("x") + F.col("i")))
     return _round(v.join(fit, "day").groupBy("day").agg(F.count("*").alias("n"), F.avg(error).alias("mae")), DAY)

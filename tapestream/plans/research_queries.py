@@ -97,13 +97,13 @@ def next_move(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(rows.groupBy("bucket").agg(F.count("*").alias("n"), up.alias("p_up"), down.alias("p_down"), (up - down).alias("difference")), ["bucket"])
 
 
-@query("a06_direction", f"""WITH {PREDS}, {BUCKETED}, d AS (SELECT bucket, CASE WHEN ln(y / x) > 0.3 THEN 'UP' WHEN ln(y / x) < -0.3 THEN 'DOWN' ELSE 'FLAT' END AS dir FROM b)
+@query("a06_direction", f"""WITH {PREDS}, {BUCKETED}, d AS (SELECT bucket, CASE WHEN r > 0.3 THEN 'UP' WHEN r < -0.3 THEN 'DOWN' WHEN r IS NOT NULL THEN 'FLAT' END AS dir FROM (SELECT bucket, CASE WHEN x > 0 AND y > 0 THEN ln(y / x) END AS r FROM b))
   SELECT bucket, CAST(count(*) AS BIGINT) AS n, round(avg(CASE WHEN dir = 'UP' THEN 1.0 ELSE 0.0 END), 6) AS up, round(avg(CASE WHEN dir = 'FLAT' THEN 1.0 ELSE 0.0 END), 6) AS flat,
   round(avg(CASE WHEN dir = 'DOWN' THEN 1.0 ELSE 0.0 END), 6) AS down FROM d GROUP BY bucket""")
 def direction(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ranks.pairwise_valid(preds(spark, sf_dir), "x", "y").withColumn("bucket", ranks.equal_count_bucket("x", "row", DAY))
     rows = rows.withColumn("d", market.direction(market.log_return(F.col("y"), F.col("x")), 3000))
-    return _round(rows.groupBy("bucket").agg(F.count("*").alias("n"), *[ranks.share(F.col("d") == k.upper()).alias(k) for k in ("up", "flat", "down")]), ["bucket"])
+    return _round(rows.groupBy("bucket").agg(F.count("*").alias("n"), *[ranks.share(F.coalesce(F.col("d") == k.upper(), F.lit(False))).alias(k) for k in ("up", "flat", "down")]), ["bucket"])
 
 
 @query("a07_equal_day", f"""WITH {PREDS}, {BUCKETED}, m AS (SELECT day, bucket, count(*) AS n, avg(y) AS mean FROM b GROUP BY day, bucket)
@@ -157,7 +157,7 @@ def losses(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("a40_calibration", f"""WITH {SCORED}, b AS (SELECT *, CAST(floor((row_number() OVER (ORDER BY prob, doc_id) - 1) * 10 / count(*) OVER ()) AS BIGINT) + 1 AS bucket FROM scored)
   SELECT bucket, CAST(count(*) AS BIGINT) AS n, round(avg(prob), 6) AS predicted, round(avg(label), 6) AS observed FROM b GROUP BY bucket""")
 def calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _scored(spark, sf_dir).withColumn("bucket", ranks.equal_count_bucket("prob", "doc_id", ["part"]))
+    rows = ranks.with_whole_bucket(_scored(spark, sf_dir), "prob", "doc_id")
     return _round(rows.groupBy("bucket").agg(F.count("*").alias("n"), F.avg("prob").alias("predicted"), F.avg("label").alias("observed")), ["bucket"])
 
 
@@ -262,5 +262,5 @@ def boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = preds(spark, sf_dir).withColumn("hour", (F.col("us") / 3_600_000_000 % 24).cast("double")).dropna(subset=["x", "y"])
     days = [r.day for r in rows.select("day").distinct().orderBy("day").collect()]
     train, later = rows.where(F.col("day") < days[min(20, len(days) - 1)]), rows.where(F.col("day") >= days[min(20, len(days) - 1)])
-    assembler, model = models.boosted_trees(train, ["x", "hour"], "y", trees=10)
+    assembler, model = models.boosted_trees(train, ["x", "hour"], "y")
     return model.transform(assembler.transform(later)).select("row", "prediction")

@@ -63,7 +63,7 @@ def feature_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("inst", "us", "n_6h", F.coalesce("volume_6h", F.lit(0)).cast("long").alias("volume_6h"))
 
 
-@query("w03_realized_vol", f"""WITH {TICKS}, r AS (SELECT *, ln(price / lag(price) OVER (PARTITION BY inst ORDER BY us, "row")) AS ret FROM ticks)
+@query("w03_realized_vol", f"""WITH {TICKS}, r AS (SELECT *, CASE WHEN price > 0 AND before > 0 THEN ln(price / before) END AS ret FROM (SELECT *, lag(price) OVER (PARTITION BY inst ORDER BY us, "row") AS before FROM ticks))
   SELECT "row", CASE WHEN count(ret) OVER w > 0 THEN round(sqrt(sum(ret * ret) OVER w), 6) END AS vol_24h
   FROM r WINDOW w AS (PARTITION BY inst ORDER BY us {BACK.format(24 * HOUR - 1)})""")
 def realized_vol(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,12 +120,13 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("row"), (F.col("us") - HOUR).alias("us"), "now", "at", F.col("price").alias("future"))
 
 
-@query("r06_labels", f"""WITH {TICKS}, {LABELS} SELECT "row", round(ln(future / price), 6) AS ret, CASE WHEN ln(future / price) > 0.5 THEN 'UP' WHEN ln(future / price) < -0.5 THEN 'DOWN'
-  WHEN future IS NOT NULL THEN 'FLAT' END AS direction, round((future - price) / price * 10000, 4) AS move_bps, CAST(round_even(("at" - us) / 1000.0, 0) AS BIGINT) AS delay_ms FROM lab""")
+@query("r06_labels", f"""WITH {TICKS}, {LABELS} SELECT "row", round(ret, 6) AS ret, CASE WHEN ret > 0.5 THEN 'UP' WHEN ret < -0.5 THEN 'DOWN' WHEN ret IS NOT NULL THEN 'FLAT' END AS direction,
+  round((future - price) / nullif(price, 0) * 10000, 4) AS move_bps, CAST(round_even(("at" - us) / 1000.0, 0) AS BIGINT) AS delay_ms
+  FROM (SELECT *, CASE WHEN future > 0 AND price > 0 THEN ln(future / price) END AS ret FROM lab)""")
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     ret = market.log_return(F.col("future"), F.col("now"))
     return _labels(spark, sf_dir).select(
-        "row", F.round(ret, 6).alias("ret"), market.direction(ret, 5000).alias("direction"), F.round((F.col("future") - F.col("now")) / F.col("now") * 10_000, 4).alias("move_bps"),
+        "row", F.round(ret, 6).alias("ret"), market.direction(ret, 5000).alias("direction"), F.round(F.try_divide(F.col("future") - F.col("now"), F.col("now")) * 10_000, 4).alias("move_bps"),
         market.elapsed_ms(F.col("us"), F.col("at")).alias("delay_ms"),
     )
 
@@ -138,11 +139,11 @@ def next_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookups.next_change(rows, ["inst"], "us", "v", "row", 24 * HOUR).select("row", "change_at", "change_direction")
 
 
-@query("j09_interval_join", f"""WITH {TICKS}, o AS (SELECT inst, "row" AS id, us AS a, us + {6 * HOUR} AS b FROM ticks WHERE "row" % 10 = 0)
+@query("j09_interval_join", f"""WITH {TICKS}, o AS (SELECT inst, "row" AS id, us AS a, us + {6 * HOUR} AS b FROM ticks)
   SELECT id, CAST(count(*) AS BIGINT) AS n, CAST(sum(qty) AS BIGINT) AS volume FROM o JOIN ticks t ON t.inst = o.inst AND t.us > o.a AND t.us <= o.b GROUP BY id""")
 def interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ticks(spark, sf_dir)
-    spans = rows.where("row % 10 = 0").select("inst", F.col("row").alias("id"), F.col("us").alias("a"), (F.col("us") + 6 * HOUR).alias("b"))
+    spans = rows.select("inst", F.col("row").alias("id"), F.col("us").alias("a"), (F.col("us") + 6 * HOUR).alias("b"))
     found = lookups.interval_join(spans, rows, ["inst"], "a", "b", "us", 6 * HOUR)
     return found.groupBy("id").agg(F.count("*").alias("n"), F.sum("qty").cast("long").alias("volume"))
 
@@ -172,8 +173,9 @@ def book_state_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT "row", CASE WHEN q = b THEN 'repeated_sequence' WHEN q < b THEN 'out_of_order_sequence' ELSE 'sequence_gap' END AS rule FROM p WHERE q = b OR q < b OR q > b + 1""")
 def sequence_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     seq = F.when(F.col("row") % 13 != 0, F.floor(F.col("row") / 3) + F.when(F.col("row") % 50 == 1, 9).otherwise(0))
-    rows = quotes(spark, sf_dir).withColumns({"q": seq, "feed": F.lit("one")})
-    rows = rows.withColumn("b", quality.previous("q", ["feed"], ["us", "row"]))
+    rows = quotes(spark, sf_dir).select(F.lit("one").alias("feed"), "us", "row", seq.alias("q"))
+    known = rows.where("q is not null").withColumn("b", F.col("q"))
+    rows = lookups.asof(rows, known, ["feed"], "us", ["b"], "row", strict=True)  # sessions, so the one feed is many tasks
     return quality.issues(rows, ["row"], quality.sequence_rules(F.col("q"), F.col("b"))).select("row", "rule")
 
 

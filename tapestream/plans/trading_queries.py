@@ -15,7 +15,7 @@ ORDER = ["us", "row"]
 SQL_ORDER = "us, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice"
 BY = ["scenario"]
 
-DEPTH = """depth AS (SELECT CAST(l_orderkey AS BIGINT) AS order_id, l_linenumber, l_partkey, l_suppkey, l_extendedprice, CAST(l_extendedprice AS DOUBLE) / CAST(l_quantity AS DOUBLE) AS price,
+DEPTH = """depth AS (SELECT CAST(l_orderkey AS BIGINT) AS order_id, l_linenumber, l_partkey, l_suppkey, l_extendedprice, CAST(l_extendedprice AS DOUBLE) / nullif(CAST(l_quantity AS DOUBLE), 0) AS price,
   CAST(l_quantity AS DOUBLE) AS size, 0.6 * sum(CAST(l_quantity AS DOUBLE)) OVER (PARTITION BY l_orderkey) AS demand FROM lineitem)"""
 
 
@@ -33,14 +33,14 @@ def depth_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found
 
 
-@query("w22_queue_fill", f"""WITH {TICKS}, o AS (SELECT inst, "row" AS id, us AS a, us + {6 * HOUR} AS b, price AS lim FROM ticks WHERE "row" % 10 = 0),
+@query("w22_queue_fill", f"""WITH {TICKS}, o AS (SELECT inst, "row" AS id, us AS a, us + {6 * HOUR} AS b, price AS lim FROM ticks),
   p AS (SELECT id, t.us, t."row", CAST(t.qty AS DOUBLE) AS v FROM o JOIN ticks t ON t.inst = o.inst AND t.us > o.a AND t.us <= o.b AND t.side = 'sell' AND t.price <= o.lim),
   c AS (SELECT *, sum(v) OVER (PARTITION BY id ORDER BY us, "row" ROWS UNBOUNDED PRECEDING) AS u FROM p),
   f AS (SELECT *, least(5, greatest(u - 3, 0)) - least(5, greatest(u - v - 3, 0)) AS fill FROM c)
   SELECT CAST(id AS VARCHAR) AS order_id, us AS fill_time, CAST(fill AS DOUBLE) AS quantity FROM f WHERE fill > 0""")
 def queue_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ticks(spark, sf_dir)
-    orders = rows.where("row % 10 = 0").select(
+    orders = rows.select(
         "inst", F.col("row").cast("string").alias("order_id"), F.lit("BUY").alias("side"), F.col("price").alias("limit_price"), F.lit(5.0).alias("quantity"), F.lit(3.0).alias("queue"),
         F.col("us").alias("arrival"), (F.col("us") + 6 * HOUR).alias("expiry"), F.lit(None).cast("long").alias("cancel"),
     )
@@ -88,13 +88,16 @@ def mark_to_market(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.mark_to_market(rows, marks, BY, "us", ["row"]).select("scenario", "us", F.round("position", 2).alias("position"), F.round("gross", 2).alias("gross"))
 
 
-@query("r07_realized_pnl", f"""WITH RECURSIVE {FILLS}, n AS (SELECT scenario, signed AS q, price AS p, row_number() OVER (PARTITION BY scenario ORDER BY {SQL_ORDER}) AS k FROM fills),
-  z AS (SELECT scenario, CAST(0 AS BIGINT) AS k, CAST(0 AS DOUBLE) AS pos, CAST(0 AS DOUBLE) AS a, CAST(0 AS DOUBLE) AS real FROM n GROUP BY scenario
+REALIZED = f"""numbered AS (SELECT scenario, signed AS q, price AS p, row_number() OVER (PARTITION BY scenario ORDER BY {SQL_ORDER}) AS k FROM fills),
+  z AS (SELECT scenario, CAST(0 AS BIGINT) AS k, CAST(0 AS DOUBLE) AS pos, CAST(0 AS DOUBLE) AS a, CAST(0 AS DOUBLE) AS real FROM numbered GROUP BY scenario
     UNION ALL SELECT n.scenario, n.k, CASE WHEN abs(pos + q) < 1e-8 THEN 0 ELSE pos + q END,
       CASE WHEN abs(pos + q) < 1e-8 THEN 0 WHEN abs(pos) < 1e-8 OR (sign(pos) <> sign(q) AND abs(q) > abs(pos) + 1e-8) THEN p WHEN sign(pos) = sign(q) THEN (pos * a + q * p) / (pos + q) ELSE a END,
       real + CASE WHEN abs(pos) < 1e-8 OR sign(pos) = sign(q) THEN 0 ELSE least(abs(pos), abs(q)) * sign(pos) * (p - a) END
-    FROM z JOIN n ON n.scenario = z.scenario AND n.k = z.k + 1)
-  SELECT scenario, round(pos, 4) AS position, round(a, 4) AS average, round(real, 1) AS realized FROM z WHERE (scenario, k) IN (SELECT (scenario, max(k)) FROM n GROUP BY scenario)""")
+    FROM z JOIN numbered n ON n.scenario = z.scenario AND n.k = z.k + 1),
+  realized_pnl AS (SELECT scenario, pos, a AS average, real AS realized FROM z WHERE (scenario, k) IN (SELECT (scenario, max(k)) FROM numbered GROUP BY scenario))"""
+
+
+@query("r07_realized_pnl", f"""WITH RECURSIVE {FILLS}, {REALIZED} SELECT scenario, round(pos, 4) AS position, round(average, 4) AS average, round(realized, 1) AS realized FROM realized_pnl""")
 def realized_pnl(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = ledger.average_cost(fills(spark, sf_dir), BY, ORDER)
     return out.select("scenario", F.round("position", 4).alias("position"), F.round("average", 4).alias("average"), F.round("realized", 1).alias("realized"))
