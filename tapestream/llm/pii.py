@@ -1,17 +1,22 @@
 """Personal data in whole texts: fixed forms, and bootstrapped contextual extraction.
 
 The forms (e-mail, ip, card, phone) give the base spans, found by marking the matches in one
-pass per form and measuring what lies between the marks.  Their tokens are the seeds: the
-two words before a token and the token's shape are a lexical pattern.  Patterns and tokens
-are a bipartite graph whose scores pass to and fro: a pattern scores the share of its
-tokens that are personal, a token the best of its patterns.  Tokens that no form knows are
-reported as ``found`` where a pattern is sure enough and has enough different seeds.
+pass per form and measuring what lies between the marks.  They are the seeds; other tokens
+with a digit or an at sign are candidates.  What surrounds an instance induces its lexical
+patterns: the two words before it and, apart, the two after it, with other instances as one
+placeholder.  Patterns and instances are a bipartite graph, scored in rounds: a pattern
+scores the share of its distinct instances that are good (seeds, or accepted in a round
+before), if these are ``seeds`` or more; a candidate scores the best of its patterns, less
+where none of the pattern's good instances has its shape.  Candidates at ``sure`` or more are
+accepted, and so may lift new patterns in the next round.  In the end each place of a
+candidate under a pattern that makes it sure is reported as ``found``.
 
 Only DataFrame functions.  Matching is linear: a form that begins with a run is tried at the
 run's start, or where the last match ended, as later starts within it end alike.
 
 Defined results: null is an empty text; null doc_ids and repeated rows are kept, row by row;
-a text without spans has the digest of an empty list; other columns are ignored.
+instances and patterns are counted once however many rows have them, so copies of a text
+weigh nothing; a text without spans has the digest of an empty list; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,16 +38,32 @@ FORMS = {
 OCTET = "0*(25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
 #: Tokens that could be an identifier: with a digit or an at sign.
 CANDIDATE = f"((?<![^{BLANK}])[^{BLANK}0-9@]*+[0-9@][^{BLANK}]*+)"
-#: Characters of what lies before a token in which its two words are looked for.
-BEFORE = 60
+#: What other instances are in a pattern, and how much less sure a candidate of a shape is that no good one has.
+OTHER, ODD_SHAPE = "#", 0.8
+
+
+def _ends(text: Column) -> Column:
+    """The first two words and the last two of a text, and how many it has.
+
+    A word is its letters in lower case, OTHER where it has a digit or an at sign, or itself where it has neither.
+    """
+    letters = lambda w: F.regexp_replace(F.lower(w), r"[^\p{L}]+", "")
+    plain = lambda w: F.when(w.rlike("[0-9@]"), OTHER).when(w.rlike(r"\p{L}"), letters(w)).otherwise(w)
+
+    def ends(words: Column) -> Column:
+        some = lambda at: F.array_join(F.transform(F.array_compact(F.array(*[F.try_element_at(words, F.lit(i)) for i in at])), plain), " ")
+        return F.struct(some((1, 2)).alias("first"), F.when(F.size(words) > 1, some((-2, -1))).otherwise(some((1,))).alias("last"), F.size(words).alias("size"))
+
+    words = F.filter(F.split(text, f"[{BLANK}]+"), lambda w: w != "")
+    return F.get(F.transform(F.array(words), ends), F.lit(0))  # so that the text is split once
 
 
 def _parts(text: Column, form: str) -> Column:
-    """What lies between matches and the matches, in turn: length, match or null, tail of what lies between."""
+    """What lies between matches and the matches, in turn: length, match or null, first and last two words of what lies between."""
     marked = F.regexp_replace(text, F.lit(form), F.lit("\x01$1\x02"))
     return F.transform(
         F.split(marked, "[\x01\x02]"),
-        lambda x, i: F.struct(F.length(x).alias("n"), F.when(i % 2 == 1, x).alias("match"), F.when(i % 2 == 0, F.right(x, F.lit(BEFORE))).alias("tail")),
+        lambda x, i: F.struct(F.length(x).alias("n"), F.when(i % 2 == 1, x).alias("match"), F.when(i % 2 == 0, _ends(x)).alias("ends")),
     )
 
 
@@ -69,52 +90,63 @@ def _scan(docs: DataFrame) -> DataFrame:
 
 
 def _spans(scanned: DataFrame) -> DataFrame:
-    """(row, kind, start, end, match, tail) of each match; kind is a place in KINDS."""
+    """(row, kind, start, end, match, left, right) of each match; kind is a place in KINDS, left and right are patterns or null."""
     each = None
     for k, name in enumerate(KINDS):
         some = scanned.where(F.size(name) > 1).select("row", F.lit(k).alias("kind"), F.posexplode(name).alias("i", "part"))
         each = some if each is None else each.unionByName(some)
     order = Window.partitionBy("row", "kind").orderBy("i")
     at = F.sum("part.n").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    placed = each.select("row", "kind", (at - F.col("part.n")).alias("start"), at.alias("end"), F.col("part.match").alias("match"), F.lag("part.tail").over(order).alias("tail"))
+    ahead, behind = F.lag("part.ends").over(order), F.lead("part.ends").over(order)
+    # one word between this and the next instance: that is in the pattern too; none: no pattern
+    left = F.when(ahead["size"] > 1, ahead["last"]).when(ahead["size"] == 1, F.concat(F.when(F.col("i") > 1, OTHER).otherwise("^"), F.lit(" "), ahead["last"]))
+    right = F.when(behind["size"] > 1, behind["first"]).when(behind["size"] == 1, F.concat(behind["first"], F.lit(" "), F.when(F.lead("i", 2).over(order).isNotNull(), OTHER).otherwise("$")))
+    placed = each.select("row", "kind", (at - F.col("part.n")).alias("start"), at.alias("end"), F.col("part.match").alias("match"), left.alias("left"), right.alias("right"))
     name = F.get(F.array(*map(F.lit, KINDS)), F.col("kind"))
     return placed.where(F.col("match").isNotNull()).where(_valid(name, F.col("match")))
 
 
-def _candidates(spans: DataFrame) -> DataFrame:
-    """Tokens with a pattern: row, start, end, token, pattern, seed (it lies on a base span)."""
+def _instances(spans: DataFrame) -> DataFrame:
+    """Base spans (seed) and the candidates that none of them touches, once per pattern: row, start, end, token, shape, pattern, seed."""
     base = F.col("kind") < KINDS.index("found")
-    order = Window.partitionBy("row").orderBy("start", "kind")
+    order, back = Window.partitionBy("row").orderBy("start", "kind"), Window.partitionBy("row").orderBy(F.col("start").desc(), F.col("kind").desc())
     reach = F.max(F.when(base, F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.min(F.when(base, F.col("start"))).over(order.rowsBetween(0, Window.unboundedFollowing))
-    seed = F.coalesce(reach > F.col("start"), F.lit(False)) | F.coalesce(ahead < F.col("end"), F.lit(False))
-    tokens = spans.withColumn("seed", seed).where(~base)
-    words = F.regexp_extract(F.lower("tail"), f"(?:^|[{BLANK}])([^{BLANK}]+[{BLANK}]+[^{BLANK}]+)[{BLANK}]*$", 1)
-    shape = F.regexp_replace(F.regexp_replace(F.left("match", F.lit(BEFORE)), "[0-9]+", "9"), "\\p{L}+", "a")
-    tokens = tokens.withColumns({"words": words, "shape": shape}).where("words <> ''")
-    return tokens.select("row", "start", "end", F.md5("match").alias("token"), F.concat_ws("\x01", "words", "shape").alias("pattern"), "seed")
-
-
-def sure_patterns(candidates: DataFrame, rounds: int = 3, sure: float = 0.9, seeds: int = 5) -> DataFrame:
-    """Patterns scored at ``sure`` or more with at least ``seeds`` different seed tokens."""
-    edges = candidates.groupBy("pattern", "token").agg(F.count_distinct("row").alias("n"), F.max("seed").alias("seed"))
-    enough = edges.groupBy("pattern").agg(F.count_if("seed").alias("k")).where(F.col("k") >= seeds).select("pattern")
-    edges = keep(edges.join(enough, "pattern"), "pattern-edges")
-    tokens = edges.groupBy("token").agg(F.max(F.col("seed").cast("double")).alias("score"))
-    patterns = None
+    ahead = F.min(F.when(base, F.col("start"))).over(back.rowsBetween(Window.unboundedPreceding, 0))
+    free = F.coalesce(reach <= F.col("start"), F.lit(True)) & F.coalesce(ahead >= F.col("end"), F.lit(True))
+    shape = F.regexp_replace(F.regexp_replace("match", "[0-9]+", "9"), "\\p{L}+", "a")
+    patterns = F.array_compact(F.array(F.concat(F.lit("<"), "left"), F.concat(F.lit(">"), "right")))
+    kept = spans.withColumns({"seed": base, "free": free}).where("seed or free")
+    return kept.select("row", "start", "end", F.md5("match").alias("token"), F.md5(shape).alias("shape"), F.explode(patterns).alias("pattern"), "seed")
+
+
+def sure_places(instances: DataFrame, rounds: int = 4, sure: float = 0.7, seeds: int = 5) -> DataFrame:
+    """(pattern, token) of candidates at ``sure`` or more under the pattern, after ``rounds`` rounds or when a round accepts nothing."""
+    edges = keep(instances.groupBy("pattern", "token", "shape").agg(F.max("seed").alias("seed")), "pattern-edges")
+    totals = edges.groupBy("pattern").agg(F.count("*").alias("all"))
+    good = edges.where("seed").select("token").distinct()
+    n_good, found = -1, None
     for _ in range(rounds):
-        share = F.sum(F.col("n") * F.col("score")) / (F.sum("n") + 1)
-        patterns = edges.join(tokens, "token").groupBy("pattern").agg(share.alias("score"))
-        tokens = edges.join(patterns, "pattern").groupBy("token").agg(F.max(F.greatest(F.col("seed").cast("double"), "score")).alias("score"))
-    return patterns.where(F.col("score") >= sure).select("pattern")
+        good = keep(good, "good-tokens")
+        if (n := good.count()) == n_good:
+            break
+        n_good = n
+        marked = edges.join(good, "token")
+        scores = marked.groupBy("pattern").agg(F.count("*").alias("k")).where(F.col("k") >= seeds).join(totals, "pattern")
+        scores = scores.select("pattern", (F.col("k") / (F.col("all") + 1)).alias("score")).where(F.col("score") >= sure)
+        shapes = marked.select("pattern", "shape").distinct().withColumn("known", F.lit(1.0))
+        judged = edges.where("not seed").join(scores, "pattern").join(shapes, ["pattern", "shape"], "left")
+        found = judged.where(F.col("score") * F.coalesce("known", F.lit(ODD_SHAPE)) >= sure).select("pattern", "token")
+        good = good.union(found.select("token")).distinct()
+    return found
 
 
 def find(docs: DataFrame, **bootstrap) -> DataFrame:
     """doc_id, counts by kind, base_sha256 and spans for each row of docs."""
     scanned = _scan(docs)
     spans = keep(_spans(scanned), "spans")
-    candidates = _candidates(spans)
-    new = candidates.where("not seed").join(sure_patterns(candidates, **bootstrap), "pattern")
+    instances = _instances(spans)
+    places = instances.where("not seed").join(sure_places(instances, **bootstrap), ["pattern", "token"])
+    new = places.select("row", "start", "end").distinct()
     found = F.lit(KINDS.index("found"))
     every = spans.where(F.col("kind") < found).select("row", "kind", "start", "end").union(new.select("row", found.alias("kind"), "start", "end"))
     lists = every.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end"))).alias("s"))
