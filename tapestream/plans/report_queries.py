@@ -15,7 +15,10 @@ from tapestream.plans.trading_queries import BASE, BY, ORDER, REALIZED, SQL_ORDE
 MODEL = "CASE WHEN scenario % 2 = 0 THEN 'A' ELSE 'B' END"
 LATENCY = "scenario // 2 * 100"
 YEAR_US = 31_557_600_000_000
-NOTIONAL = F.abs(F.col("signed") * F.col("price"))
+
+
+def _notional() -> Column:
+    return F.abs(F.col("signed") * F.col("price"))
 
 
 def _model() -> Column:
@@ -141,7 +144,7 @@ def accounting_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cost_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fills(spark, sf_dir)
     wanted = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("order_id"), F.col("o_totalprice").cast("double").alias("wanted"))
-    done = rows.groupBy("scenario", "order_id").agg(F.sum(NOTIONAL).alias("done")).join(wanted, "order_id")
+    done = rows.groupBy("scenario", "order_id").agg(F.sum(_notional()).alias("done")).join(wanted, "order_id")
     rate = done.groupBy("scenario").agg(F.avg(F.least(F.lit(1.0), F.try_divide(F.col("done"), F.nullif("wanted", F.lit(0.0))))).alias("fill_rate"))
     counts = rows.groupBy("scenario").agg(F.count_if(F.col("role") == "maker").alias("makers"), F.count_if(F.col("role") == "taker").alias("takers"), F.count_distinct("order_id").alias("orders"))
     wide = _base(spark, sf_dir).join(_drawdown(spark, sf_dir), "scenario").join(counts, "scenario").join(rate, "scenario")
@@ -172,7 +175,7 @@ def passive_tradeoff(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT concat('market_', CAST(scenario AS VARCHAR)) AS name, round(turnover, 1) AS turnover, round(fees, 3) AS fees, CAST(NULL AS DOUBLE) AS rebate FROM m WHERE role = 'taker'
   UNION ALL SELECT concat('passive_', CAST(scenario AS VARCHAR)), round(turnover, 1), CAST(NULL AS DOUBLE), round(fees, 3) FROM m WHERE role = 'maker'""")
 def cost_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = fills(spark, sf_dir).groupBy("scenario", "role").agg(F.round(F.sum(NOTIONAL), 1).alias("turnover"), F.round(F.sum("fee"), 3).alias("amount"))
+    m = fills(spark, sf_dir).groupBy("scenario", "role").agg(F.round(F.sum(_notional()), 1).alias("turnover"), F.round(F.sum("fee"), 3).alias("amount"))
 
     def side(role: str, name: str, column: str) -> DataFrame:
         return m.where(F.col("role") == role).select(F.concat(F.lit(f"{name}_"), F.col("scenario").cast("string")).alias("name"), "turnover", F.col("amount").alias(column))
