@@ -131,3 +131,25 @@ def test_ties_share_wins_and_breakeven(spark):
     assert rows(economics.rank_wins(t, ["c"], "m", "v"), "m", "wins") == [("a", 1.5), ("b", 0.5)]
     n = spark.createDataFrame([("s", 0.0, 4.0), ("s", 1.0, 1.0), ("s", 2.0, -1.0)], "s string, fee double, net double")
     assert economics.interpolated_breakeven(n, ["s"], "fee", "net").first().breakeven == 1.5
+
+
+def test_p_values_in_the_plan_are_those_of_the_driver(spark):
+    rows = [(t, v) for t in (0.0, 0.3, 1.7, 2.5, 9.0) for v in (1, 2, 3, 4, 5, 8, 29, 30)]
+    out = spark.createDataFrame(rows, "t double, v long").select("t", "v", ranks.t_p(F.col("t"), F.col("v")).alias("p")).collect()
+    for r in out:
+        assert r.p == pytest.approx(ranks.t_two_sided(r.t, r.v), abs=1e-9)
+    signs = [(0, 0), (1, 0), (5, 5), (9, 1), (40, 20)]
+    for r in spark.createDataFrame(signs, "a long, b long").select("a", "b", ranks.sign_p(F.col("a"), F.col("b")).alias("p")).collect():
+        assert r.p is None if r.a + r.b == 0 else r.p == pytest.approx(ranks.sign_test(r.a, r.b))
+
+
+def test_whole_ranks_agree_with_one_window(spark):
+    rng = random.Random(9)
+    data = [(i, rng.choice([rng.random(), 0.5, 0.25]), rng.randint(0, 1)) for i in range(500)]
+    rows = spark.createDataFrame(data, "id long, score double, label int").withColumn("part", F.lit("all"))
+    placed = {r.id: r.bucket for r in ranks.with_whole_bucket(rows, "score", "id").collect()}
+    for k, (i, *_) in enumerate(sorted(data, key=lambda r: (r[1], r[0]))):
+        assert placed[i] == k * 10 // 500 + 1
+    ones, zeros = ([s for _, s, y in data if y == k] for k in (1, 0))
+    want = sum((a > b) + (a == b) / 2 for a in ones for b in zeros) / (len(ones) * len(zeros))
+    assert ranks.auc(rows, ["part"], "label", "score").first().auc == pytest.approx(want)
