@@ -1,4 +1,10 @@
-"""Sums over the trailing window (T - W, T] of one stream, at its own or other times."""
+"""Sums over the trailing window (T - W, T] of one stream, at its own or other times.
+
+A window's sum is the running sum up to T less that up to T - W: both frames only grow, so
+the work is one step a row and window however many events a window holds.  Time is cut into
+sessions, so that one instrument is many tasks; the events within the longest window before
+a session's start are in it as history, at most one copy each.
+"""
 
 from __future__ import annotations
 
@@ -7,25 +13,40 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapestream.operators.asof import SESSION
 
-def _frame(by: Sequence[str], on: str, width: int) -> Window:
-    # whole microseconds: (T - W, T] is [T - W + 1, T]
-    return Window.partitionBy(*by).orderBy(on).rangeBetween(-width + 1, 0)
+#: The end of a frame of rows that never holds any.
+NOWHERE = -(2**31 - 1)
 
 
-def trailing(events: DataFrame, by: Sequence[str], on: str, widths: Mapping[str, int], aggregates: Mapping[str, Column], probes: DataFrame | None = None) -> DataFrame:
-    """Each aggregate over each window, as ``{aggregate}_{window}``, at every event or, if given, every probe.
+def trailing(events: DataFrame, by: Sequence[str], on: str, widths: Mapping[str, int], aggregates: Mapping[str, Column], probes: DataFrame | None = None, session: int = SESSION) -> DataFrame:
+    """Each aggregate (a sum or a count) over each window, as ``{aggregate}_{window}``, at every event or, if given, every probe.
 
-    Aggregates must ignore nulls, as probes carry null events.  All windows share one sort.
+    Aggregates must ignore nulls, as probes carry null events; a window without events gives
+    what the aggregate gives of no rows.  The result doesn't depend on ``session``.
     """
-    rows = events
+    longest = max(widths.values())
+    session = max(session, longest)
+    own = F.floor(F.col(on) / session).cast("long")
+    parts = F.sequence(own, F.floor((F.col(on) + longest - 1) / session).cast("long"))
+    rows = events.withColumns({"_event": F.lit(1), "_own": own, "_part": F.explode_outer(parts)})
     if probes is not None:
-        rows = events.withColumn("_probe", F.lit(None).cast("struct<" + ",".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in probes.schema) + ">"))
-        rows = rows.unionByName(probes.select(*by, on, F.struct(*probes.columns).alias("_probe")), allowMissingColumns=True)
-    out = rows.withColumns({f"{name}_{w}": agg.over(_frame(by, on, width)) for w, width in widths.items() for name, agg in aggregates.items()})
+        rows = rows.withColumn("_probe", F.lit(None).cast("struct<" + ",".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in probes.schema) + ">"))
+        rows = rows.unionByName(probes.select(*by, on, own.alias("_own"), own.alias("_part"), F.struct(*probes.columns).alias("_probe")), allowMissingColumns=True)
+    order = Window.partitionBy(*by, "_part").orderBy(on)
+    start = Window.unboundedPreceding
+
+    def over(agg: Column, width: int) -> Column:
+        return agg.over(order.rangeBetween(start, 0)) - F.coalesce(agg.over(order.rangeBetween(start, -width)), F.lit(0))
+
+    made = {}
+    for w, width in widths.items():
+        some = over(F.count("_event"), width) > 0
+        for name, agg in aggregates.items():
+            made[f"{name}_{w}"] = F.when(some, over(agg, width)).otherwise(agg.over(order.rowsBetween(start, NOWHERE)))
+    out = rows.withColumns(made).where(F.col("_part").eqNullSafe(F.col("_own")))
     if probes is None:
-        return out
-    made = [f"{name}_{w}" for w in widths for name in aggregates]
+        return out.drop("_event", "_own", "_part")
     return out.where(F.col("_probe").isNotNull()).select("_probe.*", *made)
 
 

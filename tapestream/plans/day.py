@@ -65,7 +65,7 @@ def features(clock: DataFrame, states: DataFrame, trades: DataFrame, by: Sequenc
     out = trailing.trailing(flow, by, "us", WINDOWS, {"ofi": F.sum("ofi"), "ofi_events": F.count("ofi")}, probes=out)
     out = trailing.trailing(flow, by, "us", VOLATILITY, {"r2": F.sum(F.col("ret") * F.col("ret")), "returns": F.count("ret")}, probes=out)
     out = trailing.trailing(trades.select(*by, "us", "price", "qty", "side"), by, "us", WINDOWS, trailing.trade_sums(), probes=out)
-    made = {f"volatility_{w}": F.when(F.col(f"returns_{w}") > 0, F.sqrt(f"r2_{w}")) for w in VOLATILITY}
+    made = {f"volatility_{w}": F.when(F.col(f"returns_{w}") > 0, F.sqrt(F.greatest(f"r2_{w}", F.lit(0.0)))) for w in VOLATILITY}
     made |= {f"trade_imbalance_{w}": market.imbalance(F.col(f"buy_volume_{w}"), F.col(f"sell_volume_{w}")) for w in WINDOWS}
     made |= {f"{n}_{w}": F.coalesce(f"{n}_{w}", F.lit(0)) for w in WINDOWS for n in trailing.trade_sums()}
     out = out.withColumns(made).drop(*[f"{n}_{w}" for w in VOLATILITY for n in ("r2", "returns")])

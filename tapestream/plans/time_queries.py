@@ -70,7 +70,7 @@ def realized_vol(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = F.lag("price").over(Window.partitionBy("inst").orderBy("us", "row"))
     rows = ticks(spark, sf_dir).withColumn("ret", market.log_return(F.col("price"), before))
     out = trailing.trailing(rows, ["inst"], "us", {"24h": 24 * HOUR}, {"s": F.sum(F.col("ret") * F.col("ret")), "n": F.count("ret")})
-    return out.select("row", F.when(F.col("n_24h") > 0, F.round(F.sqrt("s_24h"), 6)).alias("vol_24h"))
+    return out.select("row", F.when(F.col("n_24h") > 0, F.round(F.sqrt(F.greatest("s_24h", F.lit(0.0))), 6)).alias("vol_24h"))
 
 
 @query("h01_state_features", f"""WITH {QUOTES} SELECT "row", round(mid, 6) AS mid, round((ask - bid) * 10000 / nullif((bid + ask) / 2, 0), 6) AS spread_bps,

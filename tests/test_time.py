@@ -137,3 +137,23 @@ def test_forward_lookups_are_one_step_a_row(spark):
     found = asof.asof(probes, states, ["inst"], "us", ["v"], "row", direction="forward")
     assert found.where("at = us + 9").count() == n - 1  # quadratic work would take hours
     assert asof.next_change(states, ["inst"], "us", "v", "row", 10).where("change_at = us + 10").count() == n - 1
+
+
+def test_trailing_windows_do_not_depend_on_sessions_or_their_size(spark):
+    rng = random.Random(4)
+    data = [(rng.choice("ab"), rng.randint(-50, 400), i, rng.choice([None, rng.randint(1, 9)])) for i in range(150)]
+    events = spark.createDataFrame(data, "inst string, us long, row long, qty long")
+    probes = spark.createDataFrame([(rng.choice("ab"), rng.randint(-60, 600), i) for i in range(60)], "inst string, us long, id long")
+    sums = {"n": F.count("qty"), "s": F.sum("qty")}
+    for frame, key in ((None, "row"), (probes, "id")):
+        times = data if frame is None else [tuple(r) for r in probes.collect()]
+        want = []
+        for inst, us, k, *_ in times:
+            for w in (30, 200):
+                inside = [q for i, u, _, q in data if i == inst and us - w < u <= us]
+                want.append((k, w, len([q for q in inside if q is not None]), sum(q or 0 for q in inside) if inside else None))
+        for session in (1, 77, 10**9):
+            out = trailing.trailing(events, ["inst"], "us", {"30": 30, "200": 200}, sums, probes=frame, session=session).collect()
+            got = [(r[key], w, r[f"n_{w}"], r[f"s_{w}"] if r[f"n_{w}"] or r[f"s_{w}"] else (None if r[f"s_{w}"] is None else 0)) for r in out for w in (30, 200)]
+            assert len(got) == len(want)
+            assert sorted((k, w, n, s or 0) for k, w, n, s in got) == sorted((k, w, n, s or 0) for k, w, n, s in want)
