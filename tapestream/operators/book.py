@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,40 +48,77 @@ def level_quantity(levels: Column, price: Column) -> Column:
     return F.coalesce(F.get(at, F.lit(0)).sz, F.lit(0.0))
 
 
-def replay(updates: DataFrame, by: Sequence[str], group: str, order: Sequence[str], depth: int, need_snapshot: bool = True) -> DataFrame:
+def _carried(rows: DataFrame, by: Sequence[str], group: str, order: Sequence[str], need_snapshot: bool) -> DataFrame:
+    """For each session (_part) after a key's first: the levels alive at its start, and a row without side if there was a snapshot before."""
+    last = F.max_by(F.struct("qty", F.col(group).alias("at")), F.struct(*order)).alias("_e")
+    ends = rows.groupBy(*by, *LEVEL, "_part").agg(last)
+    later = Window.partitionBy(*by, *LEVEL).orderBy("_part")
+    ends = ends.withColumn("_until", F.coalesce(F.lead("_part").over(later), F.max("_part").over(Window.partitionBy(*by))))
+    ends = ends.where((F.col("_e.qty") > 0) & (F.col("_until") > F.col("_part")))
+    ends = ends.select(*by, *LEVEL, "_e.qty", "_e.at", F.explode(F.sequence(F.col("_part") + 1, "_until")).alias("_part"))
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy(*by, "_part").agg(F.max(F.when(F.col("snapshot"), F.col(group))).alias("_snap"))
+    parts = parts.select(*by, "_part", F.max("_snap").over(before).alias("_since"))
+    alive = F.col("at") >= F.col("_since")
+    levels = ends.join(parts, [*by, "_part"]).where(alive if need_snapshot else F.coalesce(alive, F.lit(True)))
+    return levels.select(*by, "_part", *LEVEL, "qty").unionByName(parts.where("_since is not null").select(*by, "_part"), allowMissingColumns=True)
+
+
+def replay(updates: DataFrame, by: Sequence[str], group: str, order: Sequence[str], depth: int, need_snapshot: bool = True, session: int | None = None) -> DataFrame:
     """A row per group: the book after it, its best ``depth`` levels, and whether it is crossed or locked.
 
     Groups are applied in order within each key; one whose rows hold a snapshot clears the
     book first, and rows before the first snapshot are ignored if one is needed.  This is
     the one fold that window functions can't express, as a row's book depends on all before.
+    ``session`` (in the group's unit) cuts a key into tasks that start from the levels alive
+    at their session's start, found by aggregates; the result doesn't depend on it.
     """
     key = [updates.schema[c] for c in by]
     out = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in key] + [f"{group} {updates.schema[group].dataType.simpleString()}", "status string"])
     for side in ("bid", "ask"):
         out += "".join(f", {side}_px_{i} double, {side}_sz_{i} double" for i in range(1, depth + 1))
+    names = [*by, group, "status"] + [f"{s}_{w}_{i}" for s in ("bid", "ask") for i in range(1, depth + 1) for w in ("px", "sz")]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_order")
-        book: dict[str, dict[float, float]] = {"bid": {}, "ask": {}}
-        live, rows, keys = not need_snapshot, [], [pdf[c].iloc[0] for c in by]
-        for at, part in pdf.groupby(group, sort=False):
-            if part["snapshot"].any():
-                book, live = {"bid": {}, "ask": {}}, True
+        pdf = pdf.sort_values("_order", kind="stable")
+        keys, live, rows = [pdf[c].iloc[0] for c in by], not need_snapshot, []
+        first = pdf["_order"].to_numpy() == 0  # what the session starts with
+        start, pdf = pdf[first], pdf[~first]
+        sizes: dict[str, dict[float, float]] = {"bid": {}, "ask": {}}
+        for side, price, qty in zip(start["side"], start["price"], start["qty"]):
+            if side is None:
+                live = True
+            else:
+                sizes[side][price] = qty
+        ladder = {"bid": sorted(-p for p in sizes["bid"]), "ask": sorted(sizes["ask"])}
+        at = pdf[group].to_numpy()
+        cuts = np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1, [len(at)]])
+        clears = pdf["snapshot"].to_numpy(bool)
+        sides, prices, qtys = (pdf[c].tolist() for c in ("side", "price", "qty"))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            if clears[a:b].any():
+                sizes, ladder, live = {"bid": {}, "ask": {}}, {"bid": [], "ask": []}, True
             if not live:
                 continue
-            for side, price, qty in zip(part["side"], part["price"], part["qty"]):
+            for side, price, qty in zip(sides[a:b], prices[a:b], qtys[a:b]):
+                rank = -price if side == "bid" else price
                 if qty > 0:
-                    book[side][price] = qty
-                else:
-                    book[side].pop(price, None)
-            best = [sorted(book["bid"].items(), reverse=True)[:depth], sorted(book["ask"].items())[:depth]]
-            crossed = best[0] and best[1] and best[0][0][0] - best[1][0][0]
-            status = "ok" if not (best[0] and best[1]) or crossed < 0 else "locked" if crossed == 0 else "crossed"
-            flat = [x for levels in best for i in range(depth) for x in (levels[i] if i < len(levels) else (None, None))]
-            rows.append([*keys, at, status, *flat])
-        names = [*by, group, "status"] + [f"{s}_{w}_{i}" for s in ("bid", "ask") for i in range(1, depth + 1) for w in ("px", "sz")]
+                    if price not in sizes[side]:
+                        insort(ladder[side], rank)
+                    sizes[side][price] = qty
+                elif sizes[side].pop(price, None) is not None:
+                    del ladder[side][bisect_left(ladder[side], rank)]
+            bids, asks = [-x for x in ladder["bid"][:depth]], ladder["ask"][:depth]
+            gap = bids[0] - asks[0] if bids and asks else -1
+            flat = [x for side, best in (("bid", bids), ("ask", asks)) for i in range(depth) for x in ((best[i], sizes[side][best[i]]) if i < len(best) else (None, None))]
+            rows.append([*keys, at[a], "ok" if gap < 0 else "locked" if gap == 0 else "crossed", *flat])
         return pd.DataFrame(rows, columns=names)
 
-    place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-    rows = updates.withColumn("_order", place).select(*by, group, "side", F.col("price").cast("double").alias("price"), "qty", "snapshot", "_order")
-    return rows.groupBy(*by).applyInPandas(run, out)
+    rows = updates.withColumn("_part", F.floor(F.col(group) / session).cast("long") if session else F.lit(0).cast("long"))
+    rows = rows.withColumn("_order", F.row_number().over(Window.partitionBy(*by, "_part").orderBy(*order)))
+    columns = [*by, "_part", "side", "price", "qty"]
+    typed = rows.withColumn("price", F.col("price").cast("double")).select(*columns, group, "snapshot", "_order")
+    if session:
+        carried = _carried(rows, by, group, order, need_snapshot).withColumns({"price": F.col("price").cast("double"), "snapshot": F.lit(False), "_order": F.lit(0)})
+        typed = typed.unionByName(carried.select(*columns, "snapshot", "_order"), allowMissingColumns=True)
+    return typed.groupBy(*by, "_part").applyInPandas(run, out)

@@ -217,7 +217,14 @@ def book_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return book.actions(book_updates(spark, sf_dir), ["inst"], BOOK_KEYS).groupBy("inst", "action").agg(F.count("*").alias("n"))
 
 
-@query("r02_event_states")
+STATE_COLUMNS = ", ".join(f"max(CASE WHEN side = '{s}' AND k = {i} THEN {v} END) AS {s}_{w}_{i}" for s in ("bid", "ask") for i in range(1, 6) for w, v in (("px", "CAST(price AS DOUBLE)"), ("sz", "qty")))
+
+
+@query("r02_event_states", f"""WITH {BOOK}, g AS (SELECT inst, us, bool_or(snapshot) AS snap FROM book GROUP BY inst, us), gs AS (SELECT inst, us, max(CASE WHEN snap THEN us END) OVER (PARTITION BY inst ORDER BY us) AS since FROM g),
+  l AS (SELECT DISTINCT inst, side, price FROM book), u AS (SELECT inst, side, price, us, qty FROM (SELECT *, row_number() OVER (PARTITION BY inst, side, price, us ORDER BY l_orderkey DESC, l_linenumber DESC, l_partkey DESC, l_suppkey DESC, l_extendedprice DESC) AS j FROM book) WHERE j = 1),
+  p AS (SELECT gs.inst, gs.us, gs.since, l.side, l.price FROM gs JOIN l USING (inst)), s AS (SELECT p.inst, p.us, p.side, p.price, u.qty FROM p ASOF JOIN u ON u.inst = p.inst AND u.side = p.side AND u.price = p.price AND p.us >= u.us WHERE u.qty > 0 AND u.us >= coalesce(p.since, u.us)),
+  r AS (SELECT *, row_number() OVER (PARTITION BY inst, us, side ORDER BY CASE WHEN side = 'bid' THEN -price ELSE price END) AS k FROM s)
+  SELECT gs.inst, gs.us, 'ok' AS status, {STATE_COLUMNS} FROM gs LEFT JOIN r USING (inst, us) GROUP BY gs.inst, gs.us""")
 def event_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The book after each day's updates; a stateful fold, held against r01 in the tests."""
-    return book.replay(book_updates(spark, sf_dir), ["inst"], "us", BOOK_KEYS, 5, need_snapshot=False)
+    """The book after each day's updates; a stateful fold, in sessions of 90 days. Bids are below 100 and asks above, so none crosses."""
+    return book.replay(book_updates(spark, sf_dir), ["inst"], "us", BOOK_KEYS, 5, need_snapshot=False, session=90 * 24 * HOUR)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import io
 import zipfile
 from collections.abc import Iterator
@@ -53,12 +54,13 @@ def trades(spark: SparkSession, path: str) -> DataFrame:
 
 
 def l2_feed(spark: SparkSession, path: str) -> DataFrame:
-    """Incremental depth feed: snapshot rows start a book, amount 0 deletes a level."""
-    rows = read_text_csv(spark, path, L2_COLUMNS)
+    """Incremental depth feed, as a replay takes it: snapshot rows start a book, amount 0 deletes a level, row is the order within a file."""
+    rows = read_text_csv(spark, path, L2_COLUMNS).withColumn("row", F.monotonically_increasing_id())
+    starts = F.coalesce(F.lower("is_snapshot") == "true", F.lit(False))
     return rows.select(
-        "symbol", F.col("timestamp").try_cast("long").alias("event_us"), F.col("local_timestamp").try_cast("long").alias("us"), F.lower("side").alias("side"),
+        "row", starts.alias("snapshot"), "symbol", F.col("timestamp").try_cast("long").alias("event_us"), F.col("local_timestamp").try_cast("long").alias("us"), F.lower("side").alias("side"),
         F.col("price").try_cast("decimal(18,8)").alias("price"), F.col("amount").try_cast("decimal(18,8)").alias("qty"),
-        F.when(F.col("is_snapshot") == "true", "snapshot").otherwise("set").alias("update_type"), F.input_file_name().alias("source"),
+        F.when(starts, "snapshot").otherwise("set").alias("update_type"), F.input_file_name().alias("source"),
     )
 
 
@@ -82,13 +84,12 @@ def zipped_spot_trades(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                    members = archive.namelist()
+                    members = [m for m in archive.namelist() if not m.endswith("/")]
                     if len(members) != 1:
                         raise ValueError(f"{name}: {len(members)} members, not one")
                     rows: list[list[str]] = []
                     with archive.open(members[0]) as f:
-                        for i, line in enumerate(io.TextIOWrapper(f, "utf-8")):
-                            cells = line.rstrip("\r\n").split(",")
+                        for i, cells in enumerate(csv.reader(io.TextIOWrapper(f, "utf-8", newline=""))):
                             if len(cells) != len(SPOT_COLUMNS):
                                 raise ValueError(f"{name}: row {i + 1} has {len(cells)} cells")
                             rows.append([name, i + 1, *cells])
@@ -111,6 +112,39 @@ def zipped_spot_trades(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def book_frame(spark: SparkSession, path: str, depth: int) -> DataFrame:
+    """Stored book states with numeric levels up to ``depth``; rows without mid, bid or ask are left out."""
+    levels = [f"{side}_{what}_{i}" for side in ("bid", "ask") for what in ("px", "sz") for i in range(1, depth + 1)]
+    rows = spark.read.parquet(path).select("us", *[F.col(c).try_cast("double").alias(c) for c in ("mid", "bid", "ask", *levels)])
+    return rows.dropna(subset=["mid", "bid", "ask"])
+
+
+def ingest_csv(spark: SparkSession, source: str, target: str, columns: list[str], times: list[str], numbers: list[str]) -> dict[str, int]:
+    """A CSV of text as typed, zstd-compressed Parquet: times become UTC, numbers decimals, other cells are trimmed.
+
+    A cell that doesn't parse or a time without zone is an error, and so is a row lost on
+    the way.  Returns how many rows were read and written.
+    """
+    text = read_text_csv(spark, source, columns)
+    typed = {c: F.timestamp_micros(micros(F.col(c))) for c in times} | {c: F.col(c).try_cast("decimal(38,18)") for c in numbers}
+    bad = [F.count_if(F.col(c).isNotNull() & x.isNull()).alias(c) for c, x in typed.items()]
+    counts = text.agg(F.count("*").alias("_n"), *bad).first().asDict()
+    n = counts.pop("_n")
+    if wrong := {c: k for c, k in counts.items() if k}:
+        raise ValueError(f"{source}: cells that don't parse: {wrong}")
+    text.select(*[typed.get(c, F.trim(c)).alias(c) for c in columns]).write.mode("overwrite").option("compression", "zstd").parquet(target)
+    written = spark.read.parquet(target).count()
+    if written != n:
+        raise ValueError(f"{source}: {n} rows read, {written} written")
+    return {"read": n, "written": written}
+
+
+def write_csv(rows: DataFrame, path: str) -> None:
+    """CSV with header; doubles with 12 significant digits and no trailing zeros."""
+    short = lambda c: F.regexp_replace(F.regexp_replace(F.format_string("%.12g", c), r"(\.\d*?)0+(?=e|$)", "$1"), r"\.(?=e|$)", "")
+    rows.select(*[F.when(F.col(c).isNotNull(), short(F.col(c))).alias(c) if t in ("double", "float") else F.col(c) for c, t in rows.dtypes]).write.mode("overwrite").option("header", True).csv(path)
+
+
 def write_partitioned(rows: DataFrame, path: str, *keys: str) -> None:
     """Typed, zstd-compressed Parquet in one folder per key, which later reads prune by."""
     rows.write.mode("overwrite").option("compression", "zstd").partitionBy(*keys).parquet(path)

@@ -53,3 +53,46 @@ def test_stream_equals_batch(spark, tmp_path):
     want = {(r.start, r.buy_volume, r.trade_count) for r in trade_bars(trades, "15 minutes").collect()}
     assert got and got <= want  # the last windows wait for the watermark
     assert trade_bars(trades, "15 minutes").agg(F.sum("trade_count")).first()[0] == 60
+
+
+def test_archive_cells_are_csv_and_folders_no_members(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("folder/", "")
+        z.writestr("folder/a.csv", '"1",10.5,"2",21,1704067200000,TRUE,"a,b"\n')
+    (row,) = market_files.zipped_spot_trades(spark, str(tmp_path / "a.zip")).collect()
+    assert (row.trade_id, float(row.price), row.side) == ("1", 10.5, "sell")
+
+
+def test_depth_feed_can_be_replayed(spark, tmp_path):
+    from tapestream.operators import book
+
+    with gzip.open(tmp_path / "l2.csv.gz", "wt") as f:
+        f.write("exchange,symbol,timestamp,local_timestamp,is_snapshot,side,price,amount\n")
+        f.write("x,B,1,1,TRUE,bid,9,1\nx,B,1,1,True,ask,11,2\nx,B,2,2,false,bid,10,5\nx,B,2,2,false,bid,10,4\nx,B,3,3,false,ask,11,0\n")
+    feed = market_files.l2_feed(spark, str(tmp_path / "l2.csv.gz")).withColumn("qty", F.col("qty").cast("double"))
+    states = book.replay(feed, ["symbol"], "us", ["us", "row"], 1).orderBy("us").collect()
+    assert [(r.us, r.bid_px_1, r.bid_sz_1, r.ask_px_1) for r in states] == [(1, 9.0, 1.0, 11.0), (2, 10.0, 4.0, 11.0), (3, 10.0, 4.0, None)]
+
+
+def test_generic_ingest_and_csv_sink(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("at,price,note\n2024-01-01T00:00:00Z,1.50, a \n2024-01-01T00:00:01+00:00,,b\n")
+    made = market_files.ingest_csv(spark, str(tmp_path / "t.csv"), str(tmp_path / "t"), ["at", "price", "note"], ["at"], ["price"])
+    assert made == {"read": 2, "written": 2}
+    rows = spark.read.parquet(str(tmp_path / "t")).orderBy("at").collect()
+    assert [(r.price and float(r.price), r.note) for r in rows] == [(1.5, "a"), (None, "b")]
+    (tmp_path / "bad.csv").write_text("at,price,note\n2024-01-01T00:00:00,x,a\n")
+    with pytest.raises(ValueError, match="at"):
+        market_files.ingest_csv(spark, str(tmp_path / "bad.csv"), str(tmp_path / "u"), ["at", "price", "note"], ["at"], ["price"])
+    numbers = [0.1, 1234.5, 1e-7, 100.0, None, 1 / 3, 2.5e20]
+    market_files.write_csv(spark.createDataFrame([(i, x) for i, x in enumerate(numbers)], "i int, x double").coalesce(1), str(tmp_path / "c"))
+    back = {r.i: r.x for r in spark.read.option("header", True).schema("i int, x string").csv(str(tmp_path / "c")).collect()}
+    assert [back[i] and float(back[i]) for i in range(7)] == [pytest.approx(x, rel=1e-11) if x is not None else None for x in numbers]
+    assert back[0] == "0.1" and back[1] == "1234.5" and back[3] == "100"
+
+
+def test_book_frame_leaves_out_rows_without_a_side(spark, tmp_path):
+    rows = [(1, "10", "9", "11", "1"), (2, "10", None, "11", "1"), (3, "x", "9", "11", "1")]
+    columns = ["mid", "bid", "ask", "bid_px_1"]
+    frame = spark.createDataFrame(rows, "us long, " + ", ".join(f"{c} string" for c in columns))
+    frame.withColumns({c: F.lit("1") for c in ("bid_sz_1", "ask_px_1", "ask_sz_1")}).write.parquet(str(tmp_path / "b"))
+    assert [r.us for r in market_files.book_frame(spark, str(tmp_path / "b"), 1).collect()] == [1]

@@ -157,3 +157,15 @@ def test_trailing_windows_do_not_depend_on_sessions_or_their_size(spark):
             got = [(r[key], w, r[f"n_{w}"], r[f"s_{w}"] if r[f"n_{w}"] or r[f"s_{w}"] else (None if r[f"s_{w}"] is None else 0)) for r in out for w in (30, 200)]
             assert len(got) == len(want)
             assert sorted((k, w, n, s or 0) for k, w, n, s in got) == sorted((k, w, n, s or 0) for k, w, n, s in want)
+
+
+def test_replay_does_not_depend_on_sessions(spark):
+    rng = random.Random(5)
+    for snapshots in ((), (40, 170)):
+        data = [("ab"[i % 2], i // 4 * 10, i, side, rng.randint(95, 99) if side == "bid" else rng.randint(101, 105), float(rng.choice([0, 1, 2])), i in snapshots) for i in range(240) for side in [rng.choice(["bid", "ask"])]]
+        updates = spark.createDataFrame(data, "inst string, us long, row long, side string, price long, qty double, snapshot boolean")
+        for need in (True, False):
+            whole = book.replay(updates, ["inst"], "us", ["us", "row"], 3, need)
+            want = sorted(map(str, whole.collect()))
+            for session in (70, 250):
+                assert sorted(map(str, book.replay(updates, ["inst"], "us", ["us", "row"], 3, need, session).collect())) == want
