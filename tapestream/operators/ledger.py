@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 FLAT = 1e-8
+STATE = ("position", "average", "realized")
 
 
 def running(fills: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -36,60 +37,70 @@ def drawdown(rows: DataFrame, by: Sequence[str], order: Sequence[str], equity: s
     return rows.withColumn("drawdown", F.max(equity).over(w) - F.col(equity))
 
 
-def _step(a: Column, f: Column) -> Column:
-    """One fill on (position, average, realized)."""
-    pos, avg, q, p = a["position"], a["average"], f["signed"], f["price"]
+def _step(state: tuple[float, float, float], q: float | None, p: float | None) -> tuple[float, float, float]:
+    """One fill on position, average price and realized profit; one without quantity or price changes nothing."""
+    if q is None or p is None or abs(q) < FLAT:
+        return state
+    pos, avg, realized = state
     after = pos + q
-    opens = F.abs(pos) < FLAT
-    adds = F.signum(pos) == F.signum(q)
-    closed = F.least(F.abs(pos), F.abs(q)) * F.signum(pos)
-    flips = F.abs(q) > F.abs(pos) + FLAT
-    average = F.when(opens | (flips & ~adds), p).when(adds, (pos * avg + q * p) / after).otherwise(avg)
-    new = F.struct(
-        F.when(F.abs(after) < FLAT, 0.0).otherwise(after).alias("position"),
-        F.when(F.abs(after) < FLAT, 0.0).otherwise(average).alias("average"),
-        (a["realized"] + F.when(opens | adds, 0.0).otherwise(closed * (p - avg))).alias("realized"),
-    )
-    return F.when(F.abs(q) < FLAT, a).otherwise(new)
+    if abs(pos) < FLAT:
+        avg = p
+    elif (pos > 0) == (q > 0):
+        avg = (pos * avg + q * p) / after
+    else:
+        realized += min(abs(pos), abs(q)) * (1 if pos > 0 else -1) * (p - avg)
+        if abs(q) > abs(pos) + FLAT:
+            avg = p
+    return (0.0, 0.0, realized) if abs(after) < FLAT else (after, avg, realized)
+
+
+def _fold(fills: DataFrame, by: Sequence[str], order: Sequence[str], path: bool) -> DataFrame:
+    """The fold over each scenario's fills in order: Spark sorts, spilling where it must, and a task holds one state.
+
+    ``path``: a row per fill, with all its columns, else one per scenario.
+    """
+    kept = list(fills.columns) if path else list(by)
+    rows = fills.repartition(*by).sortWithinPartitions(*by, *order).select(*kept, F.struct(*by).alias("_by"), F.col("signed").cast("double").alias("_q"), F.col("price").cast("double").alias("_p"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [*kept, *STATE]
+        types = [pa.float64()] * 3
+        key, state, last = None, (0.0, 0.0, 0.0), None
+        for batch in batches:
+            keys = [tuple(k.values()) for k in batch.column(len(kept)).to_pylist()]
+            states, ends, at = [], [], None
+            for i, (k, q, p) in enumerate(zip(keys, batch.column(len(kept) + 1).to_pylist(), batch.column(len(kept) + 2).to_pylist())):
+                if k != key:
+                    if not path and key is not None:
+                        ends.append((last if at is None else batch.slice(at, 1), state))
+                    key, state = k, (0.0, 0.0, 0.0)
+                state = _step(state, q, p)
+                at = i
+                if path:
+                    states.append(state)
+            if path and states:
+                yield pa.record_batch([*batch.columns[: len(kept)], *(pa.array(c, t) for c, t in zip(zip(*states), types))], names)
+            last = last if at is None else batch.slice(at, 1)
+            for row, final in ends:
+                yield pa.record_batch([*row.columns[: len(kept)], *(pa.array([x], pa.float64()) for x in final)], names)
+        if not path and last is not None:
+            yield pa.record_batch([*last.columns[: len(kept)], *(pa.array([x], pa.float64()) for x in state)], names)
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fills.select(*kept).schema)
+    return rows.mapInArrow(run, schema + ", " + ", ".join(f"{c} double" for c in STATE))
 
 
 def average_cost(fills: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Terminal position, average price and realized profit of each scenario.
 
-    The fold isn't associative, so a scenario's fills are ordered in one array; scenarios
-    are the unit of parallel work.
+    The fold isn't associative, so scenarios are the unit of parallel work.
     """
-    start = F.struct(*[F.lit(0.0).alias(n) for n in ("position", "average", "realized")])
-    rows = F.array_sort(F.collect_list(F.struct(F.struct(*order).alias("o"), "signed", "price")))
-    return fills.groupBy(*by).agg(F.aggregate(rows, start, _step).alias("_a")).select(*by, "_a.*")
+    return _fold(fills, by, order, False)
 
 
 def average_cost_path(fills: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
     """fills with position, average and realized after each, for scenarios whose path is wanted."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_place")
-        pos = avg = realized = 0.0
-        path = []
-        for q, p in zip(pdf["signed"], pdf["price"]):
-            if abs(q) >= FLAT:
-                after = pos + q
-                if abs(pos) < FLAT:
-                    avg = p
-                elif (pos > 0) == (q > 0):
-                    avg = (pos * avg + q * p) / after
-                else:
-                    closed = min(abs(pos), abs(q)) * (1 if pos > 0 else -1)
-                    realized += closed * (p - avg)
-                    if abs(q) > abs(pos) + FLAT:
-                        avg = p
-                pos, avg = (0.0, 0.0) if abs(after) < FLAT else (after, avg)
-            path.append((pos, avg, realized))
-        return pdf.drop(columns="_place").assign(**{n: [x[i] for x in path] for i, n in enumerate(("position", "average", "realized"))})
-
-    place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fills.schema) + ", position double, average double, realized double"
-    return fills.withColumn("_place", place).groupBy(*by).applyInPandas(run, schema)
+    return _fold(fills, by, order, True)
 
 
 def position_summary(rows: DataFrame, by: Sequence[str]) -> DataFrame:
