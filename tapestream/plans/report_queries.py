@@ -115,7 +115,7 @@ POSITIONS = "pos AS (SELECT scenario, max(position) AS longest, min(position) AS
 @query("a51_accounting_reports", f"""WITH RECURSIVE {FILLS}, {SUMS}, {BASE}, {POSITIONS}, {REALIZED},
   n AS (SELECT scenario, count(*) AS fills, count(DISTINCT order_id) AS orders, sum(CASE WHEN role = 'maker' THEN fee ELSE 0 END) AS maker_fees FROM fills GROUP BY scenario),
   w AS (SELECT * FROM base JOIN pos USING (scenario) JOIN realized_pnl USING (scenario) JOIN n USING (scenario))
-  SELECT scenario, report, metric, round(value, 1) AS value FROM (
+  SELECT scenario, report, metric, round(value, 2) AS value FROM (
     SELECT scenario, 'pnl' AS report, 'gross' AS metric, gross AS value FROM w UNION ALL SELECT scenario, 'pnl', 'net', gross - fees FROM w
     UNION ALL SELECT scenario, 'inventory', 'longest', longest FROM w UNION ALL SELECT scenario, 'inventory', 'shortest', shortest FROM w UNION ALL SELECT scenario, 'inventory', 'mean_abs', mean_abs FROM w
     UNION ALL SELECT scenario, 'turnover', 'turnover', turnover FROM w UNION ALL SELECT scenario, 'turnover', 'per_order', turnover / orders FROM w
@@ -133,7 +133,7 @@ def accounting_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
         "pnl": {"gross": g, "net": g - f}, "inventory": {c: F.col(c) for c in ("longest", "shortest", "mean_abs")},
         "turnover": {"turnover": F.col("turnover"), "per_order": F.col("turnover") / F.col("orders")}, "realized": {"realized": F.col("realized"), "unrealized": g - F.col("realized")},
         "decomposition": {"maker_fees": F.col("maker_fees"), "taker_fees": f - F.col("maker_fees")}, "combined": {"orders": F.col("orders"), "fills": F.col("fills")},
-    }).withColumn("value", F.round("value", 1))
+    }).withColumn("value", F.round("value", 2))
 
 
 @query("a52_cost_base", f"""WITH {FILLS}, {SUMS}, {DRAWDOWN}, {BASE}, o AS (SELECT CAST(o_orderkey AS BIGINT) AS order_id, CAST(o_totalprice AS DOUBLE) AS wanted FROM orders),
@@ -155,13 +155,13 @@ def cost_base(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("a53_robustness_base", f"""WITH {FILLS}, k AS (SELECT {MODEL} AS model, {LATENCY} AS latency_ms, us // {YEAR_US} AS year, signed, price, fee FROM fills)
-  SELECT model, CAST(latency_ms AS BIGINT) AS latency_ms, CAST(year AS BIGINT) AS year, round(-sum(signed * price) + sum(signed) * 1000, 1) AS gross, round(-sum(signed * price) + sum(signed) * 1000 - sum(fee), 1) AS net,
-  round(sum(abs(signed * price)), 1) AS turnover, round(sum(signed), 4) AS terminal FROM k GROUP BY model, latency_ms, year""")
+  SELECT model, CAST(latency_ms AS BIGINT) AS latency_ms, CAST(year AS BIGINT) AS year, round(-sum(signed * price) + sum(signed) * 1000, 2) AS gross, round(-sum(signed * price) + sum(signed) * 1000 - sum(fee), 2) AS net,
+  round(sum(abs(signed * price)), 2) AS turnover, round(sum(signed), 4) AS terminal FROM k GROUP BY model, latency_ms, year""")
 def robustness_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("signed") * F.col("price")
     gross = -F.sum(n) + F.sum("signed") * 1000
     by = [_model(), _latency(), F.floor(F.col("us") / YEAR_US).alias("year")]
-    return fills(spark, sf_dir).groupBy(*by).agg(F.round(gross, 1).alias("gross"), F.round(gross - F.sum("fee"), 1).alias("net"), F.round(F.sum(F.abs(n)), 1).alias("turnover"), F.round(F.sum("signed"), 4).alias("terminal"))
+    return fills(spark, sf_dir).groupBy(*by).agg(F.round(gross, 2).alias("gross"), F.round(gross - F.sum("fee"), 2).alias("net"), F.round(F.sum(F.abs(n)), 2).alias("turnover"), F.round(F.sum("signed"), 4).alias("terminal"))
 
 
 @query("a57_passive_tradeoff", f"""WITH {FILLS}, s AS (SELECT scenario, avg(CASE WHEN role = 'maker' THEN 1.0 ELSE 0.0 END) AS rate, sum(signed) AS terminal FROM fills GROUP BY scenario)
@@ -172,10 +172,10 @@ def passive_tradeoff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("u07_cost_union", f"""WITH {FILLS}, m AS (SELECT scenario, role, sum(abs(signed * price)) AS turnover, sum(fee) AS fees FROM fills GROUP BY scenario, role)
-  SELECT concat('market_', CAST(scenario AS VARCHAR)) AS name, round(turnover, 1) AS turnover, round(fees, 3) AS fees, CAST(NULL AS DOUBLE) AS rebate FROM m WHERE role = 'taker'
-  UNION ALL SELECT concat('passive_', CAST(scenario AS VARCHAR)), round(turnover, 1), CAST(NULL AS DOUBLE), round(fees, 3) FROM m WHERE role = 'maker'""")
+  SELECT concat('market_', CAST(scenario AS VARCHAR)) AS name, round(turnover, 2) AS turnover, round(fees, 4) AS fees, CAST(NULL AS DOUBLE) AS rebate FROM m WHERE role = 'taker'
+  UNION ALL SELECT concat('passive_', CAST(scenario AS VARCHAR)), round(turnover, 2), CAST(NULL AS DOUBLE), round(fees, 4) FROM m WHERE role = 'maker'""")
 def cost_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = fills(spark, sf_dir).groupBy("scenario", "role").agg(F.round(F.sum(_notional()), 1).alias("turnover"), F.round(F.sum("fee"), 3).alias("amount"))
+    m = fills(spark, sf_dir).groupBy("scenario", "role").agg(F.round(F.sum(_notional()), 2).alias("turnover"), F.round(F.sum("fee"), 4).alias("amount"))
 
     def side(role: str, name: str, column: str) -> DataFrame:
         return m.where(F.col("role") == role).select(F.concat(F.lit(f"{name}_"), F.col("scenario").cast("string")).alias("name"), "turnover", F.col("amount").alias(column))
