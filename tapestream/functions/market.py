@@ -24,6 +24,16 @@ def microprice(bid: Column, bid_sz: Column, ask: Column, ask_sz: Column) -> Colu
     return F.try_divide(ask * bid_sz + bid * ask_sz, (bid_sz + ask_sz).cast("double"))
 
 
+def microprice_deviation(bid: Column, bid_sz: Column, ask: Column, ask_sz: Column) -> Column:
+    """(microprice - mid) / mid."""
+    return F.try_divide(microprice(bid, bid_sz, ask, ask_sz) - mid(bid, ask), mid(bid, ask))
+
+
+def epoch_micros(at: Column) -> Column:
+    """Microseconds of a time in milliseconds or microseconds: below 10^14 (the year 5138 in the one, 1973 in the other) it is the former."""
+    return F.when(F.abs(at) < 100_000_000_000_000, at * 1000).otherwise(at)
+
+
 def log_return(a: Column, b: Column) -> Column:
     return F.when((a > 0) & (b > 0), F.log(a / b))
 

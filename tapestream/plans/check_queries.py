@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tapestream.bridge import BOOK, FILLS, PREDS, QUOTES, TICKS, book_updates, fills, preds, quotes, table, ticks
+from tapestream.bridge import BOOK, FILLS, GRID, HOUR, PREDS, QUOTES, TICKS, book_updates, fills, grid, preds, quotes, table, ticks
 from tapestream.functions import market
 from tapestream.operators import asof, book, models, quality, ranks
 from tapestream.plans.registry import query
@@ -82,6 +82,16 @@ def signal_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, "row").where("a <> b")
 
 
+@query("j02_latest_trade", f"""WITH {TICKS}, {GRID}, c AS (SELECT g.inst, g.us, coalesce(g.us - t.us <= {2 * HOUR}, false) AS ok FROM grid g ASOF LEFT JOIN ticks t ON g.inst = t.inst AND g.us >= t.us)
+  SELECT c.inst, c.us, CASE WHEN ok THEN p.us END AS trade_at, CASE WHEN ok THEN p.price END AS trade_price FROM c ASOF LEFT JOIN (SELECT * FROM ticks WHERE qty > 3) p ON c.inst = p.inst AND c.us >= p.us""")
+def latest_trade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last large trade at each step of the clock, only where the clock's own state is fresh."""
+    rows = ticks(spark, sf_dir)
+    clock = asof.fixed_clock(grid(spark, sf_dir), rows, ["inst"], "us", ["price"], "row", 2 * HOUR).select("inst", "us", "is_available")
+    found = asof.asof(clock, rows.where("qty > 3"), ["inst"], "us", ["price"], "row", prefix="trade_")
+    return found.select("inst", "us", *[F.when(F.col("is_available"), F.col(c)).alias(c) for c in ("trade_at", "trade_price")])
+
+
 # --- statistics
 
 TESTS = f"""long AS (SELECT p.day, f.feature, h.horizon, CASE WHEN f.feature = 'level' THEN x WHEN f.feature = 'size' THEN CAST(1 + user_id % 7 AS DOUBLE) ELSE CAST("row" % 10 AS DOUBLE) END AS x, CASE WHEN h.horizon = 1 THEN y ELSE y2 END AS y
@@ -184,6 +194,19 @@ def depth_imbalance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return levels.groupBy("inst").agg(*[F.round(market.imbalance(depth("bid", n), depth("ask", n)), 6).alias(f"top_{n}") for n in (5, 10)])
 
 
+@query("h04_microprice_deviation", f"""WITH {QUOTES}, m AS (SELECT "row", mid, (ask * bid_sz + bid * ask_sz) / CAST(bid_sz + ask_sz AS DOUBLE) AS micro FROM quotes) SELECT "row", round((micro - mid) / nullif(mid, 0), 8) AS ratio, round((micro - mid) / nullif(mid, 0) * 10000, 5) AS bps FROM m""")
+def microprice_deviation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    off = market.microprice_deviation(*[F.col(c) for c in ("bid", "bid_sz", "ask", "ask_sz")])
+    return quotes(spark, sf_dir).select("row", F.round(off, 8).alias("ratio"), F.round(off * 10_000, 5).alias("bps"))
+
+
+@query("h11_epoch_units", f"""WITH {TICKS} SELECT "row", CASE WHEN "row" % 2 = 0 THEN us // 1000 * 1000 ELSE us END AS at FROM ticks""")
+def epoch_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times that some rows give in milliseconds and others in microseconds."""
+    feed = ticks(spark, sf_dir).select("row", F.when(F.col("row") % 2 == 0, F.floor(F.col("us") / 1000)).otherwise(F.col("us")).alias("time"))
+    return feed.select("row", market.epoch_micros(F.col("time")).alias("at"))
+
+
 @query("h12_decimal_text", """SELECT c_custkey, regexp_replace(regexp_replace(CAST(CAST(c_acctbal AS DECIMAL(18, 4)) AS VARCHAR), '(\\.[0-9]*?)0+$', '\\1'), '\\.$', '') AS text FROM customer""")
 def decimal_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", market.decimal_text(F.col("c_acctbal").cast("decimal(18,4)")).alias("text"))
@@ -237,6 +260,17 @@ def json_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- models
 
 
+@query("m08_folds", f"""WITH {PREDS}, d AS (SELECT day, row_number() OVER (ORDER BY day) - 1 AS i FROM (SELECT DISTINCT day FROM preds))
+  SELECT 'expanding' AS kind, day, CAST(i AS BIGINT) AS n_train, (SELECT min(day) FROM d) AS first_train FROM d WHERE i >= 12
+  UNION ALL SELECT 'rolling', a.day, CAST(6 AS BIGINT), b.day FROM d a JOIN d b ON b.i = a.i - 6 WHERE a.i >= 12""")
+def folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which days each validation day is trained on; no later day is ever among them."""
+    days = [r.day for r in preds(spark, sf_dir).select("day").distinct().collect()]  # a row per day
+    kinds = {"expanding": models.expanding_folds(days, 12), "rolling": models.rolling_folds(days, 6, 12)}
+    rows = [(kind, day, len(train), train[0]) for kind, made in kinds.items() for train, day in made]
+    return spark.createDataFrame(rows, "kind string, day long, n_train long, first_train long")
+
+
 @query("m02_null_model", f"""WITH {PREDS}, {VALID}, m AS (SELECT avg(y) AS m FROM valid WHERE day < 19740) SELECT day, CAST(count(*) AS BIGINT) AS n, round(avg(abs(y - m)), 6) AS mae, round(sqrt(avg((y - m) * (y - m))), 6) AS rmse FROM valid, m WHERE day >= 19740 GROUP BY day""")
 def null_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ranks.pairwise_valid(preds(spark, sf_dir), "x", "y")
