@@ -31,7 +31,7 @@ URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net
 
 
 def op2_redirect_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_rules.verdicts(_table(spark, sf_dir, "pages"), URL_RULES)
+    return url_rules.verdicts(_table(spark, sf_dir, "pages"), URL_RULES, same_page=url_rules.exact_key)  # aliases by edges only
 
 
 def op3_va_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,21 +1,24 @@
 """URL rules, propagated to aliases over redirects and canonical links.
 
 A rule is a host and the start of a path; it fits the host and its subdomains, and the
-longest fitting rule judges a url (of equal ones allow before block).  A page's aliases are
-the pages connected with it through ``<link rel=canonical>`` and ``<meta http-equiv=refresh>``
-targets, or through urls that differ only in scheme, www or m prefix, fragment, tracking
-parameters, trailing slash or ``.html``.  Components are found in a distributed way.  A page
-without a rule of its own is allowed if a rule allows anything in its component, else
-blocked if a rule blocks anything there, else allowed: an explicit allow takes precedence.
+longest fitting rule judges a url (of equal ones allow before block, then the smaller text).
+A page's aliases are the pages connected with it through its ``<link rel=canonical>`` and
+``<meta http-equiv=refresh>`` targets and given redirects, where ``same_page`` says which urls
+are one page: ``exact_key`` holds only what differs in the fragment or the host's case for
+one, ``alias_key`` also what differs in scheme, www or m prefix, tracking parameters,
+trailing slash or ``.html``.  Components are found in a distributed way.  A page without a
+rule of its own is allowed if a rule allows anything in its component, else blocked if a
+rule blocks anything there, else allowed: an explicit allow takes precedence.
 
 Only DataFrame functions.  Defined results: a null url, or one without ``://``, has an empty
-host and path, fits no rule and is allowed; null html has no links; repeated rows get equal
-verdicts; null page_ids stay; other columns are ignored.
+host and path, fits no rule and is allowed; null html has no links; a tag lasts to the next
+``>``, whatever its length, and all tags count; repeated rows get equal verdicts; null
+page_ids stay; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,8 +29,9 @@ from .store import keep
 #: Rules up to this number become one expression; more are joined as a table.
 INLINE_RULES = 200
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_TAG = r"""(?i)<{0}\b[^>]{{0,2000}}?\b{1}\s*=\s*["']?{2}\b[^>]{{0,2000}}>"""
-CANONICAL, REFRESH = _TAG.format("link", "rel", "canonical"), _TAG.format("meta", "http-equiv", "refresh")
+TAG = r"(?i)<(?:link|meta)\b[^>]*+>"
+CANONICAL, REFRESH = r"""(?is)^<link\b.*\brel\s*=\s*["']?canonical\b""", r"""(?is)^<meta\b.*\bhttp-equiv\s*=\s*["']?refresh\b"""
+HREF, TARGET = r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)""", r"""(?i)\burl\s*=\s*["']?([^"'\s>;]+)"""
 
 
 def parse(url: Column) -> tuple[Column, Column]:
@@ -74,11 +78,19 @@ def judge_by_table(urls: DataFrame, rules: DataFrame) -> DataFrame:
     asked = pairs.select("host", "path", F.explode(suffixes).alias("_host"), F.array(*map(F.lit, sorted(lengths))).alias("n"))
     asked = asked.select("host", "path", "_host", F.explode(F.filter("n", lambda n: n <= F.length("path"))).alias("n"))
     asked = asked.withColumn("_path", F.expr("substring(path, 1, n)"))
-    best = F.max_by(F.struct("rule", "decision"), F.struct(F.length("rule"), F.col("decision") == "allow", "rule"))
+    best = F.min_by(F.struct("rule", "decision"), F.struct(-F.length("rule"), F.col("decision") != "allow", "rule"))
     found = asked.join(rules, ["_host", "_path"]).groupBy("host", "path").agg(best.alias("best"))
     return urls.join(found, ["host", "path"], "left").withColumns({"rule": F.col("best.rule"), "decision": F.col("best.decision")}).drop("best")
 
 
+def exact_key(url: Column) -> Column:
+    """The url without its fragment, its scheme and host in lower case."""
+    host, _ = parse(url)
+    scheme = F.translate(F.regexp_extract(url, r"(?s)^(.*?)://", 1), UPPER, LOWER)
+    rest = F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^#]*)", 1)
+    return F.when(host != "", F.concat(scheme, F.lit("://"), host, F.when(rest.startswith("/"), rest).otherwise(F.concat(F.lit("/"), rest))))
+
+
 def alias_key(url: Column) -> Column:
     """What urls of one page have in common."""
     host, path = parse(url)
@@ -104,27 +116,27 @@ def _target(href: Column, url: Column) -> Column:
 def links(pages: DataFrame) -> DataFrame:
     """(url, target) of canonical links and refreshes."""
     head = pages.where("html is not null and url is not null")
-    tags = F.array(
-        F.when(F.col("html").rlike("(?i)canonical"), F.regexp_extract(F.regexp_extract("html", CANONICAL, 0), r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)""", 1)),
-        F.when(F.col("html").rlike("(?i)http-equiv"), F.regexp_extract(F.regexp_extract("html", REFRESH, 0), r"""(?i)\burl\s*=\s*["']?([^"'\s>;]+)""", 1)),
-    )
-    found = head.select("url", F.explode(tags).alias("href")).where("href <> ''")
+    # what follows the last > holds no tag, so that each search for a tag's end succeeds and none is made twice
+    whole = F.left("html", F.length("html") - F.length(F.substring_index("html", ">", -1)))
+    tags = head.where(F.col("html").rlike("(?i)canonical|http-equiv")).select("url", F.explode(F.regexp_extract_all(whole, F.lit(TAG), F.lit(0))).alias("tag"))
+    href = F.when(F.col("tag").rlike(CANONICAL), F.regexp_extract("tag", HREF, 1)).when(F.col("tag").rlike(REFRESH), F.regexp_extract("tag", TARGET, 1))
+    found = tags.select("url", href.alias("href")).where("href <> ''")
     return found.select("url", _target(F.col("href"), F.col("url")).alias("target")).where("target is not null")
 
 
-def verdicts(pages: DataFrame, rules: Sequence[tuple[str, str]], redirects: DataFrame | None = None) -> DataFrame:
+def verdicts(pages: DataFrame, rules: Sequence[tuple[str, str]], redirects: DataFrame | None = None, same_page: Callable[[Column], Column] = alias_key) -> DataFrame:
     """page_id, host, path, rule and verdict of each page, and the component it was judged with.
 
     redirects: further (url, target) rows, such as those a crawler followed.
     """
     host, path = parse(F.col("url"))
-    own = pages.select("page_id", host.alias("host"), path.alias("path"), alias_key(F.col("url")).alias("key"))
+    own = pages.select("page_id", host.alias("host"), path.alias("path"), same_page(F.col("url")).alias("key"))
     own = keep(judge(own, rules), "judged")
     found = links(pages)
     if redirects is not None:
         found = found.union(redirects.select("url", "target"))
     host, path = parse(F.col("target"))
-    found = found.select(alias_key(F.col("url")).alias("src"), alias_key(F.col("target")).alias("dst"), host.alias("host"), path.alias("path"))
+    found = found.select(same_page(F.col("url")).alias("src"), same_page(F.col("target")).alias("dst"), host.alias("host"), path.alias("path"))
     found = keep(judge(found, rules), "links")
     heads = keep(connected_components(found), "heads").withColumnRenamed("node", "key")
 
