@@ -4,8 +4,9 @@ Components become integers, floor(scale * x).  A cell grid with ``cells`` steps
 dimension approximates every vector by one byte a component; blocks of such cells are
 scanned against blocks of queries, and the cell's sides bound each score from both sides.
 The k-th best lower bound of any block is a score that surely exists, so only vectors whose
-upper bound reaches the best of these are left.  Their exact vectors are read in the order
-of their upper bounds until the k-th score is certain.
+upper bound reaches the best of these are left.  Their exact vectors are fetched in the order
+of their upper bounds, a few of each query in the first round and more in later ones, until
+no vector is left whose bound reaches the k-th score.
 
 Equal vectors: only rows of the k + 1 smallest distinct ids of each distinct vector can be in
 a result (a query passes over its own id, and an id fills at most as many places as it has
@@ -15,8 +16,8 @@ rows; this drops no result.  Rows are numbered, and bounds go back to the row th
 Defined results: vectors null, empty, or holding null or non-finite components take no part,
 nor do rows without id; shorter vectors count as ending in zeros; each row is a candidate,
 also those of one id, with equal vectors or different ones; a query is the smallest vector
-of its id; ties go to the smaller id; a query with fewer candidates gets all; other columns
-are ignored.
+of its id; ties go to the smaller id; a query with fewer candidates gets all; components and
+scores beyond a long are held at its ends; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -67,7 +68,7 @@ def _packed(rows: DataFrame, name: str, blocks: int, low: np.ndarray, step: np.n
 
     def pack(key: tuple, table: pa.Table) -> pa.Table:
         m = _matrix(table.column("v"), width)
-        data = ((m - low) // step).astype(np.uint8) if approximate else m.astype(np.int64)
+        data = ((m - low) // step).astype(np.uint8) if approximate else m
         return pa.table({name: [key[0].as_py()], "ids": [table.column("vec_id").to_numpy().tobytes()], "rows": [table.column("row").to_numpy().tobytes()], "data": [data.tobytes()]}, pa.schema([(name, pa.int32()), ("ids", pa.binary()), ("rows", pa.binary()), ("data", pa.binary())]))
 
     dealt = rows.withColumn(name, F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int"))
@@ -76,16 +77,19 @@ def _packed(rows: DataFrame, name: str, blocks: int, low: np.ndarray, step: np.n
 
 def _bounds(pairs: DataFrame, k: int, low: np.ndarray, step: np.ndarray) -> DataFrame:
     """Per query and block: the k-th best lower bound, and what may reach it."""
-    width = len(low)
+    width, largest = len(low), np.maximum(np.abs(low), np.abs(low + step * 256))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 q_ids, c_ids, c_rows = (np.frombuffer(row[x], np.int64) for x in ("q_ids", "ids", "rows"))
-                q = np.frombuffer(row["q_data"], np.int64).reshape(-1, width).astype(np.float64)
+                q = np.frombuffer(row["q_data"], np.float64).reshape(-1, width)
                 least = low + np.frombuffer(row["data"], np.uint8).reshape(-1, width) * step
                 up, down, most = np.maximum(q, 0), np.minimum(q, 0), least + step - 1
                 ceiling, floor_ = up @ most.T + down @ least.T, up @ least.T + down @ most.T
+                size = np.abs(q) @ largest  # sums below 2^52 are exact
+                slack = np.where(size < 2.0**52, 0.0, size * width * 2.0**-50)[:, None]
+                ceiling, floor_ = ceiling + slack, floor_ - slack
                 own = q_ids[:, None] == c_ids[None, :]
                 ceiling[own] = floor_[own] = -np.inf
                 sure = np.full(len(q_ids), -np.inf) if len(c_ids) < k else np.partition(floor_, len(c_ids) - k, axis=1)[:, len(c_ids) - k]
@@ -98,25 +102,39 @@ def _bounds(pairs: DataFrame, k: int, low: np.ndarray, step: np.ndarray) -> Data
     return pairs.mapInArrow(run, BOUNDS)
 
 
-def _exact(rows: DataFrame, k: int) -> DataFrame:
-    """The k best of each query's rows (query_id, q, ceiling, vec_id, v), read while their ceilings can still reach."""
-
-    def read(key: tuple, table: pa.Table) -> pa.Table:
-        ids, ceiling = table.column("vec_id").to_numpy(), table.column("ceiling").to_numpy()
-        q = np.asarray(table.column("q")[0].as_py(), np.float64)
-        order = np.lexsort((ids, -ceiling))
-        vectors = table.column("v")
-        best: list[tuple[int, int]] = []
-        for at in range(0, len(order), 4 * k):
-            if len(best) >= k and -best[k - 1][0] > ceiling[order[at]]:
-                break  # ceilings fall from here on, and even equal scores are ruled out
-            part = order[at : at + 4 * k]
-            m = _matrix(vectors.take(pa.array(part)), len(q)) if len(q) else np.zeros((len(part), 0))
-            best = sorted(best + [(-int(s), int(i)) for s, i in zip(m @ q, ids[part])])[:k]
-        out = {"query_id": [key[0].as_py()] * len(best), "rank": range(1, len(best) + 1), "vec_id": [i for _, i in best], "score": [-s for s, _ in best]}
-        return pa.table({n: pa.array(x, pa.int32() if n == "rank" else pa.int64()) for n, x in out.items()})
+def _scores(rows: DataFrame) -> DataFrame:
+    """query_id, vec_id and exact score of rows (query_id, vec_id, q, v)."""
 
-    return rows.groupBy("query_id").applyInArrow(read, "query_id long, rank int, vec_id long, score long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            q, v = batch.column(2), batch.column(3)
+            width = int(max(np.diff(x.offsets.to_numpy()).max(initial=0) for x in (q, v)))
+            a, b = _matrix(q, width), _matrix(v, width)
+            scores = np.zeros(batch.num_rows, np.int64)
+            exact = (np.abs(a) * np.abs(b)).sum(1) < 2.0**52
+            scores[exact] = (a[exact] * b[exact]).sum(1)
+            for i in np.flatnonzero(~exact).tolist():
+                product = sum(x * y for x, y in zip(q[i].as_py(), v[i].as_py()))
+                scores[i] = max(-(2**63), min(2**63 - 1, product))
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(scores)], ["query_id", "vec_id", "score"])
+
+    return rows.select("query_id", "vec_id", "q", "v").mapInArrow(run, "query_id long, vec_id long, score long")
+
+
+def _read_in_order(left: DataFrame, candidates: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The k best of each query's survivors (query_id, row, ceiling), whose vectors are fetched while their ceilings can still reach."""
+    ranked = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    left = keep(left.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("ceiling").desc(), "row"))), "survivors")
+    asked, best, upto = queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), None, 4 * k
+    while best is None or not left.isEmpty():
+        scored = _scores(left.where(F.col("place") <= upto).select("query_id", "row").join(candidates, "row").join(asked, "query_id"))
+        best = scored if best is None else best.unionByName(scored)
+        best = keep(best.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).drop("rank"), "best")
+        sure = best.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("kth"))
+        rest = left.where(F.col("place") > upto).join(sure, "query_id", "left")
+        left = keep(rest.where(F.col("kth").isNull() | (F.col("ceiling") >= F.col("kth"))).select("query_id", "row", "ceiling", "place"), "survivors")
+        upto *= 16
+    return best.select("query_id", F.row_number().over(ranked).alias("rank"), "vec_id", "score")
 
 
 def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256, cells: int = 64, query_block: int = 512, block: int = 4096) -> DataFrame:
@@ -138,5 +156,4 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256, cel
     sure = found.groupBy("query_id").agg(F.max("floor_score").alias("sure"))
     left = found.select("query_id", F.explode(F.arrays_zip("row", "ceiling")).alias("x")).join(sure, "query_id").where(F.col("x.ceiling") >= F.col("sure"))
     left = left.select("query_id", F.col("x.row").alias("row"), F.col("x.ceiling").alias("ceiling"))
-    read = left.join(candidates, "row").join(queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
-    return _exact(read, k)
+    return _read_in_order(left, candidates, queries, k)
