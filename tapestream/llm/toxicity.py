@@ -7,8 +7,8 @@ w0 + sum w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j: pairs of terms that are toxic o
 get weight that a linear model can't give them.
 
 It is fitted on a bounded sample of labelled rows (``most_of_each`` of each label, in hash
-order): the sample's features are ranked by their G statistic and the best are kept, then
-weights are learned by Adam on mini-batches, and the intercept is set so that 0.7 is the
+order): Spark ranks the sample's features by their G statistic, and only each row's best
+features leave the executors, never its text; weights are learned by Adam on mini-batches, and the intercept is set so that 0.7 is the
 cut that does best on rows left out of the fit.  Every document is scored, in parallel.
 
 Defined results: null is an empty text, which gets the score of no features; repeated rows
@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
 from .packing import text_batches
+from .store import keep
 
 COUNTS = (1, 2, 3)
 BUCKETS = 1 << 24
@@ -125,42 +126,49 @@ def _held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def sample(docs: DataFrame, labels: DataFrame, most_of_each: int) -> pa.Table:
-    """toxic, whether to leave it out of the fit, and text, of at most ``most_of_each`` rows of each label."""
+def sample(docs: DataFrame, labels: DataFrame, most_of_each: int) -> DataFrame:
+    """doc_id, toxic, spare (to be left out of the fit) and features of at most ``most_of_each`` rows of each label."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in text_batches(whole):
+                lists = pa.array(feature_lists(batch.column(1)), pa.list_(pa.int32()))
+                yield pa.record_batch([batch.column(0), batch.column(2), batch.column(3), lists], ["doc_id", "toxic", "spare", "features"])
+
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.where(~_held_out(F.col("doc_id")))
     order = F.xxhash64("doc_id")
     picked = known.where("toxic = 1").orderBy(order, "doc_id").limit(most_of_each).union(known.where("toxic <> 1").orderBy(order, "doc_id").limit(most_of_each))
     spare = F.crc32(F.concat(F.lit("spare"), F.col("doc_id").cast("string")).cast("binary")) % 4 == 0
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])
-    return rows.select(F.col("toxic").cast("int").alias("toxic"), spare.alias("spare"), "text").toArrow()
+    rows = rows.select("doc_id", "text", (F.col("toxic") == 1).cast("int").alias("toxic"), spare.alias("spare"))
+    return keep(rows.mapInArrow(run, "doc_id long, toxic int, spare boolean, features array<int>"), "sample-features")
+
+
+def telling_features(rows: DataFrame, features: int) -> dict[int, int]:
+    """The features of rows (toxic, features) with the highest G statistics, above 8, and their places."""
+    n1, n0 = rows.agg(F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") != 1)).first()
+    stats = rows.select("toxic", F.explode("features").alias("f")).groupBy("f").agg(F.count_if(F.col("toxic") == 1).alias("a"), F.count_if(F.col("toxic") != 1).alias("b")).where("a + b >= 5")
+    share = (F.col("a") + F.col("b")) / (n1 + n0)
+
+    def part(seen: Column, expected: Column) -> Column:
+        return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
+
+    g = part(F.col("a"), n1 * share) + part(F.col("b"), n0 * share) + part(n1 - F.col("a"), n1 * (1 - share)) + part(n0 - F.col("b"), n0 * (1 - share))
+    best = stats.select("f", g.alias("g")).where("g > 8").orderBy(F.desc("g"), "f").limit(features).collect()
+    return {f: i for i, f in enumerate(sorted(r.f for r in best))}
 
 
 def fit(docs: DataFrame, labels: DataFrame, most_of_each: int = 4000, features: int = 2000, factors: int = 8) -> tuple[dict[int, int], FactorizationMachine] | None:
     rows = sample(docs, labels, most_of_each)
-    y = (rows["toxic"].to_numpy() == 1).astype(float)
-    spare = rows["spare"].to_numpy(zero_copy_only=False)
-    if not (0 < y[~spare].sum() < (~spare).sum()):
+    seen = {r.toxic for r in rows.where("not spare").select("toxic").distinct().collect()}
+    if seen != {0, 1}:
         return None
-    texts = rows["text"].combine_chunks()
-    lists = [x for k in range(0, len(texts), 500) for x in feature_lists(texts.slice(k, 500))]
-    seen = [np.unique(np.concatenate([x for x, one, out in zip(lists, y, spare) if one == kind and not out]), return_counts=True) for kind in (1.0, 0.0)]
-    every = np.union1d(seen[0][0], seen[1][0])
-    a, b = np.zeros(len(every), np.int64), np.zeros(len(every), np.int64)
-    for counts, (own, n) in zip((a, b), seen):
-        counts[np.searchsorted(every, own)] = n
-    n1, n0 = y[~spare].sum(), (1 - y[~spare]).sum()
-    share = (a + b) / (n1 + n0)
-
-    def part(seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
-        return np.where(seen > 0, seen * np.log(np.maximum(seen, 1) / np.maximum(expected, 1e-12)), 0.0)
-
-    g = part(a, n1 * share) + part(b, n0 * share) + part(n1 - a, n1 * (1 - share)) + part(n0 - b, n0 * (1 - share))
-    g[a + b < 5] = 0
-    best = np.argsort(-g, kind="stable")[:features]
-    best = best[g[best] > 8]
-    known = {int(f): i for i, f in enumerate(np.sort(every[best]))}
-    x = _padded([np.array([known[f] for f in own.tolist() if f in known], np.int64) for own in lists], len(known))
+    known = telling_features(rows.where("not spare"), features)
+    wanted = F.array(*map(F.lit, known)).cast("array<int>")
+    own = rows.select("doc_id", "toxic", "spare", F.array_intersect("features", wanted).alias("own")).toPandas().sort_values("doc_id")  # 2 * most_of_each rows at most
+    y, spare = own["toxic"].to_numpy(float), own["spare"].to_numpy(bool)
+    x = _padded([np.array(sorted(known[f] for f in fs), np.int64) for fs in own["own"]], len(known))
     machine = FactorizationMachine(len(known), factors)
     machine.fit(x[~spare], y[~spare])
     raw = machine.raw(x[spare]) if spare.any() else machine.raw(x)
