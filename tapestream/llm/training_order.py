@@ -1,13 +1,14 @@
 """Token sequences in training order, in shards of fixed stride.
 
-Documents become sequences of ``stride`` ids, the last one padded.  Sequences are numbered
-as they are written, and a keyed Feistel network over the next even number of bits, walked
-until it lands below the number of sequences, gives each a global slot: a permutation that
-any worker can compute for any sequence alone.  A shard is a range of slots; its file is its
+Documents become sequences of ``stride`` ids, the last one padded.  Sequences are numbered in
+the order of doc_id, piece and crc32 of their ids, whatever the partitions of the input, and
+a keyed Feistel network over the next even number of bits, walked until it lands below the
+number of sequences, gives each a global slot: a permutation that any worker can compute for
+any sequence alone.  A shard is a range of slots; its file is its
 sequences back to back, so slot s lies at byte (s - first) * stride * width, and a reader
 resumes anywhere with one seek.
 
-Recovery: ids and their numbers are written before slots are given, so a lost executor can't
+Recovery: ids and their places are written before slots are given, so a lost executor can't
 change them; shard files are written aside and renamed, and those already there are left if
 size and crc32 are those of the new content.
 
@@ -35,7 +36,9 @@ from .tokens import word_tokenizer
 #: Pads a sequence; no id of a vocabulary that fits 16 bits.
 PAD = 0xFFFF
 WIDTH = 2
-SEQUENCES = "doc_id long, piece int, n_tokens int, ids binary, part int, place long"
+SEQUENCES = "doc_id long, piece int, n_tokens int, ids binary, crc long, part int, place int"
+#: Slots of up to so many sequences are broadcast to the tables of ids; beyond, both sides are shuffled by part and place.
+BROADCAST_SLOTS = 5_000_000
 
 
 def feistel(index: np.ndarray, n: int, key: int, rounds: int = 4) -> np.ndarray:
@@ -60,7 +63,7 @@ def feistel(index: np.ndarray, n: int, key: int, rounds: int = 4) -> np.ndarray:
 
 
 def sequences(docs: DataFrame, tokenizer: str, stride: int, end_id: int) -> DataFrame:
-    """doc_id, piece, n_tokens, ids (little-endian uint16, not padded), and where each was written."""
+    """doc_id, piece, n_tokens, ids (little-endian uint16, not padded), their crc32, and where each was written."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, part, place = word_tokenizer(tokenizer), TaskContext.get().partitionId(), 0
@@ -74,28 +77,36 @@ def sequences(docs: DataFrame, tokenizer: str, stride: int, end_id: int) -> Data
                     data = ids[first:last].tobytes() + end_id.to_bytes(WIDTH, "little")
                     for piece, start in enumerate(range(0, len(data), stride * WIDTH)):
                         own = data[start : start + stride * WIDTH]
-                        rows.append((doc, piece, len(own) // WIDTH, own, part, place))
+                        rows.append((doc, piece, len(own) // WIDTH, own, zlib.crc32(own), part, place))
                         place += 1
-                types = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.int64())
+                types = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.int32())
                 columns = list(zip(*rows)) if rows else [()] * len(types)
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types)], ["doc_id", "piece", "n_tokens", "ids", "part", "place"])
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types)], ["doc_id", "piece", "n_tokens", "ids", "crc", "part", "place"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, SEQUENCES)
 
 
 def training_order(docs: DataFrame, tokenizer: str, stride: int = 512, end_id: int = 1, shard_rows: int = 16384, key: int = 11) -> DataFrame:
     """slot, shard, byte_offset, doc_id, piece, n_tokens and ids (padded to the stride), in slot order within shards."""
-    rows = keep(sequences(docs, tokenizer, stride, end_id), "sequences")
-    parts = rows.groupBy("part").count()
-    before = F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("count")
-    parts = keep(parts.select("part", before.alias("before"), "count"), "parts")  # a row per writing task
-    n = parts.agg(F.sum("count")).first()[0] or 0
+    rows = keep(sequences(docs, tokenizer, stride, end_id), "sequences", "zstd")
+    keys = rows.select("doc_id", "piece", "crc", "part", "place").repartitionByRange("doc_id", "piece", "crc")
+    keys = keep(keys.withColumn("range", F.spark_partition_id()), "sequence-keys")
+    ranges = keys.groupBy("range").count()
+    before = F.sum("count").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("count")
+    ranges = keep(ranges.select("range", before.alias("before"), "count"), "ranges")  # a row per sorting task
+    n = ranges.agg(F.sum("count")).first()[0] or 0
 
     @F.pandas_udf("long")
     def slot(index: pd.Series) -> pd.Series:
         return pd.Series(feistel(index.to_numpy(), n, key))
 
-    placed = rows.join(F.broadcast(parts), "part").withColumn("slot", slot(F.col("before") + F.col("place")))
+    index = F.row_number().over(Window.partitionBy("range").orderBy("doc_id", "piece", "crc", "part", "place")) - 1
+    slots = keys.join(F.broadcast(ranges), "range").withColumn("index", (F.col("before") + index).cast("long")).select("part", "place", slot("index").alias("slot"))
+    if n <= BROADCAST_SLOTS:  # a list per writing task
+        lists = slots.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("place", "slot"))).alias("slots")).select("part", F.col("slots.slot").alias("slots"))
+        placed = rows.join(F.broadcast(keep(lists, "slots")), "part").withColumn("slot", F.get("slots", "place")).drop("slots")
+    else:
+        placed = rows.join(slots, ["part", "place"])
     placed = placed.withColumn("shard", F.floor(F.col("slot") / shard_rows).cast("int"))
     shards = max(1, -(-n // shard_rows))
     dealt = placed.select("slot", "shard", "doc_id", "piece", "n_tokens", "ids").repartitionByRange(shards, "shard").sortWithinPartitions("slot")
@@ -137,49 +148,42 @@ def _writer(uri: str, each: bool = False):
                     crc = zlib.crc32(data, crc)
             return crc
 
-        def read_back(rows: list[tuple], number: int) -> pa.RecordBatch:
-            shard(rows, number)
-            with files.open_input_file(f"{base}/shard-{number:05d}.bin") as f:
-                data = memoryview(f.read())
-            found = [(slot, number, at, doc, piece, n, zlib.crc32(data[at : at + len(ids)])) for at, ids, slot, doc, piece, n in rows]
-            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
-            return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*found), types)], ["slot", "shard", "byte_offset", "doc_id", "piece", "n_tokens", "crc32"])
-
-        def shard(rows: list[tuple], number: int) -> tuple[int, int, int, int, bool]:
+        def shard(rows: pa.Table, number: int) -> pa.RecordBatch:
             name = f"{base}/shard-{number:05d}.bin"
-            size, crc = sum(len(x) for _, x, *_ in rows), 0
-            for _, x, *_ in rows:
+            ids = [memoryview(x.as_buffer()) for chunk in rows.column("ids").chunks for x in chunk]
+            size, crc = sum(map(len, ids)), 0
+            for x in ids:
                 crc = zlib.crc32(x, crc)
             there = files.get_file_info(name)
-            if there.type == fs.FileType.File and there.size == size and file_crc(name) == crc:
-                return number, len(rows), size, crc, False
-            aside = f"{name}.{TaskContext.get().taskAttemptId()}"
-            with files.open_output_stream(aside) as out:
-                for _, x, *_ in rows:
-                    out.write(x)
-            files.move(aside, name)
-            return number, len(rows), size, crc, True
-
-        done, own, at = [], [], None
+            kept = there.type == fs.FileType.File and there.size == size and file_crc(name) == crc
+            if not kept:
+                aside = f"{name}.{TaskContext.get().taskAttemptId()}"
+                with files.open_output_stream(aside, buffer_size=1 << 20) as out:
+                    for x in ids:
+                        out.write(x)
+                files.move(aside, name)
+            if not each:
+                return pa.record_batch([[number], [len(ids)], [size], [crc], [not kept]], pa.schema([("shard", pa.int32()), ("n_sequences", pa.int64()), ("n_bytes", pa.int64()), ("crc32", pa.int64()), ("written", pa.bool_())]))
+            with files.open_input_file(name) as f:
+                data = memoryview(f.read())
+            crcs = [zlib.crc32(data[at : at + len(x)]) for at, x in zip(rows.column("byte_offset").to_pylist(), ids)]
+            names = ["slot", "shard", "byte_offset", "doc_id", "piece", "n_tokens"]
+            return pa.record_batch([*(rows.column(c).combine_chunks() for c in names), pa.array(crcs, pa.int64())], [*names, "crc32"])
+
+        own: list[pa.RecordBatch] = []
+        at = None
         for batch in batches:
-            for number, *row in zip(*(column.to_pylist() for column in batch.columns)):
-                if number != at and own:
-                    if each:
-                        yield read_back(own, at)
-                    else:
-                        done.append(shard(own, at))
-                    own = []
-                at = number
-                own.append(row)
-        if own and each:
-            yield read_back(own, at)
-        elif own:
-            done.append(shard(own, at))
-        if each:
-            return
-        types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
-        columns = list(zip(*done)) if done else [()] * len(types)
-        yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types)], ["shard", "n_sequences", "n_bytes", "crc32", "written"])
+            numbers = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), len(numbers)]
+            for first, last in zip(cuts[:-1], cuts[1:]):
+                if last > first:
+                    if own and numbers[first] != at:
+                        yield shard(pa.Table.from_batches(own), at)
+                        own = []
+                    at = int(numbers[first])
+                    own.append(batch.slice(first, last - first))
+        if own:
+            yield shard(pa.Table.from_batches(own), at)
 
     return write
 
