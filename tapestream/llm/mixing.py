@@ -2,7 +2,8 @@
 
 Targets: sources in code point order (null last) weigh ``weights`` in turn and share
 ``share`` times all words; none gets more than ``most`` times its own, and the excess is
-shared anew by weight.  That is one level L with targets min(weight * L, most * size).
+shared anew by weight.  That is one level L with targets min(weight * L, most * size), found
+by a few aggregates, each with more sources at their most.
 
 Blocks: documents of a source are hashed into blocks of about ``block_words`` words, so the
 largest source is many small groups.  A source's draws are its blocks in one keyed order
@@ -12,7 +13,9 @@ taken in part.
 Shards: a binary tree parts the vector of the sources' draw counts.  At each node the left
 half's counts are a multivariate hypergeometric sample of the node's, seeded by the node, so
 each shard's task walks down to its own leaf alone and all leaves together use every draw
-once.  Shards are then shuffled locally by a keyed order.
+once.  Shards are then shuffled locally by a keyed order.  More sources than ``WIDEST`` are
+split in two steps: groups of sources among the shards, then each group's sources among its
+shares of them; that is the same distribution.
 
 Defined results: a word is what lies between ASCII blanks; null texts have size 0 and
 nothing is taken of them; null is a source; equal rows differ only in which is taken at the
@@ -31,28 +34,44 @@ from pyspark.sql import functions as F
 from .quality import WORD
 from .store import keep
 
-#: Source totals go to every task; more sources than this are refused.
-MAX_SOURCES = 100_000
+#: Sources, or groups of them, whose draw counts one task holds.
+WIDEST = 100_000
+#: A source's draws are put in order in so many parts.
+PARTS_BITS = 6
+#: Sources up to this number are broadcast to their documents.
+BROADCAST_SOURCES = 500_000
 
 
 def word_count(text: str | Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
+def numbered(sources: DataFrame) -> DataFrame:
+    """sources with n_source, their place (from 1) in code point order, null last: ranges, and a count for each."""
+    last = F.col("source").isNull()
+    ranged = sources.repartitionByRange(last, F.coalesce("source", F.lit(""))).withColumn("_part", F.spark_partition_id())
+    ranged = keep(ranged, "ranged")
+    parts = ranged.groupBy("_part").count()
+    before = F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))  # a row per range
+    parts = parts.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(F.col("source").asc_nulls_last()))
+    return ranged.join(F.broadcast(parts), "_part").select(*sources.columns, (F.col("_before") + place).alias("n_source"))
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """source, source_size, target of each source of sizes (source, size); one row per source is all that is ordered."""
-    totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    turn = F.get(F.array(*map(F.lit, weights)), (F.row_number().over(by_name) - 1) % len(weights))
-    by_limit = Window.orderBy("_limit", "source")
-    rows = totals.withColumn("_weight", turn.cast("double")).withColumn("_cap", most * F.col("source_size"))
-    rows = rows.withColumn("_limit", F.col("_cap") / F.col("_weight"))
-    before = F.coalesce(F.sum("_cap").over(by_limit.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    behind = F.sum("_weight").over(by_limit.rowsBetween(0, Window.unboundedFollowing))
-    rows = rows.withColumn("_level", (share * F.sum("source_size").over(Window.partitionBy()) - before) / behind)
-    # the first source in order of its limit that the level doesn't fill ends the search
-    level = F.coalesce(F.min(F.when(F.col("_level") <= F.col("_limit"), F.struct("_limit", "_level"))).over(Window.partitionBy())["_level"], F.max("_limit").over(Window.partitionBy()))
-    return rows.select("source", "source_size", F.least(F.col("_weight") * level, F.col("_cap")).alias("target"))
+    """source, source_size, target and n_source of each source of sizes (source, size)."""
+    rows = numbered(sizes.groupBy("source").agg(F.sum("size").alias("source_size")))
+    weight = F.get(F.array(*map(F.lit, weights)), ((F.col("n_source") - 1) % len(weights)).cast("int")).cast("double")
+    rows = keep(rows.withColumns({"_weight": weight, "_cap": most * F.col("source_size")}), "weighed")
+    total, level, full = share * float(rows.agg(F.sum("source_size")).first()[0] or 0), -1.0, 0
+    while True:
+        over = F.col("_weight") * level > F.col("_cap")
+        now, caps, weighs = rows.agg(F.count_if(over), F.sum(F.when(over, F.col("_cap"))), F.sum(F.when(~over, F.col("_weight")))).first()
+        if level >= 0 and now == full or not weighs:
+            break
+        level, full = (total - (caps or 0.0)) / weighs, now
+    target = F.least(F.col("_weight") * level, F.col("_cap")) if weighs else F.col("_cap")
+    return rows.select("source", "source_size", target.alias("target"), "n_source")
 
 
 def leaf_counts(quotas: np.ndarray, shard: int, shards: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -72,19 +91,61 @@ def leaf_counts(quotas: np.ndarray, shard: int, shards: int, seed: int) -> tuple
     return first, counts
 
 
-def _dealt(draws: DataFrame, shards: int, seed: int) -> DataFrame:
-    """(n_source, draw, shard) for each draw, from one small task per shard."""
-    quotas = draws.groupBy("n_source").count().orderBy("n_source").toPandas()  # a row per source
-    numbers, counts = quotas["n_source"].to_numpy(), quotas["count"].to_numpy()
+def shares(quotas: np.ndarray, room: np.ndarray, seed: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Shard, first draw and number of draws of each source, where shard i has ``room[i]`` of all draws: the whole tree."""
+    upto = np.concatenate([[0], np.cumsum(room)])
+    todo = [(0, len(room), np.zeros(len(quotas), np.int64), quotas.astype(np.int64))]
+    while todo:
+        low, high, first, counts = todo.pop()
+        if not counts.any():
+            continue
+        if high - low == 1:
+            yield low, first, counts
+            continue
+        middle = (low + high) // 2
+        rng = np.random.default_rng([*seed, low, high])
+        left = rng.multivariate_hypergeometric(counts, int(upto[middle] - upto[low]), method="marginals")
+        todo += [(middle, high, first + left, counts - left), (low, middle, first, left)]
+
+
+DEALT = "n_source long, draw long, shard long"
+
+
+def _listed(numbers: np.ndarray, first: np.ndarray, own: np.ndarray, shard: int) -> pa.RecordBatch:
+    draw = np.arange(own.sum()) + np.repeat(first - (np.cumsum(own) - own), own)
+    return pa.record_batch([pa.array(np.repeat(numbers, own), pa.int64()), pa.array(draw, pa.int64()), pa.array(np.full(len(draw), shard), pa.int64())], ["n_source", "draw", "shard"])
+
+
+def _by_shard(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
+    """(n_source, draw, shard) for each draw of quotas (n_source, count; WIDEST rows at most), from one small task per shard."""
+    rows = quotas.orderBy("n_source").toPandas()
+    numbers, counts = rows["n_source"].to_numpy(np.int64), rows["count"].to_numpy(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for shard in batch.column(0).to_pylist():
-                first, own = leaf_counts(counts, shard, shards, seed)
-                draw = np.arange(own.sum()) + np.repeat(first - (np.cumsum(own) - own), own)
-                yield pa.record_batch([pa.array(np.repeat(numbers, own), pa.int64()), pa.array(draw, pa.int64()), pa.array(np.full(len(draw), shard), pa.int64())], ["n_source", "draw", "shard"])
+                yield _listed(numbers, *leaf_counts(counts, shard, shards, seed), shard)
+
+    return quotas.sparkSession.range(shards).mapInArrow(run, DEALT)
+
+
+def _dealt(draws: DataFrame, shards: int, seed: int, widest: int = WIDEST) -> DataFrame:
+    """(n_source, draw, shard) for each draw."""
+    quotas = keep(draws.groupBy("n_source").count(), "quotas")
+    if (n := quotas.count()) <= widest:
+        return _by_shard(quotas, shards, seed)
+    groups = -(-n // widest) * 4  # groups of sources stay below the bound too; their number is this one's n
+    quotas = quotas.withColumn("_g", F.pmod(F.xxhash64(F.lit(seed), "n_source"), F.lit(groups)))
+    rooms = _by_shard(quotas.groupBy(F.col("_g").alias("n_source")).agg(F.sum("count").alias("count")), shards, seed)
+    rooms = rooms.groupBy(F.col("n_source").alias("_g"), "shard").count()
 
-    return draws.sparkSession.range(shards).mapInArrow(run, "n_source long, draw long, shard long")
+    def split(key: tuple, own: pa.Table, room: pa.Table) -> pa.Table:
+        own, room = own.sort_by("n_source"), room.sort_by("shard")
+        numbers, counts, at = own["n_source"].to_numpy(), own["count"].to_numpy(), room["shard"].to_numpy()
+        parts = [_listed(numbers, first, n, int(at[i])) for i, first, n in shares(counts, room["count"].to_numpy(), [seed, key[0].as_py()])]
+        return pa.Table.from_batches(parts, pa.schema([(c, pa.int64()) for c in ("n_source", "draw", "shard")]))
+
+    return quotas.groupBy("_g").cogroup(rooms.groupBy("_g")).applyInArrow(split, DEALT)
 
 
 def takes(
@@ -103,22 +164,25 @@ def takes(
     """
     sizes = docs.select(F.xxhash64("doc_id", "text").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "source", word_count("text").alias("size"))
     sizes = keep(sizes, "sizes")
-    sources = keep(targets(sizes, weights, share, most).withColumn("n_source", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())).cast("long")), "sources")
-    if sources.count() > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    small = F.broadcast(sources.withColumnRenamed("source", "_source"))  # MAX_SOURCES rows at most
+    sources = keep(targets(sizes, weights, share, most), "sources").withColumnRenamed("source", "_source")
+    small = F.broadcast(sources) if sources.count() <= BROADCAST_SOURCES else sources
     placed = sizes.join(small, F.col("source").eqNullSafe(F.col("_source")), "left").drop("source", "_source")
     blocks = F.greatest(F.lit(1), F.ceil(F.col("source_size") / block_words))
     placed = keep(placed.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "row"), blocks)), "placed")
 
     totals = placed.groupBy("n_source", "block").agg(F.sum("size").alias("words"), F.first("target").alias("target"))
     passes = totals.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(int(np.ceil(most)) - 1))))
-    order = Window.partitionBy("n_source").orderBy("epoch", F.xxhash64(F.lit(seed), "epoch", "n_source", "block"), "block")
-    start = F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("words")
-    draws = passes.withColumns({"start": start, "draw": (F.row_number().over(order) - 1).cast("long")})
-    draws = draws.withColumn("room", F.least(F.round("target").cast("long") - F.col("start"), F.col("words"))).where("room > 0")
+    order = F.xxhash64(F.lit(seed), "epoch", "n_source", "block")
+    passes = keep(passes.withColumns({"order": order, "part": F.shiftright(order, 64 - PARTS_BITS)}), "passes")
+    # the largest source's blocks are put in order by many tasks: part by part of their hashes
+    sums = passes.groupBy("n_source", "epoch", "part").agg(F.sum("words").alias("part_words"), F.count_if(F.col("words") > 0).alias("part_draws"))
+    ahead = Window.partitionBy("n_source").orderBy("epoch", "part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("n_source", "epoch", "part", *[F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(c) for c in ("part_words", "part_draws")])
+    within = Window.partitionBy("n_source", "epoch", "part").orderBy("order", "block").rowsBetween(Window.unboundedPreceding, 0)
     # blocks of no words stay out, and draws are numbered without gaps
-    draws = draws.withColumn("draw", (F.row_number().over(Window.partitionBy("n_source").orderBy("draw")) - 1).cast("long"))
+    draws = passes.where("words > 0").join(sums, ["n_source", "epoch", "part"])
+    draws = draws.withColumns({"start": F.col("part_words") + F.sum("words").over(within) - F.col("words"), "draw": F.col("part_draws") + F.count("*").over(within) - 1})
+    draws = draws.withColumn("room", F.least(F.round("target").cast("long") - F.col("start"), F.col("words"))).where("room > 0")
     draws = keep(draws.select("n_source", "block", "draw", "epoch", "room", "words"), "draws")
     shards = max(1, -(-draws.count() // shard_blocks))
     draws = draws.join(_dealt(draws, shards, seed), ["n_source", "draw"])
