@@ -97,7 +97,9 @@ def _occurrences(docs: DataFrame, host: str) -> DataFrame:
 
 def copies(docs: DataFrame, digests: DataFrame) -> DataFrame:
     """(digest, copy_of) of the given texts that have near copies; copy_of is the class's smallest digest."""
-    rows = docs.select(F.xxhash64(_text()).alias("digest"), _text().alias("_t")).join(digests, "digest", "left_semi")
+    digests = keep(digests, "line-holder-digests")
+    few = digests.count() <= BROADCAST_LINES
+    rows = docs.select(F.xxhash64(_text()).alias("digest"), _text().alias("_t")).join(F.broadcast(digests) if few else digests, "digest", "left_semi")
     rows = rows.withColumn("_w", F.regexp_extract_all("_t", F.lit(WORD), F.lit(0)))
     kmers = F.transform(F.sequence(F.lit(0), F.size("_w") - WINDOW), lambda i: F.xxhash64(*[F.get("_w", i + j) for j in range(WINDOW)]))
     kmers = F.when(F.size("_w") >= WINDOW, kmers).otherwise(F.array(F.xxhash64("_w")))
@@ -126,8 +128,9 @@ def boilerplate(docs: DataFrame, host: str = "source", max_docs: int = 20) -> Da
     holders = keep(holders.join(several, "key"), "line-holders")
     classes = copies(docs, holders.select("digest").distinct())
     counted = holders.join(classes, "digest", "left").select("key", F.coalesce("copy_of", "digest").alias("copy_of")).distinct()
-    above = counted.groupBy("key").count().where(F.col("count") > max_docs).select("key")
-    return seen.join(above, "key").select("doc_id", "digest", "place", "key", "chars")
+    above = keep(counted.groupBy("key").count().where(F.col("count") > max_docs).select("key"), "lines-above")
+    few = above.count() <= BROADCAST_LINES
+    return seen.join(F.broadcast(above) if few else above, "key").select("doc_id", "digest", "place", "key", "chars")
 
 
 def judge(docs: DataFrame, host: str = "source", max_docs: int = 20, min_left: float = 0.2) -> DataFrame:
