@@ -37,6 +37,7 @@ def text_batches(batch: pa.RecordBatch, rows: int = ROWS, size: int = BYTES) ->
     step = max(1, min(rows, int(batch.num_rows * size / max(1, batch.column(1).nbytes))))
     for k in range(0, batch.num_rows, step):
         yield batch.slice(k, step)
+    pa.default_memory_pool().release_unused()  # workers outlive their stage
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, with_ids: bool = False) -> DataFrame:

@@ -156,5 +156,6 @@ def redact(docs: DataFrame, novelty: float = 0.55, size: int = 4000) -> DataFram
                     sizes = [n if a == b else len(b) for n, a, b in zip(batch.column(length).to_pylist(), old, new)]
                     columns[length] = pa.array(sizes, batch.schema.field(length).type)
                 yield pa.record_batch(columns, schema=batch.schema)
+            pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(run, docs.schema)

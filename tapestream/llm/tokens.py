@@ -16,12 +16,13 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-MEMO_WORDS = 600_000
+MEMO_WORDS = 300_000
 END, BETWEEN = "\x00", "\x01"
 WORD_END = "</w>"
 
@@ -39,10 +40,8 @@ class WordTokenizer:
     def __init__(self, path: str, memo_words: int = MEMO_WORDS) -> None:
         import regex
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         if spec["model"].get("end_of_word_suffix") != WORD_END:
@@ -61,6 +60,15 @@ class WordTokenizer:
         self.memo_words = memo_words
         self._clear()
 
+    @cached_property
+    def tokenizer(self):
+        """The library's own, which few words need."""
+        from tokenizers import Tokenizer
+
+        found = Tokenizer.from_file(self.path)
+        found.encode_special_tokens = True
+        return found
+
     def _clear(self) -> None:
         self.places: dict[str, int] = {}
         self.lengths = np.zeros(0, np.int64)
