@@ -235,3 +235,171 @@ def test_pipeline_runs_and_keeps_its_contract(spark):
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
     assert packed.where("piece = 0").count() == total
     assert pytest.approx(1.5, abs=0.1) == docs.selectExpr("sum(size(split(text, ' ')))").first()[0] / sum(len(t.split()) for t in texts)
+
+
+def test_a_doc_id_with_several_texts_loses_none(spark):
+    rng = random.Random(21)
+    a, b, c = (" ".join("".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(30)) for _ in range(3))
+    rows = [(3, a, "x"), (5, a, "x"), (5, b, "x"), (8, b, "x"), (9, c, "x"), (9, c, "x"), (None, a, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, label string")
+    out = sorted((r.doc_id or -1, r.class_id or -1, r.class_size or -1, r.kept) for r in near_dup.near_duplicate_classes(docs).collect())
+    assert out == [(-1, -1, -1, False), (3, 3, 4, True), (5, 3, 4, False), (5, 3, 4, True), (8, 3, 4, False), (9, 9, 2, True), (9, 9, 2, True)]
+    kept = near_dup.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id or -1), r.text) for r in kept.collect()) == sorted([(3, a), (5, b), (9, c), (-1, a)])
+
+
+def test_slices_of_a_bucket_meet_each_other(spark, monkeypatch):
+    rng = random.Random(22)
+    base = ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(200)]
+    texts = []
+    for _ in range(40):  # a family at about 0.6, with pairs at 0.9 inside
+        own = [w if rng.random() > 0.05 else str(rng.random())[2:8] for w in base]
+        texts += [" ".join(own), " ".join(own[:-4])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = classes_by_brute_force(texts)
+    monkeypatch.setattr(near_dup, "SLICE", 2000)
+    monkeypatch.setattr(near_dup, "PARTNERS", 1)
+    got = {r.doc_id: r.class_id for r in near_dup.near_duplicate_classes(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_local_stars_keep_components(spark):
+    rng = random.Random(23)
+    edges = [(rng.randint(0, 80), rng.randint(0, 80)) for _ in range(70)] + [(None, 4)]
+    frame = spark.createDataFrame(edges, "src long, dst long")
+    want = {r.node: r.component for r in connected_components(frame).collect()}
+    from tapestream.llm.components import local_stars
+
+    for share in (5, 1000):
+        found = {r.node: r.component for r in connected_components(local_stars(frame, share)).collect()}
+        assert found == {k: v for k, v in want.items() if k in found} and all(want[k] == k for k in want if k not in found)
+
+
+def test_equal_lengths_choose_the_same_rule_in_both_forms(spark):
+    rng = random.Random(24)
+    urls = spark.createDataFrame([(".".join(rng.choice("ab") for _ in range(3)), "/" + "".join(rng.choice("xy/") for _ in range(5))) for _ in range(300)] + [("x.com", "/abcd")], "host string, path string")
+    rules = {("block", "com/abcd"), ("block", "x.com/ab")}
+    for _ in range(80):
+        rules.add((rng.choice(["allow", "block"]), ".".join(rng.choice("ab") for _ in range(rng.randint(1, 3))) + "/" + "".join(rng.choice("xy/") for _ in range(rng.randint(0, 3)))))
+    rules = sorted(rules)
+
+    def plain(host, path):
+        fits = [(-len(r), v != "allow", r, v) for v, r in rules for h, p in [r.split("/", 1)] if (host == h or host.endswith("." + h)) and path.startswith("/" + p)]
+        return min(fits)[2:] if fits else (None, None)
+
+    table = spark.createDataFrame(rules, "decision string, rule string")
+    for found in (url_rules.judge(urls, rules), url_rules.judge_by_table(urls, table)):
+        rows = found.collect()
+        assert all((r.rule, r.decision) == plain(r.host, r.path) for r in rows) and any(r.rule == "com/abcd" for r in rows)
+
+
+def test_aliases_by_edges_only_and_tags_of_any_length(spark):
+    pages = [
+        (1, "http://a.fr/1", f'<link rel="canonical" data-x="{"y" * 5000}" href="http://q.org/es/1">'),
+        (2, "http://a.fr/2", '<link rel=stylesheet href="/s.css"><link rel="canonical" href="http://b.fr/x"><LINK REL="canonical" HREF="http://q.org/es/2">'),
+        (3, "http://a.fr/3", "<link " * 3000 + '<meta http-equiv=refresh content="0; url=http://q.org/es/3">'),
+        (4, "http://www.a.fr/1", None), (5, "http://a.fr/1?utm_source=x", None), (6, "http://a.fr/1#top", None), (7, "http://b.fr/x", None), (8, "http://c.fr/open", "<link " * 5000),
+    ]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r.verdict for r in url_rules.verdicts(frame, URL_RULES, same_page=url_rules.exact_key).collect()}
+    assert got == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "allow", 6: "block", 7: "block", 8: "allow"}
+
+
+def test_redirect_equivalence_against_a_plain_version(spark):
+    import re
+
+    from tapestream.llm import queries
+
+    sf_dir = "/root/testdata/sf0.001"
+    pages = [(r.page_id, r.url, r.html) for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
+
+    def parts(url):
+        m = re.match(r"(?s)^(.*?)://([^/?#]*)([^?#]*)", url or "")
+        return (m[2].lower(), m[3]) if m else ("", "")
+
+    def rule_of(url):
+        host, path = parts(url)
+        fits = [(-len(r), v != "allow", r, v) for v, r in URL_RULES for h, p in [r.split("/", 1)] if (host == h or host.endswith("." + h)) and path.startswith("/" + p)]
+        return min(fits)[2:] if fits else (None, None)
+
+    def key(url):
+        m = re.match(r"(?s)^(.*?)://([^/?#]*)([^#]*)", url)
+        return m and m[2] and f"{m[1].lower()}://{m[2].lower()}{m[3] if m[3].startswith('/') else '/' + m[3]}"
+
+    def absolute(href, url):
+        site = re.match(r"[^:]*://[^/?#]*", url)[0]
+        folder = re.match(r"[^?#]*/", url)[0]
+        return href if re.match(r"(?i)[a-z][a-z0-9+.-]*://", href) else url.split(":")[0] + ":" + href if href.startswith("//") else site + href if href.startswith("/") else folder + href
+
+    group, votes = {}, {}
+
+    def root(x):
+        while group.setdefault(x, x) != x:
+            x = group[x]
+        return x
+
+    urls = [u for _, u, _ in pages if u and "://" in u]
+    for _, url, html in pages:
+        for tag in re.findall(r"(?i)<(?:link|meta)\b[^>]*>", html or ""):
+            form = r"""href\s*=\s*["']?([^"'\s>]+)""" if re.search(r"""(?is)^<link\b.*\brel\s*=\s*["']?canonical\b""", tag) else r"""\burl\s*=\s*["']?([^"'\s>;]+)""" if re.search(r"""(?is)^<meta\b.*\bhttp-equiv\s*=\s*["']?refresh\b""", tag) else None
+            m = form and re.search("(?i)" + form, tag)
+            if m and url and "://" in url:
+                urls.append(absolute(m[1], url))
+                a, b = key(url), key(urls[-1])
+                if a and b:
+                    group[root(a)] = root(b)
+    for url in urls:
+        if key(url) and rule_of(url)[1]:
+            votes.setdefault(root(key(url)), set()).add(rule_of(url)[1])
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in queries.op2_redirect_equivalence(spark, sf_dir).collect()}
+    for page, url, _ in pages:
+        rule, verdict = rule_of(url)
+        if verdict is None:
+            own = votes.get(root(key(url)), set()) if url and "://" in url and key(url) else set()
+            verdict = "block" if own == {"block"} else "allow"
+        assert got[page] == (*parts(url), rule, verdict), url
+
+
+def test_pipeline_on_odd_rows(spark):
+    import corpus_pipeline
+
+    odd = [None, "", " \n ", "a", "é😂 ñ", "x" * 30_000, "word " * 30_000, "one two three four five six seven eight nine ten " * 2]
+    rng = random.Random(25)
+    texts = odd + [" ".join("".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(60)) for _ in range(20)]
+    rows = [(i, t, "en", None if i % 3 else "b", len(t or ""), i, "x", 1) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame([*rows, rows[10], (None, texts[11], "en", "b", 1, 1, "x", 1)], "doc_id long, text string, lang string, source string, n_chars long, node long, label string, key int")
+    for frame in (docs, docs.limit(0)):
+        out = frame
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, out, "")
+            assert out.columns == docs.columns
+        packed = corpus_pipeline.STAGES[-1][1](spark, out, "")
+        assert packed.where("piece = 0").count() == out.count()
+        assert frame is docs or out.count() == 0
+
+
+def test_exact_search_holds_huge_components(spark):
+    rows = [(0, [1e300, 2.0]), (1, [1.0, 1.0]), (2, [-1e300, 5.0]), (3, [3e15, 1.0]), (4, [3e15, 2.0]), (50, [3e15, -1.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    top, low = 2**63 - 1, -(2**63)
+    v = {i: [max(low, min(top, int(x * 256))) for x in e] for i, e in rows}
+    want = []
+    for q in (0, 50):
+        best = sorted((-max(low, min(top, sum(a * b for a, b in zip(v[q], v[i])))), i) for i in v if i != q)[:5]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in va_topk.top_k(frame).collect()) == want
+
+
+def test_a_run_removes_what_its_stages_kept(spark):
+    import os
+
+    import corpus_pipeline
+    from tapestream.llm import store
+
+    before = set(store._made)
+    packed = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert packed.where("offset = 0").count() > 0 and packed.selectExpr("max(offset + length)").first()[0] <= 4096
+    assert len(set(store._made) - before) == len(corpus_pipeline.STAGES)
+    left = [p for p in set(store._made) - before if os.path.exists(p.removeprefix("file://"))]
+    assert len(left) == 1

@@ -291,3 +291,80 @@ def test_the_training_order_query_writes_its_shards(spark, tmp_path, monkeypatch
     assert len(files) == len(rows) and [r.slot for r in rows] == list(range(len(rows)))
     assert [r.crc32 for r in rows] == [zlib.crc32(x) for x in files]
     assert all(r.byte_offset == (r.slot - r.shard * 16384) * 1024 for r in rows)
+
+
+def test_bootstrapping_goes_on_from_what_it_found(spark):
+    texts = [f"please write to user{i}@mail.example.com now" for i in range(100)] + ["please write to user7(at)mail.example.com now"]
+    texts += [f"you may call me on +49 170 {1000000 + i} before noon" for i in range(100)]
+    first = len(texts)
+    texts += [f"you may call me on 0170-{5000 + i} before noon" for i in range(8)]  # another shape, in the phones' context
+    second = len(texts)
+    texts += [f"the emergency line is 0170-{5000 + i} tonight only" for i in range(8)]  # a context without seeds
+    third = len(texts)
+    texts += ["the emergency line is 0199-77 tonight only", "the emergency line is 0198-76 tonight only"]  # seen nowhere else
+    clean = len(texts)
+    texts += [f"there were {i} of them in the house, id {i} ref {i + 1}" for i in range(60)] + ["call me on 5 " + "word " * 5000, "7 " * 3000]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    out = {r.doc_id: r for r in pii.find(frame).collect()}
+    for i, t in enumerate(texts):
+        want = personal(t)
+        assert out[i].base_sha256 == hashlib.sha256(want.encode()).hexdigest()
+    assert out[100].n_found == 1 and out[100].spans == f"found:16:{16 + len('user7(at)mail.example.com')}"
+    assert all(out[i].n_found == 1 for i in range(first, clean))
+    assert {out[i].spans for i in range(third, clean)} == {"found:22:29"}
+    assert not any(out[i].n_found for i in range(clean, clean + 60)) and out[clean + 61].n_found == 0
+    one = {r.doc_id: r.n_found for r in pii.find(frame, rounds=1).collect()}
+    assert all(one[i] for i in range(first, second)) and not any(one[i] for i in range(second, third + 2))
+
+
+def test_many_sources_are_split_in_two_steps(spark):
+    rng = random.Random(31)
+    counts = {i: rng.randint(1, 9) for i in range(1, 60)}
+    draws = spark.createDataFrame([(i, d) for i, n in counts.items() for d in range(n)], "n_source long, draw long")
+    for widest in (1000, 7):
+        dealt = [tuple(r) for r in mixing._dealt(draws, 5, 3, widest).select("n_source", "draw", "shard").collect()]
+        assert sorted(d[:2] for d in dealt) == sorted((i, d) for i, n in counts.items() for d in range(n))
+        sizes = Counter(d[2] for d in dealt)
+        assert max(sizes.values()) - min(sizes.values()) <= 1 and len(sizes) == 5
+
+
+def test_base_spans_of_secrets_on_random_texts(spark):
+    rng = random.Random(41)
+    forms = [(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6, "assign"), (r"AKIA[A-Z0-9]+", 0, 20, "access"), (r"[0-9a-f]+", 0, 24, "hex")]
+    pieces = ["password", "ToKen", "api_key", "apikey", "SECRET", "=", ":", " ", "'", '"', "AKIA", "ABCDEFGHIJKLMNOP", "0123456789abcdef", "deadbeef", "é😂", "xyz", "\n", "K", "._-"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(1, 40))) for _ in range(300)]
+    out = {r.doc_id: r for r in secrets.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, text in enumerate(texts):
+        found = []
+        for k, (form, group, least, kind) in enumerate(forms):
+            own = [m for m in re.finditer(form, text, re.I | re.A if kind == "assign" else re.A) if m.end(group) - m.start(group) >= least]
+            assert out[i][f"n_{kind}"] == len(own)
+            found += [(m.start(), k, f"{kind}:{m.start()}:{m.end()}") for m in own]
+        listed = ",".join(x for *_, x in sorted(found))
+        assert out[i].base_sha256 == hashlib.sha256(listed.encode()).hexdigest(), text
+        assert ",".join(x for x in out[i].spans.split(",") if not x.startswith("novel")) == listed
+
+
+def test_training_order_is_that_of_the_rows_whatever_the_partitions(spark, monkeypatch):
+    docs = documents(spark, ODD)
+    rows = []
+    words = WordTokenizer(vocabulary())
+    for r in docs.select("doc_id", "text").collect():
+        ids = np.append(words.encode(pa.array([r.text], pa.string()))[0], 1).astype("<u2")
+        for piece, start in enumerate(range(0, len(ids), 64)):
+            own = ids[start : start + 64]
+            rows.append((-1 if r.doc_id is None else r.doc_id, piece, zlib.crc32(own.tobytes()), np.concatenate([own, np.full(64 - len(own), training_order.PAD)]).astype("<u2").tobytes()))
+    slots = training_order.feistel(np.arange(len(rows)), len(rows), 11)
+    want = dict(zip(slots.tolist(), [r[3] for r in sorted(rows, key=lambda r: r[:3])]))
+    for n, most in ((1, 5_000_000), (5, 5_000_000), (3, 10)):
+        monkeypatch.setattr(training_order, "BROADCAST_SLOTS", most)
+        found = training_order.training_order(docs.repartition(n), vocabulary(), stride=64, shard_rows=50).select("slot", "ids").collect()
+        assert {r.slot: bytes(r.ids) for r in found} == want and len(found) == len(want)
+
+
+def test_mixes_of_odd_tables(spark):
+    long = "w " * 200_000
+    docs = documents(spark, [*ODD, long])
+    report = {r.doc_id: r for r in mixing.mix_report(docs).collect()}
+    assert report[len(ODD)].size == 200_000 and report[0].size == report[0].taken == 0
+    assert sum(r.taken for r in mixing.mix_report(docs).collect()) == pytest.approx(sum(r.size for r in mixing.mix_report(docs).collect()) * 1.5, abs=3)
