@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tapestream.llm import mixing, near_dup, packing, quality, secrets
 from tapestream.llm.queries import vocabulary
-from tapestream.llm.store import keep
+from tapestream.llm.store import forget, keep_alone
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -50,8 +50,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in order over documents, each written and read again."""
+    """The stages in order over documents, each written and read again; what a stage kept goes when it is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    last = None
     for name, stage in STAGES:
-        docs = keep(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = keep_alone(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if last is not None:
+            forget(last)
+        last = docs
     return docs
