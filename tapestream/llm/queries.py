@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, near_dup, packing, pii, quality, secrets, toxicity, training_order, url_rules, va_topk
+from . import byte_bpe, mixing, near_dup, packing, pii, quality, secrets, toxicity, training_order, url_rules, va_topk
 from .store import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,6 +68,13 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicate_classes(_table(spark, sf_dir, "documents"))
 
 
+def op12_two_tier_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return byte_bpe.digests(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
 QUERIES: dict[str, Query] = {
     "op1_secret_novelty": op1_secret_novelty,
     "op2_redirect_equivalence": op2_redirect_equivalence,
@@ -79,5 +86,6 @@ QUERIES: dict[str, Query] = {
     "op8_bootstrapped_pii": op8_bootstrapped_pii,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_order_minhash": op10_order_minhash,
+    "op12_two_tier_bpe": op12_two_tier_bpe,
 }
 ORACLE_SQL: dict[str, str] = {}
