@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, mixing, near_dup, packing, pii, quality, secrets, toxicity, training_order, url_rules, va_topk
+from . import alignment, byte_bpe, mixing, near_dup, packing, pii, quality, secrets, toxicity, training_order, url_rules, va_topk
 from .store import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,6 +68,13 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicate_classes(_table(spark, sf_dir, "documents"))
 
 
+def op11_postings_cogroup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    a, b = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return alignment.align(_table(spark, sf_dir, "documents"), a, b, public_tokenizers.PATTERN)
+
+
 def op12_two_tier_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -86,6 +93,7 @@ QUERIES: dict[str, Query] = {
     "op8_bootstrapped_pii": op8_bootstrapped_pii,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_order_minhash": op10_order_minhash,
+    "op11_postings_cogroup": op11_postings_cogroup,
     "op12_two_tier_bpe": op12_two_tier_bpe,
 }
 ORACLE_SQL: dict[str, str] = {}

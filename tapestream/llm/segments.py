@@ -18,11 +18,11 @@ CUT = re.compile(r"(?<=\S) (?=\S)")
 MEMO_SEGMENTS, MEMO_CHARS = 300_000, 16_000_000
 
 
-def split(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
+def split(texts: pa.Array, lead: str = "") -> tuple[np.ndarray, list[str], np.ndarray]:
     """Which distinct segment stands where, the distinct segments, and each text's bounds.
 
-    All but a text's first segment begin with a space.  Null and the empty text are one
-    empty segment.
+    All but a text's first segment begin with a space; the first one is put after ``lead``, a
+    space or nothing.  Null and the empty text are one empty segment.
     """
     texts = pc.fill_null(texts.cast(pa.string()), "")
     words = pc.split_pattern(texts, " ")
@@ -41,16 +41,16 @@ def split(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
     blank = np.fromiter((not w or w[0].isspace() or w[-1].isspace() for w in known), bool, len(known))
     beside = np.concatenate([[0], np.cumsum(blank[codes])]) if len(codes) else np.zeros(1, np.int64)
     odd = beside[bounds[1:]] > beside[bounds[:-1]]  # texts where a space may be no cut
-    starts = bounds[:-1]
-    codes = codes.copy()
-    codes[starts] = [place(known[c]) for c in codes[starts].tolist()]
+    if not lead:
+        codes, starts = codes.copy(), bounds[:-1]
+        codes[starts] = [place(known[c]) for c in codes[starts].tolist()]
     if not odd.any():
         return codes, distinct, bounds
     parts = []
     for i, one in enumerate(odd.tolist()):
         if one:
             head, *rest = CUT.split(texts[i].as_py())
-            parts.append(np.array([place(head), *(place(" " + s) for s in rest)]))
+            parts.append(np.array([place(lead + head), *(place(" " + s) for s in rest)]))
         else:
             parts.append(codes[bounds[i] : bounds[i + 1]])
     return np.concatenate(parts), distinct, np.concatenate([[0], np.cumsum([len(p) for p in parts])])

@@ -27,7 +27,7 @@ END, BETWEEN = "\x00", "\x01"
 WORD_END = "</w>"
 
 
-def _byte_symbols() -> dict[str, int]:
+def byte_symbols() -> dict[str, int]:
     """Byte-level vocabularies write printable Latin-1 bytes as themselves, the rest from U+0100 on."""
     plain = {b for b in range(256) if chr(b).isprintable() and not chr(b).isspace()}
     rest = [b for b in range(256) if b not in plain]
@@ -48,7 +48,7 @@ class WordTokenizer:
             raise ValueError(f"{path}: not a vocabulary with word ends")
         special = {t["content"] for t in spec["added_tokens"]}
         pieces = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        symbols = _byte_symbols()
+        symbols = byte_symbols()
         ranks = {}
         for token, i in spec["model"]["vocab"].items():
             if token not in special:

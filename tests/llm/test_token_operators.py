@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 import tiktoken
 
-from tapestream.llm import byte_bpe, segments
+from tapestream.llm import alignment, byte_bpe, segments
 from tapestream.llm.queries import QUERIES
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, ids long, a int, b int, n int"
@@ -42,6 +42,8 @@ def test_segments_are_the_texts():
     for text, a, b in zip(texts, bounds[:-1], bounds[1:]):
         own = [distinct[c] for c in codes[a:b]]
         assert "".join(own) == (text or "") and [s[1:] if i else s for i, s in enumerate(own)] == segments.CUT.split(text or "")
+    codes, distinct, bounds = segments.split(pa.array(texts), " ")
+    assert ["".join(distinct[c] for c in codes[a:b]) for a, b in zip(bounds[:-1], bounds[1:])] == [" " + (t or "") for t in texts]
     assert segments.split(pa.array([], pa.string()))[2].tolist() == [0]
 
 
@@ -98,3 +100,73 @@ def test_digests_of_odd_rows_and_the_query(spark, multi):
     back = byte_bpe.decode(byte_bpe.encode(docs, path, public_tokenizers.PATTERN), path, public_tokenizers.PATTERN)
     assert Counter((r.doc_id, bytes(r.text)) for r in back.collect()) == Counter((r.doc_id, (r.text or "").encode()) for r in docs.collect())
     assert Counter(map(tuple, QUERIES["op12_two_tier_bpe"](spark, SF).collect())) == want(spark.read.parquet(f"{SF}/documents.parquet").collect())
+
+
+@pytest.fixture(scope="module")
+def sides():
+    from sentencepiece import SentencePieceProcessor
+    from tokenizers import Tokenizer
+
+    path_a, path_b = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    a, b = Tokenizer.from_file(path_a), SentencePieceProcessor(model_file=path_b)
+    a.encode_special_tokens = True
+    with open(path_a, encoding="utf-8") as f:
+        vocab = {i: t for t, i in json.load(f)["model"]["vocab"].items()}
+    printable = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    rest = [b for b in range(256) if b not in printable]
+    symbols = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+    def encode(text):
+        ids_a, ids_b = a.encode(" " + text, add_special_tokens=False).ids, b.encode(text)
+        parts_a = [bytes(symbols[c] for c in vocab[i]) for i in ids_a]
+        parts_b = [bytes([int(p[3:5], 16)]) if b.is_byte(i) else p.replace("▁", " ").encode() for i, p in ((i, b.id_to_piece(i)) for i in ids_b)]
+        return ids_a, ids_b, parts_a, parts_b
+
+    return path_a, path_b, encode
+
+
+def aligned_by_brute_force(rows, encode):
+    """Each row's result as a tuple in the order of the columns."""
+    found, holders = [], Counter()
+    for r in rows:
+        groups, text = [], r.text or ""
+        if text:
+            ids_a, ids_b, parts_a, parts_b = encode(text)
+            if b"".join(parts_a) == b"".join(parts_b) == b" " + text.encode():
+                ends_a, ends_b = np.cumsum([len(p) for p in parts_a]), np.cumsum([len(p) for p in parts_b])
+                both = sorted(set(ends_a.tolist()) & set(ends_b.tolist()))
+                groups = [([], []) for _ in both]
+                for side, (ids, ends) in enumerate(((ids_a, ends_a), (ids_b, ends_b))):
+                    for i, g in zip(ids, np.searchsorted(both, ends)):
+                        groups[g][side].append(i)
+        links = [(a, b) for own_a, own_b in groups for a in own_a for b in own_b]
+        holders.update(set(links))
+        found.append((r.doc_id, groups, links))
+    most = Counter()
+    for (a, _), n in holders.items():
+        most[a] = max(most[a], n)
+    out = []
+    for doc, groups, links in found:
+        text = ";".join(f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b in groups)
+        best = sum(holders[x] == most[x[0]] for x in links)
+        out.append((doc, sum(len(a) for a, _ in groups), sum(len(b) for _, b in groups), len(groups), len(links), best, sum(holders[x] for x in links), sha(text) if groups else ""))
+    return Counter(out)
+
+
+def test_alignment_against_brute_force(spark, sides):
+    path_a, path_b, encode = sides
+    for docs, more in ((documents(spark, ODD), {}), (documents(spark, ODD + random_texts(400)).repartition(5), {"share_blocks": 1}), (documents(spark, random_texts(300, 8)).repartition(3), {"buckets": 7, "share_blocks": 2})):
+        got = alignment.align(docs, path_a, path_b, public_tokenizers.PATTERN, **more)
+        assert got.columns == ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
+        assert Counter(map(tuple, got.collect())) == aligned_by_brute_force(docs.collect(), encode)
+    assert alignment.align(documents(spark, ODD).limit(0), path_a, path_b, public_tokenizers.PATTERN).count() == 0
+
+
+def test_the_alignment_query_against_brute_force(spark, sides):
+    got = QUERIES["op11_postings_cogroup"](spark, SF).collect()
+    assert Counter(map(tuple, got)) == aligned_by_brute_force(spark.read.parquet(f"{SF}/documents.parquet").collect(), sides[2])
+
+
+def test_packed_numbers_come_back():
+    for numbers in ([], [0], [255, 0], [256], [70_000, 1], [2**40, 3]):
+        assert alignment.unpacked(alignment.packed(np.array(numbers, np.int64))).tolist() == numbers
