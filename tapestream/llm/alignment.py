@@ -34,7 +34,7 @@ import json
 import re
 from collections import Counter
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -120,34 +120,25 @@ def groups(ids_a: list[int], ids_b: list[int], ends_a: list[int], ends_b: list[i
         first_a, first_b = i, j
 
 
+#: Of a segment: tokens of A and B, groups, links, whether the bytes differ; the groups as text; keys of its id pairs, and how often each is linked.
+Added = tuple[tuple[int, int, int, int, int], str, tuple[int, ...], tuple[int, ...]]
+
+
 class Segments:
     """What each segment adds to its document, remembered."""
 
     def __init__(self, sides: Sides, buckets: int) -> None:
-        self.sides, self.buckets = sides, buckets
+        self.sides, self.buckets, self.memo = sides, buckets, segments.Memo()
         self.per_bucket = -(-sides.n_a // buckets) * sides.n_b
-        self._clear()
-
-    def _clear(self) -> None:
-        self.places: dict[str, int] = {}
-        self.chars, self.text = 0, []
-        self.figures = np.zeros((0, 5), np.int64)  # tokens of A, of B, groups, links, whether the bytes differ
-        self.lengths, self.starts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.keys, self.times = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def key(self, a: int, b: int) -> int:
         """A number of the pair, in order of bucket (a modulo the buckets), then a, then b."""
         return a % self.buckets * self.per_bucket + a // self.buckets * self.sides.n_b + b
 
-    def _remember(self, new: list[str]) -> None:
-        figures, lengths, keys, times = [], [], [], []
-        for place, (segment, (ids_a, ids_b, ends_a, ends_b)) in enumerate(zip(new, self.sides.encode([s[1:] for s in new])), len(self.text)):
-            self.places[segment] = place
-            self.chars += len(segment)
+    def _make(self, new: list[str]) -> Iterator[Added]:
+        for ids_a, ids_b, ends_a, ends_b in self.sides.encode([s[1:] for s in new]):
             if ends_a is None:
-                figures.append((0, 0, 0, 0, 1))
-                self.text.append("")
-                lengths.append(0)
+                yield (0, 0, 0, 0, 1), "", (), ()
                 continue
             texts, links = [], 0
             pairs: Counter = Counter()
@@ -161,26 +152,14 @@ class Segments:
                     for a, n in Counter(own_a).items():
                         for b, m in several_b:
                             pairs[self.key(a, b)] += n * m
-            figures.append((len(ids_a), len(ids_b), len(texts), links, 0))
-            self.text.append(";".join(texts))
-            lengths.append(len(pairs))
-            keys += pairs.keys()
-            times += pairs.values()
-        lengths = np.array(lengths, np.int64)
-        self.starts = np.concatenate([self.starts, len(self.keys) + np.cumsum(lengths) - lengths])
-        self.lengths = np.concatenate([self.lengths, lengths])
-        self.figures = np.concatenate([self.figures, np.array(figures, np.int64).reshape(-1, 5)])
-        self.keys, self.times = np.concatenate([self.keys, np.array(keys, np.int64)]), np.concatenate([self.times, np.array(times, np.int64)])
-
-    def find(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the texts' segments, and each text's bounds in them."""
+            yield (len(ids_a), len(ids_b), len(texts), links, 0), ";".join(texts), tuple(pairs), tuple(pairs.values())
+
+    def find(self, texts: pa.Array) -> tuple[np.ndarray, list[Added], np.ndarray]:
+        """Which distinct segment stands where, what these add, and each text's bounds."""
         codes, distinct, bounds = segments.split(texts, " ")
-        misses = [s for s in dict.fromkeys(distinct) if s not in self.places]
-        if len(self.places) + len(misses) > segments.MEMO_SEGMENTS or self.chars > segments.MEMO_CHARS:
-            self._clear()
-            misses = list(dict.fromkeys(distinct))
-        self._remember(misses)
-        return np.fromiter(map(self.places.__getitem__, distinct), np.int64, len(distinct))[codes], bounds
+        distinct = distinct.to_pylist()
+        known = self.memo.fill(dict.fromkeys(distinct), self._make)
+        return codes, list(map(known.__getitem__, distinct)), bounds
 
 
 def _blocks(keys: np.ndarray, docs: np.ndarray, times: np.ndarray, per_bucket: int) -> Iterator[tuple[int, bytes, bytes, bytes, bytes]]:
@@ -201,31 +180,43 @@ def _blocks(keys: np.ndarray, docs: np.ndarray, times: np.ndarray, per_bucket: i
         yield int(distinct[a] // per_bucket), packed(np.diff(distinct[a:b], prepend=0)), packed(holders[a:b]), packed(docs[x:y]), packed(times[x:y])
 
 
+_loaded: dict[tuple, Segments] = {}
+
+
+def segments_of(path_a: str, path_b: str, pattern: str, buckets: int) -> Segments:
+    """The worker's tokenizers and memo for these files, made once."""
+    if (at := (path_a, path_b, pattern, buckets)) not in _loaded:
+        _loaded[at] = Segments(Sides(path_a, path_b, pattern), buckets)
+    return _loaded[at]
+
+
 def _written(docs: DataFrame, path_a: str, path_b: str, pattern: str, buckets: int) -> DataFrame:
     """A row per document with its figures (bucket -1), and a row per slice and bucket with the postings."""
     names = [c.split()[0] for c in WRITTEN.split(", ")]
     types = [pa.int32(), pa.int64(), pa.int32(), *[pa.int64()] * 5, pa.string(), *[pa.binary()] * 4]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Segments(Sides(path_a, path_b, pattern), buckets)
+        own = segments_of(path_a, path_b, pattern, buckets)
         number = TaskContext.get().partitionId() << 32
         for whole in batches:
             for batch in text_batches(whole):
-                at, bounds = own.find(batch.column(1))
-                total = np.concatenate([np.zeros((1, 5), np.int64), np.cumsum(own.figures[at], axis=0)])
+                codes, added, bounds = own.find(batch.column(1))
+                total = np.concatenate([np.zeros((1, 5), np.int64), np.cumsum(np.array([x[0] for x in added])[codes], axis=0)])
                 figures = total[bounds[1:]] - total[bounds[:-1]]
                 full = np.array([bool(t) for t in batch.column(1).to_pylist()], bool) & (figures[:, 4] == 0)
                 figures[~full] = 0
-                places, rows = at.tolist(), []
-                for i, (doc, a, b, some, own_figures) in enumerate(zip(batch.column(0).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), full.tolist(), figures[:, :4].tolist())):
-                    digest = hashlib.sha256(";".join(map(own.text.__getitem__, places[a:b])).encode()).hexdigest() if some else ""
-                    rows.append((-1, number, i, doc, *own_figures, digest, None, None, None, None))
+                places, texts, rows = codes.tolist(), [x[1] for x in added], []
+                for i, (doc, a, b, some, counts) in enumerate(zip(batch.column(0).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), full.tolist(), figures[:, :4].tolist())):
+                    digest = hashlib.sha256(";".join(map(texts.__getitem__, places[a:b])).encode()).hexdigest() if some else ""
+                    rows.append((-1, number, i, doc, *counts, digest, None, None, None, None))
                 of = np.repeat(np.arange(batch.num_rows), np.diff(bounds))
-                at, of = at[full[of]], of[full[of]]
-                lengths = own.lengths[at]
+                at, of = codes[full[of]], of[full[of]]
+                every = np.fromiter((len(x[2]) for x in added), np.int64, len(added))
+                keys, times = (np.fromiter(chain.from_iterable(x[c] for x in added), np.int64, int(every.sum())) for c in (2, 3))
+                starts, lengths = (np.cumsum(every) - every)[at], every[at]
                 ends = np.cumsum(lengths)
-                where = np.arange(ends[-1] if len(ends) else 0) + np.repeat(own.starts[at] - (ends - lengths), lengths)
-                for bucket, *data in _blocks(own.keys[where], np.repeat(of, lengths), own.times[where], own.per_bucket):
+                where = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
+                for bucket, *data in _blocks(keys[where], np.repeat(of, lengths), times[where], own.per_bucket):
                     rows.append((bucket, number, None, None, None, None, None, None, None, *data))
                 number += 1
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)

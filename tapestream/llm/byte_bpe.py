@@ -21,6 +21,7 @@ from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +30,12 @@ from xxhash import xxh3_64_intdigest
 from . import segments
 from .packing import text_batches
 
+# Two alternatives of the usual pattern, for letters and for other marks.
+LETTERS, MARKS = r" ?\p{L}+", r" ?[^\s\p{L}\p{N}]+"
+PLAIN = "^(?P<word> ?[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<mark>[.,]?)$"
+#: Bytes of text that are split and encoded at a time.
+SLICE = 16_000_000
+
 
 def read_ranks(path: str) -> dict[bytes, int]:
     """Tokens and ranks of a file with a base64 token and its rank in each line."""
@@ -106,6 +113,9 @@ class ByteBpe:
         if missing := [b for b in range(256) if bytes([b]) not in ranks]:
             raise ValueError(f"bytes without a token: {missing[:5]}")
         self.tokens = {rank: token for token, rank in ranks.items()}
+        kinds = pattern.split("|")
+        before = kinds[: kinds.index(LETTERS)] if LETTERS in kinds and MARKS in kinds else [""]
+        self.plain = all(k.startswith("'") for k in before)  # a word of letters is a piece, and a mark after it another
         keys = list(ranks)
         hashes = np.fromiter(map(xxh3_64_intdigest, keys), np.uint64, len(keys))
         self.slots = MinimalPerfectHash(hashes)
@@ -114,8 +124,7 @@ class ByteBpe:
         self.slot_token[at] = keys
         self.slot_rank = np.empty(len(keys), np.int64)
         self.slot_rank[at] = list(ranks.values())
-        self.memo: dict[str, list[int]] = {}
-        self.memo_chars = 0
+        self.memo = segments.Memo()
 
     def whole(self, pieces: list[bytes]) -> list[int | None]:
         """The id of each piece that is a token."""
@@ -158,58 +167,65 @@ class ByteBpe:
         return out
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        """Ids of each text; a bounded number of pre-tokens is remembered."""
-        pieces = [self.pieces.findall(t) for t in texts]
-        distinct = {p for own in pieces for p in own}
-        misses = [p for p in distinct if p not in self.memo]
-        if len(self.memo) + len(misses) > segments.MEMO_SEGMENTS or self.memo_chars > segments.MEMO_CHARS:
-            self.memo, self.memo_chars, misses = {}, 0, list(distinct)
-        flat = [p.encode() for p in misses]
-        for p, raw, found in zip(misses, flat, self.whole(flat)):
-            self.memo[p] = self.merge(raw) if found is None else [found]
-        self.memo_chars += sum(map(len, misses))
-        ids = self.memo
-        return [ids[own[0]] if len(own) == 1 else [i for p in own for i in ids[p]] for own in pieces]
+        """Ids of each text; pre-tokens are remembered."""
+        pieces = list(map(self.pieces.findall, texts))
+        known = self.memo.fill({p for own in pieces for p in own}, self._look_up)
+        return [[i for p in own for i in known[p][0]] for own in pieces]
+
+    def _look_up(self, pieces: list[str]) -> Iterator[tuple[tuple[int, ...], str, bytes]]:
+        """Of each piece its ids, the ids in decimal, and the bytes they decode to."""
+        raw = [p.encode() for p in pieces]
+        for piece, found in zip(raw, self.whole(raw)):
+            ids = tuple(self.merge(piece)) if found is None else (found,)
+            yield ids, ",".join(map(str, ids)), self.decode(ids)
+
+    def forms(self, distinct: pa.Array) -> tuple[np.ndarray, pa.Array, pa.Array]:
+        """Number of ids, the ids in decimal and the bytes they decode to, of each text."""
+        plain = pc.extract_regex(distinct, PLAIN) if self.plain else pa.nulls(len(distinct), pa.struct([("word", pa.large_string()), ("mark", pa.large_string())]))
+        is_plain = plain.is_valid()
+        order = np.argsort(~is_plain.to_numpy(zero_copy_only=False), kind="stable")  # plain ones first
+        words, marks = (plain.filter(is_plain).field(c) for c in range(2))
+        words, marks = words.dictionary_encode(), marks.dictionary_encode()
+        others = [self.pieces.findall(t) for t in distinct.filter(pc.invert(is_plain)).to_pylist()]
+        of_words, of_marks = words.dictionary.to_pylist(), marks.dictionary.to_pylist()
+        known = self.memo.fill({*of_words, *filter(None, of_marks), *(p for own in others for p in own)}, self._look_up)
+        nothing = (), "", b""
+
+        def columns(rows: list[tuple[tuple[int, ...], str, bytes]]) -> tuple[np.ndarray, pa.Array, pa.Array]:
+            ids, decimal, raw = zip(*rows) if rows else ((), (), ())
+            return np.fromiter(map(len, ids), np.int64, len(ids)), pa.array(decimal, pa.large_string()), pa.array(raw, pa.large_binary())
+
+        (n_word, in_word, raw_word), (n_mark, in_mark, raw_mark) = (columns([known[x] if x else nothing for x in own]) for own in (of_words, of_marks))
+        at, mark = words.indices, marks.indices
+        n = n_word[at.to_numpy()] + n_mark[mark.to_numpy()]
+        comma = pc.if_else(pc.equal(in_mark, ""), pa.scalar("", pa.large_string()), pa.scalar(",", pa.large_string()))
+        no = pa.scalar("", pa.large_string())
+        decimal = pc.binary_join_element_wise(in_word.take(at), comma.take(mark), in_mark.take(mark), no)
+        raw = pc.binary_join_element_wise(raw_word.take(at), raw_mark.take(mark), pa.scalar(b"", pa.large_binary()))
+        rest = [tuple(zip(*map(known.__getitem__, own))) if own else ((), ("",), ()) for own in others]
+        n = np.concatenate([n, np.array([sum(map(len, r[0])) for r in rest], np.int64)])
+        decimal = pa.concat_arrays([decimal, pa.array([",".join(r[1]) for r in rest], pa.large_string())])
+        raw = pa.concat_arrays([raw, pa.array([b"".join(r[2]) for r in rest], pa.large_binary())])
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        return n[back], decimal.take(pa.array(back)), raw.take(pa.array(back))
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
-class Digests:
-    """Per segment, remembered: number of ids, ids in decimal, decoded bytes."""
-
-    def __init__(self, bpe: ByteBpe) -> None:
-        self.bpe = bpe
-        self._clear()
-
-    def _clear(self) -> None:
-        self.places: dict[str, int] = {}
-        self.chars, self.n, self.decimal, self.decoded = 0, [], [], []
-
-    def _find(self, distinct: list[str]) -> np.ndarray:
-        misses = [s for s in distinct if s not in self.places]
-        if len(self.places) + len(misses) > segments.MEMO_SEGMENTS or self.chars > segments.MEMO_CHARS:
-            self._clear()
-            misses = distinct
-        for s, ids in zip(misses, self.bpe.encode(misses)):
-            self.places[s] = len(self.n)
-            self.chars += len(s)
-            self.n.append(len(ids))
-            self.decimal.append(",".join(map(str, ids)))
-            self.decoded.append(self.bpe.decode(ids))
-        return np.fromiter(map(self.places.__getitem__, distinct), np.int64, len(distinct))
-
-    def __call__(self, texts: pa.Array) -> tuple[list[int], list[str], list[str]]:
-        """Number of ids, digest of the ids and of the decoded bytes of each text."""
-        codes, distinct, bounds = segments.split(texts)
-        places = self._find(distinct)[codes]
-        counts = np.add.reduceat(np.array(self.n)[places], bounds[:-1]).tolist() if len(texts) else []
-        at, ids, decoded = places.tolist(), [], []
-        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-            own = at[a:b]
-            ids.append(hashlib.sha256(",".join(map(self.decimal.__getitem__, own)).encode()).hexdigest())
-            decoded.append(hashlib.sha256(b"".join(map(self.decoded.__getitem__, own))).hexdigest())
-        return counts, ids, decoded
+def text_digests(bpe: ByteBpe, texts: pa.Array) -> tuple[list[int], list[str], list[str]]:
+    """Number of ids, digest of the ids and of the bytes they decode to, of each text."""
+    if not len(texts):
+        return [], [], []
+    codes, distinct, bounds = segments.split(texts)
+    n, *forms = bpe.forms(distinct)
+    digests = []
+    for form, between in zip(forms, (",", b"")):
+        lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), form.take(pa.array(codes)))
+        joined = pc.binary_join(lists, pa.scalar(between, form.type))
+        digests.append([hashlib.sha256(x.as_buffer()).hexdigest() for x in joined])
+    return np.add.reduceat(n[codes], bounds[:-1]).tolist(), *digests
 
 
 _loaded: dict[tuple[str, str], ByteBpe] = {}
@@ -230,7 +246,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         for whole in batches:
             for batch in text_batches(whole):
                 codes, distinct, bounds = segments.split(batch.column(1))
-                ids = bpe.encode(distinct)
+                ids = bpe.encode(distinct.to_pylist())
                 rows = [[i for c in codes[a:b].tolist() for i in ids[c]] for a, b in zip(bounds[:-1], bounds[1:])]
                 yield pa.record_batch([batch.column(0), pa.array(rows, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
@@ -253,10 +269,10 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, and digests of ids and of the bytes they decode to, for each row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = Digests(byte_bpe(path, pattern))
+        bpe = byte_bpe(path, pattern)
         for whole in batches:
-            for batch in text_batches(whole):
-                n, ids, decoded = digest(batch.column(1))
+            for batch in text_batches(whole, 10_000, SLICE):
+                n, ids, decoded = text_digests(bpe, batch.column(1))
                 yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
