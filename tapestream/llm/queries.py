@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, byte_bpe, mixing, near_dup, packing, pii, quality, secrets, toxicity, training_order, url_rules, va_topk
+from . import alignment, byte_bpe, collocations, mixing, near_dup, packing, pii, quality, secrets, toxicity, training_order, url_rules, va_topk
 from .store import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,6 +82,10 @@ def op12_two_tier_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op13_apriori_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_secret_novelty": op1_secret_novelty,
     "op2_redirect_equivalence": op2_redirect_equivalence,
@@ -95,5 +99,6 @@ QUERIES: dict[str, Query] = {
     "op10_order_minhash": op10_order_minhash,
     "op11_postings_cogroup": op11_postings_cogroup,
     "op12_two_tier_bpe": op12_two_tier_bpe,
+    "op13_apriori_collocations": op13_apriori_collocations,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op13_apriori_collocations": collocations.SQL}

@@ -3,16 +3,18 @@
 import hashlib
 import json
 import random
+import re
 from collections import Counter
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
 import tiktoken
 
-from tapestream.llm import alignment, byte_bpe, segments
-from tapestream.llm.queries import QUERIES
+from tapestream.llm import alignment, byte_bpe, collocations, segments
+from tapestream.llm.queries import ORACLE_SQL, QUERIES
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, ids long, a int, b int, n int"
 SF = "/root/testdata/sf0.001"
@@ -39,10 +41,12 @@ def sha(data):
 def test_segments_are_the_texts():
     texts = ODD + random_texts(500)
     codes, distinct, bounds = segments.split(pa.array(texts))
+    distinct = distinct.to_pylist()
     for text, a, b in zip(texts, bounds[:-1], bounds[1:]):
         own = [distinct[c] for c in codes[a:b]]
         assert "".join(own) == (text or "") and [s[1:] if i else s for i, s in enumerate(own)] == segments.CUT.split(text or "")
     codes, distinct, bounds = segments.split(pa.array(texts), " ")
+    distinct = distinct.to_pylist()
     assert ["".join(distinct[c] for c in codes[a:b]) for a, b in zip(bounds[:-1], bounds[1:])] == [" " + (t or "") for t in texts]
     assert segments.split(pa.array([], pa.string()))[2].tolist() == [0]
 
@@ -71,8 +75,9 @@ def test_ids_are_the_library_s(multi, monkeypatch):
     texts = [t or "" for t in ODD + random_texts(3000)]
     assert bpe.encode(texts) == [library.encode_ordinary(t) for t in texts]
     assert all(bpe.decode(ids) == t.encode() for t, ids in zip(texts, bpe.encode(texts)))
-    monkeypatch.setattr(segments, "MEMO_SEGMENTS", 40)  # the memo is emptied over and over
-    assert bpe.encode(texts) == [library.encode_ordinary(t) for t in texts]
+    monkeypatch.setattr(segments, "MEMO_ENTRIES", 40)  # a new generation each time
+    for k in range(0, len(texts), 50):
+        assert bpe.encode(texts[k : k + 50]) == [library.encode_ordinary(t) for t in texts[k : k + 50]]
 
 
 def test_hostile_runs_take_no_square_time(multi):
@@ -170,3 +175,77 @@ def test_the_alignment_query_against_brute_force(spark, sides):
 def test_packed_numbers_come_back():
     for numbers in ([], [0], [255, 0], [256], [70_000, 1], [2**40, 3]):
         assert alignment.unpacked(alignment.packed(np.array(numbers, np.int64))).tolist() == numbers
+
+
+def collocations_by_brute_force(rows, least, longest=4, first=2000, absorbed=80):
+    counts, totals = Counter(), Counter()
+    for r in rows:
+        lang = "und" if r.lang is None else r.lang
+        lower = re.sub("[A-Z]", lambda m: m[0].lower(), r.text or "")
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", lower):
+            words = re.findall(r"[^\x20\x09]+", piece)
+            totals[lang] += len(words)
+            counts.update((lang, *words[i : i + k]) for k in range(1, longest + 1) for i in range(len(words) - k + 1))
+    frequent = {key: a for key, a in counts.items() if len(key) > 2 and a >= least}
+    rows = {}
+    for key, a in frequent.items():
+        lang, words = key[0], key[1:]
+        holders = [f for other, f in frequent.items() if other[0] == lang and len(other) > len(key) and any(other[i : i + len(words)] == words for i in range(1, len(other)))]
+        if not any(100 * f >= absorbed * a for f in holders):
+            cuts = [(2_000_000 * a // (counts[(lang, *words[:k])] + counts[(lang, *words[k:])]), k) for k in range(1, len(words))]
+            score, k = min(cuts)
+            rows.setdefault(lang, []).append((-score, -a, " ".join(words).encode(), counts[(lang, *words[:k])], counts[(lang, *words[k:])]))
+    out = Counter()
+    for lang, own in rows.items():
+        for rank, (score, a, phrase, left, right) in enumerate(sorted(own)[:first], 1):
+            out[(lang, rank, phrase.decode(), -a, left, right, totals[lang], -score)] += 1
+    return out
+
+
+def phrases(n, seed, langs=("en", None, "de")):
+    rng = random.Random(seed)
+    words = ["the", "of", "New", "york", "CITY", "é", "\x00", "a.b", "stock,", "market\n", "\x1c", "zzz"]
+    texts = []
+    for i in range(n):
+        body = [rng.choice(words) for _ in range(rng.randint(0, 60))]
+        body[::7] = ["new\tyork city hall"] * len(body[::7])
+        texts.append((i, rng.choice((" ", "  ")).join(body), rng.choice(langs), None, 0, 1, 2, 3, 4))
+    return texts
+
+
+def test_collocations_against_brute_force(spark):
+    rows = phrases(60, 1) + [(900 + i, t, None, "s", 0, 1, 2, 3, 4) for i, t in enumerate(ODD)] * 2
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    names = ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
+    for limits in ({"least": 30}, {"least": 5, "first": 7}, {"least": 12, "absorbed": 50}, {"least": 2000}):
+        want = collocations_by_brute_force(docs.collect(), **limits)
+        got = collocations.collocations(docs, **limits)
+        assert got.columns == names and Counter(map(tuple, got.collect())) == want
+        by_shuffle = collocations.collocations(docs, **limits, most_sent=0)
+        assert Counter(map(tuple, by_shuffle.collect())) == want
+    assert collocations.collocations(docs.limit(0)).count() == 0
+
+
+def test_counts_are_let_go_when_a_worker_holds_many(spark, monkeypatch):
+    docs = spark.createDataFrame(phrases(40, 5), SCHEMA).repartition(2)
+    want = sorted(collocations.frequent_phrases(docs, 10)[0].collect())
+    encoded = collocations.words_of(pa.array(["A b.C\td,,", None, "e"]))
+    assert [encoded[1][c] if c >= 0 else None for c in encoded[0]] == ["a", "b", None, "c", "d", None, None, None, None, "e", None]
+    assert sorted(collocations.frequent_phrases(docs, 10, most_sent=0)[0].collect()) == want
+
+
+def test_products_beyond_64_bits(spark):
+    huge = 9_000_000_000_000
+    rows = [("en", "a", 1, huge), ("en", "b", 1, huge + 7), ("en", "a b", 2, huge - 5)]
+    got = collocations.scored(spark.createDataFrame(rows, collocations.LEVEL)).first()
+    assert got.score == 2_000_000 * (huge - 5) // (2 * huge + 7) and (got.l, got.r) == (huge, huge + 7)
+
+
+def test_the_collocation_query_and_its_sql(spark):
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{SF}/documents.parquet'")
+    want = con.sql(ORACLE_SQL["op13_apriori_collocations"])
+    got = QUERIES["op13_apriori_collocations"](spark, SF).select(*want.columns)
+    assert Counter(map(tuple, got.collect())) == Counter(want.fetchall())
+    rows = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    assert Counter(map(tuple, got.collect())) == collocations_by_brute_force(rows, 30)
