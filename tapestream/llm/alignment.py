@@ -17,8 +17,7 @@ Postings cogroup, by A's ids:
    gives what it adds to its documents.
 4. A slice's additions are summed by document and joined to the documents' own figures.
 
-Segments of texts (``segments``) are encoded independently, and a worker remembers a bounded
-number of them.
+Segments of texts (``segments``) are encoded independently, each distinct one once a slice.
 
 Defined results: texts that are null or empty, or whose bytes on either side differ from the
 space and the text, have no tokens: zeros and an empty digest; null doc_ids stay; each row is
@@ -32,9 +31,8 @@ import base64
 import hashlib
 import json
 import re
-from collections import Counter
 from collections.abc import Iterator
-from itertools import accumulate, chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +47,9 @@ from .store import keep
 from .tokens import byte_symbols
 
 #: Buckets of A ids; blocks of a bucket whose postings one task takes.
-BUCKETS, SHARE_BLOCKS = 128, 256
+BUCKETS, SHARE_BLOCKS = 128, 64
+#: Bytes of text in a slice; plain segments encoded together; links of a group above which its ids are made distinct first.
+SLICE, TOGETHER, LONG_GROUP = 12_000_000, 1000, 10_000
 FIGURES = "slice long, place int, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
 WRITTEN = f"bucket int, {FIGURES}, keys binary, holders binary, docs binary, times binary"
 
@@ -90,76 +90,133 @@ class Sides:
         if any("▁" in piece.lstrip("▁") for piece in map(self.b.id_to_piece, range(self.b.get_piece_size()))):
             raise ValueError(f"{path_b}: pieces go on over a space")
         self.n_a, self.n_b = max(vocab.values()) + 1, self.b.get_piece_size()
-
-    def encode(self, texts: list[str]) -> Iterator[tuple[list[int], list[int], list[int] | None, list[int] | None]]:
-        """Ids of both sides of each text with a space before it, and where tokens end; None where the bytes differ."""
-        for text, ids_a, ids_b in zip(texts, self.a.encode_ordinary_batch([" " + t for t in texts], num_threads=1), self.b.encode(texts, num_threads=1)):
-            parts_a, parts_b = [self.bytes_a[i] for i in ids_a], [self.bytes_b[i] for i in ids_b]
-            raw = b" " + text.encode()
-            if b"".join(parts_a) == raw == b"".join(parts_b):
-                yield ids_a, ids_b, _ends(parts_a), _ends(parts_b)
-            else:
-                yield ids_a, ids_b, None, None
-
-
-def _ends(parts: list[bytes]) -> list[int]:
-    return list(accumulate(map(len, parts)))
-
-
-def groups(ids_a: list[int], ids_b: list[int], ends_a: list[int], ends_b: list[int]) -> Iterator[tuple[list[int], list[int]]]:
-    """The ids of both sides between offsets where tokens of both end."""
-    i = j = first_a = first_b = 0
-    while i < len(ids_a):
-        while ends_a[i] != ends_b[j]:
-            if ends_a[i] < ends_b[j]:
-                i += 1
-            else:
-                j += 1
-        i, j = i + 1, j + 1
-        yield ids_a[first_a:i], ids_b[first_b:j]
-        first_a, first_b = i, j
-
-
-#: Of a segment: tokens of A and B, groups, links, whether the bytes differ; the groups as text; keys of its id pairs, and how often each is linked.
-Added = tuple[tuple[int, int, int, int, int], str, tuple[int, ...], tuple[int, ...]]
-
-
-class Segments:
-    """What each segment adds to its document, remembered."""
+        self.lengths_a = np.array([len(self.bytes_a.get(i, b"")) for i in range(self.n_a)], np.int64)
+        self.lengths_b = np.array(list(map(len, self.bytes_b)), np.int64)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of side A and B of segments that begin with a space, one after another, how many each segment has, and which segments both sides give back."""
+        plain = [t[1:2] > " " and not t[1].isspace() and not t[-1].isspace() and "▁" not in t for t in texts]
+        order = sorted(range(len(texts)), key=plain.__getitem__)  # odd ones first
+        n_odd = len(texts) - sum(plain)
+        ids: tuple[list, list] = ([], [])
+        counts: tuple[list, list] = ([], [])
+        whole = np.ones(len(texts), bool)
+
+        def alone(i: int) -> None:
+            own = self.a.encode_ordinary(texts[i]), self.b.encode(texts[i][1:])
+            raw = texts[i].encode()
+            whole[i] = b"".join(map(self.bytes_a.__getitem__, own[0])) == raw == b"".join(map(self.bytes_b.__getitem__, own[1]))
+            for side in range(2):
+                ids[side].append(own[side] if whole[i] else [])
+                counts[side].append([len(ids[side][-1])])
+
+        for i in order[:n_odd]:
+            alone(i)
+        for k in range(n_odd, len(order), TOGETHER):  # tokens don't go on from one plain segment into the next
+            some = order[k : k + TOGETHER]
+            text = "".join([texts[i] for i in some])
+            own = self.a.encode_ordinary(text), self.b.encode(text[1:])
+            if b"".join(map(self.bytes_b.__getitem__, own[1])) != text.encode():
+                for i in some:
+                    alone(i)
+                continue
+            ends = np.cumsum([len(texts[i].encode()) for i in some])
+            for side, lengths in enumerate((self.lengths_a, self.lengths_b)):
+                tokens_end = np.cumsum(lengths[own[side]])
+                upto = np.searchsorted(tokens_end, ends, side="right")
+                if (tokens_end[upto - 1] != ends).any():
+                    raise ValueError("a token goes on over a segment's end")
+                ids[side].append(own[side])
+                counts[side].append(np.diff(upto, prepend=0))
+        in_order = np.argsort(order)
+        out = []
+        for side in range(2):
+            flat, n = (np.concatenate([np.asarray(x, np.int64) for x in parts]) if parts else np.zeros(0, np.int64) for parts in (ids[side], counts[side]))
+            starts, n = (np.cumsum(n) - n)[in_order], n[in_order]
+            out += [flat[_spread(starts, n)], n]
+        return out[0], out[1], out[2], out[3], whole
+
+
+def _spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Places starts[i] to starts[i] + lengths[i] - 1 of each i, one after another."""
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
+
+
+class Added(NamedTuple):
+    """What each of a slice's distinct segments adds to its document."""
+
+    figures: np.ndarray  # tokens of A, of B, groups, links, whether the bytes differ
+    text: list[str]  # the groups, each with its end mark
+    n_pairs: np.ndarray
+    keys: np.ndarray  # of the segments' id pairs, one segment after another
+    times: np.ndarray
+
+
+class Aligner:
+    """Groups and links of segments.  A pair's key is in order of bucket (A's id modulo the buckets), then A's id, then B's."""
 
     def __init__(self, sides: Sides, buckets: int) -> None:
-        self.sides, self.buckets, self.memo = sides, buckets, segments.Memo()
+        self.sides, self.buckets = sides, buckets
         self.per_bucket = -(-sides.n_a // buckets) * sides.n_b
+        decimal = [list(map(str, range(n))) for n in (sides.n_a, sides.n_b)]
+        self.names = [[f"{x}{end}" for x in of] for of, ends in zip(decimal, (",|", ",;")) for end in ends]  # within a group and at its end, A and B
 
-    def key(self, a: int, b: int) -> int:
-        """A number of the pair, in order of bucket (a modulo the buckets), then a, then b."""
+    def _keys(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return a % self.buckets * self.per_bucket + a // self.buckets * self.sides.n_b + b
 
-    def _make(self, new: list[str]) -> Iterator[Added]:
-        for ids_a, ids_b, ends_a, ends_b in self.sides.encode([s[1:] for s in new]):
-            if ends_a is None:
-                yield (0, 0, 0, 0, 1), "", (), ()
-                continue
-            texts, links = [], 0
-            pairs: Counter = Counter()
-            for own_a, own_b in groups(ids_a, ids_b, ends_a, ends_b):
-                texts.append(f"{','.join(map(str, own_a))}|{','.join(map(str, own_b))}")
-                links += len(own_a) * len(own_b)
-                if len(own_a) == len(own_b) == 1:
-                    pairs[self.key(own_a[0], own_b[0])] += 1
-                else:
-                    several_b = Counter(own_b).items()
-                    for a, n in Counter(own_a).items():
-                        for b, m in several_b:
-                            pairs[self.key(a, b)] += n * m
-            yield (len(ids_a), len(ids_b), len(texts), links, 0), ";".join(texts), tuple(pairs), tuple(pairs.values())
-
-    def find(self, texts: pa.Array) -> tuple[np.ndarray, list[Added], np.ndarray]:
+    def added(self, distinct: list[str]) -> Added:
+        sides, n = self.sides, len(distinct)
+        ids_a, n_a, ids_b, n_b, whole = sides.encode(distinct)
+        ends_a, ends_b = np.cumsum(sides.lengths_a[ids_a]), np.cumsum(sides.lengths_b[ids_b])
+        both = np.intersect1d(ends_a, ends_b, assume_unique=True)  # segments' ends are among them
+        group_a, group_b = np.searchsorted(both, ends_a), np.searchsorted(both, ends_b)
+        of_a, of_b = np.bincount(group_a, minlength=len(both)), np.bincount(group_b, minlength=len(both))
+        segment = np.zeros(len(both), np.int64)
+        segment[group_a] = np.repeat(np.arange(n), n_a)
+        links = of_a * of_b
+        figures = np.stack([n_a, n_b, np.bincount(segment, minlength=n), np.bincount(segment, weights=links, minlength=n).astype(np.int64), ~whole], axis=1).astype(np.int64)
+
+        first_a, first_b = np.cumsum(of_a) - of_a, np.cumsum(of_b) - of_b
+        last_a, last_b = np.zeros(len(ids_a), bool), np.zeros(len(ids_b), bool)
+        last_a[first_a + of_a - 1] = last_b[first_b + of_b - 1] = True
+        places = np.empty(len(ids_a) + len(ids_b), np.int64)  # a group's A tokens, then its B tokens
+        places[np.arange(len(ids_a)) + first_b[group_a]] = np.arange(len(ids_a))
+        places[np.arange(len(ids_b)) + (first_a + of_a)[group_b]] = len(ids_a) + np.arange(len(ids_b))
+        names = self.names
+        words = [names[1 if end else 0][i] for i, end in zip(ids_a.tolist(), last_a.tolist())] + [names[3 if end else 2][i] for i, end in zip(ids_b.tolist(), last_b.tolist())]
+        words = list(map(words.__getitem__, places.tolist()))
+        bounds = np.concatenate([[0], np.cumsum(n_a + n_b)]).tolist()
+        text = ["".join(words[x:y]) for x, y in zip(bounds[:-1], bounds[1:])]
+
+        pairs = self._pairs(ids_a, ids_b, first_a, of_a, first_b, of_b, segment)
+        return Added(figures, text, np.bincount(pairs[0], minlength=n), pairs[1], pairs[2])
+
+    def _pairs(self, ids_a: np.ndarray, ids_b: np.ndarray, first_a: np.ndarray, of_a: np.ndarray, first_b: np.ndarray, of_b: np.ndarray, segment: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Segment, key and multiplicity of each segment's distinct pairs.  Long groups are first made lists of distinct ids."""
+        out = []
+        links = of_a * of_b
+        short = links <= LONG_GROUP
+        g = np.flatnonzero(short)
+        a = np.repeat(ids_a[_spread(first_a[g], of_a[g])], np.repeat(of_b[g], of_a[g]))
+        b = ids_b[_spread(np.repeat(first_b[g], of_a[g]), np.repeat(of_b[g], of_a[g]))]
+        out.append((np.repeat(segment[g], links[g]), self._keys(a, b), np.ones(len(a), np.int64)))
+        for i in np.flatnonzero(~short).tolist():
+            (a, n), (b, m) = (np.unique(ids[first[i] : first[i] + of[i]], return_counts=True) for ids, first, of in ((ids_a, first_a, of_a), (ids_b, first_b, of_b)))
+            out.append((np.full(len(a) * len(b), segment[i]), self._keys(np.repeat(a, len(b)), np.tile(b, len(a))), np.repeat(n, len(b)) * np.tile(m, len(a))))
+        own, keys, times = map(np.concatenate, zip(*out))
+        space = self.buckets * self.per_bucket
+        joint = own * space + keys
+        order = np.argsort(joint)
+        joint = joint[order]
+        first = np.flatnonzero(np.diff(joint, prepend=-1))
+        times = np.add.reduceat(times[order], first) if len(first) else times
+        return joint[first] // space, joint[first] % space, times
+
+    def find(self, texts: pa.Array) -> tuple[np.ndarray, Added, np.ndarray]:
         """Which distinct segment stands where, what these add, and each text's bounds."""
         codes, distinct, bounds = segments.split(texts, " ")
-        distinct = distinct.to_pylist()
-        known = self.memo.fill(dict.fromkeys(distinct), self._make)
-        return codes, list(map(known.__getitem__, distinct)), bounds
+        return codes, self.added(distinct.to_pylist()), bounds
 
 
 def _blocks(keys: np.ndarray, docs: np.ndarray, times: np.ndarray, per_bucket: int) -> Iterator[tuple[int, bytes, bytes, bytes, bytes]]:
@@ -180,13 +237,13 @@ def _blocks(keys: np.ndarray, docs: np.ndarray, times: np.ndarray, per_bucket: i
         yield int(distinct[a] // per_bucket), packed(np.diff(distinct[a:b], prepend=0)), packed(holders[a:b]), packed(docs[x:y]), packed(times[x:y])
 
 
-_loaded: dict[tuple, Segments] = {}
+_loaded: dict[tuple, Aligner] = {}
 
 
-def segments_of(path_a: str, path_b: str, pattern: str, buckets: int) -> Segments:
-    """The worker's tokenizers and memo for these files, made once."""
+def aligner(path_a: str, path_b: str, pattern: str, buckets: int) -> Aligner:
+    """The worker's tokenizers for these files, made once."""
     if (at := (path_a, path_b, pattern, buckets)) not in _loaded:
-        _loaded[at] = Segments(Sides(path_a, path_b, pattern), buckets)
+        _loaded[at] = Aligner(Sides(path_a, path_b, pattern), buckets)
     return _loaded[at]
 
 
@@ -196,27 +253,25 @@ def _written(docs: DataFrame, path_a: str, path_b: str, pattern: str, buckets: i
     types = [pa.int32(), pa.int64(), pa.int32(), *[pa.int64()] * 5, pa.string(), *[pa.binary()] * 4]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = segments_of(path_a, path_b, pattern, buckets)
+        own = aligner(path_a, path_b, pattern, buckets)
         number = TaskContext.get().partitionId() << 32
         for whole in batches:
-            for batch in text_batches(whole):
+            for batch in text_batches(whole, 10_000, SLICE):
                 codes, added, bounds = own.find(batch.column(1))
-                total = np.concatenate([np.zeros((1, 5), np.int64), np.cumsum(np.array([x[0] for x in added])[codes], axis=0)])
+                total = np.concatenate([np.zeros((1, 5), np.int64), np.cumsum(added.figures[codes], axis=0)])
                 figures = total[bounds[1:]] - total[bounds[:-1]]
                 full = np.array([bool(t) for t in batch.column(1).to_pylist()], bool) & (figures[:, 4] == 0)
                 figures[~full] = 0
-                places, texts, rows = codes.tolist(), [x[1] for x in added], []
+                places, rows = codes.tolist(), []
                 for i, (doc, a, b, some, counts) in enumerate(zip(batch.column(0).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), full.tolist(), figures[:, :4].tolist())):
-                    digest = hashlib.sha256(";".join(map(texts.__getitem__, places[a:b])).encode()).hexdigest() if some else ""
+                    digest = hashlib.sha256("".join(map(added.text.__getitem__, places[a:b]))[:-1].encode()).hexdigest() if some else ""
                     rows.append((-1, number, i, doc, *counts, digest, None, None, None, None))
                 of = np.repeat(np.arange(batch.num_rows), np.diff(bounds))
                 at, of = codes[full[of]], of[full[of]]
-                every = np.fromiter((len(x[2]) for x in added), np.int64, len(added))
-                keys, times = (np.fromiter(chain.from_iterable(x[c] for x in added), np.int64, int(every.sum())) for c in (2, 3))
-                starts, lengths = (np.cumsum(every) - every)[at], every[at]
-                ends = np.cumsum(lengths)
-                where = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
-                for bucket, *data in _blocks(keys[where], np.repeat(of, lengths), times[where], own.per_bucket):
+                lengths = added.n_pairs[at]
+                where = _spread((np.cumsum(added.n_pairs) - added.n_pairs)[at], lengths)
+                keys, times = added.keys[where], added.times[where]
+                for bucket, *data in _blocks(keys, np.repeat(of, lengths), times, own.per_bucket):
                     rows.append((bucket, number, None, None, None, None, None, None, None, *data))
                 number += 1
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
