@@ -9,8 +9,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows of a batch between the JVM and Python while a table is kept: texts are long, and both sides hold a batch.
-BATCH_ROWS = ("spark.sql.execution.arrow.maxRecordsPerBatch", 2000)
+#: Bounds of a batch between the JVM and Python: texts are long, and both sides hold a batch.  Set once, never raised.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 64_000_000}
 
 _own: list[str] = []
 _made: list[str] = []
@@ -32,16 +32,18 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Holds the session to BATCHES, or to what it has that is less."""
+    for key, most in BATCHES.items():
+        if not 0 < int(re.match(r"-?\d+", spark.conf.get(key))[0]) <= most:
+            spark.conf.set(key, str(most))
+
+
 def keep(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """df written as Parquet in the shared folder and read again: its lineage ends there."""
     path = new_path(df.sparkSession, name)
-    conf, (key, rows) = df.sparkSession.conf, BATCH_ROWS
-    before = conf.get(key)
-    conf.set(key, str(min(int(before), rows) if int(before) > 0 else rows))
-    try:
-        df.write.option("compression", compression).parquet(path)
-    finally:
-        conf.set(key, before)
+    small_batches(df.sparkSession)
+    df.write.option("compression", compression).parquet(path)
     _made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
