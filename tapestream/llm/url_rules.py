@@ -12,7 +12,8 @@ rule blocks anything there, else allowed: an explicit allow takes precedence.
 
 Only DataFrame functions.  Defined results: a null url, or one without ``://``, has an empty
 host and path, fits no rule and is allowed; null html has no links; a tag lasts to the next
-``>``, whatever its length, and all tags count; repeated rows get equal verdicts; null
+``>``, whatever its length, and one that another link or meta tag begins in before that is
+none; all tags count; repeated rows get equal verdicts; null
 page_ids stay; other columns are ignored.
 """
 
@@ -29,7 +30,7 @@ from .store import keep
 #: Rules up to this number become one expression; more are joined as a table.
 INLINE_RULES = 200
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-TAG = r"(?i)<(?:link|meta)\b[^>]*+>"
+TAG = r"(?i)<(?:link|meta)\b(?:(?!<(?:link|meta)\b)[^>])*+>"
 CANONICAL, REFRESH = r"""(?is)^<link\b.*\brel\s*=\s*["']?canonical\b""", r"""(?is)^<meta\b.*\bhttp-equiv\s*=\s*["']?refresh\b"""
 HREF, TARGET = r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)""", r"""(?i)\burl\s*=\s*["']?([^"'\s>;]+)"""
 
