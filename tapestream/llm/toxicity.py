@@ -12,13 +12,12 @@ features leave the executors, never its text; weights are learned by Adam on min
 cut that does best on rows left out of the fit.  Every document is scored, in parallel.
 
 Defined results: null is an empty text, which gets the score of no features; repeated rows
-get equal scores; null doc_ids are never learned from and are not held out; without labelled rows of
+get equal scores; of a labelled doc_id with several texts the smallest is learned from; null doc_ids are never learned from and are not held out; without labelled rows of
 both kinds every score is 0; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -35,12 +34,21 @@ from .store import keep
 COUNTS = (1, 2, 3)
 BUCKETS = 1 << 24
 CUT = 0.7
-_MARKS = re.compile(r"^[\W_]+|[\W_]+$")
+
+
+def stripped(word: str) -> str:
+    """The word from its first letter or digit to its last."""
+    first, last = 0, len(word)
+    while first < last and not word[first].isalnum():
+        first += 1
+    while last > first and not word[last - 1].isalnum():
+        last -= 1
+    return word[first:last]
 
 
 def terms(word: str) -> list[int]:
     """Hashes of the word and its beginnings."""
-    word = _MARKS.sub("", word.lower())
+    word = stripped(word.lower())
     if not word:
         return []
     parts = {word + "$"} | {word[:n] for n in range(4, 8) if len(word) > n}
@@ -140,7 +148,8 @@ def sample(docs: DataFrame, labels: DataFrame, most_of_each: int) -> DataFrame:
     order = F.xxhash64("doc_id")
     picked = known.where("toxic = 1").orderBy(order, "doc_id").limit(most_of_each).union(known.where("toxic <> 1").orderBy(order, "doc_id").limit(most_of_each))
     spare = F.crc32(F.concat(F.lit("spare"), F.col("doc_id").cast("string")).cast("binary")) % 4 == 0
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id")
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     rows = rows.select("doc_id", "text", (F.col("toxic") == 1).cast("int").alias("toxic"), spare.alias("spare"))
     return keep(rows.mapInArrow(run, "doc_id long, toxic int, spare boolean, features array<int>"), "sample-features")
 
