@@ -1,11 +1,13 @@
 """Secrets in whole texts: fixed patterns, and novelty under a primed zstandard.
 
 The patterns (assignments to a secret's name, access key ids, long hex runs) find the base
-spans.  The method looks at other long strings of letters and digits that follow a
-sensitive word: the text around such a string is compressed without and with it, by a
-compressor primed with the identifiers most frequent in such surroundings over the whole
-corpus.  A string that adds at least ``novelty`` bytes for each of its own is new to both
-and is reported as ``novel``.
+spans.  The method looks at other long strings of letters and digits in a statement with a
+sensitive word, before or after them: a statement is what lies between line ends, ``;``,
+braces, and full stops before a blank, however long it is.  The text around such a string is
+compressed without and with it, by a compressor primed with the identifiers most frequent in
+such surroundings over the whole corpus.  A string that adds at least ``novelty`` bytes for
+each of its own is new to both and is reported as ``novel``.  Strings of fewer than 12
+characters are none: they add too few bytes to tell.
 
 Defined results: null is an empty text and has no span, its digest that of an empty list;
 null doc_ids stay; equal rows get equal results; no candidates give an empty dictionary;
@@ -16,7 +18,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import zstandard
@@ -32,11 +36,12 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 SHORTEST = {"assign": 6, "access": 20}
 
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
 SENSITIVE = re.compile(r"pass(?:word|wd|phrase)|secret|token|api.?key|access.?key|private.?key|credential|bearer|auth|signature|client.?id|session|cookie", re.I | re.A)
 IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_]{2,39}")
-#: Characters before a candidate in which a sensitive word counts; characters around it that are compressed with it.
-NEAR, AROUND = 48, 256
+STATEMENT_END = re.compile(r"[\n\r;{}]|[.!?](?=\s)")
+#: Characters on either side of a candidate that are compressed with it.
+AROUND = 256
 MASK = "[SECRET]"
 
 Span = tuple[int, int, int, int]  # start, kind, end, start of what is masked
@@ -53,14 +58,23 @@ def base_spans(text: str) -> list[Span]:
 
 
 def candidates(text: str, taken: list[Span]) -> list[tuple[int, int]]:
-    """Long strings with letters and digits, soon after a sensitive word and outside base spans."""
+    """Long strings with letters and digits, in a statement with a sensitive word beside them and outside base spans."""
+    words = [m.start() for m in SENSITIVE.finditer(text)]
+    if not words:
+        return []
+    ends = [m.start() for m in STATEMENT_END.finditer(text)]
+    starts, reach = [s[0] for s in taken], list(accumulate((s[2] for s in taken), max))
     out = []
     for m in CANDIDATE.finditer(text):
-        own = m.group()
-        if own.isalpha() or own.isdigit() or not (any(map(str.isdigit, own)) and any(map(str.isalpha, own))):
+        start, end = m.span()
+        if not (any(map(str.isdigit, m.group())) and any(map(str.isalpha, m.group()))):
             continue
-        if SENSITIVE.search(text, max(0, m.start() - NEAR), m.start()) and not any(s[0] < m.end() and m.start() < s[2] for s in taken):
-            out.append(m.span())
+        at = bisect_right(ends, start)
+        first, last = (ends[at - 1] if at else 0), (ends[at] if at < len(ends) else len(text))
+        beside = bisect_left(words, last) - bisect_left(words, first) - (bisect_left(words, end) - bisect_left(words, start))
+        overlapped = bisect_left(starts, end)  # spans that begin before its end
+        if beside and not (overlapped and reach[overlapped - 1] > start):
+            out.append((start, end))
     return out
 
 
