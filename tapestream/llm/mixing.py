@@ -10,6 +10,9 @@ largest source is many small groups.  A source's draws are its blocks in one key
 for each pass over it, until its target is met to the word; the block where it ends is
 taken in part.
 
+The report's columns depend on the order of blocks alone; which shard has a draw, and so the
+tree, decides where it is written.
+
 Shards: a binary tree parts the vector of the sources' draw counts.  At each node the left
 half's counts are a multivariate hypergeometric sample of the node's, seeded by the node, so
 each shard's task walks down to its own leaf alone and all leaves together use every draw
@@ -18,8 +21,8 @@ split in two steps: groups of sources among the shards, then each group's source
 shares of them; that is the same distribution.
 
 Defined results: a word is what lies between ASCII blanks; null texts have size 0 and
-nothing is taken of them; null is a source; equal rows differ only in which is taken at the
-cut; an empty table gives no rows; reruns give the same result.
+nothing is taken of them; null is a source; rows of equal
+doc_id, source and text are one document to the mix, also where other columns differ; an empty table gives no rows; reruns give the same result.
 """
 
 from __future__ import annotations
@@ -36,6 +39,8 @@ from .store import keep
 
 #: Sources, or groups of them, whose draw counts one task holds.
 WIDEST = 100_000
+#: Sums that the library's multivariate hypergeometric sampler takes.
+LIBRARY_DRAWS = 10**9
 #: A source's draws are put in order in so many parts.
 PARTS_BITS = 6
 #: Sources up to this number are broadcast to their documents.
@@ -46,6 +51,15 @@ def word_count(text: str | Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
+def row_key(docs: DataFrame) -> Column:
+    """128 bits of doc_id, source and text; null differs from any value."""
+
+    def part(c: Column) -> Column:
+        return F.coalesce(F.concat(F.length(c).cast("string"), F.lit(" "), c), F.lit("n "))
+
+    return F.md5(F.concat(*[part(F.col(c).cast("string")) for c in ("doc_id", "source", "text")]))
+
+
 def numbered(sources: DataFrame) -> DataFrame:
     """sources with n_source, their place (from 1) in code point order, null last: ranges, and a count for each."""
     last = F.col("source").isNull()
@@ -74,6 +88,28 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float
     return rows.select("source", "source_size", target.alias("target"), "n_source")
 
 
+def left_part(rng: np.random.Generator, counts: np.ndarray, n: int) -> np.ndarray:
+    """How many of n draws without replacement are of each source: a multivariate hypergeometric sample.
+
+    The library draws it for less than 10^9 in all.  Beyond, each draw goes left with the same
+    chance, and what is too much or too little is put right by draws from those on one side:
+    by symmetry what lies left is any subset of n draws with equal chance.
+    """
+    total = int(counts.sum())
+    if total < LIBRARY_DRAWS:
+        return rng.multivariate_hypergeometric(counts, n, method="marginals")
+    left = rng.binomial(counts, n / total)
+    surplus = int(left.sum()) - n
+    side = left if surplus > 0 else counts - left
+    ends = np.cumsum(side)
+    chosen = np.zeros(0, np.int64)
+    while len(chosen) < abs(surplus):  # distinct draws of that side, in order of choice
+        more = np.concatenate([chosen, rng.integers(0, int(ends[-1]), abs(surplus) - len(chosen))])
+        chosen = more[np.sort(np.unique(more, return_index=True)[1])]
+    moved = np.bincount(np.searchsorted(ends, chosen, side="right"), minlength=len(counts))
+    return left - moved if surplus > 0 else left + moved
+
+
 def leaf_counts(quotas: np.ndarray, shard: int, shards: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """First draw and number of draws of each source in one shard, found on the way down the tree."""
     counts, first = quotas.astype(np.int64), np.zeros(len(quotas), np.int64)
@@ -83,7 +119,7 @@ def leaf_counts(quotas: np.ndarray, shard: int, shards: int, seed: int) -> tuple
     while high - low > 1:
         middle = (low + high) // 2
         rng = np.random.default_rng([seed, low, high])
-        left = rng.multivariate_hypergeometric(counts, bounds(middle) - bounds(low), method="marginals")
+        left = left_part(rng, counts, bounds(middle) - bounds(low))
         if shard < middle:
             counts, high = left, middle
         else:
@@ -104,7 +140,7 @@ def shares(quotas: np.ndarray, room: np.ndarray, seed: list[int]) -> Iterator[tu
             continue
         middle = (low + high) // 2
         rng = np.random.default_rng([*seed, low, high])
-        left = rng.multivariate_hypergeometric(counts, int(upto[middle] - upto[low]), method="marginals")
+        left = left_part(rng, counts, int(upto[middle] - upto[low]))
         todo += [(middle, high, first + left, counts - left), (low, middle, first, left)]
 
 
@@ -160,9 +196,9 @@ def takes(
 ) -> tuple[DataFrame, DataFrame]:
     """Rows of docs as (row, doc_id, size, source_size, target), and what is drawn as (row, shard, place, taken).
 
-    ``row`` stands for doc_id and text.  ``whole`` takes a document at the cut wholly or not.
+    ``row`` stands for doc_id, source and text.  ``whole`` takes a document at the cut wholly or not.
     """
-    sizes = docs.select(F.xxhash64("doc_id", "text").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "source", word_count("text").alias("size"))
+    sizes = docs.select(row_key(docs).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "source", word_count("text").alias("size"))
     sizes = keep(sizes, "sizes")
     sources = keep(targets(sizes, weights, share, most), "sources").withColumnRenamed("source", "_source")
     small = F.broadcast(sources) if sources.count() <= BROADCAST_SOURCES else sources
@@ -200,7 +236,7 @@ def takes(
 def mix_report(docs: DataFrame, **options) -> DataFrame:
     """doc_id, size, source_size, target and taken for each row of docs, and how many shards have it.
 
-    Rows of equal doc_id and text share what is taken of them evenly; the first get the rest.
+    Rows of equal doc_id, source and text share what is taken of them evenly; the first get the rest.
     """
     rows, drawn = takes(docs, **options)
     sums = drawn.groupBy("row").agg(F.sum("taken").alias("all"), F.count_distinct("shard").alias("n_shards"))
@@ -214,5 +250,5 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     """The mix as rows of docs, whole documents, as often as they are drawn, by shard in shuffled order."""
     _, drawn = takes(docs, whole=True, **options)
     drawn = keep(drawn, "drawn")
-    texts = docs.select(F.xxhash64("doc_id", "text").alias("row"), F.struct(*docs.columns).alias("doc")).dropDuplicates(["row"])
+    texts = docs.select(row_key(docs).alias("row"), F.struct(*docs.columns).alias("doc")).dropDuplicates(["row"])
     return texts.join(drawn, "row").repartition("shard").sortWithinPartitions("shard", "place").select("doc.*")
