@@ -4,19 +4,19 @@ Components become integers, floor(scale * x).  A cell grid with ``cells`` steps
 dimension approximates every vector by one byte a component; blocks of such cells are
 scanned against blocks of queries, and the cell's sides bound each score from both sides.
 The k-th best lower bound of any block is a score that surely exists, so only vectors whose
-upper bound reaches the best of these are left.  Their exact vectors are fetched in the order
+upper bound reaches the best of these are left.  Each block of cells goes to one task and
+stays there, and the blocks of queries come to it one after another.  Their exact vectors are fetched in the order
 of their upper bounds, a few of each query in the first round and more in later ones, until
 no vector is left whose bound reaches the k-th score.
 
-Equal vectors: only rows of the k + 1 smallest distinct ids of each distinct vector can be in
-a result (a query passes over its own id, and an id fills at most as many places as it has
-rows), so larger families are cut to those ids before anything is compared, and each id to k
-rows; this drops no result.  Rows are numbered, and bounds go back to the row they are of.
+Equal vectors: a query passes over its own row alone, so only the k + 1 first rows, by id, of
+each distinct vector can be in a result, and larger families are cut to these before anything
+is compared; this drops no result.  Rows are numbered, and bounds go back to the row they are of.
 
 Defined results: vectors null, empty, or holding null or non-finite components take no part,
-nor do rows without id; shorter vectors count as ending in zeros; each row is a candidate,
-also those of one id, with equal vectors or different ones; a query is the smallest vector
-of its id; ties go to the smaller id; a query with fewer candidates gets all; components and
+nor do rows without id; shorter vectors count as ending in zeros; each row is a candidate
+and, if its id is divisible, a query of its own, also rows of one id with equal vectors or
+different ones; ties go to the smaller id; a query with fewer candidates gets all; components and
 scores beyond a long are held at its ends; other columns are ignored.
 """
 
@@ -31,7 +31,9 @@ from pyspark.sql import functions as F
 
 from .store import keep
 
-BOUNDS = "query_id long, floor_score double, row array<long>, ceiling array<double>"
+BOUNDS = "query long, floor_score double, row array<long>, ceiling array<double>"
+#: Rows of a block of cells: of small tables, and at most; and cells compared with a block of queries at a time.
+LEAST_BLOCK, MOST_BLOCK, AT_ONCE = 4096, 65_536, 4096
 
 
 def integer_vectors(vectors: DataFrame, scale: int = 256) -> DataFrame:
@@ -63,47 +65,65 @@ def _grid(exact: DataFrame, cells: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _packed(rows: DataFrame, name: str, blocks: int, low: np.ndarray, step: np.ndarray, approximate: bool) -> DataFrame:
-    """(name, ids, data): rows dealt by hash into blocks; data is cells of one byte, or the vectors."""
+    """(name, rows, data): rows dealt by hash into blocks; data is cells of one byte, or the vectors."""
     width = len(low)
 
     def pack(key: tuple, table: pa.Table) -> pa.Table:
         m = _matrix(table.column("v"), width)
         data = ((m - low) // step).astype(np.uint8) if approximate else m
-        return pa.table({name: [key[0].as_py()], "ids": [table.column("vec_id").to_numpy().tobytes()], "rows": [table.column("row").to_numpy().tobytes()], "data": [data.tobytes()]}, pa.schema([(name, pa.int32()), ("ids", pa.binary()), ("rows", pa.binary()), ("data", pa.binary())]))
+        return pa.table({name: [key[0].as_py()], "rows": [table.column("row").to_numpy().tobytes()], "data": [data.tobytes()]}, pa.schema([(name, pa.int32()), ("rows", pa.binary()), ("data", pa.binary())]))
 
-    dealt = rows.withColumn(name, F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int"))
-    return dealt.groupBy(name).applyInArrow(pack, f"{name} int, ids binary, rows binary, data binary")
+    dealt = rows.select("row", "v").withColumn(name, F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int"))
+    return dealt.groupBy(name).applyInArrow(pack, f"{name} int, rows binary, data binary")
 
 
-def _bounds(pairs: DataFrame, k: int, low: np.ndarray, step: np.ndarray) -> DataFrame:
-    """Per query and block: the k-th best lower bound, and what may reach it."""
+def _bounds(met: DataFrame, k: int, low: np.ndarray, step: np.ndarray) -> DataFrame:
+    """Per query and block of cells: the k-th best lower bound, and what may reach it.
+
+    met: of each block (cb) first its cells (qb = -1), then the blocks of queries.
+    """
     width, largest = len(low), np.maximum(np.abs(low), np.abs(low + step * 256))
 
+    def compare(q_rows: np.ndarray, q: np.ndarray, c_rows: np.ndarray, cells: np.ndarray) -> pa.RecordBatch:
+        up, down = np.maximum(q, 0), np.minimum(q, 0)
+        size = np.abs(q) @ largest  # sums below 2^52 are exact
+        slack = np.where(size < 2.0**52, 0.0, size * width * 2.0**-50)[:, None]
+        best = np.full((len(q), k), -np.inf)  # the k best lower bounds so far
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for at in range(0, len(c_rows), AT_ONCE):
+            rows, least = c_rows[at : at + AT_ONCE], low + cells[at : at + AT_ONCE] * step
+            most = least + step - 1
+            ceiling, floor_ = up @ most.T + down @ least.T + slack, up @ least.T + down @ most.T - slack
+            own = q_rows[:, None] == rows[None, :]
+            ceiling[own] = floor_[own] = -np.inf
+            both = np.concatenate([best, floor_], axis=1)
+            best = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
+            which = np.nonzero((ceiling >= best.min(1)[:, None]) & ~own)
+            found.append((which[0], rows[which[1]], ceiling[which]))
+        sure = best.min(1)
+        query, row, ceiling = map(np.concatenate, zip(*found))
+        left = ceiling >= sure[query]
+        query, row, ceiling = query[left], row[left], ceiling[left]
+        order = np.argsort(query, kind="stable")
+        cut = pa.array(np.concatenate([[0], np.cumsum(np.bincount(query, minlength=len(q)))]), pa.int32())
+        lists = [pa.ListArray.from_arrays(cut, pa.array(x[order], t)) for x, t in ((row, pa.int64()), (ceiling, pa.float64()))]
+        return pa.record_batch([pa.array(q_rows), pa.array(sure), *lists], ["query", "floor_score", "row", "ceiling"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = c_rows = cells = None
         for batch in batches:
-            for row in batch.to_pylist():
-                q_ids, c_ids, c_rows = (np.frombuffer(row[x], np.int64) for x in ("q_ids", "ids", "rows"))
-                q = np.frombuffer(row["q_data"], np.float64).reshape(-1, width)
-                least = low + np.frombuffer(row["data"], np.uint8).reshape(-1, width) * step
-                up, down, most = np.maximum(q, 0), np.minimum(q, 0), least + step - 1
-                ceiling, floor_ = up @ most.T + down @ least.T, up @ least.T + down @ most.T
-                size = np.abs(q) @ largest  # sums below 2^52 are exact
-                slack = np.where(size < 2.0**52, 0.0, size * width * 2.0**-50)[:, None]
-                ceiling, floor_ = ceiling + slack, floor_ - slack
-                own = q_ids[:, None] == c_ids[None, :]
-                ceiling[own] = floor_[own] = -np.inf
-                sure = np.full(len(q_ids), -np.inf) if len(c_ids) < k else np.partition(floor_, len(c_ids) - k, axis=1)[:, len(c_ids) - k]
-                left = (ceiling >= sure[:, None]) & ~own
-                cut = np.concatenate([[0], np.cumsum(left.sum(1))])
-                which = np.nonzero(left)
-                lists = [pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(x, t)) for x, t in ((c_rows[which[1]], pa.int64()), (ceiling[which], pa.float64()))]
-                yield pa.record_batch([pa.array(q_ids), pa.array(sure), *lists], ["query_id", "floor_score", "row", "ceiling"])
-
-    return pairs.mapInArrow(run, BOUNDS)
+            for i in range(batch.num_rows):
+                cb, qb, rows, data = (batch.column(c)[i].as_py() for c in ("cb", "qb", "rows", "data"))
+                if qb < 0:
+                    at, c_rows, cells = cb, np.frombuffer(rows, np.int64), np.frombuffer(data, np.uint8).reshape(-1, width)
+                elif cb == at:  # a hash may leave a block without cells
+                    yield compare(np.frombuffer(rows, np.int64), np.frombuffer(data, np.float64).reshape(-1, width), c_rows, cells)
+
+    return met.mapInArrow(run, BOUNDS)
 
 
 def _scores(rows: DataFrame) -> DataFrame:
-    """query_id, vec_id and exact score of rows (query_id, vec_id, q, v)."""
+    """query, vec_id and exact score of rows (query, vec_id, q, v)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,44 +136,44 @@ def _scores(rows: DataFrame) -> DataFrame:
             for i in np.flatnonzero(~exact).tolist():
                 product = sum(x * y for x, y in zip(q[i].as_py(), v[i].as_py()))
                 scores[i] = max(-(2**63), min(2**63 - 1, product))
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(scores)], ["query_id", "vec_id", "score"])
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(scores)], ["query", "vec_id", "score"])
 
-    return rows.select("query_id", "vec_id", "q", "v").mapInArrow(run, "query_id long, vec_id long, score long")
+    return rows.select("query", "vec_id", "q", "v").mapInArrow(run, "query long, vec_id long, score long")
 
 
 def _read_in_order(left: DataFrame, candidates: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The k best of each query's survivors (query_id, row, ceiling), whose vectors are fetched while their ceilings can still reach."""
-    ranked = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    left = keep(left.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("ceiling").desc(), "row"))), "survivors")
-    asked, best, upto = queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), None, 4 * k
+    """The k best of each query's survivors (query, row, ceiling), whose vectors are fetched while their ceilings can still reach."""
+    ranked = Window.partitionBy("query").orderBy(F.col("score").desc(), "vec_id")
+    left = keep(left.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.col("ceiling").desc(), "row"))), "survivors")
+    asked, best, upto = queries.select(F.col("row").alias("query"), F.col("v").alias("q")), None, 4 * k
     while best is None or not left.isEmpty():
-        scored = _scores(left.where(F.col("place") <= upto).select("query_id", "row").join(candidates, "row").join(asked, "query_id"))
+        scored = _scores(left.where(F.col("place") <= upto).select("query", "row").join(candidates, "row").join(asked, "query"))
         best = scored if best is None else best.unionByName(scored)
         best = keep(best.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).drop("rank"), "best")
-        sure = best.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("kth"))
-        rest = left.where(F.col("place") > upto).join(sure, "query_id", "left")
-        left = keep(rest.where(F.col("kth").isNull() | (F.col("ceiling") >= F.col("kth"))).select("query_id", "row", "ceiling", "place"), "survivors")
+        sure = best.groupBy("query").agg(F.when(F.count("*") >= k, F.min("score")).alias("kth"))
+        rest = left.where(F.col("place") > upto).join(sure, "query", "left")
+        left = keep(rest.where(F.col("kth").isNull() | (F.col("ceiling") >= F.col("kth"))).select("query", "row", "ceiling", "place"), "survivors")
         upto *= 16
-    return best.select("query_id", F.row_number().over(ranked).alias("rank"), "vec_id", "score")
+    return best.withColumn("rank", F.row_number().over(ranked))
 
 
-def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256, cells: int = 64, query_block: int = 512, block: int = 4096) -> DataFrame:
+def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256, cells: int = 64, query_block: int = 512) -> DataFrame:
     """query_id, rank, vec_id and score of the k best for each row whose id is divisible by ``every``."""
-    exact = keep(integer_vectors(vectors, scale), "vectors")
+    exact = keep(integer_vectors(vectors, scale).withColumn("row", F.monotonically_increasing_id()), "vectors")
     width = exact.agg(F.max(F.size("v"))).first()[0]
     if width is None:
         return exact.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.col("vec_id").alias("score"))
     low, step = _grid(exact, cells)
-    family, own = Window.partitionBy("v").orderBy("vec_id"), Window.partitionBy("v", "vec_id").orderBy(F.lit(0))
-    cut = exact.withColumns({"n": F.dense_rank().over(family), "m": F.row_number().over(own)}).where((F.col("n") <= k + 1) & (F.col("m") <= k))
-    candidates = keep(cut.select("vec_id", "v", F.monotonically_increasing_id().alias("row")), "candidates")
-    queries = exact.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("row", F.lit(0).cast("long"))
-    n_queries, n_blocks = (max(1, -(-n // size)) for n, size in ((queries.count(), query_block), (candidates.count(), block)))
-    asked = _packed(queries, "qb", n_queries, low, step, False).drop("rows").withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    stored = _packed(candidates, "cb", n_blocks, low, step, True).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))))
-    pairs = asked.withColumnsRenamed({"ids": "q_ids", "data": "q_data"}).join(stored, ["qb", "cb"])
-    found = keep(_bounds(pairs, k, low, step), "bounds")
-    sure = found.groupBy("query_id").agg(F.max("floor_score").alias("sure"))
-    left = found.select("query_id", F.explode(F.arrays_zip("row", "ceiling")).alias("x")).join(sure, "query_id").where(F.col("x.ceiling") >= F.col("sure"))
-    left = left.select("query_id", F.col("x.row").alias("row"), F.col("x.ceiling").alias("ceiling"))
-    return _read_in_order(left, candidates, queries, k)
+    family = F.row_number().over(Window.partitionBy("v").orderBy("vec_id", "row"))
+    candidates = keep(exact.withColumn("_n", family).where(F.col("_n") <= k + 1).select("vec_id", "v", "row"), "candidates")
+    queries = exact.where(F.col("vec_id") % every == 0)
+    n_queries, n = -(-queries.count() // query_block), candidates.count()
+    n_blocks = max(-(-n // MOST_BLOCK), min(-(-n // LEAST_BLOCK), 64))
+    stored = _packed(candidates, "cb", n_blocks, low, step, True).withColumn("qb", F.lit(-1))
+    asked = _packed(queries, "qb", max(1, n_queries), low, step, False).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    met = stored.unionByName(asked).repartition(n_blocks, "cb").sortWithinPartitions("cb", "qb")
+    found = keep(_bounds(met, k, low, step), "bounds")
+    sure = found.groupBy("query").agg(F.max("floor_score").alias("sure"))
+    left = found.select("query", F.explode(F.arrays_zip("row", "ceiling")).alias("x")).join(sure, "query").where(F.col("x.ceiling") >= F.col("sure"))
+    best = _read_in_order(left.select("query", F.col("x.row").alias("row"), F.col("x.ceiling").alias("ceiling")), candidates, queries, k)
+    return best.join(queries.select(F.col("row").alias("query"), F.col("vec_id").alias("query_id")), "query").select("query_id", "rank", "vec_id", "score")
