@@ -159,7 +159,14 @@ def test_many_rules_agree_with_one_expression(spark):
     assert one.keys() == two.keys() and all((a[0] is None) == (b[0] is None) and len(a[0] or "") == len(b[0] or "") for a, b in ((one[k], two[k]) for k in one))
 
 
-def test_exact_search(spark):
+def small_blocks(monkeypatch):
+    monkeypatch.setattr(va_topk, "LEAST_BLOCK", 20)
+    monkeypatch.setattr(va_topk, "MOST_BLOCK", 37)
+    monkeypatch.setattr(va_topk, "AT_ONCE", 7)
+    return {"query_block": 2, "cells": 8}
+
+
+def test_exact_search(spark, monkeypatch):
     rng = np.random.default_rng(5)
     vectors = [rng.normal(size=8).round(2).tolist() for _ in range(300)] + [[0.5] * 8] * 40
     rows = [(i, [float(x) for x in v], 1) for i, v in enumerate(vectors)]
@@ -170,28 +177,34 @@ def test_exact_search(spark):
     for q in sorted(i for i in use if i % 50 == 0):
         best = sorted((-int(use[q] @ use[i]), i) for i in use if i != q)[:5]
         want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
-    for blocks in ({}, {"query_block": 2, "block": 37, "cells": 8}):
-        got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in va_topk.top_k(frame, **blocks).collect())
+    for more in ({}, None):
+        more = small_blocks(monkeypatch) if more is None else more
+        got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in va_topk.top_k(frame, **more).collect())
         assert got == want
     few = va_topk.top_k(frame.where("vec_id in (0, 1, 2)")).collect()
     assert sorted(r.vec_id for r in few) == [1, 2]
     assert va_topk.top_k(frame.limit(0)).count() == 0
 
 
-def test_exact_search_with_repeated_rows(spark):
+def test_exact_search_with_repeated_rows(spark, monkeypatch):
+    """Each row whose id is divisible is a query, and passes over itself alone."""
     rng = np.random.default_rng(16)
     own = [float(x) for x in rng.integers(1, 9, 4)]
     rows = [(0, own)] * 6 + [(i, own) for i in range(1, 6)]  # the query's id six times
     rows += [(i, rng.normal(size=4).round(2).tolist()) for i in range(6, 120)]
-    rows += [rows[20]] * 2 + [(30, [9.0, 9.0, 9.0, 9.0]), (31, [9.5, 9.0, 9.0, 9.0])] + [(40, [8.0] * 4)] * 9
+    rows += [rows[20]] * 2 + [(30, [9.0, 9.0, 9.0, 9.0]), (31, [9.5, 9.0, 9.0, 9.0])] + [(40, [8.0] * 4)] * 9 + [(50, [7.0, 1.0, 0.0, 2.0])]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = np.floor(np.array([v for _, v in rows]) * 256)
     want = []
-    for q in (0, 50, 100):
-        of = np.floor(np.array(next(v for i, v in rows if i == q)) * 256)
-        best = sorted((-int(of @ np.floor(np.array(v) * 256)), i) for i, v in rows if i != q)[:5]
-        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
-    for blocks in ({}, {"block": 20, "cells": 8}):
-        assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in va_topk.top_k(frame, **blocks).collect()) == want
+    for at, (q, _) in enumerate(rows):
+        if q % 50 == 0:
+            best = sorted((-int(whole[at] @ whole[i]), rows[i][0]) for i in range(len(rows)) if i != at)[:5]
+            want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    for more in ({}, None):
+        more = small_blocks(monkeypatch) if more is None else more
+        assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in va_topk.top_k(frame, **more).collect()) == sorted(want)
+    pair = spark.createDataFrame([(0, [1.0, 0.0]), (0, [5.0, 0.0])], "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in va_topk.top_k(pair).collect()] == [(0, 1, 0, 327_680)] * 2
 
 
 def test_toxicity_needs_the_pair(spark):
@@ -403,3 +416,76 @@ def test_a_run_removes_what_its_stages_kept(spark):
     assert len(set(store._made) - before) == len(corpus_pipeline.STAGES)
     left = [p for p in set(store._made) - before if os.path.exists(p.removeprefix("file://"))]
     assert len(left) == 1
+
+
+def test_redirect_equivalence_on_planted_pages(spark):
+    """Canonical links and refreshes between random pages, found by the standard library's parser."""
+    from html.parser import HTMLParser
+    from urllib.parse import urljoin
+
+    rng = random.Random(9)
+    hosts = ["a.com", "b.net", "example.com", "x.example.net", "c.org", "d.fr"]
+    urls = [f"http://{rng.choice(hosts)}/{rng.choice(['en', 'de', 'es', 'fr'])}/{i}" for i in range(150)]
+
+    def tag(target):
+        href = rng.choice([f'"{target}"', f"'{target}'", target])
+        attributes = [f"href={href}", rng.choice(['rel="canonical"', "rel=canonical", "REL='Canonical'"])]
+        rng.shuffle(attributes)
+        refresh = rng.choice([f'<meta http-equiv="refresh" content="0; url={target}">', f"<META content='3;URL={target}' HTTP-EQUIV=Refresh>"])
+        return rng.choice([f"<link {' '.join(attributes)}>", f"<link {' '.join(attributes)} />", refresh])
+
+    pages = []
+    for i, url in enumerate(urls):
+        target = rng.choice(urls) if rng.random() < 0.4 else None
+        if target and rng.random() < 0.3:
+            target = target[len("http:") :]
+        noise = '<link rel="stylesheet" href="http://example.net/de/8/x.css"><meta name="url" content="http://q.org/es/1"><a href="http://q.org/es/2">x</a>'
+        pages.append((i, url, f"<html><head>{noise}{tag(target) if target else ''}</head><body>{'text ' * 20}</body></html>"))
+
+    class Links(HTMLParser):
+        def handle_starttag(self, name, attrs):
+            found = {k: v or "" for k, v in attrs}
+            if name == "link" and found.get("rel", "").lower() == "canonical":
+                self.targets.append(found["href"].removesuffix("/"))
+            if name == "meta" and found.get("http-equiv", "").lower() == "refresh":
+                self.targets.append(found["content"].lower().partition("url=")[2])
+
+    group = {}
+
+    def root(x):
+        while group.setdefault(x, x) != x:
+            x = group[x]
+        return x
+
+    def rule_of(url):
+        host, _, path = url.removeprefix("http://").partition("/")
+        fits = [(-len(r), v != "allow", v) for v, r in URL_RULES for h, p in [r.split("/", 1)] if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return min(fits)[2] if fits else None
+
+    edges = 0
+    for _, url, html in pages:
+        parser = Links()
+        parser.targets = []
+        parser.feed(html)
+        for target in parser.targets:
+            group[root(url)] = root(urljoin(url, target))
+            edges += 1
+    votes = {}
+    for url in list(group):
+        votes.setdefault(root(url), set()).add(rule_of(url))
+    want = {i: rule_of(url) or ("block" if votes.get(root(url), set()) - {None} == {"block"} else "allow") for i, url, _ in pages}
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: (r.verdict, r.rule) for r in url_rules.verdicts(frame, URL_RULES, same_page=url_rules.exact_key).collect()}
+    assert edges > 40 and {i: v for i, (v, _) in got.items()} == want
+    assert any(v == "block" and rule is None for v, rule in got.values())  # the method decides some
+
+
+def test_toxicity_reads_long_runs_of_marks_and_one_text_of_an_id(spark):
+    assert toxicity.stripped("__a!b!!") == "a!b" and toxicity.stripped("!_!") == "" and toxicity.stripped("") == ""
+    long = "a" + "!" * 1_000_000 + "b"
+    rows = [(i, f"good plain words {i}", 0) for i in range(200)] + [(1000 + i, f"nasty plain words {i}", 1) for i in range(200)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(5000, long), (5001, "!" * 1_000_000), (1000, "good plain words"), (1000, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    first, again = (sorted(map(tuple, toxicity.score(d, labels).collect()), key=str) for d in (docs, docs.repartition(3)))
+    assert first == again and len(first) == len(rows) + 4
+    assert {r[0]: r[3] for r in first if r[0] in (3, 1003)} == {3: 0, 1003: 1}

@@ -368,3 +368,78 @@ def test_mixes_of_odd_tables(spark):
     report = {r.doc_id: r for r in mixing.mix_report(docs).collect()}
     assert report[len(ODD)].size == 200_000 and report[0].size == report[0].taken == 0
     assert sum(r.taken for r in mixing.mix_report(docs).collect()) == pytest.approx(sum(r.size for r in mixing.mix_report(docs).collect()) * 1.5, abs=3)
+
+
+def test_secrets_in_whole_statements_and_many_spans(spark):
+    import time
+
+    key = "q7Zk2Lw9Xc4Vb6Nm1As8"
+    far = "the bearer " + "of these words that go on for long " * 3
+
+    def novel(text):
+        return [text[a:b] for a, b in secrets.candidates(text, secrets.base_spans(text))]
+
+    assert novel(f"{far}{key} end") == [key] and novel(f"use {key} it is the secret key") == [key] and novel(f"{key[:12]} token") == [key[:12]]
+    assert novel(f"a secret. Then {key}") == novel(f"a secret\n{key}") == novel(f"{key} plain") == novel("token only_letters_here") == []
+    assert novel(f"my secret{key}") == [] and novel(f"password={key}") == []  # within the string itself; a base span
+    many = "token=abcdef12345 " * 100_000
+    mixed = f"the token x{key} and {'0' * 24} " * 30_000
+    began = time.perf_counter()
+    assert len(secrets.base_spans(many)) == 100_000 and secrets.candidates(many, secrets.base_spans(many)) == []
+    assert len(secrets.candidates(mixed, secrets.base_spans(mixed))) == 30_000
+    assert time.perf_counter() - began < 10
+
+
+def test_mix_tells_sources_of_equal_rows_apart(spark):
+    filler = [(100 + i, f"word{i} " * 20, s) for i in range(40) for s in ("s1", "s2", "s3")]
+    rows = [(1, "one text " * 50, "s1"), (1, "one text " * 50, "s2"), (1, "one text " * 50, None), (2, None, "s1"), (2, "", "s1")] + filler
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix_report(docs, block_words=200).collect()
+    assert len(got) == len(rows)
+    sources = {r.source_size: r.target for r in got}
+    for size, target in sources.items():
+        own = [r for r in got if r.source_size == size]
+        assert size == sum(r.size for r in own) or len([1 for s in sources]) < 4  # sizes may agree between sources
+        assert all(r.taken <= 2 * r.size for r in own)
+    taken = sum(r.taken for r in got)
+    assert taken == pytest.approx(1.5 * sum(r.size for r in got), abs=4)
+    drawn = mixing.mix(docs, block_words=200).groupBy("source").count().collect()
+    assert {r.source for r in drawn} == {"s1", "s2", "s3", None}
+
+
+def test_draws_beyond_the_library_s_bound(monkeypatch):
+    rng = np.random.default_rng(3)
+    counts = np.array([5 * 10**12, 0, 3, 10**9, 7 * 10**13], np.int64)
+    for n in (0, 1, int(counts.sum()) // 3, int(counts.sum())):
+        left = mixing.left_part(rng, counts, n)
+        assert left.sum() == n and (left >= 0).all() and (left <= counts).all()
+    share = mixing.left_part(rng, counts, int(counts.sum()) // 4) / counts.clip(1)
+    assert abs(share[[0, 3, 4]] - 0.25).max() < 1e-3
+    small = np.array([4, 0, 3, 5], np.int64)
+    whole = np.array([rng.multivariate_hypergeometric(small, 6) for _ in range(8000)])
+    monkeypatch.setattr(mixing, "LIBRARY_DRAWS", 0)
+    own = np.array([mixing.left_part(rng, small, 6) for _ in range(8000)])
+    assert (own.sum(1) == 6).all() and (own <= small).all()
+    for a, b in ((own.mean(0), whole.mean(0)), (own.std(0), whole.std(0))):
+        assert np.abs(a - b).max() < 0.06
+
+
+def test_draws_against_a_plain_tree():
+    """The walk to each leaf gives what the whole tree, split in one place, gives."""
+    quotas, shards, seed = np.array([50, 0, 7, 130, 1]), 9, 4
+
+    def split(counts, low, high):
+        if high - low == 1:
+            return {low: counts}
+        middle, n = (low + high) // 2, int(quotas.sum())
+        size = n * middle // shards - n * low // shards
+        left = np.random.default_rng([seed, low, high]).multivariate_hypergeometric(counts, size, method="marginals")
+        return split(left, low, middle) | split(counts - left, middle, high)
+
+    plain = split(quotas, 0, shards)
+    seen = np.zeros(len(quotas), np.int64)
+    for shard in range(shards):
+        first, own = mixing.leaf_counts(quotas, shard, shards, seed)
+        assert own.tolist() == plain[shard].tolist() and first.tolist() == seen.tolist()
+        seen += own
+    assert seen.tolist() == quotas.tolist()
