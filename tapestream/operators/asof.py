@@ -15,9 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Microseconds of a session.
-SESSION = 86_400_000_000
-
+from tapestream.operators import scans
+from tapestream.operators.scans import SESSION
 
 def asof(
     left: DataFrame,
@@ -77,17 +76,16 @@ def fixed_clock(grid: DataFrame, states: DataFrame, by: Sequence[str], on: str,
     return found.select(*grid.columns, F.when(fresh, F.col("at")).alias("at"), *kept, fresh.alias("is_available"), reason.alias("unavailable_reason"))
 
 
-def next_change(states: DataFrame, by: Sequence[str], on: str, value: str, tie: str, search: int) -> DataFrame:
+def next_change(states: DataFrame, by: Sequence[str], on: str, value: str, tie: str, search: int, session: int = SESSION) -> DataFrame:
     """states with change_at, change_direction (1, -1) of the first different value after each row, within ``search``.
 
     The next row with another value starts the next run of equal values, so the
     nearest start among the later rows answers all rows of a run.
     """
-    start = F.coalesce(F.col(value) != F.lag(value).over(Window.partitionBy(*by).orderBy(on, tie)), F.lit(True))
-    starts = F.when(F.col("_start"), F.struct(F.col(on).alias("us"), F.col(value).alias("v")))
-    later_first = Window.partitionBy(*by).orderBy(F.col(on).desc(), F.col(tie).desc())
-    following = F.last(starts, ignorenulls=True).over(later_first.rowsBetween(Window.unboundedPreceding, -1))
-    out = states.withColumn("_start", start).withColumn("_next", following)
+    runs = scans.previous(states, by, [on, tie], {"_before": value}, session)
+    start = F.coalesce(F.col(value) != F.col("_before"), F.lit(True))
+    starts = F.when(start, F.struct(F.col(on).alias("us"), F.col(value).alias("v")))
+    out = scans.last_known(runs, by, [on, tie], "_next", starts, inclusive=False, later=True, session=session)
     near = F.col("_next.us") - F.col(on) <= search
     sign = F.when(F.col("_next.v") > F.col(value), 1).otherwise(-1)
     return out.select(*states.columns, F.when(near, F.col("_next.us")).alias("change_at"), F.when(near, sign).alias("change_direction"))

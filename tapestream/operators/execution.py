@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapestream.functions.market import short_id
-from tapestream.operators.asof import asof, interval_join
+from tapestream.operators import dominance
+from tapestream.operators.asof import asof
+from tapestream.operators.scans import SESSION
 
 
 def consume_depth(levels: DataFrame, by: Sequence[str], order: Sequence[str], size: str, quantity: str) -> DataFrame:
@@ -44,19 +49,42 @@ def market_fills(orders: DataFrame, books: DataFrame, by: Sequence[str], depth:
     return consume_depth(each, [*by, "order_id"], ["book_level"], "size", "quantity").where("fill > 0").drop("size")
 
 
-def passive_fills(orders: DataFrame, trades: DataFrame, by: Sequence[str], second: int = 1_000_000) -> DataFrame:
+def passive_fills(orders: DataFrame, trades: DataFrame, by: Sequence[str], session: int = SESSION) -> DataFrame:
     """Child fills of resting orders by prints against them, strictly after arrival and up to the order's end.
 
     orders: order_id, side, limit_price, quantity, queue, arrival, expiry, cancel (null: none).
     trades: us, row, price, qty, side (the aggressor's).
+
+    Time is cut into sessions of at least the longest order's life; an order is in the session
+    of its arrival, a print in its own and, within that life of its start, in the one before.
+    A session sums volumes over price and time at once (``dominance``), so no pair of an order
+    and a print that doesn't fill it is made.
     """
-    live = orders.withColumn("_end", F.least("expiry", F.coalesce("cancel", "expiry")))
-    prints = trades.select(*by, "us", "row", F.col("price").alias("t_price"), F.col("qty").cast("double").alias("t_qty"), F.col("side").alias("t_side"))
-    pairs = interval_join(live.where("_end > arrival"), prints, by, "arrival", "_end", "us", second)
-    buys = (F.col("side") == "BUY") & (F.col("t_side") == "sell") & (F.col("t_price") <= F.col("limit_price"))
-    sells = (F.col("side") == "SELL") & (F.col("t_side") == "buy") & (F.col("t_price") >= F.col("limit_price"))
-    filled = queue_fill(pairs.where(buys | sells), [*by, "order_id"], ["us", "row"], "t_qty", "queue", "quantity").where("fill > 0")
-    return filled.select(*by, "order_id", "side", F.col("us").alias("fill_time"), F.col("limit_price").alias("price"), F.col("fill").alias("quantity"))
+    live = orders.withColumn("_end", F.least("expiry", F.coalesce("cancel", "expiry"))).where("_end > arrival")
+    longest = live.agg(F.max(F.col("_end") - F.col("arrival"))).first()[0] or 0  # one number
+    session = max(session, longest)
+    own = F.floor(F.col("us") / session).cast("long")
+    prints = trades.where((F.col("qty") > 0) & F.col("side").isin("buy", "sell") & F.col("price").isNotNull())
+    prints = prints.select(*by, "us", "row", F.col("price").cast("double").alias("t_price"), F.col("qty").cast("double").alias("t_qty"), (F.col("side") == "sell").alias("hits_buys"), F.explode(F.sequence(F.floor((F.col("us") - longest) / session).cast("long"), own)).alias("_part"))
+    prints = prints.withColumn("_k", F.row_number().over(Window.partitionBy(*by, "_part").orderBy("us", "row"))).drop("row")
+    asked = live.select(*by, "order_id", "side", "limit_price", F.col("quantity").cast("double").alias("quantity"), F.col("queue").cast("double").alias("queue"), "arrival", "_end", F.floor(F.col("arrival") / session).cast("long").alias("_part"))
+    names = [*by, "order_id", "side", "fill_time", "price", "quantity"]
+    schema = "".join(f"`{c}` {asked.schema[c].dataType.simpleString()}, " for c in [*by, "order_id", "side"]) + f"fill_time long, price {asked.schema['limit_price'].dataType.simpleString()}, quantity double"
+
+    def fill(key: tuple, own: pa.Table, seen: pa.Table) -> pa.Table:
+        seen = seen.sort_by("_k")
+        parts = []
+        for side, hits, sign in (("BUY", True, 1.0), ("SELL", False, -1.0)):
+            mine, against = own.filter(pc.equal(own["side"], side)), seen.filter(pc.equal(seen["hits_buys"], hits))
+            us = against["us"].to_numpy()
+            first, last = (np.searchsorted(us, mine[c].to_numpy(), side="right") for c in ("arrival", "_end"))
+            limits = sign * mine["limit_price"].cast(pa.float64()).to_numpy()
+            taken = dominance.consumed(sign * against["t_price"].to_numpy(), against["t_qty"].to_numpy(), limits, first, last, mine["queue"].to_numpy(), mine["quantity"].to_numpy())
+            rows = mine.take(pa.array(taken[0]))
+            parts.append(pa.table([*(rows[c] for c in [*by, "order_id", "side"]), pa.array(us[taken[1]]), rows["limit_price"], pa.array(taken[2])], names))
+        return pa.concat_tables(parts)
+
+    return asked.groupBy(*by, "_part").cogroup(prints.groupBy(*by, "_part")).applyInArrow(fill, schema)
 
 
 def passive_summary(orders: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -1,23 +1,36 @@
-"""Positions and profit of fills: window sums for what adds up, an ordered fold for average cost."""
+"""Positions and profit of fills, in sessions: one scenario is many tasks.
+
+Sums and maxima are scans in two passes (``scans``).  The average-cost fold looks like one
+that must go row by row, but positions are sums, so they are known at each session's start;
+and given them, a fill changes the cost of the open position (position times average) by
+multiplying it and adding to it: an addition adds, a reduction takes a share away, a fill
+that opens or turns the position sets it.  Such steps compose.  So a first pass composes
+each session's fills, the compositions are applied one after another, a row per scenario and
+session, and a second pass folds each session from the position and cost it starts with.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapestream.operators import scans, selection
+from tapestream.operators.scans import SESSION
+
 FLAT = 1e-8
 STATE = ("position", "average", "realized")
 
 
-def running(fills: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """fills (signed, price, fee) with position, cash (without fees), fees and turnover so far."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+def running(fills: DataFrame, by: Sequence[str], order: Sequence[str], session: int = SESSION) -> DataFrame:
+    """fills (signed, price, fee) with position, cash (without fees), fees and turnover so far; order[0] is the time."""
     notional = F.col("signed") * F.col("price")
     sums = {"position": F.col("signed"), "cash": -notional, "fees": F.col("fee"), "turnover": F.abs(notional)}
-    return fills.withColumns({k: F.sum(v).over(w) for k, v in sums.items()})
+    return scans.running(fills, by, order, sums, session=session)
 
 
 def mark_to_market(fills: DataFrame, marks: DataFrame, by: Sequence[str], on: str, order: Sequence[str]) -> DataFrame:
@@ -32,9 +45,9 @@ def mark_to_market(fills: DataFrame, marks: DataFrame, by: Sequence[str], on: st
     return out.withColumn("gross", gross).withColumn("net", F.col("gross") - F.col("fees"))
 
 
-def drawdown(rows: DataFrame, by: Sequence[str], order: Sequence[str], equity: str) -> DataFrame:
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("drawdown", F.max(equity).over(w) - F.col(equity))
+def drawdown(rows: DataFrame, by: Sequence[str], order: Sequence[str], equity: str, session: int = SESSION) -> DataFrame:
+    found = scans.running(rows, by, order, maxima={"_peak": F.col(equity)}, session=session)
+    return found.withColumn("drawdown", F.col("_peak") - F.col(equity)).drop("_peak")
 
 
 def _step(state: tuple[float, float, float], q: float | None, p: float | None) -> tuple[float, float, float]:
@@ -54,58 +67,173 @@ def _step(state: tuple[float, float, float], q: float | None, p: float | None) -
     return (0.0, 0.0, realized) if abs(after) < FLAT else (after, avg, realized)
 
 
-def _fold(fills: DataFrame, by: Sequence[str], order: Sequence[str], path: bool) -> DataFrame:
-    """The fold over each scenario's fills in order: Spark sorts, spilling where it must, and a task holds one state.
-
-    ``path``: a row per fill, with all its columns, else one per scenario.
+def _composed(pos: float, fills: Iterator[tuple[float | None, float | None]]) -> tuple[float, float]:
+    """What fills from a position do to its cost: they multiply it and add to it."""
+    times, plus = 1.0, 0.0
+    for q, p in fills:
+        if q is None:
+            continue
+        after = pos + q
+        if abs(after) < FLAT:
+            times = plus = after = 0.0
+        elif abs(pos) < FLAT or ((pos > 0) != (q > 0) and abs(q) > abs(pos) + FLAT):
+            times, plus = 0.0, after * p
+        elif (pos > 0) == (q > 0):
+            plus += q * p
+        else:
+            times, plus = times * after / pos, plus * after / pos
+        pos = after
+    return times, plus
+
+
+def _runs(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """Rows with equal values in the first columns, as (these values, rows); a run may come in several pieces."""
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        new = np.zeros(n - 1, bool)
+        for c in range(width):
+            a, b = batch.column(c).slice(0, n - 1), batch.column(c).slice(1)
+            apart = pc.or_(pc.xor(pc.is_null(a), pc.is_null(b)), pc.fill_null(pc.not_equal(a, b), False))
+            new |= apart.to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(new) + 1).tolist(), n]
+        for first, last in zip(cuts[:-1], cuts[1:]):
+            yield tuple(batch.column(c)[first].as_py() for c in range(width)), batch.slice(first, last - first)
+
+
+def _schema(rows: DataFrame, columns: Sequence[str]) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*columns).schema)
+
+
+def _costs(parts: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """by, _part and _cost: the open position's cost before each session.
+
+    parts: fills (_q, _p) in sessions, with the position before each as _q of its first row, which is _carried.
     """
+    width = len(by) + 1
+
+    def compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, pos, times, plus, first, done = None, 0.0, 1.0, 0.0, None, []
+
+        def emit() -> pa.RecordBatch:
+            keys = [pa.concat_arrays([row.column(c) for row, _, _ in done]) for c in range(width)]
+            return pa.record_batch([*keys, *(pa.array([x[c] for x in done], pa.float64()) for c in (1, 2))], [*by, "_part", "_m", "_b"])
+
+        for key, rows in _runs(batches, width):
+            if key != at:
+                if first is not None:
+                    done.append((first, times, plus))
+                at, pos, times, plus, first = key, 0.0, 1.0, 0.0, rows.slice(0, 1)
+            carried, q, p = (rows.column(width + c).to_pylist() for c in range(3))
+            if carried[0]:
+                pos, q, p = q[0] or 0.0, q[1:], p[1:]
+            m, b = _composed(pos, zip(q, p))
+            times, plus = times * m, plus * m + b
+            for x in q:
+                pos = 0.0 if x is not None and abs(pos + x) < FLAT else pos + (x or 0.0)
+            if len(done) > 10_000:
+                yield emit()
+                done = []
+        if first is not None:
+            done.append((first, times, plus))
+        if done:
+            yield emit()
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, cost = None, 0.0
+        for key, rows in _runs(batches, width - 1):
+            if key != at:
+                at, cost = key, 0.0
+            costs = []
+            for m, b in zip(rows.column(width).to_pylist(), rows.column(width + 1).to_pylist()):
+                costs.append(cost)
+                cost = m * cost + b
+            yield pa.record_batch([*rows.columns[:width], pa.array(costs, pa.float64())], [*by, "_part", "_cost"])
+
+    keys = _schema(parts, [*by, "_part"])
+    dealt = parts.repartition(*by, "_part").sortWithinPartitions(*by, "_part", F.desc("_carried"), *order)
+    composed = dealt.select(*by, "_part", "_carried", "_q", "_p").mapInArrow(compose, f"{keys}, _m double, _b double")
+    return composed.repartition(*by).sortWithinPartitions(*by, "_part").mapInArrow(apply, f"{keys}, _cost double")  # a row per key and session
+
+
+def _fold(fills: DataFrame, by: Sequence[str], order: Sequence[str], path: bool, session: int) -> DataFrame:
+    """The fold of each session from what it starts with, its realized profit counted from 0.
+
+    ``path``: a row per fill, with all its columns, else one per scenario and session.
+    """
+    q, p = F.col("signed").cast("double"), F.col("price").cast("double")
+    counts = q.isNotNull() & p.isNotNull() & (F.abs(q) >= FLAT)
+    values = fills.withColumns({"_q": F.when(counts, q), "_p": p})
+    parts = scans.cut(values, by, order, {"_q": (F.sum("_q"), F.sum)}, session)
     kept = list(fills.columns) if path else list(by)
-    rows = fills.repartition(*by).sortWithinPartitions(*by, *order).select(*kept, F.struct(*by).alias("_by"), F.col("signed").cast("double").alias("_q"), F.col("price").cast("double").alias("_p"))
+    more = [c for c in kept if c not in by]
+    rows = parts.unionByName(_costs(parts, by, order).withColumn("_carried", F.lit(True)), allowMissingColumns=True)
+    dealt = rows.repartition(*by, "_part").sortWithinPartitions(*by, "_part", F.desc("_carried"), *order)
+    width = len(by) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [*kept, *STATE]
-        types = [pa.float64()] * 3
-        key, state, last = None, (0.0, 0.0, 0.0), None
-        for batch in batches:
-            keys = [tuple(k.values()) for k in batch.column(len(kept)).to_pylist()]
-            states, ends, at = [], [], None
-            for i, (k, q, p) in enumerate(zip(keys, batch.column(len(kept) + 1).to_pylist(), batch.column(len(kept) + 2).to_pylist())):
-                if k != key:
-                    if not path and key is not None:
-                        ends.append((last if at is None else batch.slice(at, 1), state))
-                    key, state = k, (0.0, 0.0, 0.0)
-                state = _step(state, q, p)
-                at = i
+        names, at, state, first, done = [*by, "_part", *more, *STATE], None, (0.0, 0.0, 0.0), None, []
+
+        def emit() -> pa.RecordBatch:
+            keys = [pa.concat_arrays([row.column(c) for row, _ in done]) for c in range(width)]
+            return pa.record_batch([*keys, *(pa.array(x, pa.float64()) for x in zip(*[s for _, s in done]))], names)
+
+        for key, piece in _runs(batches, width):
+            if key != at:
+                if first is not None and not path:
+                    done.append((first, state))
+                at, state, first, pos, cost = key, (0.0, 0.0, 0.0), piece.slice(0, 1), 0.0, 0.0
+            carried, qs, ps, costs = (piece.column(width + c).to_pylist() for c in range(4))
+            head = sum(carried)
+            for x, c in zip(qs[:head], costs[:head]):
+                pos, cost = (x or 0.0, cost) if c is None else (pos, c)
+                state = (pos, cost / pos, 0.0) if abs(pos) >= FLAT else (0.0, 0.0, 0.0)
+            states = []
+            for x, y in zip(qs[head:], ps[head:]):
+                state = _step(state, x, y)
                 if path:
                     states.append(state)
-            if path and states:
-                yield pa.record_batch([*batch.columns[: len(kept)], *(pa.array(c, t) for c, t in zip(zip(*states), types))], names)
-            last = last if at is None else batch.slice(at, 1)
-            for row, final in ends:
-                yield pa.record_batch([*row.columns[: len(kept)], *(pa.array([x], pa.float64()) for x in final)], names)
-        if not path and last is not None:
-            yield pa.record_batch([*last.columns[: len(kept)], *(pa.array([x], pa.float64()) for x in state)], names)
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fills.select(*kept).schema)
-    return rows.mapInArrow(run, schema + ", " + ", ".join(f"{c} double" for c in STATE))
-
-
-def average_cost(fills: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Terminal position, average price and realized profit of each scenario.
-
-    The fold isn't associative, so scenarios are the unit of parallel work.
-    """
-    return _fold(fills, by, order, False)
-
-
-def average_cost_path(fills: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
+            if states:
+                own = piece.slice(head)
+                columns = [own.column(c) for c in (*range(width), *range(width + 4, width + 4 + len(more)))]
+                yield pa.record_batch([*columns, *(pa.array(c, pa.float64()) for c in zip(*states))], names)
+            if len(done) > 10_000:
+                yield emit()
+                done = []
+        if first is not None and not path:
+            done.append((first, state))
+        if done:
+            yield emit()
+
+    schema = _schema(parts, [*by, "_part", *more]) + ", " + ", ".join(f"{c} double" for c in STATE)
+    return dealt.select(*by, "_part", "_carried", "_q", "_p", "_cost", *more).mapInArrow(run, schema)
+
+
+def average_cost(fills: DataFrame, by: Sequence[str], order: Sequence[str], session: int = SESSION) -> DataFrame:
+    """Terminal position, average price and realized profit of each scenario; order[0] is the time."""
+    ends = _fold(fills, by, order, False, session)
+    last = F.max_by(F.struct("position", "average"), F.coalesce("_part", F.lit(-(2**63))))
+    return ends.groupBy(*by).agg(last.alias("_e"), F.sum("realized").alias("realized")).select(*by, "_e.position", "_e.average", "realized")
+
+
+def average_cost_path(fills: DataFrame, by: Sequence[str], order: Sequence[str], session: int = SESSION) -> DataFrame:
     """fills with position, average and realized after each, for scenarios whose path is wanted."""
-    return _fold(fills, by, order, True)
+    ends = _fold(fills, by, order, False, session)
+    earlier = F.sum("realized").over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    earlier = ends.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate((*by, "_part"))], F.coalesce(earlier, F.lit(0.0)).alias("_earlier"))
+    same = F.lit(True)
+    for i, c in enumerate((*by, "_part")):
+        same &= F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    steps = _fold(fills, by, order, True, session).join(earlier, same)
+    return steps.select(*fills.columns, "position", "average", (F.col("realized") + F.col("_earlier")).alias("realized"))
 
 
 def position_summary(rows: DataFrame, by: Sequence[str]) -> DataFrame:
     p = F.col("position")
-    return rows.groupBy(*by).agg(
-        F.max(p).alias("longest"), F.min(p).alias("shortest"), F.avg(F.abs(p)).alias("mean_abs"), F.median(F.abs(p)).alias("median_abs"),
-        F.percentile(F.abs(p), F.lit(0.95)).alias("p95_abs"), F.avg((p > 0).cast("double")).alias("long_share"), F.avg((p < 0).cast("double")).alias("short_share"),
+    sums = rows.groupBy(*by).agg(
+        F.max(p).alias("longest"), F.min(p).alias("shortest"), F.avg(F.abs(p)).alias("mean_abs"),
+        F.avg((p > 0).cast("double")).alias("long_share"), F.avg((p < 0).cast("double")).alias("short_share"),
     )
+    out = selection.with_quantiles(sums, rows, by, {"size": F.abs(p)}, {"size": {"median_abs": 0.5, "p95_abs": 0.95}})
+    return out.select(*by, "longest", "shortest", "mean_abs", "median_abs", "p95_abs", "long_share", "short_share")

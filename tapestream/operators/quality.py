@@ -7,6 +7,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapestream.operators import scans
+from tapestream.operators.scans import SESSION
+
 ERROR, WARNING = "ERROR", "WARNING"
 
 
@@ -84,17 +87,19 @@ def duplicates(rows: DataFrame, columns: Sequence[str], order: Sequence[str]) ->
     return rows.withColumn("copy", copy).where("copy > 1")
 
 
-def stale(rows: DataFrame, by: Sequence[str], order: Sequence[str], on: str, columns: Sequence[str], longest: int) -> DataFrame:
-    """The first row of each run of equal columns at which the run has lasted longer than ``longest``."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    changed = F.lit(False)
+def stale(rows: DataFrame, by: Sequence[str], order: Sequence[str], on: str, columns: Sequence[str], longest: int, session: int = SESSION) -> DataFrame:
+    """The first row of each run of equal columns at which the run has lasted longer than ``longest``; order[0] is ``on``.
+
+    A run is named by its key and start: of runs that start at one time all but the last end then, and are never late.
+    """
+    seen = scans.previous(rows, by, order, {f"_{c}": c for c in columns} | {"_on": on}, session)
+    changed = F.col("_on").isNull()
     for c in columns:
-        changed |= ~F.col(c).eqNullSafe(F.lag(c).over(w))
-    runs = rows.withColumn("_run", F.sum(changed.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = runs.withColumn("_since", F.min(on).over(Window.partitionBy(*by, "_run")))
-    late = runs.where(F.col(on) - F.col("_since") > longest)
-    first = F.row_number().over(Window.partitionBy(*by, "_run").orderBy(*order))
-    return late.withColumn("_k", first).where("_k = 1").drop("_k", "_run").withColumnRenamed("_since", "since")
+        changed |= ~F.col(c).eqNullSafe(F.col(f"_{c}"))
+    runs = scans.last_known(seen, by, order, "since", F.when(changed, F.col(on)), session=session).select(*rows.columns, "since")
+    late = runs.where(F.col(on) - F.col("since") > longest)
+    first = F.min_by(F.struct(*rows.columns), F.struct(*order)).alias("_first")
+    return late.groupBy(*by, "since").agg(first).select("_first.*", "since")
 
 
 def check_gate(found: DataFrame) -> None:

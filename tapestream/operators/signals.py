@@ -8,12 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapestream.functions.market import raw_signal
+from tapestream.operators import selection
 
 
 def thresholds(train: DataFrame, by: Sequence[str], pred: str) -> DataFrame:
     """q05, q10, q90 and q95 of the training predictions."""
-    q = F.percentile(pred, F.array(*map(F.lit, (0.05, 0.1, 0.9, 0.95)))).alias("_q")
-    return train.groupBy(*by).agg(q).select(*by, *[F.get("_q", i).alias(n) for i, n in enumerate(("q05", "q10", "q90", "q95"))])
+    found = selection.quantiles(train, by, {"_q": F.col(pred)}, {"_q": (0.05, 0.1, 0.9, 0.95)})
+    return found.select(*by, *[F.get("_q", F.lit(i)).alias(n) for i, n in enumerate(("q05", "q10", "q90", "q95"))])
 
 
 def final_signal(signal: Column, valid: Column, stale: Column, session: Sequence[str], order: Sequence[str]) -> Column:

@@ -13,7 +13,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapestream.operators.asof import SESSION
+from tapestream.operators import scans
+from tapestream.operators.scans import SESSION
 
 #: The end of a frame of rows that never holds any.
 NOWHERE = -(2**31 - 1)
@@ -68,10 +69,10 @@ def trade_sums(price: str = "price", qty: str = "qty", side: str = "side") -> di
     }
 
 
-def ofi_event(by: Sequence[str], order: Sequence[str]) -> Column:
-    """Order-flow imbalance of each quote against the one before it; the first is 0."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    bid, bid_sz, ask, ask_sz = (F.lag(c).over(w) for c in ("bid", "bid_sz", "ask", "ask_sz"))
+def with_ofi(quotes: DataFrame, by: Sequence[str], order: Sequence[str], session: int = SESSION) -> DataFrame:
+    """quotes (bid, bid_sz, ask, ask_sz) with ofi: order-flow imbalance against the quote before, 0 for the first."""
+    seen = scans.previous(quotes, by, order, {f"_{c}": c for c in ("bid", "bid_sz", "ask", "ask_sz")}, session)
+    bid, bid_sz, ask, ask_sz = (F.col(f"_{c}") for c in ("bid", "bid_sz", "ask", "ask_sz"))
     bought = F.when(F.col("bid") >= bid, F.col("bid_sz")).otherwise(0) - F.when(F.col("bid") <= bid, bid_sz).otherwise(0)
     sold = F.when(F.col("ask") <= ask, F.col("ask_sz")).otherwise(0) - F.when(F.col("ask") >= ask, ask_sz).otherwise(0)
-    return F.when(bid.isNull(), 0).otherwise(bought - sold)
+    return seen.withColumn("ofi", F.when(bid.isNull(), 0).otherwise(bought - sold)).select(*quotes.columns, "ofi")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tapestream.bridge import BOOK, BOOK_ORDER, FILLS, HOUR, PREDS, QUOTES, TICKS, book_updates, fills, preds, quotes, table, ticks
 from tapestream.functions import market
-from tapestream.operators import asof, book, execution, ledger, models, quality, ranks, signals
+from tapestream.operators import asof, book, execution, ledger, models, quality, ranks, scans, signals
 from tapestream.plans.registry import query
 from tapestream.plans.research_queries import BOUNDS, BUCKETED, DAILY, DAY, SIGNAL, VALID, _round, _signals
 from tapestream.plans.trading_queries import BY, ORDER, SQL_ORDER, SUMS
@@ -34,8 +34,7 @@ def schema_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT "row" FROM (SELECT *, lag(b) OVER w AS pb, lag(z) OVER w AS pz FROM s WINDOW w AS (PARTITION BY inst ORDER BY us, "row")) WHERE pb IS NOT NULL AND (b <> pb OR z <> pz)""")
 def bbo_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quotes(spark, sf_dir).select("row", "inst", "us", F.floor(F.col("mid") / 40).cast("long").alias("b"), (F.col("bid_sz") % 3).alias("z"))
-    w = Window.partitionBy("inst").orderBy("us", "row")
-    rows = rows.withColumns({"pb": F.lag("b").over(w), "pz": F.lag("z").over(w)})
+    rows = scans.previous(rows, ["inst"], ["us", "row"], {"pb": "b", "pz": "z"})
     return rows.where("pb is not null and (b <> pb or z <> pz)").select("row")
 
 
@@ -141,7 +140,7 @@ def conservation(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT inst, round(avg(CASE WHEN d = 0 THEN 1.0 ELSE 0.0 END), 6) AS zero, CAST(count(DISTINCT d) AS BIGINT) AS distinct_moves, round(avg(CASE WHEN d > 0 THEN 1.0 ELSE 0.0 END), 6) AS up FROM r WHERE d IS NOT NULL GROUP BY inst""")
 def discreteness(spark: SparkSession, sf_dir: str) -> DataFrame:
     level = F.floor(F.col("mid") / 100)
-    r = quotes(spark, sf_dir).withColumn("l", level).withColumn("d", F.col("l") - F.lag("l").over(Window.partitionBy("inst").orderBy("us", "row"))).where("d is not null")
+    r = scans.previous(quotes(spark, sf_dir).withColumn("l", level), ["inst"], ["us", "row"], {"p": "l"}).withColumn("d", F.col("l") - F.col("p")).where("d is not null")
     return _round(r.groupBy("inst").agg(ranks.share(F.col("d") == 0).alias("zero"), F.count_distinct("d").alias("distinct_moves"), ranks.share(F.col("d") > 0).alias("up")), ["inst"])
 
 
@@ -215,8 +214,7 @@ def missing_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("h07_moves", f"""WITH {QUOTES}, m AS (SELECT "row", mid, ask_sz - 1 AS spread, lead(mid) OVER (PARTITION BY inst ORDER BY us, "row") AS nxt FROM quotes) SELECT "row", round((nxt - mid) / nullif(mid, 0) * 10000, 4) AS bps, CASE WHEN spread > 0 THEN round((nxt - mid) / spread, 6) END AS spreads FROM m""")
 def moves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nxt = F.lead("mid").over(Window.partitionBy("inst").orderBy("us", "row"))
-    rows = quotes(spark, sf_dir).select("row", "mid", (F.col("ask_sz") - 1).alias("s"), nxt.alias("n"))
+    rows = scans.last_known(quotes(spark, sf_dir), ["inst"], ["us", "row"], "n", F.col("mid"), inclusive=False, later=True).select("row", "mid", (F.col("ask_sz") - 1).alias("s"), "n")
     d = F.col("n") - F.col("mid")
     return rows.select("row", F.round(F.try_divide(d, F.col("mid")) * 10_000, 4).alias("bps"), F.when(F.col("s") > 0, F.round(F.try_divide(d, F.col("s").cast("double")), 6)).alias("spreads"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tapestream.bridge import PREDS, preds, table
 from tapestream.functions import market
-from tapestream.operators import models, ranks, signals
+from tapestream.operators import models, ranks, selection, signals
 from tapestream.plans.registry import query
 
 DAY = ["day"]
@@ -166,11 +166,12 @@ def calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
   round(quantile_cont(value, 0.99), 6) AS p99, round(max(value), 6) AS high, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std FROM events GROUP BY event_type""")
 def profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     levels = {"p01": 0.01, "p05": 0.05, "p50": 0.5, "p95": 0.95, "p99": 0.99}
-    rows = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("inst")).agg(
-        F.count("value").alias("n"), ranks.share(F.col("value").isNull()).alias("missing"), F.min("value").alias("low"), F.percentile("value", F.array(*map(F.lit, levels.values()))).alias("_q"),
+    rows = table(spark, sf_dir, "events").withColumnRenamed("event_type", "inst")
+    sums = rows.groupBy("inst").agg(
+        F.count("value").alias("n"), ranks.share(F.col("value").isNull()).alias("missing"), F.min("value").alias("low"),
         F.max("value").alias("high"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"),
     )
-    return _round(rows.select("*", *[F.get("_q", i).alias(k) for i, k in enumerate(levels)]).drop("_q"), ["inst"])
+    return _round(selection.with_quantiles(sums, rows, ["inst"], {"value": F.col("value")}, {"value": levels}), ["inst"])
 
 
 # --- signals

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tapestream.bridge import BOOK, BOOK_ORDER, GRID, HOUR, QUOTES, TICKS, book_updates, grid, quotes, table, ticks
 from tapestream.functions import market
 from tapestream.operators import asof as lookups
-from tapestream.operators import book, quality, trailing
+from tapestream.operators import book, quality, scans, trailing
 from tapestream.plans.registry import query
 
 BACK = "RANGE BETWEEN {} PRECEDING AND CURRENT ROW"
@@ -41,7 +41,7 @@ OFI = """ofi AS (SELECT *, CASE WHEN pb IS NULL THEN 0 ELSE
 
 
 def with_ofi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quotes(spark, sf_dir).withColumn("ofi", trailing.ofi_event(["inst"], ["us", "row"]).cast("long"))
+    return trailing.with_ofi(quotes(spark, sf_dir), ["inst"], ["us", "row"]).withColumn("ofi", F.col("ofi").cast("long"))
 
 
 @query("w19_ofi_event", f"""WITH {QUOTES}, {OFI} SELECT "row", CAST(ofi AS BIGINT) AS ofi FROM ofi""")
@@ -67,8 +67,8 @@ def feature_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT "row", CASE WHEN count(ret) OVER w > 0 THEN round(sqrt(sum(ret * ret) OVER w), 6) END AS vol_24h
   FROM r WINDOW w AS (PARTITION BY inst ORDER BY us {BACK.format(24 * HOUR - 1)})""")
 def realized_vol(spark: SparkSession, sf_dir: str) -> DataFrame:
-    before = F.lag("price").over(Window.partitionBy("inst").orderBy("us", "row"))
-    rows = ticks(spark, sf_dir).withColumn("ret", market.log_return(F.col("price"), before))
+    rows = scans.previous(ticks(spark, sf_dir), ["inst"], ["us", "row"], {"before": "price"})
+    rows = rows.withColumn("ret", market.log_return(F.col("price"), F.col("before")))
     out = trailing.trailing(rows, ["inst"], "us", {"24h": 24 * HOUR}, {"s": F.sum(F.col("ret") * F.col("ret")), "n": F.count("ret")})
     return out.select("row", F.when(F.col("n_24h") > 0, F.round(F.sqrt(F.greatest("s_24h", F.lit(0.0))), 6)).alias("vol_24h"))
 
@@ -144,8 +144,8 @@ def next_change(spark: SparkSession, sf_dir: str) -> DataFrame:
 def interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ticks(spark, sf_dir)
     spans = rows.select("inst", F.col("row").alias("id"), F.col("us").alias("a"), (F.col("us") + 6 * HOUR).alias("b"))
-    found = lookups.interval_join(spans, rows, ["inst"], "a", "b", "us", 6 * HOUR)
-    return found.groupBy("id").agg(F.count("*").alias("n"), F.sum("qty").cast("long").alias("volume"))
+    found = scans.interval_sums(spans, rows, ["inst"], "a", "b", "us", {"n": F.lit(1), "volume": F.col("qty")})
+    return found.where("n > 0").select("id", "n", F.col("volume").cast("long").alias("volume"))
 
 
 # --- quality

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tapestream.bridge import FILLS, HOUR, TICKS, fills, table, ticks
 from tapestream.functions import market
-from tapestream.operators import economics, execution, ledger
+from tapestream.operators import digest, economics, execution, ledger
 from tapestream.plans.registry import query
 from tapestream.plans.research_queries import _round
 
@@ -44,7 +44,7 @@ def queue_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
         "inst", F.col("row").cast("string").alias("order_id"), F.lit("BUY").alias("side"), F.col("price").alias("limit_price"), F.lit(5.0).alias("quantity"), F.lit(3.0).alias("queue"),
         F.col("us").alias("arrival"), (F.col("us") + 6 * HOUR).alias("expiry"), F.lit(None).cast("long").alias("cancel"),
     )
-    return execution.passive_fills(orders, rows, ["inst"], 6 * HOUR).select("order_id", "fill_time", "quantity")
+    return execution.passive_fills(orders, rows, ["inst"]).select("order_id", "fill_time", "quantity")
 
 
 @query("r14_markouts", f"""WITH {TICKS}, m AS (SELECT inst, max_by(price, us) AS last FROM ticks GROUP BY inst), a AS (SELECT *, us + {6 * HOUR} AS target FROM ticks)
@@ -215,7 +215,13 @@ def equality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sides.agg(F.coalesce(F.sum("l"), F.lit(0)).cast("long").alias("only_left"), F.coalesce(F.sum("r"), F.lit(0)).cast("long").alias("only_right"))
 
 
-@query("h23_content_hash", """SELECT sha256(string_agg(h, '' ORDER BY h)) AS digest FROM (SELECT sha256(concat_ws('|', CAST(n_nationkey AS VARCHAR), n_name, CAST(n_regionkey AS VARCHAR))) AS h FROM nation)""")
+CELLS = " || ".join(f"coalesce(octet_length(CAST(CAST({c} AS VARCHAR) AS BLOB)) || ':' || CAST({c} AS VARCHAR), 'n')" for c in ("l_orderkey", "l_linenumber", "l_shipmode"))
+WORD_SUMS = ", ".join(f"sum(CAST('0x' || substr(h, {1 + 8 * i}, 8) AS HUGEINT)) AS s{i}" for i in range(digest.WORDS))
+CARRIED = "".join(f", c{i} AS (SELECT *, s{i}{f' + t{i + 1} // 4294967296' if i < digest.WORDS - 1 else ''} AS t{i} FROM {f'c{i + 1}' if i < digest.WORDS - 1 else 'sums'})" for i in reversed(range(digest.WORDS)))
+HEX = " || ".join(f"lpad(printf('%x', CAST(t{i} % 4294967296 AS BIGINT)), 8, '0')" for i in range(digest.WORDS))
+
+
+@query("h23_content_hash", f"""WITH h AS (SELECT l_returnflag, sha256({CELLS}) AS h FROM lineitem), sums AS (SELECT l_returnflag, CAST(count(*) AS BIGINT) AS "rows", {WORD_SUMS} FROM h GROUP BY l_returnflag){CARRIED}
+  SELECT l_returnflag, "rows", {HEX} AS digest FROM c0""")
 def content_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "nation").select(F.sha2(F.concat_ws("|", F.col("n_nationkey").cast("string"), "n_name", F.col("n_regionkey").cast("string")), 256).alias("h"))
-    return rows.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("digest"))
+    return digest.table_digest(table(spark, sf_dir, "lineitem").select("l_returnflag", "l_orderkey", "l_linenumber", "l_shipmode"), ["l_returnflag"])

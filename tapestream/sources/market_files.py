@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tapestream.operators import digest
+
 SPOT_COLUMNS = ["trade_id", "price", "quantity", "quote_quantity", "time", "is_buyer_maker", "is_best_match"]
 L2_COLUMNS = ["exchange", "symbol", "timestamp", "local_timestamp", "is_snapshot", "side", "price", "amount"]
 TRADE_COLUMNS = ["exchange", "symbol", "timestamp", "local_timestamp", "id", "side", "price", "amount"]
@@ -119,11 +121,11 @@ def book_frame(spark: SparkSession, path: str, depth: int) -> DataFrame:
     return rows.dropna(subset=["mid", "bid", "ask"])
 
 
-def ingest_csv(spark: SparkSession, source: str, target: str, columns: list[str], times: list[str], numbers: list[str]) -> dict[str, int]:
+def ingest_csv(spark: SparkSession, source: str, target: str, columns: list[str], times: list[str], numbers: list[str]) -> dict[str, int | str]:
     """A CSV of text as typed, zstd-compressed Parquet: times become UTC, numbers decimals, other cells are trimmed.
 
     A cell that doesn't parse or a time without zone is an error, and so is a row lost on
-    the way.  Returns how many rows were read and written.
+    the way.  Returns how many rows were read and written, and the digest of what was written.
     """
     text = read_text_csv(spark, source, columns)
     typed = {c: F.timestamp_micros(micros(F.col(c))) for c in times} | {c: F.col(c).try_cast("decimal(38,18)") for c in numbers}
@@ -133,10 +135,10 @@ def ingest_csv(spark: SparkSession, source: str, target: str, columns: list[str]
     if wrong := {c: k for c, k in counts.items() if k}:
         raise ValueError(f"{source}: cells that don't parse: {wrong}")
     text.select(*[typed.get(c, F.trim(c)).alias(c) for c in columns]).write.mode("overwrite").option("compression", "zstd").parquet(target)
-    written = spark.read.parquet(target).count()
-    if written != n:
-        raise ValueError(f"{source}: {n} rows read, {written} written")
-    return {"read": n, "written": written}
+    there = content(spark.read.parquet(target))
+    if there["rows"] != n:
+        raise ValueError(f"{source}: {n} rows read, {there['rows']} written")
+    return {"read": n, "written": there["rows"], "digest": there["digest"]}
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
@@ -145,9 +147,16 @@ def write_csv(rows: DataFrame, path: str) -> None:
     rows.select(*[F.when(F.col(c).isNotNull(), short(F.col(c))).alias(c) if t in ("double", "float") else F.col(c) for c, t in rows.dtypes]).write.mode("overwrite").option("header", True).csv(path)
 
 
-def write_partitioned(rows: DataFrame, path: str, *keys: str) -> None:
-    """Typed, zstd-compressed Parquet in one folder per key, which later reads prune by."""
+def content(rows: DataFrame) -> dict[str, int | str]:
+    """Number of rows and digest of a table; neither depends on their order."""
+    found = digest.table_digest(rows).first()
+    return {"rows": found["rows"], "digest": found["digest"]}
+
+
+def write_partitioned(rows: DataFrame, path: str, *keys: str) -> dict[str, int | str]:
+    """Typed, zstd-compressed Parquet in one folder per key, which later reads prune by; the content of what is there then."""
     rows.write.mode("overwrite").option("compression", "zstd").partitionBy(*keys).parquet(path)
+    return content(rows.sparkSession.read.schema(rows.schema).parquet(path).select(*rows.columns))
 
 
 def same_rows(a: DataFrame, b: DataFrame) -> bool:
