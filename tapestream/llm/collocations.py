@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_128_intdigest
 
 from .packing import text_batches
+from .segments import compact
 from .store import forget, keep
 
 #: Entries of a level that are sent to every worker (16 bytes a word, 8 a phrase); beyond, levels are counted by shuffles.
@@ -49,7 +50,7 @@ LEVEL = "lang string, phrase string, k int, f long"
 
 def words_of(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
     """Which distinct word stands where (-1: the end of a piece), the distinct words, and the text of each."""
-    lower = pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
+    lower = pc.ascii_lower(compact(texts))
     apart = pc.replace_substring_regex(pc.replace_substring(lower, "\t", " "), r"[.,;:!?\n\v\f\r]", " \n ")
     split = pc.split_pattern(pc.binary_join_element_wise(apart, pa.scalar("\n", pa.large_string()), pa.scalar(" ", pa.large_string())), " ")
     first = split.offsets[0].as_py() if len(texts) else 0

@@ -46,13 +46,18 @@ class Memo:
         return now
 
 
+def compact(texts: pa.Array) -> pa.Array:
+    """The texts as large strings, null as empty, in buffers of their own: some kernels misread a slice's."""
+    return pa.concat_arrays([pc.fill_null(texts.cast(pa.large_string()), "")])
+
+
 def split(texts: pa.Array, lead: str = "") -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """Which distinct segment stands where, the distinct segments, and each text's bounds.
 
     All but a text's first segment begin with a space; the first one is put after ``lead``, a
     space or nothing.  Null and the empty text are one empty segment.
     """
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    texts = compact(texts)
     words = pc.split_pattern(texts, " ")
     first = words.offsets[0].as_py() if len(texts) else 0
     coded = words.values.slice(first).dictionary_encode()

@@ -51,6 +51,15 @@ def test_segments_are_the_texts():
     assert segments.split(pa.array([], pa.string()))[2].tolist() == [0]
 
 
+def test_slices_of_a_batch_give_what_their_texts_give():
+    texts = pa.array(random_texts(400, 6, 3000))
+    for a, b in ((0, 100), (100, 250), (250, 400)):
+        sliced, own = texts.slice(a, b - a), pa.array(texts.slice(a, b - a).to_pylist())
+        for read in (lambda t: segments.split(t)[:2], lambda t: segments.split(t, " ")[:2], lambda t: collocations.words_of(t)[:2]):
+            (codes, distinct), (want_codes, want) = read(sliced), read(own)
+            assert codes.tolist() == want_codes.tolist() and list(distinct) == list(want)
+
+
 def test_perfect_hash_is_minimal_and_knows_strangers():
     rng = np.random.default_rng(1)
     keys = np.unique(rng.integers(0, 2**64, 20_000, dtype=np.uint64))
