@@ -49,7 +49,7 @@ from .tokens import byte_symbols
 #: Buckets of A ids; blocks of a bucket whose postings one task takes.
 BUCKETS, SHARE_BLOCKS = 128, 64
 #: Bytes of text in a slice; plain segments encoded together; links of a group above which its ids are made distinct first.
-SLICE, TOGETHER, LONG_GROUP = 12_000_000, 1000, 10_000
+SLICE, TOGETHER, LONG_GROUP = 5_000_000, 1000, 10_000
 FIGURES = "slice long, place int, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
 WRITTEN = f"bucket int, {FIGURES}, keys binary, holders binary, docs binary, times binary"
 
