@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from bisect import bisect_left, insort
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapestream.operators.ledger import runs
+
 LEVEL = ["side", "price"]
 
 
@@ -64,6 +65,49 @@ def _carried(rows: DataFrame, by: Sequence[str], group: str, order: Sequence[str
     return levels.select(*by, "_part", *LEVEL, "qty").unionByName(parts.where("_since is not null").select(*by, "_part"), allowMissingColumns=True)
 
 
+class Book:
+    """Levels of both sides and their prices in order."""
+
+    def __init__(self, levels: Mapping[tuple[str, float], float], live: bool) -> None:
+        self.live = live
+        self.sizes: dict[str, dict[float, float]] = {"bid": {}, "ask": {}}
+        for (side, price), qty in levels.items():
+            self.sizes[side][price] = qty
+        self.ladder = {"bid": sorted(-p for p in self.sizes["bid"]), "ask": sorted(self.sizes["ask"])}
+
+    def levels(self) -> dict[tuple[str, float], float]:
+        return {(side, price): qty for side, own in self.sizes.items() for price, qty in own.items()}
+
+    def apply(self, clears: bool, rows: Iterable[tuple[str, float, float]], depth: int) -> list | None:
+        """One group: status, then price and size of the best levels of each side; None before the first snapshot."""
+        if clears:
+            self.sizes, self.ladder, self.live = {"bid": {}, "ask": {}}, {"bid": [], "ask": []}, True
+        if not self.live:
+            return None
+        for side, price, qty in rows:
+            rank = -price if side == "bid" else price
+            if qty > 0:
+                if price not in self.sizes[side]:
+                    insort(self.ladder[side], rank)
+                self.sizes[side][price] = qty
+            elif self.sizes[side].pop(price, None) is not None:
+                del self.ladder[side][bisect_left(self.ladder[side], rank)]
+        bids, asks = [-x for x in self.ladder["bid"][:depth]], self.ladder["ask"][:depth]
+        gap = bids[0] - asks[0] if bids and asks else -1
+        out: list = ["ok" if gap < 0 else "locked" if gap == 0 else "crossed"]
+        for side, best in (("bid", bids), ("ask", asks)):
+            for price in best:
+                out += [price, self.sizes[side][price]]
+            out += [None] * (2 * (depth - len(best)))
+        return out
+
+
+def state_columns(depth: int) -> tuple[str, list[str]]:
+    """Schema and names of what ``Book.apply`` gives."""
+    names = [f"{s}_{w}_{i}" for s in ("bid", "ask") for i in range(1, depth + 1) for w in ("px", "sz")]
+    return "status string" + "".join(f", {c} double" for c in names), ["status", *names]
+
+
 def replay(updates: DataFrame, by: Sequence[str], group: str, order: Sequence[str], depth: int, need_snapshot: bool = True, session: int | None = None) -> DataFrame:
     """A row per group: the book after it, its best ``depth`` levels, and whether it is crossed or locked.
 
@@ -71,54 +115,65 @@ def replay(updates: DataFrame, by: Sequence[str], group: str, order: Sequence[st
     book first, and rows before the first snapshot are ignored if one is needed.  This is
     the one fold that window functions can't express, as a row's book depends on all before.
     ``session`` (in the group's unit) cuts a key into tasks that start from the levels alive
-    at their session's start, found by aggregates; the result doesn't depend on it.
+    at their session's start, found by aggregates; the result doesn't depend on it.  Spark
+    sorts each session once, spilling where it must, and a task holds one book.
     """
-    key = [updates.schema[c] for c in by]
-    out = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in key] + [f"{group} {updates.schema[group].dataType.simpleString()}", "status string"])
-    for side in ("bid", "ask"):
-        out += "".join(f", {side}_px_{i} double, {side}_sz_{i} double" for i in range(1, depth + 1))
-    names = [*by, group, "status"] + [f"{s}_{w}_{i}" for s in ("bid", "ask") for i in range(1, depth + 1) for w in ("px", "sz")]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_order", kind="stable")
-        keys, live, rows = [pdf[c].iloc[0] for c in by], not need_snapshot, []
-        first = pdf["_order"].to_numpy() == 0  # what the session starts with
-        start, pdf = pdf[first], pdf[~first]
-        sizes: dict[str, dict[float, float]] = {"bid": {}, "ask": {}}
-        for side, price, qty in zip(start["side"], start["price"], start["qty"]):
-            if side is None:
-                live = True
-            else:
-                sizes[side][price] = qty
-        ladder = {"bid": sorted(-p for p in sizes["bid"]), "ask": sorted(sizes["ask"])}
-        at = pdf[group].to_numpy()
-        cuts = np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1, [len(at)]])
-        clears = pdf["snapshot"].to_numpy(bool)
-        sides, prices, qtys = (pdf[c].tolist() for c in ("side", "price", "qty"))
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            if clears[a:b].any():
-                sizes, ladder, live = {"bid": {}, "ask": {}}, {"bid": [], "ask": []}, True
-            if not live:
-                continue
-            for side, price, qty in zip(sides[a:b], prices[a:b], qtys[a:b]):
-                rank = -price if side == "bid" else price
-                if qty > 0:
-                    if price not in sizes[side]:
-                        insort(ladder[side], rank)
-                    sizes[side][price] = qty
-                elif sizes[side].pop(price, None) is not None:
-                    del ladder[side][bisect_left(ladder[side], rank)]
-            bids, asks = [-x for x in ladder["bid"][:depth]], ladder["ask"][:depth]
-            gap = bids[0] - asks[0] if bids and asks else -1
-            flat = [x for side, best in (("bid", bids), ("ask", asks)) for i in range(depth) for x in ((best[i], sizes[side][best[i]]) if i < len(best) else (None, None))]
-            rows.append([*keys, at[a], "ok" if gap < 0 else "locked" if gap == 0 else "crossed", *flat])
-        return pd.DataFrame(rows, columns=names)
-
-    rows = updates.withColumn("_part", F.floor(F.col(group) / session).cast("long") if session else F.lit(0).cast("long"))
-    rows = rows.withColumn("_order", F.row_number().over(Window.partitionBy(*by, "_part").orderBy(*order)))
-    columns = [*by, "_part", "side", "price", "qty"]
-    typed = rows.withColumn("price", F.col("price").cast("double")).select(*columns, group, "snapshot", "_order")
+    schema, names = state_columns(depth)
+    keys = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in updates.select(*by, group).schema)
+    width = len(by) + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.string(), *[pa.float64()] * (len(names) - 1)]
+        at = book = None
+        us, clears, held, held_in = None, False, [], None  # the group that may go on in the next batch
+        done: list[tuple[pa.RecordBatch, int, list]] = []
+
+        def finish() -> None:
+            nonlocal held, clears, us
+            if us is not None:
+                found = book.apply(clears, held, depth)
+                if found is not None:
+                    done.append((*held_in, found))
+            us, clears, held = None, False, []
+
+        def emit() -> pa.RecordBatch:
+            parts = [row.slice(i, 1) for row, i, _ in done]
+            columns = [pa.concat_arrays([p.column(c) for p in parts]) for c in (*range(width - 1), width)]
+            return pa.record_batch([*columns, *(pa.array(c, t) for c, t in zip(zip(*[f for _, _, f in done]), types))], [*by, group, *names])
+
+        for key, rows in runs(batches, width):
+            if key != at:
+                if book is not None:
+                    finish()
+                at, book = key, Book({}, not need_snapshot)
+            groups, carried, snaps, sides, prices, sizes = (rows.column(width + c).to_pylist() for c in range(6))
+            for i, (g, first, snap, side, price, qty) in enumerate(zip(groups, carried, snaps, sides, prices, sizes)):
+                if first:  # what the session starts with
+                    if side is None:
+                        book.live = True
+                    else:
+                        insort(book.ladder[side], -price if side == "bid" else price)
+                        book.sizes[side][price] = qty
+                    continue
+                if g != us:
+                    finish()
+                    us, held_in = g, (rows, i)
+                clears = clears or bool(snap)
+                held.append((side, price, qty))
+            if len(done) > 5000:
+                yield emit()
+                done.clear()
+        if book is not None:
+            finish()
+        if done:
+            yield emit()
+
+    rows = updates.withColumn("_part", F.floor(F.col(group) / session).cast("long") if session else F.lit(0).cast("long")).withColumn("_carried", F.lit(False))
+    columns = [*by, "_part", group, "_carried", "snapshot", "side", F.col("price").cast("double").alias("price"), F.col("qty").cast("double").alias("qty")]
+    sorts = [c for c in order if c not in (group, *by)]
+    typed = rows.select(*columns, *sorts)
     if session:
-        carried = _carried(rows, by, group, order, need_snapshot).withColumns({"price": F.col("price").cast("double"), "snapshot": F.lit(False), "_order": F.lit(0)})
-        typed = typed.unionByName(carried.select(*columns, "snapshot", "_order"), allowMissingColumns=True)
-    return typed.groupBy(*by, "_part").applyInPandas(run, out)
+        carried = _carried(rows.drop("_carried"), by, group, order, need_snapshot).withColumns({"price": F.col("price").cast("double"), "qty": F.col("qty").cast("double"), "snapshot": F.lit(False), "_carried": F.lit(True)})
+        typed = typed.unionByName(carried.select(*by, "_part", "_carried", "snapshot", "side", "price", "qty"), allowMissingColumns=True)
+    dealt = typed.repartition(*by, "_part").sortWithinPartitions(*by, "_part", F.desc("_carried"), *order)
+    return dealt.select(*by, "_part", group, "_carried", "snapshot", "side", "price", "qty").mapInArrow(run, f"{keys}, {schema}")

@@ -86,7 +86,7 @@ def _composed(pos: float, fills: Iterator[tuple[float | None, float | None]]) ->
     return times, plus
 
 
-def _runs(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+def runs(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[tuple, pa.RecordBatch]]:
     """Rows with equal values in the first columns, as (these values, rows); a run may come in several pieces."""
     for batch in batches:
         n = batch.num_rows
@@ -120,7 +120,7 @@ def _costs(parts: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFra
             keys = [pa.concat_arrays([row.column(c) for row, _, _ in done]) for c in range(width)]
             return pa.record_batch([*keys, *(pa.array([x[c] for x in done], pa.float64()) for c in (1, 2))], [*by, "_part", "_m", "_b"])
 
-        for key, rows in _runs(batches, width):
+        for key, rows in runs(batches, width):
             if key != at:
                 if first is not None:
                     done.append((first, times, plus))
@@ -142,7 +142,7 @@ def _costs(parts: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFra
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, cost = None, 0.0
-        for key, rows in _runs(batches, width - 1):
+        for key, rows in runs(batches, width - 1):
             if key != at:
                 at, cost = key, 0.0
             costs = []
@@ -179,7 +179,7 @@ def _fold(fills: DataFrame, by: Sequence[str], order: Sequence[str], path: bool,
             keys = [pa.concat_arrays([row.column(c) for row, _ in done]) for c in range(width)]
             return pa.record_batch([*keys, *(pa.array(x, pa.float64()) for x in zip(*[s for _, s in done]))], names)
 
-        for key, piece in _runs(batches, width):
+        for key, piece in runs(batches, width):
             if key != at:
                 if first is not None and not path:
                     done.append((first, state))
