@@ -27,6 +27,8 @@ from .components import connected_components
 from .store import keep
 
 BLANK = "\\x20\\x09-\\x0D"
+#: The same characters, but for the line end.
+BLANKS = " \t\r\x0b\x0c"
 WORD = f"[^{BLANK}]+"
 SYMBOLS = "[#*$%&|<>]"
 WINDOW = 5
@@ -84,7 +86,7 @@ def base_metrics(docs: DataFrame) -> DataFrame:
 
 
 def line_key(host: Column, line: Column) -> Column:
-    return F.xxhash64(host, F.lower(F.trim(line)))
+    return F.xxhash64(host, F.lower(F.trim(line, F.lit(BLANKS))))
 
 
 def _occurrences(docs: DataFrame, host: str) -> DataFrame:
