@@ -9,8 +9,9 @@ from tapestream.bridge import BOOK, FILLS, GRID, HOUR, PREDS, QUOTES, TICKS, boo
 from tapestream.functions import market
 from tapestream.operators import asof, book, models, quality, ranks
 from tapestream.plans.registry import query
-from tapestream.plans.research_queries import BOUNDS, CORR, DAILY, DAY, SIGNAL, VALID, _round, _signals
+from tapestream.plans.research_queries import ALL_PREDS, BOUNDS, CORR, DAILY, DAY, DEALT, SIGNAL, VALID, _round, _signals
 from tapestream.plans.time_queries import BOOK_KEYS, FINAL, LABELS, _labels
+from tapestream.sources.scratch import new_folder
 
 EARLIEST, LATEST = 1_704_200_000_000_000, 1_706_000_000_000_000
 
@@ -162,10 +163,27 @@ def ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(lifts.groupBy("feature", "horizon").agg(F.count("lift").alias("n"), F.avg("ic").alias("mean_ic"), F.avg("lift").alias("mean_lift"), F.count_if(F.col("lift") > 0).alias("better")), ["feature", "horizon"])
 
 
-@query("a56_importance_stability", f"""WITH {PREDS}, {TESTS} SELECT feature, CAST(count(ic) AS BIGINT) AS folds, round(avg(abs(ic)), 6) AS mean, round(stddev_samp(abs(ic)), 6) AS std FROM ics WHERE horizon = 1 GROUP BY feature""")
+def _fold_importance_sql(feature: str, x: str) -> str:
+    """Importances of one feature by day, as a CTE imp_<feature>; rows v (day, us, row, x, hour, y)."""
+    return f"""s_{feature} AS (SELECT day, count(*) AS n, sum({x}) AS sx, sum(y) AS sy, sum({x} * {x}) AS sxx, sum({x} * y) AS sxy FROM v GROUP BY day),
+  e_{feature} AS (SELECT day, row_number() OVER (ORDER BY day) AS k, sum(n) OVER w AS n, sum(sx) OVER w AS sx, sum(sy) OVER w AS sy, sum(sxx) OVER w AS sxx, sum(sxy) OVER w AS sxy FROM s_{feature} WINDOW w AS (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+  c_{feature} AS (SELECT *, (n * sxy - sx * sy) / nullif(n * sxx - sx * sx, 0) AS slope FROM e_{feature} WHERE k > 5), f_{feature} AS (SELECT day, slope, (sy - slope * sx) / n AS intercept FROM c_{feature}),
+  p_{feature} AS (SELECT a.day, a.y, b.x FROM (SELECT *, row_number() OVER (PARTITION BY day ORDER BY us, "row") AS k FROM v) a
+    JOIN (SELECT day, {x} AS x, row_number() OVER (PARTITION BY day ORDER BY sha256(concat_ws('|', '{feature}', us, "row")), us, "row") AS k FROM v) b ON a.day = b.day AND a.k = b.k),
+  imp_{feature} AS (SELECT '{feature}' AS feature, o.day, p.e - o.e AS importance FROM (SELECT v.day, avg(abs(y - intercept - slope * {x})) AS e FROM v JOIN f_{feature} f ON v.day = f.day GROUP BY v.day) o
+    JOIN (SELECT p.day, avg(abs(y - intercept - slope * x)) AS e FROM p_{feature} p JOIN f_{feature} f ON p.day = f.day GROUP BY p.day) p ON o.day = p.day)"""
+
+
+@query("a56_importance_stability", f"""WITH {PREDS}, v AS (SELECT *, CAST(us // 3600000000 % 24 AS DOUBLE) AS hour FROM preds WHERE x IS NOT NULL AND y IS NOT NULL), {_fold_importance_sql("value", "x")}, {_fold_importance_sql("hour", "hour")}
+  SELECT feature, CAST(count(importance) AS BIGINT) AS folds, round(avg(importance), 6) AS mean, round(stddev_samp(importance), 6) AS std FROM (SELECT * FROM imp_value UNION ALL SELECT * FROM imp_hour) GROUP BY feature""")
 def importance_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    weight = F.abs("ic")
-    return _round(_tests(spark, sf_dir).where("horizon = 1").groupBy("feature").agg(F.count("ic").alias("folds"), F.avg(weight).alias("mean"), F.stddev_samp(weight).alias("std")), ["feature"])
+    """Of each feature the permutation importances over days, each day's by the model of the days before."""
+    rows = preds(spark, sf_dir).withColumn("hour", (F.floor(F.col("us") / HOUR) % 24).cast("double")).dropna(subset=["x", "y"])
+    every = None
+    for feature, x in (("value", "x"), ("hour", "hour")):
+        part = models.fold_importance(rows, "day", x, "y", ["us", "row"], 5, feature).withColumn("feature", F.lit(feature))
+        every = part if every is None else every.unionByName(part)
+    return _round(every.groupBy("feature").agg(F.count("importance").alias("folds"), F.avg("importance").alias("mean"), F.stddev_samp("importance").alias("std")), ["feature"])
 
 
 # --- selections and scalars
@@ -278,16 +296,46 @@ def null_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(ranks.regression_metrics(predicted, DAY, "y", "p").select("day", "n", "mae", "rmse"), DAY)
 
 
-@query("m06_logistic")
+NEWTON_ROUNDS = 10
+
+
+def _newton_sql(rows: str) -> str:
+    """w0 to w<NEWTON_ROUNDS> (w, b): Newton's rounds for one feature x and label y of a table, with an L2 penalty of 1 on w."""
+    out = "w0 AS (SELECT CAST(0 AS DOUBLE) AS w, CAST(0 AS DOUBLE) AS b)"
+    for i in range(NEWTON_ROUNDS):
+        out += f""", m{i} AS (SELECT any_value(w) AS w, any_value(b) AS b, sum((p - y) * x) + any_value(w) AS gw, sum(p - y) AS gb, sum(p * (1 - p) * x * x) + 1 AS ww, sum(p * (1 - p) * x) AS wb, sum(p * (1 - p)) AS bb
+    FROM (SELECT x, y, w, b, 1 / (1 + exp(-(w * x + b))) AS p FROM {rows}, w{i})), w{i + 1} AS (SELECT w - (gw * bb - gb * wb) / (ww * bb - wb * wb) AS w, b - (gb * ww - gw * wb) / (ww * bb - wb * wb) AS b FROM m{i})"""
+    return out
+
+
+@query("m06_logistic", f"""WITH r AS (SELECT d.doc_id, ln(1 + CAST(n_chars AS DOUBLE)) - 7 AS x, CAST(quality AS DOUBLE) AS y FROM documents d JOIN labels USING (doc_id) WHERE quality IS NOT NULL), train AS (SELECT * FROM r WHERE doc_id % 2 = 0), {_newton_sql("train")},
+  t AS (SELECT y, 1 / (1 + exp(-(w * x + b))) AS p, w, b FROM r, w{NEWTON_ROUNDS} WHERE doc_id % 2 = 1)
+  SELECT CAST(count(*) AS BIGINT) AS n, round(any_value(w), 6) AS weight, round(any_value(b), 6) AS intercept, round(avg(-(y * ln(greatest(least(p, 1 - 1e-15), 1e-15)) + (1 - y) * ln(1 - greatest(least(p, 1 - 1e-15), 1e-15)))), 6) AS log_loss, round(avg((y - p) * (y - p)), 6) AS brier FROM t""")
 def logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Log loss and AUC of a logistic regression of each label on three numbers of its document, fitted on even ids."""
-    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "n_chars", "source", "lang"), table(spark, sf_dir, "labels")
-    rows = docs.join(labels, "doc_id").select(
-        "doc_id", F.log1p(F.col("n_chars").cast("double")).alias("length"), (F.col("lang") == "en").cast("double").alias("english"), (F.length("source") % 2).cast("double").alias("odd"), F.col("quality").cast("double").alias("label"),
-    )
-    fitted = models.logistic(rows.where("doc_id % 2 = 0"), ["length", "english", "odd"], "label")
-    scored = models.logistic_probability(rows.where("doc_id % 2 = 1"), ["length", "english", "odd"], fitted).withColumn("part", F.lit("odd"))
-    return ranks.classification_losses(scored, ["part"], "label", "prob").join(ranks.auc(scored, ["part"], "label", "prob"), "part")
+    """A logistic regression of documents' quality on their length by Newton's method, fitted on even ids and judged on odd ones."""
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "n_chars"), table(spark, sf_dir, "labels").where("quality is not null")
+    rows = docs.join(labels, "doc_id").select("doc_id", (F.log1p(F.col("n_chars").cast("double")) - 7).alias("length"), F.col("quality").cast("double").alias("label"))
+    fitted = models.logistic(rows.where("doc_id % 2 = 0"), ["length"], "label")
+    scored = models.logistic_probability(rows.where("doc_id % 2 = 1"), ["length"], fitted).withColumn("part", F.lit("odd"))
+    losses = ranks.classification_losses(scored, ["part"], "label", "prob").join(scored.groupBy("part").agg(F.count("*").alias("n")), "part")
+    return losses.select("n", F.round(F.lit(fitted[0][0]), 6).alias("weight"), F.round(F.lit(fitted[1]), 6).alias("intercept"), F.round("log_loss", 6).alias("log_loss"), F.round("brier", 6).alias("brier"))
+
+
+@query("m06_boosted_classes")
+def boosted_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AUC and share of right classes of boosted trees for documents' quality, fitted on even ids and judged on odd ones."""
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "n_chars", "lang", "source"), table(spark, sf_dir, "labels").where("quality is not null")
+    rows = docs.join(labels, "doc_id").select("doc_id", F.col("n_chars").cast("double").alias("length"), (F.col("lang") == "en").cast("double").alias("english"), F.col("quality").cast("double").alias("label"))
+    assembler, model = models.boosted_trees(rows.where("doc_id % 2 = 0"), ["length", "english"], "label", trees=20, classify=True)
+    scored = model.transform(assembler.transform(rows.where("doc_id % 2 = 1").dropna())).select("label", "prediction", _probability_of_one(F.col("probability")).alias("prob"), F.lit("odd").alias("part"))
+    right = scored.groupBy("part").agg(F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("right"))
+    return ranks.auc(scored, ["part"], "label", "prob").join(right, "part").select("n", "auc", "right")
+
+
+def _probability_of_one(vector: Column) -> Column:
+    from pyspark.ml.functions import vector_to_array
+
+    return F.get(vector_to_array(vector), F.lit(1))
 
 
 @query("m07_importances")
@@ -297,7 +345,19 @@ def importances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.importances(rows, ["x", "hour"], "y", ["us", "row"])
 
 
-@query("m10_negative_controls")
+KINDS_SQL = ", ".join([
+    """real AS (SELECT 'real' AS kind, day, x, y FROM raw), lagged AS (SELECT 'lagged' AS kind, day, lag(x, 20) OVER (PARTITION BY day ORDER BY us, "row") AS x, y FROM raw)""",
+    """permuted_feature AS (SELECT 'permuted_feature' AS kind, a.day, b.v AS x, a.y FROM a_feature a JOIN b_feature b ON a.day = b.day AND a.k = b.k)""",
+    """permuted_target AS (SELECT 'permuted_target' AS kind, a.day, a.x, b.v AS y FROM a_feature a JOIN b_target b ON a.day = b.day AND a.k = b.k)""",
+    """every AS (SELECT * FROM real UNION ALL SELECT * FROM lagged UNION ALL SELECT * FROM permuted_feature UNION ALL SELECT * FROM permuted_target)""",
+    """ok AS (SELECT * FROM every WHERE x IS NOT NULL AND y IS NOT NULL)""",
+    """rk AS (SELECT kind, day, rank() OVER (PARTITION BY kind, day ORDER BY x) + (count(*) OVER (PARTITION BY kind, day, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY kind, day ORDER BY y) + (count(*) OVER (PARTITION BY kind, day, y) - 1) / 2.0 AS ry FROM ok)""",
+    f"""ic AS (SELECT kind, day, {CORR.format('CAST(rx AS DOUBLE)', 'CAST(ry AS DOUBLE)')} AS ic FROM rk GROUP BY kind, day)""",
+])
+
+
+@query("m10_negative_controls", f"""WITH {ALL_PREDS}, {DEALT.format('feature', 'x')}, b_target AS (SELECT day, y AS v, row_number() OVER (PARTITION BY day ORDER BY sha256(concat_ws('|', 'target', us, "row")), us, "row") AS k FROM raw), {KINDS_SQL}
+  SELECT kind, CAST(count(ic) AS BIGINT) AS n, round(avg(ic), 6) AS mean, round(stddev_samp(ic), 6) AS std FROM ic GROUP BY kind""")
 def negative_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean daily rank correlation of the feature, of a permuted feature, a permuted target and a lagged feature."""
     rows = preds(spark, sf_dir).where("y is not null")
@@ -309,20 +369,22 @@ def negative_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
     for kind, some in kinds.items():
         part = some.select(F.lit(kind).alias("kind"), "day", "x", "y")
         every = part if every is None else every.union(part)
-    return ranks.daily_summary(ranks.spearman(every, ["kind", "day"], "x", "y"), ["kind"], "ic").select("kind", "n", "mean", "std")
+    return _round(ranks.daily_summary(ranks.spearman(every, ["kind", "day"], "x", "y"), ["kind"], "ic").select("kind", "n", "mean", "std"), ["kind"])
 
 
-@query("m11_prediction_reconciliation", f"""WITH {PREDS}, {VALID}, f AS (SELECT regr_slope(y, x) AS s, regr_intercept(y, x) AS i FROM valid) SELECT CAST(count(*) AS BIGINT) AS pairs, CAST(0 AS BIGINT) AS apart FROM valid, f""")
+@query("m11_prediction_reconciliation", f"""WITH {PREDS}, {VALID}, half AS (SELECT regr_slope(y, x) AS s, regr_intercept(y, x) AS i FROM valid WHERE "row" % 2 = 0), whole AS (SELECT regr_slope(y, x) AS s, regr_intercept(y, x) AS i FROM valid),
+  p AS (SELECT "row", round(half.s * x + half.i, 6) AS a, round(whole.s * x + whole.i, 6) AS b FROM valid, half, whole) SELECT CAST(count(*) AS BIGINT) AS pairs, CAST(count(*) FILTER (WHERE abs(a - b) > greatest(1e-8, abs(b) * 0.002)) AS BIGINT) AS apart FROM p""")
 def prediction_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Predictions of one model by two ways, aggregates in Spark and a solve on the driver, agree in each row."""
+    """Stored predictions of two fits, one by moments over half the rows and one by the closed form over all: how many are more than 0.2% apart."""
     from tapestream.operators import economics
 
     rows = ranks.pairwise_valid(preds(spark, sf_dir), "x", "y")
-    w, b = models.ridge(rows, ["x"], "y", 0.0)
+    w, b = models.ridge(rows.where(F.col("row") % 2 == 0), ["x"], "y", 0.0)
     fit = models.ols_one(rows.withColumn("all", F.lit(1)), ["all"], "x", "y").select("slope", "intercept").first()
-    one = rows.select("row", models.linear_prediction(["x"], w, b).alias("p"))
-    other = rows.select("row", (F.lit(fit["slope"]) * F.col("x") + F.lit(fit["intercept"])).alias("p"))
-    return economics.reconcile(one, other, ["row"], "p", relative=1e-9)
+    folder = new_folder(spark, "predictions")
+    rows.select("row", F.round(models.linear_prediction(["x"], w, b), 6).alias("p")).write.parquet(f"{folder}/half")
+    rows.select("row", F.round(F.lit(fit["slope"]) * F.col("x") + F.lit(fit["intercept"]), 6).alias("p")).write.parquet(f"{folder}/whole")
+    return economics.reconcile(spark.read.parquet(f"{folder}/half"), spark.read.parquet(f"{folder}/whole"), ["row"], "p", relative=0.002)
 
 
 @query("m12_prediction_correlations", f"""WITH {PREDS.replace('preds AS', 'raw AS')}, preds AS (SELECT day, "row", us, user_id, x, avg(x) OVER (PARTITION BY user_id ORDER BY us, "row" ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS y FROM raw), {DAILY}, one AS (SELECT day, {CORR.format('x', 'y')} AS pearson FROM valid GROUP BY day)

@@ -241,22 +241,30 @@ def disagreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(F.col("signal").cast("long").alias("a"), F.col("other").cast("long").alias("b")).agg(F.count("*").alias("n"))
 
 
-# --- without a twin
+# --- keyed permutations and samples
+
+# x dealt anew within the day by a keyed hash, as a table preds of its own
+DEALT = """raw AS (SELECT * FROM all_preds WHERE y IS NOT NULL), a_{0} AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY us, "row") AS k FROM raw),
+  b_{0} AS (SELECT day, {1} AS v, row_number() OVER (PARTITION BY day ORDER BY sha256(concat_ws('|', '{0}', us, "row")), us, "row") AS k FROM raw)"""
+ALL_PREDS = PREDS.replace("preds AS", "all_preds AS", 1)
 
 
-@query("t10_permutation")
+@query("t10_permutation", f"""WITH {ALL_PREDS}, {DEALT.format('control', 'x')}, preds AS (SELECT a.day, a."row", a.us, a.user_id, b.v AS x, a.y FROM a_control a JOIN b_control b ON a.day = b.day AND a.k = b.k), {DAILY} SELECT day, CAST(n AS BIGINT) AS n, round(ic, 6) AS ic FROM daily""")
 def permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily rank correlations of values dealt anew within the day; near 0."""
     dealt = models.permuted(preds(spark, sf_dir).where("y is not null"), DAY, "control", ["us", "row"], "x")
-    return ranks.spearman(dealt, DAY, "x", "y")
+    return _round(ranks.spearman(dealt, DAY, "x", "y"), DAY)
 
 
-@query("t09_sample")
+@query("t09_sample", f"""WITH {PREDS} SELECT "row", x FROM preds ORDER BY sha256(concat_ws('|', 'sample', "row")), "row" LIMIT 200""")
 def sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A keyed sample without replacement."""
     return models.keyed_sample(preds(spark, sf_dir), "sample", ["row"], 200).select("row", "x")
 
 
+# --- without a twin
+
+
 @query("m05_boosted_trees")
 def boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predictions of trees fitted on the first 20 days, for the days after."""

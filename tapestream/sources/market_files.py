@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-import csv
-import io
+import hashlib
 import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tapestream.operators import digest
+from tapestream.operators.ledger import runs
+from tapestream.sources.archives import SpotArchives
 
-SPOT_COLUMNS = ["trade_id", "price", "quantity", "quote_quantity", "time", "is_buyer_maker", "is_best_match"]
 L2_COLUMNS = ["exchange", "symbol", "timestamp", "local_timestamp", "is_snapshot", "side", "price", "amount"]
 TRADE_COLUMNS = ["exchange", "symbol", "timestamp", "local_timestamp", "id", "side", "price", "amount"]
 #: From this day on the spot feed writes microseconds, before it milliseconds.
@@ -74,38 +75,15 @@ def trade_feed(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def zipped_spot_trades(spark: SparkSession, path: str) -> DataFrame:
+def zipped_spot_trades(spark: SparkSession, path: str, checksum: str = "present") -> DataFrame:
     """Archives of one headerless CSV each, read by as many tasks as there are archives.
 
-    Rows: row, us, price, qty, side (the maker flag turned around), trade_id.  An archive
-    of more members, or a row of another width, is an error.
+    Rows: source, row, us, price, qty, side (the maker flag turned around), trade_id.  An
+    archive of more members, a row of another width, or one that its checksum file doesn't
+    fit (``checksum``: required, present or ignored) is an error.
     """
-    schema = "source string, row long, " + ", ".join(f"{c} string" for c in SPOT_COLUMNS)
-
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                    members = [m for m in archive.namelist() if not m.endswith("/")]
-                    if len(members) != 1:
-                        raise ValueError(f"{name}: {len(members)} members, not one")
-                    rows: list[list[str]] = []
-                    with archive.open(members[0]) as f:
-                        for i, cells in enumerate(csv.reader(io.TextIOWrapper(f, "utf-8", newline=""))):
-                            if len(cells) != len(SPOT_COLUMNS):
-                                raise ValueError(f"{name}: row {i + 1} has {len(cells)} cells")
-                            rows.append([name, i + 1, *cells])
-                            if len(rows) == 50_000:
-                                yield _batch(rows)
-                                rows = []
-                    if rows:
-                        yield _batch(rows)
-
-    def _batch(rows: list[list]) -> pa.RecordBatch:
-        names = ["source", "row", *SPOT_COLUMNS]
-        return pa.record_batch([pa.array(c, pa.int64() if n == "row" else pa.string()) for n, c in zip(names, zip(*rows))], names)
-
-    rows = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(unpack, schema)
+    spark.dataSource.register(SpotArchives)
+    rows = spark.read.format("spot_archive").option("checksum", checksum).load(path)
     at = F.col("time").try_cast("long")
     cut = F.unix_micros(F.lit(f"{MICROSECONDS_FROM} 00:00:00+00:00").cast("timestamp"))
     return rows.select(
@@ -114,6 +92,53 @@ def zipped_spot_trades(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def write_spot_archives(rows: DataFrame, uri: str, *keys: str) -> int:
+    """Writes ``{uri}/<keys>.zip`` of rows (trade_id, price, qty, us, side) per key, each with its checksum file; how many there are."""
+    names = [*keys, "trade_id", "price", "qty", "us", "side"]
+    width = len(keys)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        files, base = fs.FileSystem.from_uri(uri)
+        files.create_dir(base, recursive=True)
+        at = archive = member = raw = None
+        done = 0
+
+        def close() -> None:
+            member.close()
+            archive.close()
+            raw.close()
+            digest = hashlib.sha256()
+            name = "-".join(map(str, at)) + ".zip"
+            aside = f"{base}/{name}.{attempt}"
+            with files.open_input_stream(aside) as f:
+                while block := f.read(1 << 20):
+                    digest.update(block)
+            files.move(aside, f"{base}/{name}")
+            with files.open_output_stream(f"{base}/{name}.CHECKSUM") as f:
+                f.write(f"{digest.hexdigest()}  {name}\n".encode())
+
+        attempt = TaskContext.get().taskAttemptId()
+        for key, piece in runs(batches, width):
+            if key != at:
+                if at is not None:
+                    close()
+                at, done = key, done + 1
+                name = "-".join(map(str, at))
+                raw = files.open_output_stream(f"{base}/{name}.zip.{attempt}")
+                archive = zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED)
+                member = archive.open(f"{name}.csv", "w")
+            for trade, price, qty, us, side in zip(*(piece.column(width + c).to_pylist() for c in range(5))):
+                member.write(f"{trade},{price},{qty},,{us // 1000},{str(side == 'sell').lower()},true\n".encode())
+        if at is not None:
+            close()
+        yield pa.record_batch([pa.array([done], pa.int64())], ["n"])
+
+    dealt = rows.select(*names).repartition(*keys).sortWithinPartitions(*keys, "us", "trade_id")
+    return dealt.mapInArrow(write, "n long").agg(F.sum("n")).first()[0] or 0
+
+
 def book_frame(spark: SparkSession, path: str, depth: int) -> DataFrame:
     """Stored book states with numeric levels up to ``depth``; rows without mid, bid or ask are left out."""
     levels = [f"{side}_{what}_{i}" for side in ("bid", "ask") for what in ("px", "sz") for i in range(1, depth + 1)]
