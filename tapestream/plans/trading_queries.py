@@ -215,7 +215,7 @@ def equality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sides.agg(F.coalesce(F.sum("l"), F.lit(0)).cast("long").alias("only_left"), F.coalesce(F.sum("r"), F.lit(0)).cast("long").alias("only_right"))
 
 
-CELLS = " || ".join(f"coalesce(octet_length(CAST(CAST({c} AS VARCHAR) AS BLOB)) || ':' || CAST({c} AS VARCHAR), 'n')" for c in ("l_orderkey", "l_linenumber", "l_shipmode"))
+CELLS = " || ".join(f"coalesce(octet_length(CAST(CAST({c} AS VARCHAR) AS BLOB)) || ':' || CAST({c} AS VARCHAR), 'n')" for c in ("l_orderkey", "l_linenumber", "l_suppkey"))
 WORD_SUMS = ", ".join(f"sum(CAST('0x' || substr(h, {1 + 8 * i}, 8) AS HUGEINT)) AS s{i}" for i in range(digest.WORDS))
 CARRIED = "".join(f", c{i} AS (SELECT *, s{i}{f' + t{i + 1} // 4294967296' if i < digest.WORDS - 1 else ''} AS t{i} FROM {f'c{i + 1}' if i < digest.WORDS - 1 else 'sums'})" for i in reversed(range(digest.WORDS)))
 HEX = " || ".join(f"lpad(printf('%x', CAST(t{i} % 4294967296 AS BIGINT)), 8, '0')" for i in range(digest.WORDS))
@@ -224,4 +224,4 @@ HEX = " || ".join(f"lpad(printf('%x', CAST(t{i} % 4294967296 AS BIGINT)), 8, '0'
 @query("h23_content_hash", f"""WITH h AS (SELECT l_returnflag, sha256({CELLS}) AS h FROM lineitem), sums AS (SELECT l_returnflag, CAST(count(*) AS BIGINT) AS "rows", {WORD_SUMS} FROM h GROUP BY l_returnflag){CARRIED}
   SELECT l_returnflag, "rows", {HEX} AS digest FROM c0""")
 def content_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest.table_digest(table(spark, sf_dir, "lineitem").select("l_returnflag", "l_orderkey", "l_linenumber", "l_shipmode"), ["l_returnflag"])
+    return digest.table_digest(table(spark, sf_dir, "lineitem").select("l_returnflag", "l_orderkey", "l_linenumber", "l_suppkey"), ["l_returnflag"])
