@@ -59,16 +59,14 @@ def base_spans(text: str) -> list[Span]:
 
 def candidates(text: str, taken: list[Span]) -> list[tuple[int, int]]:
     """Long strings with letters and digits, in a statement with a sensitive word beside them and outside base spans."""
-    words = [m.start() for m in SENSITIVE.finditer(text)]
+    long = [m.span() for m in CANDIDATE.finditer(text) if any(map(str.isdigit, m.group())) and any(map(str.isalpha, m.group()))]
+    words = [m.start() for m in SENSITIVE.finditer(text)] if long else []
     if not words:
         return []
     ends = [m.start() for m in STATEMENT_END.finditer(text)]
     starts, reach = [s[0] for s in taken], list(accumulate((s[2] for s in taken), max))
     out = []
-    for m in CANDIDATE.finditer(text):
-        start, end = m.span()
-        if not (any(map(str.isdigit, m.group())) and any(map(str.isalpha, m.group()))):
-            continue
+    for start, end in long:
         at = bisect_right(ends, start)
         first, last = (ends[at - 1] if at else 0), (ends[at] if at < len(ends) else len(text))
         beside = bisect_left(words, last) - bisect_left(words, first) - (bisect_left(words, end) - bisect_left(words, start))
