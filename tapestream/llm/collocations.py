@@ -39,8 +39,8 @@ from .store import forget, keep
 
 #: Entries of a level that are sent to every worker (16 bytes a word, 8 a phrase); beyond, levels are counted by shuffles.
 MOST_SENT = 4_000_000
-#: Entries that a worker adds up before it lets them go.
-HELD = 2_000_000
+#: Entries that a worker adds up before it lets them go, and how many it hands on at a time.
+HELD, AT_ONCE = 1_000_000, 100_000
 #: Counts up to this number of rows are broadcast to the cuts that ask for them.
 BROADCAST_COUNTS = 500_000
 NO_LANG = "und"
@@ -91,7 +91,7 @@ def _word_counts(docs: DataFrame, least: int) -> DataFrame:
                     own = found.setdefault(langs[lang], Counter())
                     own[words[i]] += n
                     own[None] += n
-                if sum(map(len, found.values())) > HELD // 4:
+                if sum(map(len, found.values())) > HELD // 4:  # words are larger than numbers
                     yield emit()
         yield emit()
 
@@ -188,8 +188,9 @@ def _phrase_counts(encoded: DataFrame, levels: list[np.ndarray]) -> DataFrame:
             first = np.flatnonzero(np.diff(keys[order], prepend=-1))
             return keys[order][first], np.add.reduceat(np.concatenate([n for _, n in parts])[order], first)
 
-        def emit(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-            return pa.record_batch([pa.array(keys), pa.array(counts)], ["key", "f"])
+        def emit(keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for at in range(0, len(keys), AT_ONCE):
+                yield pa.record_batch([pa.array(keys[at : at + AT_ONCE]), pa.array(counts[at : at + AT_ONCE])], ["key", "f"])
 
         held = 0
         for batch in batches:
@@ -205,10 +206,10 @@ def _phrase_counts(encoded: DataFrame, levels: list[np.ndarray]) -> DataFrame:
                     parts = [total()]
                     held = len(parts[0][0])
                     if held > HELD:
-                        yield emit(*parts[0])
+                        yield from emit(*parts[0])
                         parts, held = [], 0
         if parts:
-            yield emit(*total())
+            yield from emit(*total())
 
     return encoded.mapInArrow(run, "key long, f long").groupBy("key").agg(F.sum("f").alias("f"))
 

@@ -241,6 +241,8 @@ def test_counts_are_let_go_when_a_worker_holds_many(spark, monkeypatch):
     encoded = collocations.words_of(pa.array(["A b.C\td,,", None, "e"]))
     assert [encoded[1][c] if c >= 0 else None for c in encoded[0]] == ["a", "b", None, "c", "d", None, None, None, None, "e", None]
     assert sorted(collocations.frequent_phrases(docs, 10, most_sent=0)[0].collect()) == want
+    monkeypatch.setattr(collocations, "HELD", 8)
+    assert sorted(collocations.frequent_phrases(docs, 10)[0].collect()) == want
 
 
 def test_products_beyond_64_bits(spark):
