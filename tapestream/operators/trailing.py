@@ -69,10 +69,14 @@ def trade_sums(price: str = "price", qty: str = "qty", side: str = "side") -> di
     }
 
 
-def with_ofi(quotes: DataFrame, by: Sequence[str], order: Sequence[str], session: int = SESSION) -> DataFrame:
-    """quotes (bid, bid_sz, ask, ask_sz) with ofi: order-flow imbalance against the quote before, 0 for the first."""
-    seen = scans.previous(quotes, by, order, {f"_{c}": c for c in ("bid", "bid_sz", "ask", "ask_sz")}, session)
+def with_ofi(quotes: DataFrame, by: Sequence[str], order: Sequence[str], session: int = SESSION, also: Mapping[str, str] | None = None) -> DataFrame:
+    """quotes (bid, bid_sz, ask, ask_sz) with ofi: order-flow imbalance against the quote before, 0 for the first.
+
+    ``also``: further columns of the quote before (new name: column), from the same scan.
+    """
+    also = dict(also or {})
+    seen = scans.previous(quotes, by, order, {f"_{c}": c for c in ("bid", "bid_sz", "ask", "ask_sz")} | also, session)
     bid, bid_sz, ask, ask_sz = (F.col(f"_{c}") for c in ("bid", "bid_sz", "ask", "ask_sz"))
     bought = F.when(F.col("bid") >= bid, F.col("bid_sz")).otherwise(0) - F.when(F.col("bid") <= bid, bid_sz).otherwise(0)
     sold = F.when(F.col("ask") <= ask, F.col("ask_sz")).otherwise(0) - F.when(F.col("ask") >= ask, ask_sz).otherwise(0)
-    return seen.withColumn("ofi", F.when(bid.isNull(), 0).otherwise(bought - sold)).select(*quotes.columns, "ofi")
+    return seen.withColumn("ofi", F.when(bid.isNull(), 0).otherwise(bought - sold)).select(*quotes.columns, *also, "ofi")

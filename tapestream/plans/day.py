@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapestream.functions import market
-from tapestream.operators import asof, book, execution, scans, signals, trailing
+from tapestream.operators import asof, book, execution, signals, trailing
 
 MS = 1000
 WINDOWS = {market.window_name(w * MS): w * MS for w in (100, 500, 1000, 5000, 30_000)}
@@ -60,7 +60,7 @@ def features(clock: DataFrame, states: DataFrame, trades: DataFrame, by: Sequenc
     have = [d for d in depths if f"bid_sz_{d}" in clock.columns]
     own |= {f"depth_imbalance_{d}": market.imbalance(_sums("bid", d), _sums("ask", d)) for d in have}
     out = clock.withColumns(own)
-    flow = scans.previous(trailing.with_ofi(states, by, ["us", "row"]), by, ["us", "row"], {"_mid": "mid"})
+    flow = trailing.with_ofi(states, by, ["us", "row"], also={"_mid": "mid"})
     flow = flow.select(*by, "us", "row", "mid", F.col("ofi").cast("double").alias("ofi"), market.log_return(F.col("mid"), F.col("_mid")).alias("ret"))
     out = trailing.trailing(flow, by, "us", WINDOWS, {"ofi": F.sum("ofi"), "ofi_events": F.count("ofi")}, probes=out)
     out = trailing.trailing(flow, by, "us", VOLATILITY, {"r2": F.sum(F.col("ret") * F.col("ret")), "returns": F.count("ret")}, probes=out)
