@@ -41,6 +41,8 @@ from .store import forget, keep
 MOST_SENT = 4_000_000
 #: Entries that a worker adds up before it lets them go, and how many it hands on at a time.
 HELD, AT_ONCE = 1_000_000, 100_000
+#: A lang's phrases are ranked in so many shares, then the best of them.
+RANK_SHARES = 32
 #: Counts up to this number of rows are broadcast to the cuts that ask for them.
 BROADCAST_COUNTS = 500_000
 NO_LANG = "und"
@@ -337,6 +339,9 @@ def collocations(docs: DataFrame, least: int = 30, longest: int = 4, first: int
     within = within.groupBy("lang", "phrase").agg(F.max("f").alias("_longer"))
     rows = scored(found).join(within, ["lang", "phrase"], "left")
     gone = F.coalesce(F.col("_longer").cast("decimal(20,0)") * 100 >= F.col("a").cast("decimal(20,0)") * absorbed, F.lit(False))
-    ranked = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    rows = rows.where(~gone).withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= first)
+    best = [F.desc("score"), F.desc("a"), "phrase"]
+    # the best of each share first, so that one lang's last task has RANK_SHARES * first rows at most
+    rows = rows.where(~gone).withColumn("_share", F.pmod(F.xxhash64("phrase"), F.lit(RANK_SHARES)))
+    for by in (["lang", "_share"], ["lang"]):
+        rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*best))).where(F.col("rank") <= first)
     return rows.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
