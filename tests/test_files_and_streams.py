@@ -96,3 +96,26 @@ def test_book_frame_leaves_out_rows_without_a_side(spark, tmp_path):
     frame = spark.createDataFrame(rows, "us long, " + ", ".join(f"{c} string" for c in columns))
     frame.withColumns({c: F.lit("1") for c in ("bid_sz_1", "ask_px_1", "ask_sz_1")}).write.parquet(str(tmp_path / "b"))
     assert [r.us for r in market_files.book_frame(spark, str(tmp_path / "b"), 1).collect()] == [1]
+
+
+def test_archives_are_held_against_their_checksums(spark, tmp_path):
+    import hashlib
+
+    rows = spark.createDataFrame([(k, i, 10.5 + i, i + 1, 1_704_067_200_000_000 + 1000 * i, "sell" if i % 2 else "buy") for k in ("a", "b") for i in range(50)], "k string, trade_id long, price double, qty long, us long, side string")
+    assert market_files.write_spot_archives(rows, str(tmp_path / "z"), "k") == 2
+    assert sorted(p.name for p in (tmp_path / "z").iterdir()) == ["a.zip", "a.zip.CHECKSUM", "b.zip", "b.zip.CHECKSUM"]
+    back = market_files.zipped_spot_trades(spark, str(tmp_path / "z"), checksum="required")
+    assert back.rdd.getNumPartitions() == 2 and back.count() == 100
+    got = sorted((float(r.price), int(r.qty), r.us, r.side, r.trade_id) for r in back.where(F.col("source").endswith("b.zip")).collect())
+    assert got == sorted((r.price, r.qty, r.us, r.side, str(r.trade_id)) for r in rows.where("k = 'b'").collect())
+    one = market_files.zipped_spot_trades(spark, str(tmp_path / "z" / "a*.zip"))
+    assert one.count() == 50 and one.agg(F.min("row"), F.max("row")).first() == (1, 50)
+    (tmp_path / "z" / "a.zip.CHECKSUM").write_text(hashlib.sha256(b"other").hexdigest() + "  a.zip\n")
+    for checksum in ("present", "required"):
+        with pytest.raises(Exception, match="checksum mismatch"):
+            market_files.zipped_spot_trades(spark, str(tmp_path / "z"), checksum=checksum).collect()
+    assert market_files.zipped_spot_trades(spark, str(tmp_path / "z"), checksum="ignored").count() == 100
+    (tmp_path / "z" / "a.zip.CHECKSUM").unlink()
+    assert market_files.zipped_spot_trades(spark, str(tmp_path / "z")).count() == 100
+    with pytest.raises(Exception, match="no checksum"):
+        market_files.zipped_spot_trades(spark, str(tmp_path / "z"), checksum="required").collect()

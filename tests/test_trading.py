@@ -153,3 +153,19 @@ def test_whole_ranks_agree_with_one_window(spark):
     ones, zeros = ([s for _, s, y in data if y == k] for k in (1, 0))
     want = sum((a > b) + (a == b) / 2 for a in ones for b in zeros) / (len(ones) * len(zeros))
     assert ranks.auc(rows, ["part"], "label", "score").first().auc == pytest.approx(want)
+
+
+def test_newton_s_logistic_regression_is_at_its_optimum(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(400, 2)) * [1.0, 30.0]
+    y = (rng.random(400) < 1 / (1 + np.exp(-(x[:, 0] - x[:, 1] / 30 + 0.5)))).astype(float)
+    frame = spark.createDataFrame([(*map(float, a), float(b)) for a, b in zip(x, y)] + [(None, 1.0, 1.0), (1.0, 1.0, None)], "a double, b double, y double")
+    for c in (1.0, 0.01):
+        w, b = models.logistic(frame, ["a", "b"], "y", c)
+        p = 1 / (1 + np.exp(-(x @ np.array(w) + b)))
+        assert np.abs(x.T @ (p - y) + np.array(w) / c).max() < 1e-6 and abs((p - y).sum()) < 1e-6
+    apart = frame.where("y is not null and a is not null").withColumn("y", (F.col("a") > 0).cast("double"))  # separable: the penalty holds the weights
+    assert all(math.isfinite(v) for v in models.logistic(apart, ["a", "b"], "y")[0])
+    assert models.logistic(frame.limit(0), ["a", "b"], "y") == ([0.0, 0.0], 0.0)
