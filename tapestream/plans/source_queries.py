@@ -27,6 +27,16 @@ def _csv(rows: DataFrame, name: str, gzip: bool = False) -> str:
     return path
 
 
+def _as_long(found: DataFrame, column: str) -> DataFrame:
+    """A column of decimal sums as long, the SQL's type; if a sum passes 64 bits, where the SQL has no result, the decimals stay and are exact.
+
+    The rows are computed once: ``found`` is an aggregate of a few groups.
+    """
+    made = found.localCheckpoint()
+    beyond = made.where(~F.col(column).between(F.lit(-(2**63)).cast("decimal(30,0)"), F.lit(2**63 - 1).cast("decimal(30,0)")))
+    return made.withColumn(column, F.col(column).cast("long")) if beyond.isEmpty() else made
+
+
 def _ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ticks(spark, sf_dir).withColumn("price", F.round("price", 4).cast("decimal(18,4)"))
 
@@ -53,7 +63,8 @@ def book_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("10.5").alias("price"), F.col("bid_sz").alias("quantity"), F.when(r % 4 != 0, "SNAPSHOT").alias("update_type"), F.when(r % 11 == 0, "x").otherwise(r.cast("string")).alias("sequence_id"),
     )
     back = market_files.book_events(spark, _csv(rows, "book"))
-    return back.groupBy("side", "update_type").agg(F.count("*").alias("n"), F.count_if(F.col("us").isNull()).alias("no_time"), F.sum(F.col("us") - 1_700_000_000_000_000).alias("us"), F.sum("qty").cast("double").alias("qty"), F.count("sequence_id").alias("sequenced"))
+    found = back.groupBy("side", "update_type").agg(F.count("*").alias("n"), F.count_if(F.col("us").isNull()).alias("no_time"), F.sum((F.col("us") - 1_700_000_000_000_000).cast("decimal(20,0)")).alias("us"), F.sum("qty").cast("double").alias("qty"), F.count("sequence_id").alias("sequenced"))
+    return _as_long(found, "us")
 
 
 @query("s03_trades", f"""WITH {TICKS} SELECT side, CAST(count(*) AS BIGINT) AS n, CAST(sum(us - 1700000000000000) AS BIGINT) AS us, CAST(sum({D.format('price')} * qty) AS DOUBLE) AS notional FROM ticks GROUP BY side""")

@@ -119,3 +119,28 @@ def test_archives_are_held_against_their_checksums(spark, tmp_path):
     assert market_files.zipped_spot_trades(spark, str(tmp_path / "z")).count() == 100
     with pytest.raises(Exception, match="no checksum"):
         market_files.zipped_spot_trades(spark, str(tmp_path / "z"), checksum="required").collect()
+
+
+@pytest.fixture(scope="module")
+def far(tmp_path_factory):
+    """Few events so far from the sources' epoch that their times sum to more than 64 bits."""
+    import duckdb
+
+    folder = tmp_path_factory.mktemp("far")
+    duckdb.connect().execute(f"COPY (SELECT event_id, TIMESTAMP '9990-01-01 00:00:00' + to_seconds(event_id) AS ts, user_id, event_type, value, props FROM '/root/testdata/sf0.001/events.parquet') TO '{folder}/events.parquet'")
+    return str(folder)
+
+
+def offsets(folder, kept="true"):
+    import duckdb
+
+    return duckdb.connect().execute(f"SELECT sum(epoch_us(ts) - 1700000000000000 + CASE WHEN event_id % 3 <> 0 THEN 5 ELSE 0 END)::VARCHAR, sum(epoch_us(ts) - 1700000000000000)::VARCHAR FROM '{folder}/events.parquet' WHERE {kept}").fetchone()
+
+
+def test_book_event_times_past_64_bits_are_summed_exactly(spark, far):
+    from tapestream.plans import source_queries
+
+    rows = source_queries.book_events(spark, far).collect()
+    assert str(sum(int(r.us) for r in rows)) == offsets(far, "event_id % 3 <> 0 OR event_id % 7 <> 0")[0]
+    assert max(int(r.us) for r in rows) > 2**63
+    assert dict(source_queries.book_events(spark, "/root/testdata/sf0.001").dtypes)["us"] == "bigint"
