@@ -71,7 +71,8 @@ def book_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _ticks(spark, sf_dir).select(F.col("row").alias("source_row_number"), _iso("us").alias("event_time"), F.lit(None).cast("string").alias("receive_time"), "price", F.col("qty").alias("quantity"), F.upper("side").alias("side"), F.col("row").alias("trade_id"))
     back = market_files.trades(spark, _csv(rows, "trades"))
-    return back.groupBy("side").agg(F.count("*").alias("n"), F.sum(F.col("us") - 1_700_000_000_000_000).alias("us"), F.sum(F.col("price") * F.col("qty")).cast("double").alias("notional"))
+    found = back.groupBy("side").agg(F.count("*").alias("n"), F.sum((F.col("us") - 1_700_000_000_000_000).cast("decimal(20,0)")).alias("us"), F.sum(F.col("price") * F.col("qty")).cast("double").alias("notional"))
+    return _as_long(found, "us")
 
 
 @query("s04_spot_archive", f"""WITH {TICKS} SELECT inst || '.zip' AS archive, CASE WHEN side = 'sell' THEN 'sell' ELSE 'buy' END AS side, CAST(count(*) AS BIGINT) AS n, CAST(sum(us // 1000 - 1700000000000) AS BIGINT) AS ms, CAST(sum(qty) AS DOUBLE) AS qty, CAST(max({D.format('price')}) AS DOUBLE) AS high

@@ -144,3 +144,11 @@ def test_book_event_times_past_64_bits_are_summed_exactly(spark, far):
     assert str(sum(int(r.us) for r in rows)) == offsets(far, "event_id % 3 <> 0 OR event_id % 7 <> 0")[0]
     assert max(int(r.us) for r in rows) > 2**63
     assert dict(source_queries.book_events(spark, "/root/testdata/sf0.001").dtypes)["us"] == "bigint"
+
+
+def test_trade_times_past_64_bits_are_summed_exactly(spark, far):
+    from tapestream.plans import source_queries
+
+    rows = source_queries.trades(spark, far).collect()
+    assert str(sum(int(r.us) for r in rows)) == offsets(far)[1] and max(int(r.us) for r in rows) > 2**63
+    assert dict(source_queries.trades(spark, "/root/testdata/sf0.001").dtypes)["us"] == "bigint"
