@@ -106,7 +106,8 @@ def ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     source, folders = _csv(rows, "plain"), [new_folder(spark, "typed") for _ in range(2)]
     made = [market_files.ingest_csv(spark, source, f, ["at", "price", "side"], ["at"], ["price"]) for f in folders]
     typed = spark.read.parquet(folders[0]).where(F.col("side") == F.trim("side"))
-    return typed.agg(F.count("*").alias("written"), F.sum("price").cast("double").alias("prices"), F.sum(F.unix_micros("at") - 1_700_000_000_000_000).alias("us"), F.lit(made[0] == made[1]).alias("same_content"))
+    found = typed.agg(F.count("*").alias("written"), F.sum("price").cast("double").alias("prices"), F.sum((F.unix_micros("at") - 1_700_000_000_000_000).cast("decimal(20,0)")).alias("us"), F.lit(made[0] == made[1]).alias("same_content"))
+    return _as_long(found, "us")
 
 
 @query("s12_partitioned", f"""WITH {TICKS} SELECT inst, CAST(count(*) AS BIGINT) AS n, CAST(sum(qty) AS BIGINT) AS qty, (SELECT CAST(count(*) AS BIGINT) FROM ticks) AS all_rows FROM ticks WHERE inst IN ('click', 'view') GROUP BY inst""")

@@ -152,3 +152,11 @@ def test_trade_times_past_64_bits_are_summed_exactly(spark, far):
     rows = source_queries.trades(spark, far).collect()
     assert str(sum(int(r.us) for r in rows)) == offsets(far)[1] and max(int(r.us) for r in rows) > 2**63
     assert dict(source_queries.trades(spark, "/root/testdata/sf0.001").dtypes)["us"] == "bigint"
+
+
+def test_ingested_times_past_64_bits_are_summed_exactly(spark, far):
+    from tapestream.plans import source_queries
+
+    (row,) = source_queries.ingest(spark, far).collect()
+    assert (str(row.us), row.written, row.same_content) == (offsets(far)[1], 1000, True)
+    assert dict(source_queries.ingest(spark, "/root/testdata/sf0.001").dtypes)["us"] == "bigint"
