@@ -174,8 +174,7 @@ def book_state_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sequence_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     seq = F.when(F.col("row") % 13 != 0, F.floor(F.col("row") / 3) + F.when(F.col("row") % 50 == 1, 9).otherwise(0))
     rows = quotes(spark, sf_dir).select(F.lit("one").alias("feed"), "us", "row", seq.alias("q"))
-    known = rows.where("q is not null").withColumn("b", F.col("q"))
-    rows = lookups.asof(rows, known, ["feed"], "us", ["b"], "row", strict=True)  # sessions, so the one feed is many tasks
+    rows = scans.last_known(rows, ["feed"], ["us", "row"], "b", F.col("q"), inclusive=False)  # sessions, so the one feed is many tasks
     return quality.issues(rows, ["row"], quality.sequence_rules(F.col("q"), F.col("b"))).select("row", "rule")
 
 

@@ -58,3 +58,20 @@ def zeros(tmp_path_factory):
 def test_division_by_zero_gives_null_under_ansi(spark, zeros, name):
     assert spark.conf.get("spark.sql.ansi.enabled") == "true"
     matches(catalog.QUERIES[name](spark, str(zeros)), opened(zeros), name)
+
+
+@pytest.fixture(scope="module")
+def repeated(tmp_path_factory):
+    """The smallest tables three times with shifted keys: every time is there three times."""
+    folder = tmp_path_factory.mktemp("repeated")
+    con = duckdb.connect()
+    shifts = {"events": {"event_id": 100_000, "user_id": 10_000}, "orders": {"o_orderkey": 1_000_000}, "lineitem": {"l_orderkey": 1_000_000, "l_suppkey": 1_000}}
+    for t in TABLES:
+        more = ", ".join(f"{c} + i * {n} AS {c}" for c, n in shifts.get(t, {}).items())
+        con.execute(f"COPY (SELECT * {f'EXCLUDE (i) REPLACE ({more})' if more else ''} FROM '{DIR}/{t}.parquet' {'CROSS JOIN range(3) r(i)' if more else ''}) TO '{folder}/{t}.parquet'")
+    return folder
+
+
+@pytest.mark.parametrize("name", ["w17_sequence"])
+def test_rows_of_equal_times(spark, repeated, name):
+    matches(catalog.QUERIES[name](spark, str(repeated)), opened(repeated), name)
