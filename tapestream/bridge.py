@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 HOUR = 3_600_000_000
+#: Rows that one task sorts or groups by key, about.
+TASK_ROWS = 250_000
 
 #: Microseconds of a timestamp without zone, by its own fields.
 US = (
@@ -21,6 +23,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tasks(spark: SparkSession, sf_dir: str, name: str, times: int = 1) -> int:
+    """As many tasks as a table's rows, ``times`` over, make at TASK_ROWS each; its files' footers are counted."""
+    return -(-table(spark, sf_dir, name).count() * times // TASK_ROWS)
+
+
+def dealt(rows: DataFrame, n: int, *keys: str) -> DataFrame:
+    """rows hashed by keys to n tasks, which adaptive execution leaves apart, if that is more than run at once."""
+    return rows.repartition(n, *keys) if n > rows.sparkSession.sparkContext.defaultParallelism else rows
+
+
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trades: inst, us, row, price, qty, side."""
     return table(spark, sf_dir, "events").selectExpr(
@@ -93,7 +105,8 @@ BOOK_ORDER = "us, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedpric
 
 def fills(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Executions: scenario, order_id, us, row, signed, price, qty, fee, role."""
-    lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    n = tasks(spark, sf_dir, "lineitem")
+    lines, orders = dealt(table(spark, sf_dir, "lineitem"), n, "l_orderkey"), dealt(table(spark, sf_dir, "orders"), n, "o_orderkey")
     return lines.join(orders, lines.l_orderkey == orders.o_orderkey).selectExpr(
         "cast(l_suppkey % 10 as bigint) as scenario",
         "cast(l_orderkey as bigint) as order_id",
@@ -119,7 +132,7 @@ FILLS = """fills AS (
 
 def preds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predictions and outcomes: day, row, x, y (the user's next value; null at the end)."""
-    return table(spark, sf_dir, "events").selectExpr(
+    return dealt(table(spark, sf_dir, "events"), tasks(spark, sf_dir, "events"), "user_id").selectExpr(
         "cast(unix_date(cast(ts as date)) as bigint) as day",
         "event_id as row",
         "user_id",

@@ -25,8 +25,9 @@ def every_nth(rows: DataFrame, by: Sequence[str], order: Sequence[str], stride:
 
 def average_rank(value: str, by: Sequence[str]) -> Column:
     """Ranks from 1; equal values share the mean of theirs."""
-    ties = F.count("*").over(Window.partitionBy(*by, value))
-    return F.rank().over(Window.partitionBy(*by).orderBy(value)) + (ties - 1) / 2
+    order = Window.partitionBy(*by).orderBy(value)
+    upto = F.count("*").over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))  # with its equals; one sort for both
+    return (F.rank().over(order) + upto) / 2
 
 
 def correlation(x: Column, y: Column) -> Column:
@@ -38,9 +39,10 @@ def pearson(rows: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
     return pairwise_valid(rows, x, y).groupBy(*by).agg(F.count("*").alias("n"), correlation(F.col(x), F.col(y)).alias("ic"))
 
 
-def spearman(rows: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
-    """n and ic, the correlation of average ranks, of each group."""
-    ranked = pairwise_valid(rows, x, y).withColumns({"_x": average_rank(x, by), "_y": average_rank(y, by)})
+def spearman(rows: DataFrame, by: Sequence[str], x: str, y: str, tasks: int | None = None) -> DataFrame:
+    """n and ic, the correlation of average ranks, of each group; groups are dealt to ``tasks``, if given."""
+    valid = pairwise_valid(rows, x, y).select(*by, x, y)
+    ranked = (valid.repartition(tasks, *by) if tasks else valid).withColumns({"_x": average_rank(x, by), "_y": average_rank(y, by)})
     return ranked.groupBy(*by).agg(F.count("*").alias("n"), correlation(F.col("_x"), F.col("_y")).alias("ic"))
 
 

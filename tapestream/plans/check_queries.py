@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tapestream.bridge import BOOK, FILLS, GRID, HOUR, PREDS, QUOTES, TICKS, book_updates, fills, grid, preds, quotes, table, ticks
+from tapestream.bridge import BOOK, FILLS, GRID, HOUR, PREDS, QUOTES, TICKS, book_updates, dealt, fills, grid, preds, quotes, table, tasks, ticks
 from tapestream.functions import market
 from tapestream.operators import asof, book, models, quality, ranks
 from tapestream.plans.registry import query
@@ -106,12 +106,18 @@ SQL_P = """1 - CASE WHEN v = 1 THEN 2 / pi() * th WHEN v % 2 = 1 THEN 2 / pi() *
   ELSE sin(th) * list_sum(list_transform(range(0, v // 2), lambda i: list_product([1.0::DOUBLE] || list_transform(range(1, i + 1), lambda j: (2.0::DOUBLE * j - 1) / (2 * j) * cos(th) * cos(th))))) END"""
 
 
+def _spread(spark: SparkSession, sf_dir: str, times: int) -> int | None:
+    """Tasks for the events' rows, ``times`` over, if they are more than run at once."""
+    n = tasks(spark, sf_dir, "events", times)
+    return n if n > spark.sparkContext.defaultParallelism else None
+
+
 def _tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     later = F.lead("x", 2).over(Window.partitionBy("user_id").orderBy("us", "row"))
     rows = preds(spark, sf_dir).withColumns({"level": F.col("x"), "size": (1 + F.col("user_id") % 7).cast("double"), "digit": (F.col("row") % 10).cast("double"), "1": F.col("y"), "2": later})
     features = rows.unpivot(["day", "row", "1", "2"], ["level", "size", "digit"], "feature", "f")
     every = features.unpivot(["day", "feature", "f"], ["1", "2"], "horizon", "outcome").withColumn("horizon", F.col("horizon").cast("long"))
-    return ranks.spearman(every, ["feature", "horizon", "day"], "f", "outcome")
+    return ranks.spearman(every, ["feature", "horizon", "day"], "f", "outcome", _spread(spark, sf_dir, 6))
 
 
 @query("a13_primary_tests", f"""WITH {PREDS}, {TESTS}, t AS (SELECT *, CAST(days - 1 AS BIGINT) AS v, abs(mean / (std / sqrt(days))) AS t FROM tests), a AS (SELECT *, atan(t / sqrt(v)) AS th FROM t), p AS (SELECT *, {SQL_P} AS p FROM a),
@@ -360,7 +366,7 @@ KINDS_SQL = ", ".join([
   SELECT kind, CAST(count(ic) AS BIGINT) AS n, round(avg(ic), 6) AS mean, round(stddev_samp(ic), 6) AS std FROM ic GROUP BY kind""")
 def negative_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean daily rank correlation of the feature, of a permuted feature, a permuted target and a lagged feature."""
-    rows = preds(spark, sf_dir).where("y is not null")
+    rows = dealt(preds(spark, sf_dir).where("y is not null").select("day", "us", "row", "x", "y"), tasks(spark, sf_dir, "events"), "day")
     kinds = {
         "real": rows, "permuted_feature": models.permuted(rows, DAY, "feature", ["us", "row"], "x"), "permuted_target": models.permuted(rows, DAY, "target", ["us", "row"], "y"),
         "lagged": rows.withColumn("x", F.lag("x", 20).over(Window.partitionBy("day").orderBy("us", "row"))),
@@ -369,7 +375,7 @@ def negative_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
     for kind, some in kinds.items():
         part = some.select(F.lit(kind).alias("kind"), "day", "x", "y")
         every = part if every is None else every.union(part)
-    return _round(ranks.daily_summary(ranks.spearman(every, ["kind", "day"], "x", "y"), ["kind"], "ic").select("kind", "n", "mean", "std"), ["kind"])
+    return _round(ranks.daily_summary(ranks.spearman(every, ["kind", "day"], "x", "y", _spread(spark, sf_dir, 4)), ["kind"], "ic").select("kind", "n", "mean", "std"), ["kind"])
 
 
 @query("m11_prediction_reconciliation", f"""WITH {PREDS}, {VALID}, half AS (SELECT regr_slope(y, x) AS s, regr_intercept(y, x) AS i FROM valid WHERE "row" % 2 = 0), whole AS (SELECT regr_slope(y, x) AS s, regr_intercept(y, x) AS i FROM valid),

@@ -75,3 +75,17 @@ def repeated(tmp_path_factory):
 @pytest.mark.parametrize("name", ["w17_sequence"])
 def test_rows_of_equal_times(spark, repeated, name):
     matches(catalog.QUERIES[name](spark, str(repeated)), opened(repeated), name)
+
+
+DEALT = ["a13_primary_tests"]
+
+
+@pytest.mark.parametrize("name", DEALT)
+def test_keys_are_dealt_to_more_tasks_as_tables_grow(spark, db, monkeypatch, capsys, name):
+    from tapestream import bridge
+
+    monkeypatch.setattr(bridge, "TASK_ROWS", 50)
+    df = catalog.QUERIES[name](spark, DIR)
+    df.explain()
+    assert "REPARTITION_BY_NUM" in capsys.readouterr().out
+    matches(df, db, name)
