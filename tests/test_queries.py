@@ -77,7 +77,7 @@ def test_rows_of_equal_times(spark, repeated, name):
     matches(catalog.QUERIES[name](spark, str(repeated)), opened(repeated), name)
 
 
-DEALT = ["a13_primary_tests"]
+DEALT = ["a13_primary_tests", "a18_fold_deltas"]
 
 
 @pytest.mark.parametrize("name", DEALT)
