@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tapestream.bridge import FILLS, HOUR, PREDS, TICKS, fills, preds, table, ticks
 from tapestream.functions import market
-from tapestream.operators import economics, execution, ledger, ranks
+from tapestream.operators import economics, execution, ledger, ranks, scans
 from tapestream.plans.registry import query
 from tapestream.plans.research_queries import DAY, SIGNAL, _round, _signals
 from tapestream.plans.trading_queries import BASE, BY, ORDER, REALIZED, SQL_ORDER, SUMS, _base
@@ -212,9 +212,10 @@ def losses_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT scenario, CAST(count(*) AS BIGINT) AS n, CAST(count(*) - count(DISTINCT (order_id, child)) AS BIGINT) AS duplicates, CAST(sum(place * (child % 3)) AS BIGINT) AS fingerprint FROM k GROUP BY scenario""")
 def fill_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     child = F.row_number().over(Window.partitionBy("scenario", "order_id").orderBy(*ORDER))
-    place = F.row_number().over(Window.partitionBy("scenario").orderBy("us", "order_id", "child"))
-    k = fills(spark, sf_dir).withColumn("child", child).withColumn("place", place)
-    return k.groupBy("scenario").agg(F.count("*").alias("n"), (F.count("*") - F.count_distinct("order_id", "child")).alias("duplicates"), F.sum(F.col("place") * (F.col("child") % 3)).alias("fingerprint"))
+    copy = F.row_number().over(Window.partitionBy("scenario", "order_id", "child").orderBy("us"))
+    k = fills(spark, sf_dir).withColumn("child", child).withColumn("copy", copy).select("scenario", "order_id", "us", "child", "copy")
+    k = scans.running(k, BY, ["us", "order_id", "child"], {"place": F.lit(1)})  # in sessions, so a scenario is many tasks
+    return k.groupBy("scenario").agg(F.count("*").alias("n"), F.count_if(F.col("copy") > 1).alias("duplicates"), F.sum(F.col("place") * (F.col("child") % 3)).alias("fingerprint"))
 
 
 @query("a29_mismatch", f"""WITH {PREDS}, {SIGNAL}, h AS (SELECT day, signal AS desired, coalesce(lag(signal) OVER (PARTITION BY day ORDER BY us, "row"), 0) AS actual FROM sig)

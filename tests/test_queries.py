@@ -77,7 +77,7 @@ def test_rows_of_equal_times(spark, repeated, name):
     matches(catalog.QUERIES[name](spark, str(repeated)), opened(repeated), name)
 
 
-DEALT = ["a13_primary_tests", "a18_fold_deltas"]
+DEALT = ["a13_primary_tests", "a18_fold_deltas", "t02_fill_order"]
 
 
 @pytest.mark.parametrize("name", DEALT)
@@ -89,3 +89,9 @@ def test_keys_are_dealt_to_more_tasks_as_tables_grow(spark, db, monkeypatch, cap
     df.explain()
     assert "REPARTITION_BY_NUM" in capsys.readouterr().out
     matches(df, db, name)
+
+
+def test_fills_of_a_scenario_are_placed_by_many_tasks(spark, capsys):
+    catalog.QUERIES["t02_fill_order"](spark, DIR).explain()
+    places = [x for x in capsys.readouterr().out.splitlines() if "Window" in x and "place" in x]
+    assert places and all("_part" in x for x in places)
