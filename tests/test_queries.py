@@ -77,7 +77,7 @@ def test_rows_of_equal_times(spark, repeated, name):
     matches(catalog.QUERIES[name](spark, str(repeated)), opened(repeated), name)
 
 
-DEALT = ["a13_primary_tests", "a18_fold_deltas", "t02_fill_order", "j13_share_of_group", "w14_child_index", "a33_rank_wins", "a54_ablation", "a23_order_summary"]
+DEALT = ["a13_primary_tests", "a18_fold_deltas", "t02_fill_order", "j13_share_of_group", "w14_child_index", "a33_rank_wins", "a54_ablation", "a23_order_summary", "m10_negative_controls"]
 
 
 @pytest.mark.parametrize("name", DEALT)
