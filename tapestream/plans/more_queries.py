@@ -234,11 +234,11 @@ def unrealized(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("r05_window_rescan", f"""WITH {TICKS} SELECT a."row", CAST(count(*) AS BIGINT) AS n, CAST(sum(b.qty) AS BIGINT) AS volume FROM ticks a JOIN ticks b ON a.inst = b.inst AND b.us > a.us - {HOUR} AND b.us <= a.us GROUP BY a."row" """)
 def window_rescan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The slow twin of the trailing window, by an interval join."""
+    """The trailing window's twin by intervals: sums over each are differences of two running sums, so no pair is made however many trades an hour holds."""
     rows = ticks(spark, sf_dir)
     probes = rows.select("inst", F.col("row").alias("id"), (F.col("us") - HOUR).alias("a"), F.col("us").alias("b"))
-    found = asof.interval_join(probes, rows, ["inst"], "a", "b", "us", HOUR)
-    return found.groupBy(F.col("id").alias("row")).agg(F.count("*").alias("n"), F.sum("qty").cast("long").alias("volume"))
+    found = scans.interval_sums(probes, rows, ["inst"], "a", "b", "us", {"n": F.lit(1), "volume": F.col("qty")}, session=HOUR)
+    return found.select(F.col("id").alias("row"), F.col("n").cast("long").alias("n"), F.col("volume").cast("long").alias("volume"))
 
 
 @query("m01_standardized", f"""WITH {PREDS.replace('preds AS', 'raw AS')}, preds AS (SELECT *, CASE WHEN "row" % 9 <> 0 THEN x END AS f FROM raw), s AS (SELECT median(f) AS m FROM preds), t AS (SELECT avg(coalesce(f, m)) AS a, stddev_pop(coalesce(f, m)) AS d, any_value(m) AS m FROM preds, s)

@@ -95,3 +95,8 @@ def test_fills_of_a_scenario_are_placed_by_many_tasks(spark, capsys):
     catalog.QUERIES["t02_fill_order"](spark, DIR).explain()
     places = [x for x in capsys.readouterr().out.splitlines() if "Window" in x and "place" in x]
     assert places and all("_part" in x for x in places)
+
+
+def test_window_rescan_makes_no_pairs(spark, capsys):
+    catalog.QUERIES["r05_window_rescan"](spark, DIR).explain()
+    assert "Join" not in capsys.readouterr().out
