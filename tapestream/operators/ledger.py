@@ -34,11 +34,16 @@ def running(fills: DataFrame, by: Sequence[str], order: Sequence[str], session:
 
 
 def mark_to_market(fills: DataFrame, marks: DataFrame, by: Sequence[str], on: str, order: Sequence[str]) -> DataFrame:
-    """marks (mid) with position, cash, fees, turnover, gross and net of the fills at or before each mark."""
-    rows = fills.select(*by, F.col(on).alias("_us"), F.lit(0).alias("_flag"), F.struct(*order).alias("_o"), "signed", "price", "fee")
+    """marks (mid) with position, cash, fees, turnover, gross and net of the fills at or before each mark.
+
+    Fills of one time count for the same marks, so they are added up before they are shuffled; ``order`` only names them.
+    """
+    notional = F.col("signed") * F.col("price")
+    sums = {"position": F.col("signed"), "cash": -notional, "fees": F.col("fee"), "turnover": F.abs(notional)}
+    rows = fills.groupBy(*by, F.col(on).alias("_us")).agg(*[F.sum(v).alias(f"_s_{name}") for name, v in sums.items()]).withColumn("_flag", F.lit(0))
     probes = marks.select(*by, F.col(on).alias("_us"), F.lit(1).alias("_flag"), F.struct(*marks.columns).alias("_mark"))
     both = rows.unionByName(probes, allowMissingColumns=True)
-    seen = running(both, by, ["_us", "_flag", "_o"]).where(F.col("_mark").isNotNull())
+    seen = scans.running(both, by, ["_us", "_flag"], {name: F.col(f"_s_{name}") for name in sums}).where(F.col("_mark").isNotNull())
     zero = [F.coalesce(c, F.lit(0.0)).alias(c) for c in ("position", "cash", "fees", "turnover")]
     out = seen.select("_mark.*", *zero)
     gross = F.col("cash") + F.col("position") * F.col("mid")

@@ -100,3 +100,17 @@ def test_fills_of_a_scenario_are_placed_by_many_tasks(spark, capsys):
 def test_window_rescan_makes_no_pairs(spark, capsys):
     catalog.QUERIES["r05_window_rescan"](spark, DIR).explain()
     assert "Join" not in capsys.readouterr().out
+
+
+#: What the plans held that grew with the fills: their order's columns, percentiles of a group in one task, the join of fills, distinct orders.
+GONE = {
+    "r08_mark_to_market": "l_partkey",
+}
+
+
+@pytest.mark.parametrize("name", GONE)
+def test_steps_that_grow_too_fast_are_gone(spark, db, capsys, name):
+    df = catalog.QUERIES[name](spark, DIR)
+    df.explain()
+    assert GONE[name] not in capsys.readouterr().out
+    matches(df, db, name)
