@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from tapestream.bridge import BOOK, BOOK_ORDER, FILLS, HOUR, PREDS, QUOTES, TICKS, book_updates, fills, preds, quotes, table, ticks
 from tapestream.functions import market
-from tapestream.operators import asof, book, execution, ledger, models, quality, ranks, scans, signals
+from tapestream.operators import asof, book, execution, ledger, models, quality, ranks, scans, selection, signals
 from tapestream.plans.registry import query
 from tapestream.plans.research_queries import BOUNDS, BUCKETED, DAILY, DAY, SIGNAL, VALID, _round, _signals
 from tapestream.plans.trading_queries import BY, ORDER, SQL_ORDER, SUMS
+from tapestream.sources.scratch import stored
 
 
 @query("p04_coverage", f"""WITH {PREDS} SELECT day, CAST(count(*) AS BIGINT) AS candidates, CAST(count(x) AS BIGINT) AS features, CAST(count(y) AS BIGINT) AS labels, CAST(count(*) FILTER (WHERE x IS NOT NULL AND y IS NOT NULL) AS BIGINT) AS paired FROM preds GROUP BY day""")
@@ -120,8 +121,9 @@ def signal_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT scenario, CAST(count(*) AS BIGINT) AS orders, round(avg(q), 4) AS mean_filled, round(median(worst - px), 4) AS median_slip, round(quantile_cont(worst - px, 0.95), 4) AS p95_slip FROM o GROUP BY scenario""")
 def execution_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = fills(spark, sf_dir).groupBy("scenario", "order_id").agg(F.sum("qty").alias("q"), execution.vwap(F.col("price"), F.col("qty")).alias("px"), F.max("price").alias("worst"))
-    slip = F.col("worst") - F.col("px")
-    return _round(o.groupBy("scenario").agg(F.count("*").alias("orders"), F.avg("q").alias("mean_filled"), F.median(slip).alias("median_slip"), F.percentile(slip, F.lit(0.95)).alias("p95_slip")), BY, 4)
+    o = stored(o.select("scenario", "q", (F.col("worst") - F.col("px")).alias("slip")), "slips")
+    sums = o.groupBy("scenario").agg(F.count("*").alias("orders"), F.avg("q").alias("mean_filled"))
+    return _round(selection.with_quantiles(sums, o, BY, {"slip": F.col("slip")}, {"slip": {"median_slip": 0.5, "p95_slip": 0.95}}), BY, 4)
 
 
 @query("a26_depth_histogram", """WITH d AS (SELECT l_orderkey, count(*) AS levels FROM lineitem GROUP BY l_orderkey) SELECT CAST(levels AS BIGINT) AS levels, CAST(count(*) AS BIGINT) AS n FROM d GROUP BY levels""")

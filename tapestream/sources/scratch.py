@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
 
@@ -21,3 +21,10 @@ def new_folder(spark: SparkSession, name: str) -> str:
             _own.append(tempfile.mkdtemp(prefix="tapestream-files-"))
         base = f"file://{_own[0]}"
     return f"{base.rstrip('/')}/files/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def stored(rows: DataFrame, name: str) -> DataFrame:
+    """rows, written once and read as often as they are passed over."""
+    path = new_folder(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
