@@ -111,8 +111,12 @@ FEES = (0.0, 0.25, 0.5, 1.0, 5.0)
 
 
 def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return base_of(fills(spark, sf_dir))
+
+
+def base_of(rows: DataFrame) -> DataFrame:
     n = F.col("signed") * F.col("price")
-    return fills(spark, sf_dir).groupBy("scenario").agg((-F.sum(n) + F.sum("signed") * 1000).alias("gross"), F.sum(F.abs(n)).alias("turnover"), F.sum("signed").alias("position"), F.sum("fee").alias("fees"))
+    return rows.groupBy("scenario").agg((-F.sum(n) + F.sum("signed") * 1000).alias("gross"), F.sum(F.abs(n)).alias("turnover"), F.sum("signed").alias("position"), F.sum("fee").alias("fees"))
 
 
 def _fee_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
