@@ -106,6 +106,7 @@ def test_window_rescan_makes_no_pairs(spark, capsys):
 GONE = {
     "r08_mark_to_market": "l_partkey",
     "a24_execution_summary": "percentile",
+    "h26_performance": "orders.parquet",
     "a52_cost_base": "distinct",
 }
 
