@@ -108,6 +108,7 @@ GONE = {
     "a24_execution_summary": "percentile",
     "h26_performance": "orders.parquet",
     "a52_cost_base": "distinct",
+    "a51_accounting_reports": "orders.parquet",
 }
 
 
