@@ -5,9 +5,11 @@ Times are epoch microseconds without a zone: no session setting changes them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tapestream.sources.scratch import stored
+
 HOUR = 3_600_000_000
 #: Rows that one task sorts or groups by key, about.
 TASK_ROWS = 250_000
@@ -105,9 +107,28 @@ BOOK_ORDER = "us, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedpric
 
 def fills(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Executions: scenario, order_id, us, row, signed, price, qty, fee, role."""
+    return _as_fills(_executed(spark, sf_dir))
+
+
+def kept_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """fills joined once and stored, for queries that pass over them several times; first: whether a row is its scenario's first of an order.
+
+    What is stored are the lines' own columns, from which the others are computed when they are read.
+    The rows of an order are together after the join, so ``first`` takes no shuffle, and to count orders is to count it.
+    """
+    rank = F.row_number().over(Window.partitionBy("l_orderkey", F.expr("l_suppkey % 10")).orderBy("l_linenumber"))
+    return _as_fills(stored(_executed(spark, sf_dir).withColumn("first", rank == 1), "fills"), "first")
+
+
+def _executed(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = tasks(spark, sf_dir, "lineitem")
     lines, orders = dealt(table(spark, sf_dir, "lineitem"), n, "l_orderkey"), dealt(table(spark, sf_dir, "orders"), n, "o_orderkey")
-    return lines.join(orders, lines.l_orderkey == orders.o_orderkey).selectExpr(
+    names = ("orderkey", "linenumber", "partkey", "suppkey", "quantity", "extendedprice", "discount", "returnflag", "linestatus", "shipdate")
+    return lines.join(orders, lines.l_orderkey == orders.o_orderkey).select(*[f"l_{c}" for c in names])
+
+
+def _as_fills(lines: DataFrame, *more: str) -> DataFrame:
+    return lines.selectExpr(
         "cast(l_suppkey % 10 as bigint) as scenario",
         "cast(l_orderkey as bigint) as order_id",
         f"{US.format('l_shipdate')} as us",
@@ -117,6 +138,7 @@ def fills(spark: SparkSession, sf_dir: str) -> DataFrame:
         "cast(l_quantity as double) as qty",
         "cast(l_extendedprice as double) * cast(l_discount as double) / 10000D as fee",
         "case when l_linestatus = 'O' then 'maker' else 'taker' end as role",
+        *more,
     )
 
 

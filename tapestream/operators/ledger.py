@@ -7,6 +7,8 @@ multiplying it and adding to it: an addition adds, a reduction takes a share awa
 that opens or turns the position sets it.  Such steps compose.  So a first pass composes
 each session's fills, the compositions are applied one after another, a row per scenario and
 session, and a second pass folds each session from the position and cost it starts with.
+What a session realizes is linear in the cost it starts with, so where only ends are asked
+for, the first pass composes that too, and there is no second one.
 """
 
 from __future__ import annotations
@@ -21,9 +23,11 @@ from pyspark.sql import functions as F
 
 from tapestream.operators import scans, selection
 from tapestream.operators.scans import SESSION
+from tapestream.sources.scratch import stored
 
 FLAT = 1e-8
 STATE = ("position", "average", "realized")
+ENDS = ("_times", "_plus", "_gain_times", "_gain_plus", "_position", "_longest", "_shortest", "_sizes", "_known")
 
 
 def running(fills: DataFrame, by: Sequence[str], order: Sequence[str], session: int = SESSION) -> DataFrame:
@@ -55,6 +59,22 @@ def drawdown(rows: DataFrame, by: Sequence[str], order: Sequence[str], equity: s
     return found.withColumn("drawdown", F.col("_peak") - F.col(equity)).drop("_peak")
 
 
+def drawdown_summary(fills: DataFrame, by: Sequence[str], order: Sequence[str], session: int = SESSION) -> DataFrame:
+    """worst and mean drawdown of the running cash (without fees) of each scenario; the rows are shuffled once.
+
+    Rows of a session with one peak so far go on together, as how many they are, how far they are below it and the
+    lowest; these few rows are stored and get the peak of all sessions up to theirs.
+    """
+    parts = scans.cut(fills.select(*by, *order, (-F.col("signed") * F.col("price")).alias("_v")), by, order, {"_v": (F.sum("_v"), F.sum)}, session)
+    upto = Window.partitionBy(*by, "_part").orderBy(F.col("_carried").desc(), *order).rowsBetween(Window.unboundedPreceding, 0)
+    path = parts.withColumn("_cash", F.sum("_v").over(upto)).withColumn("_peak", F.max(F.when(~F.col("_carried"), F.col("_cash"))).over(upto)).where(~F.col("_carried"))
+    steps = path.groupBy(*by, "_part", "_peak").agg(F.count("_cash").alias("_n"), F.sum(F.col("_peak") - F.col("_cash")).alias("_below"), F.min("_cash").alias("_low"))
+    steps = stored(steps.withColumn("_us", F.col("_part") * session).drop("_part"), "steps")
+    steps = scans.running(steps, by, ["_us", "_peak"], maxima={"_top": F.col("_peak")}, session=session)
+    below = F.sum(F.col("_below") + F.col("_n") * (F.col("_top") - F.col("_peak")))
+    return steps.groupBy(*by).agg(F.max(F.col("_top") - F.col("_low")).alias("worst"), F.try_divide(below, F.sum("_n")).alias("mean"))
+
+
 def _step(state: tuple[float, float, float], q: float | None, p: float | None) -> tuple[float, float, float]:
     """One fill on position, average price and realized profit; one without quantity or price changes nothing."""
     if q is None or p is None or abs(q) < FLAT:
@@ -162,6 +182,87 @@ def _costs(parts: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFra
     return composed.repartition(*by).sortWithinPartitions(*by, "_part").mapInArrow(apply, f"{keys}, _cost double")  # a row per key and session
 
 
+def _gained(pos: float, fills: Iterator[tuple[float | None, float | None]], ends: list[float]) -> float:
+    """The position after fills; ends: times, plus of _composed, then what the realized profit is, times the first cost and plus, all so far."""
+    times, plus, gain_times, gain_plus = ends[:4]
+    for q, p in fills:
+        if q is None or p is None or abs(q) < FLAT:
+            continue
+        after = pos + q
+        if abs(pos) < FLAT:
+            times, plus = 0.0, after * p
+        elif (pos > 0) == (q > 0):
+            plus += q * p
+        else:
+            closed = (min(abs(pos), abs(q)) if pos > 0 else -min(abs(pos), abs(q))) / pos
+            gain_times -= closed * times
+            gain_plus += closed * (pos * p - plus)
+            times, plus = (0.0, after * p) if abs(q) > abs(pos) + FLAT else (times * after / pos, plus * after / pos)
+        if abs(after) < FLAT:
+            times = plus = after = 0.0
+        pos = after
+    ends[:4] = times, plus, gain_times, gain_plus
+    return pos
+
+
+def _ends(fills: DataFrame, by: Sequence[str], order: Sequence[str], session: int) -> DataFrame:
+    """by, _part, STATE at each session's end (realized: within it), and of the running sums of signed _longest, _shortest, _sizes and how many are _known.
+
+    The fills are shuffled once.
+    """
+    width = len(by) + 1
+    counts = F.col("_p").isNotNull() & (F.abs("_s") >= FLAT)
+    values = fills.select(*by, *order, F.col("signed").cast("double").alias("_s"), F.col("price").cast("double").alias("_p"))
+    parts = scans.cut(values, by, order, {"_s": (F.sum("_s"), F.sum), "_q": (F.sum(F.when(counts, F.col("_s"))), F.sum)}, session)
+
+    def compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, first, pos, total, ends, done = None, None, 0.0, None, [], []
+
+        def emit() -> pa.RecordBatch:
+            keys = [pa.concat_arrays([row.column(c) for row, _ in done]) for c in range(width)]
+            return pa.record_batch([*keys, *(pa.array(x, pa.float64()) for x in zip(*[e for _, e in done]))], [*by, "_part", *ENDS])
+
+        for key, rows in runs(batches, width):
+            if key != at:
+                if first is not None:
+                    done.append((first, ends))
+                at, first, pos, total, ends = key, rows.slice(0, 1), 0.0, None, [1.0, 0.0, 0.0, 0.0, 0.0, None, None, 0.0, 0.0]
+            carried, s, q, p = (rows.column(width + c).to_pylist() for c in range(4))
+            if carried[0]:
+                pos, total, s, p = q[0] or 0.0, s[0], s[1:], p[1:]
+            ends[4] = pos = _gained(pos, zip(s, p), ends)
+            known = 0 if total is not None else next((i for i, x in enumerate(s) if x is not None), len(s))  # null until the first that isn't
+            if known < len(s):
+                path = np.cumsum([total or 0.0, *(x or 0.0 for x in s[known:])])[1:]
+                total, high, low = float(path[-1]), float(path.max()), float(path.min())
+                ends[5:] = high if ends[5] is None else max(ends[5], high), low if ends[6] is None else min(ends[6], low), ends[7] + float(np.abs(path).sum()), ends[8] + len(path)
+            if len(done) > 10_000:
+                yield emit()
+                done = []
+        if first is not None:
+            done.append((first, ends))
+        if done:
+            yield emit()
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, cost = None, 0.0
+        for key, rows in runs(batches, width - 1):
+            if key != at:
+                at, cost = key, 0.0
+            states = []
+            for times, plus, gain_times, gain_plus, pos in zip(*(rows.column(width + c).to_pylist() for c in range(5))):
+                gain, cost = gain_times * cost + gain_plus, times * cost + plus
+                states.append((pos, cost / pos, gain) if abs(pos) >= FLAT else (0.0, 0.0, gain))
+            columns = [*rows.columns[:width], *(pa.array(x, pa.float64()) for x in zip(*states)), *rows.columns[width + 5 :]]
+            yield pa.record_batch(columns, [*by, "_part", *STATE, *ENDS[5:]])
+
+    keys = _schema(parts, [*by, "_part"])
+    dealt = parts.repartition(*by, "_part").sortWithinPartitions(*by, "_part", F.desc("_carried"), *order)
+    composed = dealt.select(*by, "_part", "_carried", "_s", "_q", "_p").mapInArrow(compose, f"{keys}, " + ", ".join(f"{c} double" for c in ENDS))
+    schema = f"{keys}, " + ", ".join(f"{c} double" for c in (*STATE, *ENDS[5:]))
+    return composed.repartition(*by).sortWithinPartitions(*by, "_part").mapInArrow(apply, schema)  # a row per key and session
+
+
 def _fold(fills: DataFrame, by: Sequence[str], order: Sequence[str], path: bool, session: int) -> DataFrame:
     """The fold of each session from what it starts with, its realized profit counted from 0.
 
@@ -217,9 +318,15 @@ def _fold(fills: DataFrame, by: Sequence[str], order: Sequence[str], path: bool,
 
 def average_cost(fills: DataFrame, by: Sequence[str], order: Sequence[str], session: int = SESSION) -> DataFrame:
     """Terminal position, average price and realized profit of each scenario; order[0] is the time."""
-    ends = _fold(fills, by, order, False, session)
+    return accounts(fills, by, order, session).select(*by, *STATE)
+
+
+def accounts(fills: DataFrame, by: Sequence[str], order: Sequence[str], session: int = SESSION) -> DataFrame:
+    """average_cost, and of the running positions (sums of signed) the longest, shortest and mean size; the fills are shuffled once."""
     last = F.max_by(F.struct("position", "average"), F.coalesce("_part", F.lit(-(2**63))))
-    return ends.groupBy(*by).agg(last.alias("_e"), F.sum("realized").alias("realized")).select(*by, "_e.position", "_e.average", "realized")
+    mean = F.try_divide(F.sum("_sizes"), F.sum("_known"))
+    of = (last.alias("_e"), F.sum("realized").alias("realized"), F.max("_longest").alias("longest"), F.min("_shortest").alias("shortest"), mean.alias("mean_abs"))
+    return _ends(fills, by, order, session).groupBy(*by).agg(*of).select(*by, "_e.position", "_e.average", "realized", "longest", "shortest", "mean_abs")
 
 
 def average_cost_path(fills: DataFrame, by: Sequence[str], order: Sequence[str], session: int = SESSION) -> DataFrame:

@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tapestream.bridge import FILLS, HOUR, PREDS, TICKS, dealt, fills, preds, table, tasks, ticks
+from tapestream.bridge import FILLS, HOUR, PREDS, TICKS, dealt, fills, kept_fills, preds, table, tasks, ticks
 from tapestream.functions import market
 from tapestream.operators import economics, execution, ledger, ranks, scans
 from tapestream.plans.registry import query
 from tapestream.plans.research_queries import DAY, SIGNAL, _round, _signals
 from tapestream.plans.trading_queries import BASE, BY, ORDER, REALIZED, SQL_ORDER, SUMS, _base, base_of
-from tapestream.sources.scratch import stored
 
 MODEL = "CASE WHEN scenario % 2 = 0 THEN 'A' ELSE 'B' END"
 LATENCY = "scenario // 2 * 100"
@@ -67,23 +66,13 @@ def passive_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 DRAWDOWN = f"""dd AS (SELECT scenario, max(d) AS worst, avg(d) AS mean FROM (SELECT scenario, max(cash) OVER (PARTITION BY scenario ORDER BY {SQL_ORDER} ROWS UNBOUNDED PRECEDING) - cash AS d FROM run) GROUP BY scenario)"""
 
 
-def _kept(rows: DataFrame) -> DataFrame:
-    """rows joined once and stored, for reports that pass over them several times."""
-    return stored(rows.select("scenario", "order_id", "us", "row", "signed", "price", "fee", "role"), "fills")
-
-
-def _drawdown(rows: DataFrame) -> DataFrame:
-    path = ledger.drawdown(ledger.running(rows.select("scenario", "us", "row", "signed", "price", "fee"), BY, ORDER), BY, ORDER, "cash")
-    return path.groupBy("scenario").agg(F.max("drawdown").alias("worst"), F.avg("drawdown").alias("mean"))
-
-
 @query("h26_performance", f"""WITH {FILLS}, {SUMS}, {DRAWDOWN}, {BASE}, n AS (SELECT scenario, count(DISTINCT order_id) AS orders FROM fills GROUP BY scenario)
   SELECT scenario, round(coalesce(worst / nullif(turnover, 0), 0) * 10000, 3) AS worst_bps, round(coalesce(mean / nullif(turnover, 0), 0) * 10000, 3) AS mean_bps,
   round(coalesce((gross - fees) / nullif(CAST(orders AS DOUBLE), 0), 0), 2) AS per_order, round(coalesce(gross / nullif(turnover, 0), 0) * 10000, 3) AS gross_bps FROM base JOIN dd USING (scenario) JOIN n USING (scenario)""")
 def performance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = _kept(fills(spark, sf_dir))
-    orders = kept.groupBy("scenario", "order_id").agg(F.lit(1)).groupBy("scenario").agg(F.count("*").alias("orders"))
-    rows = base_of(kept).join(_drawdown(kept), "scenario").join(orders, "scenario")
+    kept = kept_fills(spark, sf_dir)
+    orders = kept.groupBy("scenario").agg(F.count_if("first").alias("orders"))
+    rows = base_of(kept).join(ledger.drawdown_summary(kept, BY, ORDER), "scenario").join(orders, "scenario")
     t = F.col("turnover")
     return rows.select(
         "scenario", F.round(_ratio(F.col("worst"), t) * 10_000, 3).alias("worst_bps"), F.round(_ratio(F.col("mean"), t) * 10_000, 3).alias("mean_bps"),
@@ -130,12 +119,9 @@ POSITIONS = "pos AS (SELECT scenario, max(position) AS longest, min(position) AS
     UNION ALL SELECT scenario, 'decomposition', 'maker_fees', maker_fees FROM w UNION ALL SELECT scenario, 'decomposition', 'taker_fees', fees - maker_fees FROM w
     UNION ALL SELECT scenario, 'combined', 'orders', CAST(orders AS DOUBLE) FROM w UNION ALL SELECT scenario, 'combined', 'fills', CAST(fills AS DOUBLE) FROM w)""")
 def accounting_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _kept(fills(spark, sf_dir))
-    p = F.col("position")
-    positions = ledger.running(rows, BY, ORDER).groupBy("scenario").agg(F.max(p).alias("longest"), F.min(p).alias("shortest"), F.avg(F.abs(p)).alias("mean_abs"))
-    counts = rows.groupBy("scenario").agg(F.count("*").alias("fills"), F.sum(F.when(F.col("role") == "maker", F.col("fee")).otherwise(0.0)).alias("maker_fees"))
-    orders = rows.groupBy("scenario", "order_id").agg(F.lit(1)).groupBy("scenario").agg(F.count("*").alias("orders"))
-    wide = base_of(rows).join(orders, "scenario").join(positions, "scenario").join(ledger.average_cost(rows, BY, ORDER).select("scenario", "realized"), "scenario").join(counts, "scenario")
+    rows = kept_fills(spark, sf_dir)
+    counts = rows.groupBy("scenario").agg(F.count("*").alias("fills"), F.count_if("first").alias("orders"), F.sum(F.when(F.col("role") == "maker", F.col("fee")).otherwise(0.0)).alias("maker_fees"))
+    wide = base_of(rows).join(ledger.accounts(rows, BY, ORDER).drop("position", "average"), "scenario").join(counts, "scenario")
     g, f = F.col("gross"), F.col("fees")
     return economics.long_report(wide, BY, {
         "pnl": {"gross": g, "net": g - f}, "inventory": {c: F.col(c) for c in ("longest", "shortest", "mean_abs")},
@@ -150,14 +136,14 @@ def accounting_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT scenario, round(fill_rate, 6) AS fill_rate, round(turnover / orders, 2) AS turnover_per_order, round(worst, 2) AS worst_drawdown, CAST(makers AS BIGINT) AS makers, CAST(takers AS BIGINT) AS takers,
   round(coalesce(fees / nullif(turnover, 0), 0) * 10000, 4) AS fee_bps FROM base JOIN dd USING (scenario) JOIN c USING (scenario) JOIN r USING (scenario)""")
 def cost_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _kept(fills(spark, sf_dir))
+    rows = kept_fills(spark, sf_dir)
     wanted = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("order_id"), F.col("o_totalprice").cast("double").alias("wanted"))
     n = tasks(spark, sf_dir, "lineitem")
     each = dealt(rows, n, "order_id").groupBy("scenario", "order_id").agg(F.sum(_notional()).alias("done"), F.count_if(F.col("role") == "maker").alias("makers"), F.count_if(F.col("role") == "taker").alias("takers"))
     done = each.join(dealt(wanted, n, "order_id"), "order_id")
     rate = done.groupBy("scenario").agg(F.avg(F.least(F.lit(1.0), F.try_divide(F.col("done"), F.nullif("wanted", F.lit(0.0))))).alias("fill_rate"))
     counts = each.groupBy("scenario").agg(F.sum("makers").alias("makers"), F.sum("takers").alias("takers"), F.count("*").alias("orders"))
-    wide = base_of(rows).join(_drawdown(rows), "scenario").join(counts, "scenario").join(rate, "scenario")
+    wide = base_of(rows).join(ledger.drawdown_summary(rows, BY, ORDER), "scenario").join(counts, "scenario").join(rate, "scenario")
     return wide.select(
         "scenario", F.round("fill_rate", 6).alias("fill_rate"), F.round(F.col("turnover") / F.col("orders"), 2).alias("turnover_per_order"), F.round("worst", 2).alias("worst_drawdown"),
         "makers", "takers", F.round(_ratio(F.col("fees"), F.col("turnover")) * 10_000, 4).alias("fee_bps"),

@@ -26,5 +26,5 @@ def new_folder(spark: SparkSession, name: str) -> str:
 def stored(rows: DataFrame, name: str) -> DataFrame:
     """rows, written once and read as often as they are passed over."""
     path = new_folder(rows.sparkSession, name)
-    rows.write.parquet(path)
+    rows.write.option("compression", "zstd").parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)

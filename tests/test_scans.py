@@ -113,6 +113,39 @@ def test_ledger_in_sessions(spark):
     assert ledger._fold(fills, ["s"], ["us", "row"], False, 7).count() == 3 * 12  # one scenario is many groups
 
 
+def test_accounts_and_drawdowns_shuffle_the_fills_once(spark):
+    rng = random.Random(9)
+    rows = [(s, None if i < 3 else i // 4, i, rng.choice([None, 0.0, 1e-9, *[float(rng.randint(-3, 4))] * 9]), None if rng.random() < 0.05 else 100 + rng.random()) for s in ("x", "y", None) for i in range(200)]
+    rows += [("z", i, i, 1.0 if i else None, None) for i in range(5)]
+    fills = spark.createDataFrame(rows, "s string, us long, row long, signed double, price double").repartition(3)
+    want = {}
+    for s in ("x", "y", "z", None):
+        state, position, cash, peak, sizes, below = (0.0, 0.0, 0.0), None, None, None, [], []
+        for _, _, _, q, p in [r for r in rows if r[0] == s]:
+            state = ledger._step(state, q, p)
+            if q is not None:
+                position = (position or 0.0) + q
+            if position is not None:
+                sizes.append(position)
+            if q is not None and p is not None:
+                cash = (cash or 0.0) - q * p
+            if cash is not None:
+                peak = cash if peak is None else max(peak, cash)
+                below.append(peak - cash)
+        want[s] = (*state, max(sizes), min(sizes), sum(map(abs, sizes)) / len(sizes)), (max(below), sum(below) / len(below)) if below else (None, None)
+    for session in SESSIONS:
+        found = ledger.accounts(fills, ["s"], ["us", "row"], session)
+        got = {r.s: tuple(r)[1:] for r in found.collect()}
+        low = {r.s: (r.worst, r.mean) for r in ledger.drawdown_summary(fills, ["s"], ["us", "row"], session).collect()}
+        assert got.keys() == low.keys() == want.keys()
+        for s, (ends, below) in want.items():
+            assert got[s] == pytest.approx(ends, abs=1e-6)
+            assert low[s] == (pytest.approx(below, abs=1e-6) if below[0] is not None else below)
+    for of in (ledger.accounts, ledger.average_cost):  # composing the sessions and applying them, no second fold
+        assert of(fills, ["s"], ["us", "row"])._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 2
+    assert ledger.accounts(fills.limit(0), ["s"], ["us", "row"]).count() == ledger.drawdown_summary(fills.limit(0), ["s"], ["us", "row"]).count() == 0
+
+
 def test_dominance_against_plain_sums():
     rng = np.random.default_rng(2)
     for n in (0, 1, 2, 7, 64, 100):
