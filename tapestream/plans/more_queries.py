@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tapestream.bridge import BOOK, BOOK_ORDER, FILLS, HOUR, PREDS, QUOTES, TICKS, book_updates, fills, preds, quotes, table, ticks
+from tapestream.bridge import BOOK, BOOK_ORDER, FILLS, HOUR, PREDS, QUOTES, TICKS, book_updates, fills, kept_fills, preds, quotes, table, ticks
 from tapestream.functions import market
 from tapestream.operators import asof, book, execution, ledger, models, quality, ranks, scans, selection, signals
 from tapestream.plans.registry import query
@@ -230,7 +230,7 @@ def costs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("h17_unrealized", f"""WITH {FILLS}, {SUMS} SELECT scenario, us, order_id, round(CASE WHEN position = 0 THEN 0 ELSE position * (1000 - 900) END, 2) AS unrealized FROM run""")
 def unrealized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    run = ledger.running(fills(spark, sf_dir), BY, ORDER)
+    run = ledger.running(kept_fills(spark, sf_dir), BY, ORDER)
     return run.select("scenario", "us", "order_id", F.round(market.unrealized(F.col("position"), F.lit(900.0), F.lit(1000.0)), 2).alias("unrealized"))
 
 

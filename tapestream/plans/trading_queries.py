@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tapestream.bridge import FILLS, HOUR, TICKS, fills, table, ticks
+from tapestream.bridge import FILLS, HOUR, TICKS, fills, kept_fills, table, ticks
 from tapestream.functions import market
 from tapestream.operators import digest, economics, execution, ledger
 from tapestream.plans.registry import query
@@ -61,21 +61,20 @@ SUMS = f"""run AS (SELECT *, sum(signed) OVER w AS position, sum(-signed * price
 
 @query("w15_ledger_sums", f"""WITH {FILLS}, {SUMS} SELECT scenario, us, order_id, round(position, 2) AS position, round(cash, 2) AS cash, round(fees, 3) AS fees, round(turnover, 2) AS turnover FROM run""")
 def ledger_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
-    run = ledger.running(fills(spark, sf_dir), BY, ORDER)
-    return run.select("scenario", "us", "order_id", F.round("position", 2).alias("position"), F.round("cash", 2).alias("cash"), F.round("fees", 3).alias("fees"), F.round("turnover", 2).alias("turnover"))
+    run = ledger.running(kept_fills(spark, sf_dir).select("scenario", "us", "row", "signed", "price", "fee"), BY, ORDER)
+    return run.select("scenario", "us", F.col("row.l_orderkey").alias("order_id"), F.round("position", 2).alias("position"), F.round("cash", 2).alias("cash"), F.round("fees", 3).alias("fees"), F.round("turnover", 2).alias("turnover"))
 
 
 @query("w13_drawdown", f"""WITH {FILLS}, {SUMS}, d AS (SELECT scenario, max(cash) OVER (PARTITION BY scenario ORDER BY {SQL_ORDER} ROWS UNBOUNDED PRECEDING) - cash AS dd FROM run)
   SELECT scenario, round(max(dd), 1) AS worst, round(avg(dd), 1) AS mean FROM d GROUP BY scenario""")
 def drawdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    run = ledger.drawdown(ledger.running(fills(spark, sf_dir), BY, ORDER), BY, ORDER, "cash")
-    return run.groupBy("scenario").agg(F.round(F.max("drawdown"), 1).alias("worst"), F.round(F.avg("drawdown"), 1).alias("mean"))
+    return _round(ledger.drawdown_summary(kept_fills(spark, sf_dir), BY, ORDER), BY, 1)
 
 
 @query("a28_position", f"""WITH {FILLS}, {SUMS} SELECT scenario, round(max(position), 4) AS longest, round(min(position), 4) AS shortest, round(avg(abs(position)), 4) AS mean_abs, round(median(abs(position)), 4) AS median_abs,
   round(quantile_cont(abs(position), 0.95), 4) AS p95_abs, round(avg(CASE WHEN position > 0 THEN 1.0 ELSE 0.0 END), 4) AS long_share, round(avg(CASE WHEN position < 0 THEN 1.0 ELSE 0.0 END), 4) AS short_share FROM run GROUP BY scenario""")
 def position(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _round(ledger.position_summary(ledger.running(fills(spark, sf_dir), BY, ORDER), BY), BY, 4)
+    return _round(ledger.position_summary(ledger.running(kept_fills(spark, sf_dir), BY, ORDER), BY), BY, 4)
 
 
 @query("r08_mark_to_market", f"""WITH {FILLS}, m AS (SELECT scenario, unnest(range(min(us), max(us) + 1, {24 * HOUR * 30})) AS us FROM fills GROUP BY scenario)
@@ -99,7 +98,7 @@ REALIZED = f"""numbered AS (SELECT scenario, signed AS q, price AS p, row_number
 
 @query("r07_realized_pnl", f"""WITH RECURSIVE {FILLS}, {REALIZED} SELECT scenario, round(pos, 4) AS position, round(average, 4) AS average, round(realized, 1) AS realized FROM realized_pnl""")
 def realized_pnl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = ledger.average_cost(fills(spark, sf_dir), BY, ORDER)
+    out = ledger.average_cost(kept_fills(spark, sf_dir), BY, ORDER)
     return out.select("scenario", F.round("position", 4).alias("position"), F.round("average", 4).alias("average"), F.round("realized", 1).alias("realized"))
 
 
