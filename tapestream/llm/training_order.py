@@ -8,6 +8,10 @@ any sequence alone.  A shard is a range of slots; its file is its
 sequences back to back, so slot s lies at byte (s - first) * stride * width, and a reader
 resumes anywhere with one seek.
 
+Between the encoding tasks and the shards, ids are packed: the 224 likeliest in one byte, the
+next 7,936 in two, the others in three (``pack``).  Which are likely is asked of the starts of
+300 texts; any id can be packed by any ranking, so this decides only the size.
+
 Recovery: ids and their places are written before slots are given, so a lost executor can't
 change them; shard files are written aside and renamed, and those already there are left if
 size and crc32 are those of the new content.
@@ -36,6 +40,10 @@ from .tokens import word_tokenizer
 #: Pads a sequence; no id of a vocabulary that fits 16 bits.
 PAD = 0xFFFF
 WIDTH = 2
+#: Ids of one byte; the heads from here to 254 are followed by a byte, 255 by two.
+ONE = 224
+#: Texts, and characters of each, that rank the ids.
+RANKED_BY = (300, 3000)
 SEQUENCES = "doc_id long, piece int, n_tokens int, ids binary, crc long, part int, place int"
 #: Slots of up to so many sequences are broadcast to the tables of ids; beyond, both sides are shuffled by part and place.
 BROADCAST_SLOTS = 5_000_000
@@ -62,8 +70,59 @@ def feistel(index: np.ndarray, n: int, key: int, rounds: int = 4) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def sequences(docs: DataFrame, tokenizer: str, stride: int, end_id: int) -> DataFrame:
-    """doc_id, piece, n_tokens, ids (little-endian uint16, not padded), their crc32, and where each was written."""
+def ranked_ids(docs: DataFrame, tokenizer: str) -> np.ndarray:
+    """All uint16, those that are frequent in the starts of some texts first."""
+    texts, characters = RANKED_BY
+    some = [r.text or "" for r in docs.select(F.substring("text", 1, characters).alias("text")).take(texts)]
+    ids = word_tokenizer(tokenizer).encode(pa.array(some, pa.string()))[0].astype(np.int64)
+    return np.argsort(-np.bincount(ids, minlength=PAD + 1)[: PAD + 1], kind="stable").astype("<u2")
+
+
+def pack(ids: np.ndarray, ends: np.ndarray, ranked: np.ndarray) -> list[bytes]:
+    """Rows of ids, at least one, that end at ``ends``, each as heads (a byte per id), then second bytes, then third ones of the ids that have them."""
+    rank = np.empty(PAD + 1, np.int32)
+    rank[ranked] = np.arange(PAD + 1)
+    two, three = rank >= ONE, rank >= ONE + (255 - ONE) * 256
+    heads = np.where(three, 255, np.where(two, ONE + (rank - ONE) // 256, rank)).astype(np.uint8)[ids]
+    starts, more, most = np.append(0, ends[:-1]), heads >= ONE, heads == 255
+    second = np.where(three, rank & 255, (rank - ONE) & 255).astype(np.uint8)[np.compress(more, ids)]
+    third = (rank >> 8).astype(np.uint8)[np.compress(most, ids)]
+    a, b = (np.append(0, np.cumsum(np.add.reduceat(x, starts, dtype=np.int64))).tolist() for x in (more, most))
+    at = np.append(0, ends).tolist()
+    heads, second, third = heads.tobytes(), second.tobytes(), third.tobytes()
+    return [heads[at[i] : at[i + 1]] + second[a[i] : a[i + 1]] + third[b[i] : b[i + 1]] for i in range(len(ends))]
+
+
+def unpack(packed: pa.Array, n: np.ndarray, stride: int, ranked: np.ndarray) -> np.ndarray:
+    """The packed rows' n ids, padded: a row of ``stride`` uint16 for each."""
+    offsets = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset : packed.offset + len(packed) + 1].astype(np.int64)
+    data = np.frombuffer(packed.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    start = offsets[:-1] - offsets[0]
+
+    def part(first: np.ndarray, length: np.ndarray) -> np.ndarray:
+        edge = np.zeros(len(data) + 1, np.int8)
+        np.add.at(edge, first, 1)
+        np.add.at(edge, first + length, -1)
+        return np.compress(np.cumsum(edge[:-1], dtype=np.int8).view(bool), data)
+
+    heads = part(start, n)
+    begins = np.cumsum(n) - n
+    more, most = heads >= ONE, heads == 255
+    seconds = np.add.reduceat(more, begins, dtype=np.int64)
+    second, third = part(start + n, seconds), part(start + n + seconds, np.add.reduceat(most, begins, dtype=np.int64))
+    rank = heads.astype(np.uint16)
+    at = np.flatnonzero(more)
+    tail = (rank[at] - ONE) * np.uint16(256) + ONE + second
+    last = np.flatnonzero(most[at])
+    tail[last] = second[last] + third.astype(np.uint16) * np.uint16(256)
+    rank[at] = tail
+    out = np.full((len(n), stride), PAD, "<u2")
+    out[np.arange(stride) < n[:, None]] = ranked[rank]
+    return out
+
+
+def sequences(docs: DataFrame, tokenizer: str, stride: int, end_id: int, ranked: np.ndarray) -> DataFrame:
+    """doc_id, piece, n_tokens, ids (packed), the crc32 of the ids (little-endian uint16), and where each was written."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, part, place = word_tokenizer(tokenizer), TaskContext.get().partitionId(), 0
@@ -72,15 +131,17 @@ def sequences(docs: DataFrame, tokenizer: str, stride: int, end_id: int) -> Data
                 ids, lengths = words.encode(batch.column(1))
                 if len(ids) and ids.max() >= PAD:
                     raise ValueError("the vocabulary doesn't fit 16 bits")
-                ids, ends, rows = ids.astype("<u2"), np.cumsum(lengths), []
-                for doc, first, last in zip(batch.column(0).to_pylist(), (ends - lengths).tolist(), ends.tolist()):
-                    data = ids[first:last].tobytes() + end_id.to_bytes(WIDTH, "little")
-                    for piece, start in enumerate(range(0, len(data), stride * WIDTH)):
-                        own = data[start : start + stride * WIDTH]
-                        rows.append((doc, piece, len(own) // WIDTH, own, zlib.crc32(own), part, place))
+                ends = np.cumsum(lengths)
+                ids, ends = np.insert(ids.astype("<u2"), ends, end_id), ends + np.arange(1, len(ends) + 1)
+                data, rows, cuts = memoryview(ids.tobytes()), [], []
+                for doc, first, last in zip(batch.column(0).to_pylist(), [0, *ends[:-1].tolist()], ends.tolist()):
+                    for piece, start in enumerate(range(first, last, stride)):
+                        cuts.append(min(start + stride, last))
+                        rows.append((doc, piece, cuts[-1] - start, None, zlib.crc32(data[start * WIDTH : cuts[-1] * WIDTH]), part, place))
                         place += 1
                 types = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.int32())
                 columns = list(zip(*rows)) if rows else [()] * len(types)
+                columns[3] = pack(ids, np.array(cuts), ranked) if rows else ()
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types)], ["doc_id", "piece", "n_tokens", "ids", "crc", "part", "place"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, SEQUENCES)
@@ -88,7 +149,8 @@ def sequences(docs: DataFrame, tokenizer: str, stride: int, end_id: int) -> Data
 
 def training_order(docs: DataFrame, tokenizer: str, stride: int = 512, end_id: int = 1, shard_rows: int = 16384, key: int = 11) -> DataFrame:
     """slot, shard, byte_offset, doc_id, piece, n_tokens and ids (padded to the stride), in slot order within shards."""
-    rows = keep(sequences(docs, tokenizer, stride, end_id), "sequences", "zstd")
+    ranked = ranked_ids(docs, tokenizer)
+    rows = keep(sequences(docs, tokenizer, stride, end_id, ranked), "sequences", "zstd")
     keys = rows.select("doc_id", "piece", "crc", "part", "place").repartitionByRange("doc_id", "piece", "crc")
     keys = keep(keys.withColumn("range", F.spark_partition_id()), "sequence-keys")
     ranges = keys.groupBy("range").count()
@@ -110,9 +172,17 @@ def training_order(docs: DataFrame, tokenizer: str, stride: int = 512, end_id: i
     placed = placed.withColumn("shard", F.floor(F.col("slot") / shard_rows).cast("int"))
     shards = max(1, -(-n // shard_rows))
     dealt = placed.select("slot", "shard", "doc_id", "piece", "n_tokens", "ids").repartitionByRange(shards, "shard").sortWithinPartitions("slot")
-    padded = F.rpad("ids", F.lit(stride * WIDTH), F.lit(PAD.to_bytes(WIDTH, "little")))
     offset = (F.col("slot") - F.col("shard").cast("long") * shard_rows) * stride * WIDTH
-    return dealt.select("slot", "shard", offset.alias("byte_offset"), "doc_id", "piece", "n_tokens", padded.alias("ids"))
+
+    def padded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                ids = unpack(batch.column(6), batch.column(5).to_numpy().astype(np.int64), stride, ranked)
+                ends = pa.py_buffer(np.arange(len(ids) + 1, dtype=np.int32) * stride * WIDTH)
+                yield pa.record_batch([*batch.columns[:6], pa.Array.from_buffers(pa.binary(), len(ids), [None, ends, pa.py_buffer(ids)])], batch.schema.names)
+
+    ordered = dealt.select("slot", "shard", offset.alias("byte_offset"), "doc_id", "piece", "n_tokens", "ids")
+    return ordered.mapInArrow(padded, ordered.schema)
 
 
 def write_shards(ordered: DataFrame, uri: str) -> DataFrame:

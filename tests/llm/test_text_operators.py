@@ -345,6 +345,21 @@ def test_base_spans_of_secrets_on_random_texts(spark):
         assert ",".join(x for x in out[i].spans.split(",") if not x.startswith("novel")) == listed
 
 
+def test_packed_ids_come_back_by_any_ranking():
+    rng = np.random.default_rng(6)
+    for trial in range(12):
+        ranked = rng.permutation(2**16).astype("<u2")
+        n = rng.integers(1, 65, rng.integers(1, 40))
+        ids = ranked[rng.integers(0, (200, 5000, 65535)[trial % 3], n.sum())]
+        ids[:: trial + 1] = ranked[(0, 223, 224, 8159, 8160, 65534)[trial % 6]]
+        packed = training_order.pack(ids, np.cumsum(n), ranked)
+        found = training_order.unpack(pa.array([b"other", *packed, b""], pa.binary()).slice(1, len(n)), n, 64, ranked)
+        for row, own in zip(found, np.split(ids, np.cumsum(n)[:-1])):
+            assert row[: len(own)].tolist() == own.tolist() and (row[len(own) :] == training_order.PAD).all()
+    common = ranked[rng.integers(0, 224, 1000)]
+    assert len(training_order.pack(common, np.array([1000]), ranked)[0]) == 1000
+
+
 def test_training_order_is_that_of_the_rows_whatever_the_partitions(spark, monkeypatch):
     docs = documents(spark, ODD)
     rows = []
