@@ -203,21 +203,25 @@ def fold_importance(rows: DataFrame, fold: str, x: str, y: str, order: Sequence[
 def importances(rows: DataFrame, features: Sequence[str], y: str, order: Sequence[str], first_days: int = 20, repeats: int = 3) -> DataFrame:
     """feature, gain and permuted: the rise of the mean absolute error on later days with the feature dealt anew, over ``repeats`` deals.
 
-    rows has ``day``; all deals are scored in one pass.
+    rows has ``day`` and is stored, as each deal passes over it twice; all deals are scored in one pass.
     """
+    from pyspark.sql import Window
+
+    rows = stored(rows.select("day", *dict.fromkeys([*order, *features, y])), "days")
     days = [r.day for r in rows.select("day").distinct().orderBy("day").collect()]  # a row per day
     cut = days[min(first_days, len(days) - 1)]
     assembler, model = boosted_trees(rows.where(F.col("day") < cut), features, y)
-    later = rows.where(F.col("day") >= cut).select("day", *dict.fromkeys([*order, *features, y]))
+    later = rows.where(F.col("day") >= cut)
     every = later.withColumns({"_of": F.lit(""), "_deal": F.lit(0)})
     for f in features:
         for k in range(repeats):
             every = every.unionByName(permuted(later, ["day"], f"{f}|{k}", order, f).withColumns({"_of": F.lit(f), "_deal": F.lit(k)}))
     errors = model.transform(assembler.transform(every)).groupBy("_of", "_deal").agg(F.avg(F.abs(F.col(y) - F.col("prediction"))).alias("e"))
     by = errors.groupBy("_of").agg(F.avg("e").alias("e"))
-    base = by.where("_of = ''").select(F.col("e").alias("_base"))
+    base = F.max(F.when(F.col("_of") == "", F.col("e"))).over(Window.partitionBy(F.lit(0)))  # a row per feature; joined, all rows would be scored twice
     gains = F.create_map(*[x for f, g in zip(features, model.featureImportances.toArray()) for x in (F.lit(f), F.lit(float(g)))])
-    return by.where("_of <> ''").join(base).select(F.col("_of").alias("feature"), gains[F.col("_of")].alias("gain"), (F.col("e") - F.col("_base")).alias("permuted"))  # one row of base
+    rises = by.withColumn("permuted", F.col("e") - base).where("_of <> ''")
+    return rises.select(F.col("_of").alias("feature"), gains[F.col("_of")].alias("gain"), "permuted")
 
 
 def expanding_folds(dates: Sequence[str], first_train: int) -> list[tuple[list[str], str]]:

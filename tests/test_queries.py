@@ -141,3 +141,10 @@ def test_accounting_composes_sessions_and_counts_orders_without_a_shuffle(spark,
     plan = capsys.readouterr().out
     assert plan.count("MapInArrow") == 2 and "Window" in plan and "l_orderkey % " not in plan
     assert not [x for x in plan.splitlines() if "Exchange" in x and "order_id" in x]
+
+
+def test_importances_find_next_values_once_and_score_rows_once(spark, capsys):
+    catalog.QUERIES["m07_importances"](spark, DIR).explain()
+    plan = capsys.readouterr().out
+    assert "user_id" not in plan  # of the window over each user's events
+    assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan  # of the errors with those of no deal
